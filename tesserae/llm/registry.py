@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tesserae.llm import mixing, quality, sharding
+from tesserae.llm import mixing, packing, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op4_quality_rules": quality.op4_quality_rules,
     "op9_mixing": mixing.op9_mixing,
+    "op10_packing": packing.op10_packing,
 }
 SQL = {"op4_quality_rules": quality.OP4_SQL, "op9_mixing": mixing.OP9_SQL}

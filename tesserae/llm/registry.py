@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tesserae.llm import mixing, packing, quality, sharding
+from tesserae.llm import fingerprint, mixing, packing, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op7_fingerprint": fingerprint.op7_fingerprint,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
 }

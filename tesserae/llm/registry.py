@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tesserae.llm import fingerprint, mixing, packing, quality, sharding
+from tesserae.llm import fingerprint, mixing, packing, quality, sharding, suffixes
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_suffix_array_dedup": suffixes.op2_suffix_array_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op7_fingerprint": fingerprint.op7_fingerprint,
     "op9_mixing": mixing.op9_mixing,

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from tesserae.llm import fingerprint, mixing, packing, quality, sharding, suffixes
+from tesserae.llm import fingerprint, jaccard, mixing, packing, quality, sharding, suffixes
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_suffix_array_dedup": suffixes.op2_suffix_array_dedup,
+    "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op4_quality_rules": quality.op4_quality_rules,
     "op7_fingerprint": fingerprint.op7_fingerprint,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
 }
-SQL = {"op4_quality_rules": quality.OP4_SQL, "op9_mixing": mixing.OP9_SQL}
+SQL = {"op3_ngram_jaccard_join": jaccard.OP3_SQL, "op4_quality_rules": quality.OP4_SQL, "op9_mixing": mixing.OP9_SQL}

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -26,10 +27,24 @@ WINDOW, END_ID, BLOCK_BYTES = 2048, 1, 8 << 20
 #: In tokens of padding: a cut at a document's end, at a sentence's end, and inside a sentence that is longer than a window.
 AT_DOCUMENT, AT_SENTENCE, INSIDE = 0, 16, 1024
 #: Pieces of text whose ids a worker remembers, at most.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: A single space between two other characters starts a new token in byte-level BPE pre-tokenization.
 _SPACE = re.compile(r"(?<=[^\s]) (?=[^\s])")
+#: Where a text has a space elsewhere, it can't be split at every space.
+_ODD_SPACE = re.compile(r" \s|\s |^ | $")
+
+
+class _Pieces(dict):
+    """Ids of pieces of text, each encoded when first asked for; ``lead`` comes before every piece."""
+
+    def __init__(self, encode, lead: str):
+        super().__init__()
+        self.encode, self.lead = encode, lead
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = found = self.encode(self.lead + piece)
+        return found
 
 
 class Ids:
@@ -37,26 +52,46 @@ class Ids:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(got.ids, "<u4").tobytes()
+        self.model, self.parts = self.tokenizer.model, regex.compile(public_tokenizers.PATTERN).findall
+        # byte-level BPE names a byte by its own character if that prints, the others count on from 256
+        prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        self.letters = [chr(b if b in prints else next(others)) for b in range(256)]
+        self.first, self.later = _Pieces(self._encode, ""), _Pieces(self._encode, " ")
+
+    def _encode(self, piece: str) -> bytes:
+        """Ids of a piece that starts a token and ends one."""
+        body = piece[1:] if piece[:1] == " " else piece
+        if body.isalpha():
+            parts = [piece]
+        elif body[:-1].isalpha() and body[-1] in ".,;:!?":
+            parts = [piece[:-1], piece[-1]]
+        else:
+            parts = self.parts(piece)
+        letters, ids = self.letters, array("I")
+        for part in parts:
+            ids.extend([t.id for t in self.model.tokenize("".join([letters[b] for b in part.encode()]))])
+        return ids.tobytes()
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without an end."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        split = [_SPACE.sub("\0 ", t).split("\0") if "\0" not in t else [t] for t in texts]
-        self._learn(list({p for parts in split for p in parts} - self.known.keys()))
-        known = self.known
-        return [b"".join([known[p] for p in parts]) for parts in split]
+        out = []
+        for text in texts:
+            if len(self.later) + len(self.first) > REMEMBERED:
+                self.first.clear()
+                self.later.clear()
+            if _ODD_SPACE.search(text):
+                first, *later = _SPACE.split(text)
+            else:
+                first, *later = text.split(" ")
+            out.append(b"".join([self.first[first], *map(self.later.__getitem__, later)]) if text else b"")
+        return out
 
     def sentence_ends(self) -> np.ndarray:
         """For each id, whether its text ends a sentence or a line."""

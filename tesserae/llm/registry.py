@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tesserae.llm import fingerprint, jaccard, mixing, packing, quality, sharding, suffixes
+from tesserae.llm import fingerprint, html, jaccard, mixing, packing, quality, sharding, suffixes, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_suffix_array_dedup": suffixes.op2_suffix_array_dedup,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_html_extraction": html.op5_html_extraction,
+    "op6_url_filters": urls.op6_url_filters,
     "op7_fingerprint": fingerprint.op7_fingerprint,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,

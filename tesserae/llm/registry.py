@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import fingerprint, html, jaccard, mixing, packing, quality, sharding, suffixes, urls
+from tesserae.llm import fingerprint, html, jaccard, lm, mixing, packing, quality, sharding, suffixes, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_html_extraction": html.op5_html_extraction,
     "op6_url_filters": urls.op6_url_filters,
     "op7_fingerprint": fingerprint.op7_fingerprint,
+    "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
 }

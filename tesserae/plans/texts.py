@@ -1 +1,258 @@
-"""Filled below."""
+"""Text jobs over landed documents, pages and titles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tesserae.functions import predicates as P
+from tesserae.functions import text as X
+from tesserae.operators import relational as R
+from tesserae.plans.registry import query
+from tesserae.sources.tables import HOST, Tables
+
+HEAD = "substr(text, 1, 60)"
+LI = r"""SELECT page_id, url, i, href, label FROM (SELECT page_id, url, generate_subscripts(a, 1) AS i, regexp_extract(unnest(a), 'href="([^"]*)"', 1) AS href, substr(trim(regexp_replace(unnest(a), '<[^>]*>', '', 'g')), 1, 200) AS label
+ FROM (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>[^<]*</a>') AS a FROM pages))"""
+FOLD = "strip_accents(lower({}))"
+
+
+def head():
+    """A short piece of a text, as a title or name stands in one."""
+    return F.substring("text", 1, 60)
+
+
+@query("TXT1", rf"SELECT doc_id, trim(regexp_replace(strip_accents(lower({HEAD})), '\s+', ' ', 'g')) AS k FROM documents")
+def txt1(t: Tables):
+    return t.documents.select("doc_id", P.name_key(head()).alias("k"))
+
+
+@query("TXT2", rf"SELECT doc_id, substr(regexp_replace(regexp_replace(strip_accents(lower({HEAD})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 20) AS slug FROM documents")
+def txt2(t: Tables):
+    return t.documents.select("doc_id", P.slug(head(), 20).alias("slug"))
+
+
+@query("TXT3", rf"SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower({HEAD})), '[^\p{{L}}\p{{N}}]', ' ', 'g'), ' +', ' ', 'g')) AS k FROM documents")
+def txt3(t: Tables):
+    return t.documents.select("doc_id", P.verbatim_key(head()).alias("k"))
+
+
+@query("TXT4", r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</p>', chr(10) || chr(10), 'g'), '<[^>]*>', ' ', 'g'),
+ '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g')) AS text FROM pages""")
+def txt4(t: Tables):
+    return t.pages.select("page_id", X.html_to_text(F.col("html")).alias("text"))
+
+
+@query("TXT5", """SELECT conv_id, turn, v, CASE WHEN turn % 3 = 0 THEN conv_id WHEN turn % 3 = 1 THEN (conv_id % 60) * 60 + turn ELSE (conv_id % 10) * 3600 + turn * 60 + 5 END AS seconds
+ FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN conv_id::VARCHAR WHEN turn % 3 = 1 THEN (conv_id % 60) || ':' || turn ELSE (conv_id % 10) || ':' || turn || ':05' END AS v FROM conversations)""")
+def txt5(t: Tables):
+    c, k = F.col("conv_id"), F.col("turn")
+    v = F.when(k % 3 == 0, c.cast("string")).when(k % 3 == 1, F.concat(c % 60, F.lit(":"), k)).otherwise(F.concat(c % 10, F.lit(":"), k, F.lit(":05")))
+    return t.raw("conversations").select("conv_id", "turn", v.alias("v"), X.parse_duration(v).alias("seconds"))
+
+
+def page_links(t: Tables):
+    """Anchors of all pages, in order."""
+    return t.pages.select("page_id", "url", F.posexplode(X.anchors(F.col("html"))).alias("i", "a")).select("page_id", "url", (F.col("i") + 1).alias("i"), "a.href", "a.label")
+
+
+@query("TXT6", f"SELECT page_id, href, label FROM (SELECT *, row_number() OVER (PARTITION BY page_id, lower(href) ORDER BY i) AS rn FROM ({LI})) WHERE rn = 1")
+def txt6(t: Tables):
+    first = R.distinct_on(page_links(t).withColumn("k", F.lower("href")), ["page_id", "k"], [F.asc("i")])
+    return first.select("page_id", "href", "label")
+
+
+KIND = """CASE WHEN coalesce(url, '') = '' THEN 'other' WHEN contains(h, 'profiles.example') THEN 'profile' WHEN contains(h, 'social.example') OR contains(h, 'video.example') THEN 'social' WHEN contains(h, 'audio.example') OR contains(h, 'cast.example') THEN 'audio'
+ WHEN contains(h, 'brand1.') OR contains(h, 'brand2.') OR contains(h, 'tool.example') THEN 'tool' WHEN h = 'cat.example.com' AND p NOT IN ('', '/') AND NOT regexp_matches(p, '^/(about|contact|privacy|terms|tag|category|search|login|feed)\\b') THEN 'episode_ref' WHEN p IN ('', '/') THEN 'company' ELSE 'resource' END""".replace("\\\\", "\\")
+PARTS = r"SELECT *, regexp_replace(url, '^https?://(www[.])?([^/]+).*', '\2') AS h, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS p FROM links"
+
+
+@query("TXT7", f"SELECT id, {KIND} AS kind FROM ({PARTS})")
+def txt7(t: Tables):
+    return t.links.select("id", X.classify_url(F.col("url"), HOST).alias("kind"))
+
+
+@query("TXT8", f"SELECT id, CASE WHEN h <> 'cat.example.com' THEN 'host' WHEN p IN ('', '/') THEN 'root' WHEN regexp_matches(p, '^/(about|contact|privacy|terms|tag|category|search|login|feed)\\b') THEN 'utility' ELSE 'match' END AS reason FROM ({PARTS})")
+def txt8(t: Tables):
+    return t.links.select("id", X.episode_ref_reason(F.col("url"), HOST).alias("reason"))
+
+
+@query("TXT9", f"SELECT id, contains(h, 'brand1.') OR contains(h, 'brand2.') OR contains(h, 'tool.example') AS is_tool FROM ({PARTS})")
+def txt9(t: Tables):
+    parts = dict(X.HOST_KINDS)["tool"]
+    return t.links.select("id", P.any_of([F.contains(P.host_of(F.col("url")), F.lit(p)) for p in parts]).alias("is_tool"))
+
+
+@query("TXT10", "SELECT source_id, idx, (start_s::BIGINT) AS seconds, substr(replace(text, chr(10), ' '), 1, 30) AS title FROM segments WHERE trim(substr(replace(text, chr(10), ' '), 1, 30)) = substr(replace(text, chr(10), ' '), 1, 30) AND length(text) > 30")
+def txt10(t: Tables):
+    """Chapter lines are written from segments, put together as one description a source, and parsed back."""
+    title = F.substring(F.regexp_replace("text", "\n", " "), 1, 30)
+    rows = t.segments.filter((F.trim(title) == title) & (F.length("text") > 30)).select("source_id", "idx", F.concat(X.to_hms(F.col("start_s")), F.lit(" - "), title).alias("line"))
+    whole = rows.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("x")).select("source_id", F.col("x.idx").alias("idx"), F.array_join(F.col("x.line"), "\n").alias("description"))
+    found = whole.select("source_id", F.inline(F.arrays_zip("idx", X.chapters(F.col("description")).alias("c"))))
+    return found.select("source_id", "idx", "c.seconds", "c.title")
+
+
+@query("TXT11")
+def txt11(t: Tables):
+    return t.episodes.select("id", X.guest_from_title(F.col("title")).alias("g")).select("id", "g.name", "g.company", "g.role")
+
+
+@query("TXT12")
+def txt12(t: Tables):
+    entry = r"(?m)^ *(\p{Lu}[\p{L}0-9]*(?: \p{L}[\p{L}0-9]*){0,3}) ?: ?(https?://\S+)"
+    return t.documents.select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(entry), F.lit(1)), F.lower))).alias("sponsor"))
+
+
+@query("TXT13", "SELECT d.doc_id, r.name FROM documents d JOIN (VALUES ('einung'), ('desen'), ('para la')) r(name) ON contains(strip_accents(lower(d.text)), r.name)")
+def txt13(t: Tables):
+    names = t.spark.createDataFrame([("einung",), ("desen",), ("para la",)], "name string")
+    return t.documents.withColumn("k", P.folded(F.lower("text"))).join(F.broadcast(names), F.contains("k", "name")).select("doc_id", "name")
+
+
+@query("TXT14", r"SELECT DISTINCT doc_id, lower(m) AS contact, CASE WHEN contains(m, '@') THEN 'email' ELSE 'phone' END AS kind FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9._-]+@[a-zA-Z0-9-]+[.][a-z]+|\+[0-9]+ \([0-9]+\) [0-9-]+')) AS m FROM documents)")
+def txt14(t: Tables):
+    found = F.regexp_extract_all("text", F.lit(r"[a-zA-Z0-9._-]+@[a-zA-Z0-9-]+[.][a-z]+|\+[0-9]+ \([0-9]+\) [0-9-]+"), F.lit(0))
+    m = F.col("m")
+    return t.documents.select("doc_id", F.explode(found).alias("m")).select("doc_id", F.lower(m).alias("contact"), F.when(F.contains(m, F.lit("@")), "email").otherwise("phone").alias("kind")).distinct()
+
+
+@query("TXT17", r"""SELECT id, CASE WHEN regexp_matches(lower(title), '\b(extrait|extract)\b') THEN 'extract' WHEN regexp_matches(lower(title), '^#?[0-9]+') THEN 'full' ELSE 'unknown' END AS kind FROM episodes""")
+def txt17(t: Tables):
+    return t.episodes.select("id", X.editorial_type(F.col("title")).alias("kind"))
+
+
+@query("TXT18", "SELECT id, list_filter(['building', 'machinery', 'household', 'auto'], lambda k: contains(lower(title), k)) AS tags, 'y' || year(date_created) AS year_tag FROM episodes")
+def txt18(t: Tables):
+    words = F.array(*(F.lit(k) for k in ("building", "machinery", "household", "auto")))
+    return t.episodes.select("id", F.array_distinct(F.filter(words, lambda k: F.contains(F.lower("title"), k))).alias("tags"), F.concat(F.lit("y"), F.year("date_created")).alias("year_tag"))
+
+
+@query("TXT19", "SELECT DISTINCT e.id, r.theme FROM episodes e JOIN (VALUES ('P1', 'build', 'homes'), ('P1', 'machin', 'industry'), ('P2', 'auto', 'cars'), ('P3', 'house', 'homes')) r(pillar, word, theme) ON r.pillar = e.pillar AND contains(lower(e.title), r.word)")
+def txt19(t: Tables):
+    rules = t.spark.createDataFrame([("P1", "build", "homes"), ("P1", "machin", "industry"), ("P2", "auto", "cars"), ("P3", "house", "homes")], "pillar string, word string, theme string")
+    return t.episodes.join(F.broadcast(rules), "pillar").filter(F.contains(F.lower("title"), F.col("word"))).select("id", "theme").distinct()
+
+
+@query("TXT20")
+def txt20(t: Tables):
+    """The text of a source cut at the first words of its turns, each cut sought after the last; word counts of the parts."""
+    src = t.segments.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("s"))
+    titles = F.transform("s.text", lambda x: F.substring(x, 1, 25))
+    start = F.struct(F.array_join("s.text", "\n").alias("rest"), F.array().cast("array<struct<title:string,words:int>>").alias("out"), F.lit(None).cast("string").alias("open"))
+
+    def words(x):
+        return F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+
+    def step(acc, title):
+        at = F.instr(acc["rest"], title)
+        done = F.when(acc["open"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(acc["open"].alias("title"), words(F.substring(acc["rest"], F.lit(1), at - 1)).alias("words"))))
+        return F.when(at > 0, F.struct(F.substring(acc["rest"], at + F.length(title), F.lit(10_000_000)).alias("rest"), done.alias("out"), title.alias("open"))).otherwise(acc)
+
+    end = F.aggregate(titles, start, step, lambda acc: F.array_append(acc["out"], F.struct(acc["open"].alias("title"), words(acc["rest"]).alias("words"))))
+    return src.select("source_id", F.posexplode(end).alias("i", "c")).select("source_id", "i", "c.title", "c.words")
+
+
+@query("TXT21", r"SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS heading, len(regexp_extract_all(html, '<p>'))::INT AS paragraphs FROM pages")
+def txt21(t: Tables):
+    return t.pages.select("page_id", F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("heading"), F.regexp_count("html", F.lit("<p>")).alias("paragraphs"))
+
+
+@query("TXT22", f"SELECT id, CASE WHEN h = 'cat.example.com' THEN 'episode_ref' WHEN len(string_split(h, '.')) = 2 THEN 'company' ELSE 'resource' END AS simple, {KIND} AS kind FROM ({PARTS})")
+def txt22(t: Tables):
+    host = P.host_of(F.col("url"))
+    simple = F.when(host == HOST, "episode_ref").when(F.size(F.split(host, "[.]")) == 2, "company").otherwise("resource")
+    return t.links.select("id", simple.alias("simple"), X.classify_url(F.col("url"), HOST).alias("kind"))
+
+
+@query("TXT23", f"SELECT page_id, i::INT AS i, CASE WHEN regexp_matches(href, '^(#|mailto:|tel:|javascript:)') THEN NULL WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN href[1] = '/' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || href ELSE regexp_extract(url, '^[a-z]+://[^/?#]+') || '/' || href END AS target FROM ({LI})")
+def txt23(t: Tables):
+    return page_links(t).select("page_id", "i", X.absolute_url(F.col("href"), F.col("url")).alias("target"))
+
+
+@query("TXT24", r"SELECT page_id, regexp_replace(url, '^https?://(www[.])?([^/]+).*', '\2') AS host FROM pages")
+def txt24(t: Tables):
+    return t.pages.select("page_id", P.host_of(F.col("url")).alias("host"))
+
+
+@query("TXT25", r"""WITH c AS (SELECT doc_id, substr(trim(regexp_replace(substr(text, strpos(lower(text), 'the') + 3), '\s+', ' ', 'g')), 1, 500) AS c FROM documents WHERE strpos(lower(text), 'the') > 0),
+b AS (SELECT doc_id, CASE WHEN length(regexp_extract(c, '^(.*[.!?]) ', 1)) > 200 THEN regexp_extract(c, '^(.*[.!?]) ', 1) ELSE c END AS bio FROM c) SELECT doc_id, bio FROM b WHERE length(bio) >= 60""")
+def txt25(t: Tables):
+    return t.documents.select("doc_id", X.bio_chunk(F.col("text"), "the").alias("bio")).filter("bio is not null")
+
+
+@query("TXT26", r"SELECT id, CASE WHEN regexp_matches(n, '^[\[(#]') OR length(n) < 3 OR NOT regexp_matches(n, '^[A-Z]') THEN NULL ELSE n END AS name FROM (SELECT id, trim(regexp_replace(title, '^#[0-9]+ *-? *', '')) AS n FROM episodes)")
+def txt26(t: Tables):
+    n = F.trim(F.regexp_replace("title", "^#[0-9]+ *-? *", ""))
+    return t.episodes.select("id", F.when(n.rlike(r"^[\[(#]") | (F.length(n) < 3) | ~n.rlike("^[A-Z]"), None).otherwise(n).alias("name"))
+
+
+@query("TXT27", "SELECT id, lower(regexp_extract(linkedin_url, '/in/([^/?#]+)', 1)) AS slug FROM guests WHERE linkedin_url IS NOT NULL")
+def txt27(t: Tables):
+    raw = F.regexp_extract("linkedin_url", "/in/([^/?#]+)", 1)
+    return t.guests.filter("linkedin_url is not null").select("id", F.lower(F.coalesce(F.try_url_decode(raw), raw)).alias("slug"))
+
+
+@query("TXT28", "SELECT id, list_sort(list_distinct([array_to_string(p, ''), array_to_string(p, '-'), array_to_string(p, '.'), p[1][1] || array_to_string(p[2:], '')])) AS variants FROM (SELECT id, string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), '-') AS p FROM guests)")
+def txt28(t: Tables):
+    return t.guests.select("id", F.array_sort(X.slug_variants(F.col("name"))).alias("variants"))
+
+
+@query("TXT29", r"""SELECT doc_id, list_sort(list_filter(list_distinct(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?(?: ?(?:%|k|kg|km|min|h))?')), lambda n: NOT contains(substr(text, 1, 400), n) AND NOT contains(replace(substr(text, 1, 400), ' ', ''), replace(n, ' ', '')))) AS missing FROM documents""")
+def txt29(t: Tables):
+    return t.documents.select("doc_id", F.array_sort(X.missing_numbers(F.col("text"), F.substring("text", 1, 400))).alias("missing"))
+
+
+@query("TXT30", "SELECT d.doc_id, r.phrase FROM documents d JOIN (VALUES ('clown'), ('idiot'), ('of the')) r(phrase) ON contains(lower(d.text), r.phrase)")
+def txt30(t: Tables):
+    phrases = t.spark.createDataFrame([("clown",), ("idiot",), ("of the",)], "phrase string")
+    return t.documents.join(F.broadcast(phrases), F.contains(F.lower("text"), F.col("phrase"))).select("doc_id", "phrase")
+
+
+@query("TXT31", rf"SELECT substr(sha256(lower(trim({HEAD}))), 1, 32) AS k, count(*) AS n FROM documents GROUP BY 1")
+def txt31(t: Tables):
+    return t.documents.groupBy(F.substring(F.sha2(F.lower(F.trim(head())), 256), 1, 32).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("TXT32", "SELECT event_id, (json_extract(props, '$.k'))::INT AS k FROM events")
+def txt32(t: Tables):
+    wrapped = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
+    return t.raw("events").select("event_id", X.loose_json(wrapped, "k int")["k"].alias("k"))
+
+
+@query("TXT33", "SELECT id, lpad((duration_seconds // 3600)::VARCHAR, 2, '0') || ':' || lpad((duration_seconds // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((duration_seconds % 60)::VARCHAR, 2, '0') AS hms, duration_seconds::BIGINT AS seconds FROM episodes")
+def txt33(t: Tables):
+    hms = X.to_hms(F.col("duration_seconds"))
+    return t.episodes.select("id", hms.alias("hms"), X.parse_duration(hms).alias("seconds"))
+
+
+@query("TXT34", "SELECT id, list_sort(list_distinct([s, substr(s, 1, 20), regexp_replace(s, '^(the|le|la|les)-', ''), regexp_replace(s, '-(of|about|the|de)-', '-', 'g')])) AS variants FROM (SELECT id, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM episodes)")
+def txt34(t: Tables):
+    s = P.slug(F.col("title"), 500)
+    variants = F.array(s, F.substring(s, 1, 20), F.regexp_replace(s, "^(the|le|la|les)-", ""), F.regexp_replace(s, "-(of|about|the|de)-", "-"))
+    return t.episodes.select("id", F.array_sort(F.array_distinct(variants)).alias("variants"))
+
+
+@query("TXT35", "SELECT id, CASE difficulty WHEN 'F' THEN 'beginner' WHEN 'O' THEN 'expert' WHEN 'P' THEN 'middle' END AS level, date_created::DATE AS day FROM episodes")
+def txt35(t: Tables):
+    text = F.when(F.col("id") % 2 == 0, F.date_format("date_created", "dd.MM.yyyy")).otherwise(F.date_format("date_created", "yyyy-MM-dd"))
+    levels = F.create_map(*(F.lit(x) for x in ("F", "beginner", "O", "expert", "P", "middle")))
+    day = F.coalesce(F.try_to_timestamp(text, F.lit("dd.MM.yyyy")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).cast("date")
+    return t.episodes.select("id", F.when(F.col("difficulty").isNotNull(), levels[F.col("difficulty")]).alias("level"), day.alias("day"))
+
+
+@query("TXT36", r"SELECT page_id, list_sort(list_slice(list_filter(list_distinct(list_transform(regexp_extract_all(html, '<b>([^<]{20,200})', 1), lambda x: trim(x))), lambda x: NOT contains(lower(x), 'cookie')), 1, 1000)) AS takeaways FROM pages")
+def txt36(t: Tables):
+    bold = F.transform(F.regexp_extract_all("html", F.lit("<b>([^<]{20,200})"), F.lit(1)), F.trim)
+    return t.pages.select("page_id", F.array_sort(F.filter(F.array_distinct(bold), lambda x: ~F.contains(F.lower(x), F.lit("cookie")))).alias("takeaways"))
+
+
+@query("TXT37", "SELECT source_id, string_agg('## ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY idx) AS article FROM segments GROUP BY 1")
+def txt37(t: Tables):
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "role", "text"))), lambda s: F.concat(F.lit("## "), s["role"], F.lit("\n"), s["text"]))
+    return t.segments.groupBy("source_id").agg(F.array_join(parts, "\n\n").alias("article"))
+
+
+@query("TXT38", r"""WITH b AS (SELECT id, title, string_split(regexp_replace(title, '^#?[0-9]+ *[-:.] *', ''), ' - ') AS p FROM episodes)
+SELECT id, CASE WHEN len(p) > 1 AND length(p[-1]) < 50 AND NOT regexp_matches(p[-1], '[?!]') THEN array_to_string(p[:-2], ' - ') ELSE array_to_string(p, ' - ') END AS clean, regexp_extract(title, '^#?([0-9]{1,9})', 1)::BIGINT AS number FROM b""")
+def txt38(t: Tables):
+    return t.episodes.select("id", X.clean_title(F.col("title")).alias("clean"), X.title_number(F.col("title")).alias("number"))

@@ -1 +1,132 @@
-"""Filled below."""
+"""People, fuzzy matches, quizzes and category assignments."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tesserae.functions import predicates as P
+from tesserae.functions import text as X
+from tesserae.operators import measures as M
+from tesserae.operators import people as E
+from tesserae.operators import relational as R
+from tesserae.plans.basics import GUEST
+from tesserae.plans.registry import query
+from tesserae.sources.tables import Tables
+
+TOK = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: length(w) > 2))"
+
+
+def tokens(text):
+    """Distinct lower-cased tokens of three letters or more."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 2))
+
+
+@query("ENT1", f"""SELECT k, count(DISTINCT tenant_id) AS tenants, count(*) AS n, list_sort(list(DISTINCT episode_number)) AS numbers, contains(k, '00007') AS host FROM (SELECT {GUEST} AS k, tenant_id, episode_number FROM episodes) WHERE length(k) >= 3 GROUP BY 1""")
+def ent1(t: Tables):
+    people = t.episodes.select(P.name_key(P.guest_key()).alias("k"), "tenant_id", "episode_number").filter(F.length("k") >= 3)
+    merged = people.groupBy("k").agg(F.count_distinct("tenant_id").alias("tenants"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("episode_number")).alias("numbers"))
+    return merged.withColumn("host", F.contains("k", F.lit("00007")))
+
+
+def candidates(t: Tables):
+    """Profile candidates: links of a guest's items."""
+    return t.guest_episodes.join(t.guests.select(F.col("id").alias("guest_id"), F.col("name").alias("person")), "guest_id").join(t.links.filter("link_type = 'company'"), "episode_id").select(
+        "person", "id", F.regexp_extract("url", "/p/([0-9]+)", 1).alias("slug"), "label"
+    )
+
+
+@query("ENT2", """WITH c AS (SELECT g.name AS person, l.id, regexp_extract(l.url, '/p/([0-9]+)', 1) AS slug, l.label FROM guest_episodes b JOIN guests g ON g.id = b.guest_id JOIN links l ON l.episode_id = b.episode_id WHERE l.link_type = 'company'),
+h(host, host_slug) AS (VALUES ('Customer#000000007', '7'), ('Customer#000000011', '11')),
+r AS (SELECT person, id, CASE WHEN host = person THEN 0 WHEN contains(lower(label), lower(person)) THEN 1 WHEN contains(slug, regexp_replace(lower(person), '[^a-z0-9]', '', 'g')) THEN 2 ELSE 3 END AS rule FROM c LEFT JOIN h ON h.host_slug = c.slug WHERE host IS NULL OR host = person)
+SELECT person, id, rule FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY rule, id) AS rn FROM r) WHERE rn = 1""")
+def ent2(t: Tables):
+    hosts = t.spark.createDataFrame([("Customer#000000007", "7"), ("Customer#000000011", "11")], "host string, host_slug string")
+    return E.pick_profile(candidates(t), hosts)
+
+
+@query("ENT3", "SELECT DISTINCT tenant_id, variant FROM (SELECT tenant_id, unnest([replace(s, '-', ''), s, replace(s, '-', '.'), s[1] || replace(substr(s, strpos(s, '-') + 1), '-', '')]) AS variant FROM (SELECT tenant_id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM guests WHERE authority_score > 95))")
+def ent3(t: Tables):
+    return t.guests.filter("authority_score > 95").select("tenant_id", F.explode(X.slug_variants(F.col("name"))).alias("variant")).distinct()
+
+
+@query("ENT4", f"SELECT tenant_id, count(*) AS n, count(*) FILTER (len(list_filter({TOK.format('name')}, lambda w: contains(linkedin_url, w))) < 2) AS bad FROM guests WHERE linkedin_url IS NOT NULL AND id % 3 <> 1 GROUP BY 1")
+def ent4(t: Tables):
+    some = t.guests.filter("linkedin_url is not null and id % 3 <> 1").withColumn("hits", F.size(F.filter(tokens(F.col("name")), lambda w: F.contains(F.col("linkedin_url"), w))))
+    return some.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hits") < 2).alias("bad"))
+
+
+@query("ENT5", """SELECT e.tenant_id, count(*) AS rows, count(*) FILTER (e.guest = '') AS blank, count(*) FILTER (e.guest = '' AND g.name IS NOT NULL) AS filled FROM episodes e LEFT JOIN guests g ON g.tenant_id = e.tenant_id AND g.name = e.guest_from_title GROUP BY 1""")
+def ent5(t: Tables):
+    known = t.guests.select("tenant_id", F.col("name").alias("guest_from_title"), F.lit(True).alias("hit"))
+    joined = t.episodes.join(known, ["tenant_id", "guest_from_title"], "left")
+    blank = F.col("guest") == ""
+    return joined.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(blank).alias("blank"), F.count_if(blank & F.col("hit").isNotNull()).alias("filled"))
+
+
+@query("JON12", f"""WITH a AS (SELECT DISTINCT p_name AS key, {TOK.format('p_name')} AS t FROM part), b AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS key, {TOK.format("p_name || ' ' || p_type")} AS t FROM part),
+s AS (SELECT a.key AS a, b.key AS b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE, 6) AS score FROM a JOIN b ON list_has_any(a.t, b.t)),
+r AS (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY a ORDER BY score DESC, b))
+SELECT a.key AS a, CASE WHEN coalesce(score, 0) >= 0.35 THEN b END AS b, score, CASE WHEN coalesce(score, 0) < 0.35 THEN 'unmatched' WHEN score >= 0.85 OR second IS NULL OR score - second >= 0.05 THEN 'match' ELSE 'ambiguous' END AS status FROM a LEFT JOIN r ON r.a = a.key AND rn = 1""")
+def jon12(t: Tables):
+    p = t.raw("part")
+    left = p.select(F.col("p_name").alias("key")).distinct().withColumn("tokens", tokens(F.col("key")))
+    right = p.select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("key")).distinct().withColumn("tokens", tokens(F.col("key")))
+    return E.jaccard_matches(left, right, 0.35, 0.85, 0.05)
+
+
+@query("JON13")
+def jon13(t: Tables):
+    left = t.episodes.select(F.col("id").alias("a"), P.slug(F.col("title")).alias("x"))
+    right = t.guests.select(F.col("id").alias("b"), P.slug(F.col("name")).alias("y"))
+    tail = lambda c: F.regexp_extract(c, "([0-9]{9})", 1)
+    exact = lambda a, b: a.join(b, F.col("x") == F.col("y")).select("a", "b")
+    number = lambda a, b: a.join(b, tail("x") == tail("y")).select("a", "b")
+    return E.one_to_one(left, right, [("exact", exact), ("number", number)])
+
+
+@query("JON21")
+def jon21(t: Tables):
+    """Category to sub-theme to ids, nested twice, resolved to titles; ids without an item are dropped."""
+    nested = t.episodes.filter("id < 2000").groupBy("pillar", "difficulty").agg(F.array_sort(F.collect_list(F.col("id") * 2)).alias("ids")).groupBy("pillar").agg(F.collect_list(F.struct("difficulty", "ids")).alias("themes"))
+    flat = nested.select("pillar", F.inline("themes")).select("pillar", "difficulty", F.explode("ids").alias("id"))
+    return flat.join(t.episodes.select("id", "title"), "id").groupBy("pillar", "difficulty").agg(F.array_sort(F.collect_list(F.struct("id", "title"))).alias("items"))
+
+
+D = "CASE pillar WHEN 'error' THEN 1.0::DOUBLE WHEN 'click' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END"
+
+
+@query("QUI1", f"""WITH RECURSIVE a AS (SELECT user_id, pillar, "right" AS ok, {D} AS d, row_number() OVER (PARTITION BY user_id, pillar ORDER BY ts, event_id) AS i FROM answers WHERE user_id < 40),
+r AS (SELECT user_id, pillar, i, 0.0::DOUBLE + 0.3::DOUBLE * (ok::INT::DOUBLE - 1 / (1 + exp(-(0.0::DOUBLE - d)))) AS theta, greatest(0, least(100, 50 + CASE WHEN ok THEN 10 ELSE -5 END)) AS score FROM a WHERE i = 1
+ UNION ALL SELECT a.user_id, a.pillar, a.i, r.theta + 0.3::DOUBLE * (a.ok::INT::DOUBLE - 1 / (1 + exp(-(r.theta - a.d)))), greatest(0, least(100, r.score + CASE WHEN a.ok THEN 10 ELSE -5 END)) FROM r JOIN a ON a.user_id = r.user_id AND a.pillar = r.pillar AND a.i = r.i + 1)
+SELECT user_id, pillar, round(arg_max(theta, i), 6) AS theta, arg_max(score, i) AS score, max(i)::INT AS n FROM r GROUP BY 1, 2""")
+def qui1(t: Tables):
+    d = F.when(F.col("pillar") == "error", 1.0).when(F.col("pillar") == "click", 0.0).otherwise(0.5)
+    return E.ability(t.answers.filter("user_id < 40"), ["user_id", "pillar"], ["ts", "event_id"], "right", d)
+
+
+@query("QUI2", """WITH c AS (SELECT user_id, pillar, count(*) AS n, sum(CASE WHEN "right" THEN 1 ELSE -1 END)::BIGINT AS balance FROM answers GROUP BY 1, 2)
+SELECT user_id, pillar, CASE WHEN balance > 2 THEN 'hard' WHEN balance < -2 THEN 'easy' ELSE 'medium' END AS level FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN n < 2 THEN 0 ELSE 1 END, abs(balance), pillar) AS rn FROM c) WHERE rn = 1""")
+def qui2(t: Tables):
+    counts = t.answers.groupBy("user_id", "pillar").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("right"), 1).otherwise(-1)).alias("balance"))
+    best = R.distinct_on(counts, ["user_id"], [F.when(F.col("n") < 2, 0).otherwise(1), F.abs("balance"), F.asc("pillar")])
+    return best.select("user_id", "pillar", F.when(F.col("balance") > 2, "hard").when(F.col("balance") < -2, "easy").otherwise("medium").alias("level"))
+
+
+@query("QUI3")
+def qui3(t: Tables):
+    """Four options a question, three of them from other categories of a bounded list, in an order set by hash."""
+    names = F.broadcast(M.frequency(t.episodes.filter("guest <> ''"), "guest").orderBy(F.desc("n"), "guest").limit(20).select(F.col("guest").alias("other")))
+    q = t.episodes.filter("guest <> '' and id % 20 = 0").select("id", "guest")
+    wrong = R.top_n_per_group(q.join(names, F.col("guest") != F.col("other")), ["id", "guest"], [F.xxhash64("id", "other"), F.asc("other")], 3)
+    options = wrong.groupBy("id", "guest").agg(F.collect_list("other").alias("o")).withColumn("o", F.array_append("o", F.col("guest")))
+    mixed = F.transform(F.array_sort(F.transform("o", lambda x: F.struct(F.xxhash64("id", x).alias("h"), x.alias("x")))), lambda s: s["x"])
+    return options.select("id", mixed.alias("options")).join(q, "id").select("id", "options", (F.array_position("options", F.col("guest")) - 1).alias("answer"))
+
+
+@query("CLS1", """WITH v(category) AS (VALUES ('P1'), ('P2'), ('P3'), ('P4')), a AS (SELECT event_id % 5000 AS id, 'P' || (event_id % 7) AS category, row_number() OVER (PARTITION BY event_id % 5000 ORDER BY event_id DESC) AS rn FROM events WHERE 'P' || (event_id % 7) IN (SELECT category FROM v))
+SELECT e.id, coalesce(a.category, 'other') AS category FROM episodes e LEFT JOIN a ON a.id = e.id AND a.rn = 1""")
+def cls1(t: Tables):
+    valid = F.broadcast(t.spark.createDataFrame([(f"P{i}",) for i in range(1, 5)], "category string"))
+    said = t.raw("events").select((F.col("event_id") % 5000).alias("id"), F.concat(F.lit("P"), F.col("event_id") % 7).alias("category"), "event_id")
+    last = R.distinct_on(said.join(valid, "category", "left_semi"), ["id"], [F.desc("event_id")]).select("id", "category")
+    return t.episodes.select("id").join(last, "id", "left").select("id", F.coalesce("category", F.lit("other")).alias("category"))

@@ -1 +1,135 @@
-"""Filled below."""
+"""Vector and trigram search, fusion, recommendation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tesserae.operators import relational as R
+from tesserae.operators import search as S
+from tesserae.plans.registry import query
+from tesserae.sources.tables import Tables
+
+COS = "round(list_cosine_similarity(a.v, b.v), 6)"
+SEM = f"SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM (SELECT a.id AS query_id, b.id, {COS} AS score FROM vectors a JOIN vectors b ON a.tenant = b.tenant AND a.id <> b.id WHERE a.id % 100 = 0)"
+GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+QUERIES = "(VALUES (1, 'customer 123 building'), (2, 'about machinery'), (3, 'extrait 12')) q(query_id, query)"
+LEX = f"""SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM (
+ SELECT query_id, id, round(n / (len(q) + len(g) - n)::DOUBLE, 6) AS score FROM (SELECT query_id, id, q, g, len(list_intersect(q, g)) AS n FROM (SELECT query_id, {GRAMS.format("query")} AS q FROM {QUERIES}) JOIN (SELECT id, {GRAMS.format("title")} AS g FROM episodes) ON true)) WHERE score > 0.1"""
+
+
+def query_vectors(t: Tables):
+    """Every hundredth vector as a query."""
+    return t.vectors.filter("id % 100 = 0").withColumnRenamed("id", "query_id")
+
+
+def query_texts(t: Tables):
+    return t.spark.createDataFrame([(1, "customer 123 building"), (2, "about machinery"), (3, "extrait 12")], "query_id int, query string")
+
+
+@query("VEC1", f"SELECT * FROM ({SEM}) WHERE rank <= 20")
+def vec1(t: Tables):
+    return S.cosine_top_k(query_vectors(t), t.vectors, 20)
+
+
+@query("VEC2", f"SELECT * FROM (SELECT id, other, score, (row_number() OVER (PARTITION BY id ORDER BY score DESC, other))::INT AS rank FROM (SELECT a.id, b.id AS other, {COS} AS score FROM vectors a JOIN vectors b ON a.tenant = b.tenant AND a.id <> b.id)) WHERE rank <= 20")
+def vec2(t: Tables):
+    return S.all_pairs_top_k(t.vectors, 20)
+
+
+@query("JON6", f"SELECT id, other FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS rn FROM (SELECT a.id, b.id AS other, {COS} AS score FROM vectors a JOIN vectors b ON a.tenant = b.tenant AND a.id <> b.id)) WHERE rn <= 5")
+def jon6(t: Tables):
+    return S.all_pairs_top_k(t.vectors, 5).select("id", "other")
+
+
+@query("TOP3", f"SELECT id, other, label FROM (SELECT x.id, other, e.label, row_number() OVER (PARTITION BY x.id ORDER BY score DESC, other) AS rn FROM (SELECT a.id, b.id AS other, {COS} AS score FROM vectors a JOIN vectors b ON a.tenant = b.tenant AND a.id <> b.id) x JOIN embeddings e ON e.vec_id = other) WHERE rn <= 6")
+def top3(t: Tables):
+    near = S.all_pairs_top_k(t.vectors, 6)
+    return near.join(t.raw("embeddings").select(F.col("vec_id").alias("other"), "label"), "other").select("id", "other", "label")
+
+
+@query("VEC3", f"SELECT * FROM (SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM (SELECT a.id AS query_id, b.id, {COS} AS score FROM vectors a JOIN vectors b ON a.tenant <> b.tenant WHERE a.id % 100 = 0)) WHERE rank <= 10")
+def vec3(t: Tables):
+    return S.cosine_top_k(query_vectors(t), t.vectors, 10, same_tenant=False)
+
+
+@query("VEC4", f"SELECT query_id, id, score FROM ({LEX}) WHERE rank <= 30")
+def vec4(t: Tables):
+    """No vector for a query: the trigram leg alone answers."""
+    return S.trigram_search(query_texts(t), t.episodes, ["title"], 30).select("query_id", "id", "score")
+
+
+@query("VEC5", f"""SELECT query_id, id, adjusted FROM (SELECT query_id, id, adjusted, row_number() OVER (PARTITION BY query_id ORDER BY adjusted, id) AS rn FROM (
+ SELECT a.id AS query_id, b.id, round(round(1 - list_cosine_similarity(a.v, b.v), 6) * CASE WHEN a.tenant = b.tenant THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END, 6) AS adjusted FROM vectors a JOIN vectors b ON a.id <> b.id WHERE a.id % 100 = 0 AND b.tenant NOT IN (3, 4)) WHERE adjusted <= 1.0) WHERE rn <= 8""")
+def vec5(t: Tables):
+    q = S.with_norm(query_vectors(t)).select("query_id", F.col("tenant").alias("own"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
+    scored = S.with_norm(t.vectors).join(F.broadcast(q), F.col("id") != F.col("query_id"))
+    distance = F.round(1 - S.dot(F.col("v"), F.col("q")) / (F.col("norm") * F.col("q_norm")), 6)
+    return S.boosted(scored.withColumn("distance", distance), "own", "tenant", "distance", [3, 4], 1.0, 8).select("query_id", "id", "adjusted")
+
+
+@query("VEC6")
+def vec6(t: Tables):
+    return S.project_and_cluster(t.vectors, 5)
+
+
+@query("VEC7", """SELECT e.id, e.title || ' | ' || coalesce(array_to_string(x.tags[1:5], ', '), '') || ' | ' || coalesce(l.urls, '') AS pack FROM episodes e LEFT JOIN enrichment x ON x.episode_id = e.id
+ LEFT JOIN (SELECT episode_id, string_agg(url, ' ' ORDER BY id) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY id) AS rn FROM links) WHERE rn <= 5 GROUP BY 1) l ON l.episode_id = e.id WHERE e.id % 100 = 0""")
+def vec7(t: Tables):
+    hits = t.episodes.filter("id % 100 = 0").select("id", "title")
+    few = R.top_n_per_group(t.links, ["episode_id"], [F.asc("id")], 5).groupBy(F.col("episode_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "url"))), lambda x: x["url"]), " ").alias("urls"))
+    packed = hits.join(t.enrichment.withColumnRenamed("episode_id", "id"), "id", "left").join(few, "id", "left")
+    return packed.select("id", F.concat("title", F.lit(" | "), F.coalesce(F.array_join(F.slice("tags", 1, 5), ", "), F.lit("")), F.lit(" | "), F.coalesce("urls", F.lit(""))).alias("pack"))
+
+
+@query("TRG1", f"SELECT a, b, round(n / (len(x) + len(y) - n)::DOUBLE, 6) AS score FROM (SELECT a, b, x, y, len(list_intersect(x, y)) AS n FROM (SELECT p.p_partkey AS a, q.p_partkey AS b, {GRAMS.format('p.p_name')} AS x, {GRAMS.format('q.p_name')} AS y FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1))")
+def trg1(t: Tables):
+    p = t.raw("part")
+    pairs = p.select(F.col("p_partkey").alias("a"), S.trigrams(F.col("p_name")).alias("x"), (F.col("p_partkey") + 1).alias("b")).join(p.select(F.col("p_partkey").alias("b"), S.trigrams(F.col("p_name")).alias("y")), "b")
+    return pairs.select("a", "b", S.trigram_similarity(F.col("x"), F.col("y")).alias("score"))
+
+
+@query("TRG2", f"SELECT * FROM ({LEX}) WHERE rank <= 20")
+def trg2(t: Tables):
+    return S.trigram_search(query_texts(t), t.episodes, ["title"], 20)
+
+
+@query("RRF1", f"""WITH s AS (SELECT query_id // 100 AS query_id, id, rank FROM ({SEM}) WHERE rank <= 20 AND query_id IN (100, 200, 300)), l AS (SELECT query_id, id, rank FROM ({LEX}) WHERE rank <= 20),
+f AS (SELECT coalesce(s.query_id, l.query_id) AS query_id, coalesce(s.id, l.id) AS id, round(coalesce(0.7::DOUBLE / (60 + s.rank), 0) + coalesce(0.3::DOUBLE / (60 + l.rank), 0), 6) AS score,
+ CASE WHEN l.id IS NULL THEN 'semantic' WHEN s.id IS NULL THEN 'lexical' ELSE 'both' END AS match FROM s FULL JOIN l ON s.query_id = l.query_id AND s.id = l.id)
+SELECT query_id, id, score, match FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM f) WHERE rn <= 15""")
+def rrf1(t: Tables):
+    sem = S.cosine_top_k(query_vectors(t).filter(F.col("query_id").isin(100, 200, 300)), t.vectors, 20).withColumn("query_id", F.floor(F.col("query_id") / 100).cast("int"))
+    lex = S.trigram_search(query_texts(t), t.episodes, ["title"], 20)
+    return S.rank_fusion(sem, lex, 15)
+
+
+@query("RRF2", """SELECT source_id, idx, score FROM (SELECT source_id, idx, (2 * contains(lower(substr(text, 1, 40)), 'the')::INT + contains(lower(text), 'the')::INT + 2 * contains(lower(substr(text, 1, 40)), 'que')::INT + contains(lower(text), 'que')::INT) AS score,
+ row_number() OVER (PARTITION BY source_id ORDER BY (2 * contains(lower(substr(text, 1, 40)), 'the')::INT + contains(lower(text), 'the')::INT + 2 * contains(lower(substr(text, 1, 40)), 'que')::INT + contains(lower(text), 'que')::INT) DESC, idx) AS rn FROM segments) WHERE rn = 1 AND score > 0""")
+def rrf2(t: Tables):
+    def points(term):
+        return F.contains(F.lower(F.substring("text", 1, 40)), F.lit(term)).cast("int") * 2 + F.contains(F.lower("text"), F.lit(term)).cast("int")
+
+    scored = t.segments.select("source_id", "idx", (points("the") + points("que")).alias("score"))
+    return R.distinct_on(scored, ["source_id"], [F.desc("score"), F.asc("idx")]).filter("score > 0")
+
+
+@query("REC1", """WITH u AS (SELECT user_id, min(event_type) AS interest, max(value) > 50 AS expert FROM events GROUP BY 1), top AS (SELECT * FROM episodes WHERE id < 200),
+s AS (SELECT user_id, id, CASE WHEN pillar = 'P' || (length(interest)) THEN 30 ELSE 0 END + CASE WHEN difficulty = 'F' AND NOT expert THEN 20 WHEN difficulty = 'O' AND expert THEN 20 WHEN difficulty = 'P' THEN 10 ELSE -10 END + CASE WHEN id >= 180 THEN 5 ELSE 0 END AS score FROM u JOIN top ON true)
+SELECT user_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, id) AS rn FROM s WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = s.user_id AND e.event_id = s.id)) WHERE rn <= 5""")
+def rec1(t: Tables):
+    users = t.raw("events").groupBy("user_id").agg(F.min("event_type").alias("interest"), (F.max("value") > 50).alias("expert"))
+    few = F.broadcast(t.episodes.filter("id < 200").select("id", "pillar", "difficulty"))
+    d, expert = F.col("difficulty"), F.col("expert")
+    level = F.when((d == "F") & ~expert, 20).when((d == "O") & expert, 20).when(d == "P", 10).otherwise(-10)
+    score = F.when(F.col("pillar") == F.concat(F.lit("P"), F.length("interest")), 30).otherwise(0) + level + F.when(F.col("id") >= 180, 5).otherwise(0)
+    scored = users.join(few, F.lit(True)).select("user_id", "id", score.alias("score")).filter("score > 0")
+    fresh = scored.join(t.raw("events").select("user_id", F.col("event_id").alias("id")), ["user_id", "id"], "left_anti")
+    return R.top_n_per_group(fresh, ["user_id"], [F.desc("score"), F.asc("id")], 5)
+
+
+@query("UDF2")
+def udf2(t: Tables):
+    def stub(pdf):
+        return pdf.assign(reply=[str(len(x or "")) for x in pdf["text"]])[["source_id", "idx", "reply"]]
+
+    return S.map_model(t.segments.select("source_id", "idx", "text"), stub, "source_id long, idx long, reply string")

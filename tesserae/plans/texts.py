@@ -242,7 +242,7 @@ def txt35(t: Tables):
 
 @query("TXT36", r"SELECT page_id, list_sort(list_slice(list_filter(list_distinct(list_transform(regexp_extract_all(html, '<b>([^<]{20,200})', 1), lambda x: trim(x))), lambda x: NOT contains(lower(x), 'cookie')), 1, 1000)) AS takeaways FROM pages")
 def txt36(t: Tables):
-    bold = F.transform(F.regexp_extract_all("html", F.lit("<b>([^<]{20,200})"), F.lit(1)), F.trim)
+    bold = F.transform(F.regexp_extract_all("html", F.lit("<b>([^<]{20,200})"), F.lit(1)), lambda x: F.trim(x))
     return t.pages.select("page_id", F.array_sort(F.filter(F.array_distinct(bold), lambda x: ~F.contains(F.lower(x), F.lit("cookie")))).alias("takeaways"))
 
 

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from tesserae.plans import basics, entities, rollups, search, texts, writes  # noqa: F401
+    from tesserae.plans import basics, entities, landing, rollups, search, streams, texts, writes  # noqa: F401

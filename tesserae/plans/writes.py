@@ -1 +1,287 @@
-"""Filled below."""
+"""Upserts, audits and transcript jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tesserae.functions import predicates as P
+from tesserae.functions import text as X
+from tesserae.operators import measures as M
+from tesserae.operators import relational as R
+from tesserae.operators import transcripts as T
+from tesserae.operators import upsert as U
+from tesserae.plans.registry import query
+from tesserae.sources.tables import HOST, Tables
+
+TARGET = "SELECT id, title, difficulty, guest FROM episodes WHERE id % 2 = 0"
+SOURCE = "SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE 'new ' || id END AS title, CASE WHEN id % 3 = 0 THEN NULL ELSE 'N' END AS difficulty, 'g' AS guest FROM episodes WHERE id % 3 < 2"
+
+
+def target(t: Tables):
+    return t.episodes.filter("id % 2 = 0").select("id", "title", "difficulty", "guest")
+
+
+def source(t: Tables):
+    i = F.col("id")
+    return t.episodes.filter("id % 3 < 2").select("id", F.when(i % 4 == 0, None).otherwise(F.concat(F.lit("new "), i)).alias("title"), F.when(i % 3 == 0, None).otherwise("N").alias("difficulty"), F.lit("g").alias("guest"))
+
+
+@query("DML1", f"SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.title ELSE o.title END AS title, coalesce(n.difficulty, o.difficulty) AS difficulty, coalesce(o.guest, n.guest) AS guest FROM ({TARGET}) o FULL JOIN ({SOURCE}) n ON o.id = n.id")
+def dml1(t: Tables):
+    return U.upsert(target(t), source(t), ["id"], {"difficulty": "keep_if_null", "guest": "keep"}, [F.asc("title")])
+
+
+@query("SNK1", f"SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.title ELSE o.title END AS title, CASE WHEN n.id IS NOT NULL THEN n.difficulty ELSE o.difficulty END AS difficulty, CASE WHEN n.id IS NOT NULL THEN n.guest ELSE o.guest END AS guest FROM ({TARGET}) o FULL JOIN ({SOURCE}) n ON o.id = n.id")
+def snk1(t: Tables):
+    return U.upsert(target(t), source(t), ["id"], {}, [F.asc("title")])
+
+
+@query("DML2", f"SELECT * FROM ({TARGET}) UNION ALL SELECT * FROM ({SOURCE}) WHERE id % 2 = 1")
+def dml2(t: Tables):
+    return U.insert_absent(target(t), source(t), ["id"])
+
+
+@query("DML3", f"SELECT o.id, o.title, coalesce(o.difficulty, n.difficulty) AS difficulty, coalesce(nullif(o.guest, ''), n.guest) AS guest FROM ({TARGET}) o LEFT JOIN ({SOURCE}) n ON o.id = n.id")
+def dml3(t: Tables):
+    return U.fill_blanks(target(t), source(t), ["id"], ["difficulty", "guest"])
+
+
+NEW_LINKS = "SELECT episode_id, url, CASE WHEN id % 5 = 0 THEN 'resource' ELSE link_type END AS link_type, label FROM links WHERE id % 7 <> 0 UNION ALL SELECT episode_id, url || '/new', 'resource', label FROM links WHERE id % 11 = 0"
+
+
+def new_links(t: Tables):
+    changed = t.links.filter("id % 7 <> 0").select("episode_id", "url", F.when(F.col("id") % 5 == 0, "resource").otherwise(F.col("link_type")).alias("link_type"), "label")
+    return changed.union(t.links.filter("id % 11 = 0").select("episode_id", F.concat("url", F.lit("/new")), F.lit("resource"), "label"))
+
+
+@query("DML4", f"""SELECT action, coalesce(old_kind, '-') AS old_kind, coalesce(new_kind, '-') AS new_kind, count(*) AS n FROM (SELECT o.link_type AS old_kind, n.link_type AS new_kind, CASE WHEN o.url IS NULL THEN 'INSERT' WHEN n.url IS NULL THEN 'DROP' WHEN o.link_type IS NOT DISTINCT FROM n.link_type AND o.label IS NOT DISTINCT FROM n.label THEN 'NO-OP'
+ WHEN o.link_type IN ('episode_ref', 'tool', 'social') THEN 'SKIP' ELSE 'UPDATE' END AS action FROM links o FULL JOIN ({NEW_LINKS}) n ON o.episode_id = n.episode_id AND o.url = n.url) GROUP BY 1, 2, 3""")
+def dml4(t: Tables):
+    plan = U.plan_sync(t.links, new_links(t), ["episode_id", "url"], "link_type", "label", ["episode_ref", "tool", "social"])
+    return M.frequency(plan.select("action", F.coalesce("old_kind", F.lit("-")).alias("old_kind"), F.coalesce("new_kind", F.lit("-")).alias("new_kind")), "action", "old_kind", "new_kind")
+
+
+@query("DML5", """SELECT old, new, count(*) AS n FROM (SELECT link_type AS old, CASE WHEN h LIKE '%brand1.%' OR h LIKE '%brand2.%' THEN 'tool' WHEN h = 'cat.example.com' THEN 'episode_ref' ELSE 'resource' END AS new FROM (SELECT *, regexp_replace(url, '^https?://(www[.])?([^/]+).*', '\\2') AS h FROM links)) GROUP BY 1, 2""".replace("\\\\", "\\"))
+def dml5(t: Tables):
+    return M.frequency(t.links.select(F.col("link_type").alias("old"), X.classify_url(F.col("url"), HOST).alias("new")), "old", "new")
+
+
+@query("DML6", "SELECT DISTINCT pillar FROM episodes WHERE pillar IN ('P1', 'P2', 'P5')")
+def dml6(t: Tables):
+    valid = F.broadcast(t.spark.createDataFrame([("P1",), ("P2",), ("P5",), ("P99",)], "pillar string"))
+    return t.episodes.select("pillar").distinct().join(valid, "pillar", "left_semi")
+
+
+@query("DML7", "WITH x AS (SELECT l.episode_id AS a, e.id AS b FROM links l JOIN episodes e ON e.url = l.url) SELECT a, b FROM x WHERE a % 10 <> 3 AND b % 10 <> 3")
+def dml7(t: Tables):
+    pairs = t.links.select(F.col("episode_id").alias("a"), "url").join(t.episodes.select(F.col("id").alias("b"), "url"), "url").select("a", "b")
+    return R.cascade_delete(pairs, t.episodes.filter("id % 10 = 3").select("id"), "id", "a", "b")
+
+
+@query("DML8", "SELECT e.tenant_id, count(*) AS n, count(*) FILTER (e.tenant_id <> s.wrong) AS changed FROM (SELECT episode_id, (['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'])[episode_id % 5 + 1] AS wrong FROM links) s JOIN episodes e ON e.id = s.episode_id GROUP BY 1")
+def dml8(t: Tables):
+    wrong = F.element_at(F.array(*(F.lit(p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))), (F.col("episode_id") % 5 + 1).cast("int"))
+    fixed = t.links.select("episode_id", wrong.alias("wrong")).join(t.episodes.select(F.col("id").alias("episode_id"), "tenant_id"), "episode_id")
+    return fixed.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tenant_id") != F.col("wrong")).alias("changed"))
+
+
+@query("DML9", "SELECT id, CASE WHEN episode_type = 'bonus' THEN NULL ELSE episode_number END AS episode_number, CASE WHEN episode_type = 'bonus' THEN episode_number END AS parent_number FROM episodes")
+def dml9(t: Tables):
+    bonus = F.coalesce(F.col("episode_type") == "bonus", F.lit(False))
+    return t.episodes.select("id", F.when(~bonus, F.col("episode_number")).alias("episode_number"), F.when(bonus, F.col("episode_number")).alias("parent_number"))
+
+
+@query("DML10", "SELECT count(*) FILTER (has AND id % 2 = 0) AS replaced, count(*) FILTER (has AND id % 2 = 1) AS filled FROM (SELECT e.id, x.tags IS NOT NULL AND len(x.tags) > 1 AS has FROM episodes e LEFT JOIN enrichment x ON x.episode_id = e.id)")
+def dml10(t: Tables):
+    e = t.episodes.select("id").join(t.enrichment.withColumnRenamed("episode_id", "id"), "id", "left")
+    has, old = F.coalesce(F.size("tags") > 1, F.lit(False)), F.col("id") % 2 == 0
+    return e.agg(F.count_if(has & old).alias("replaced"), F.count_if(has & ~old).alias("filled"))
+
+
+@query("DML11", "SELECT l.episode_id, count(*) AS n FROM links l JOIN episodes e ON e.id = l.episode_id WHERE NOT (e.guest = '' AND e.duration_seconds < 2000) GROUP BY 1")
+def dml11(t: Tables):
+    polluted = t.episodes.filter("guest = '' and duration_seconds < 2000").select("id")
+    return M.frequency(R.cascade_delete(t.links, polluted, "id", "episode_id"), "episode_id")
+
+
+@query("DML12")
+def dml12(t: Tables):
+    """Nested documents, one a tenant, loaded as rows with surrogate ids of their natural keys; children without a parent go."""
+    docs = t.episodes.filter("id < 1000").groupBy("tenant_id").agg(F.collect_list(F.struct("episode_number", "title", "guest")).alias("items"))
+    rows = docs.select("tenant_id", F.inline("items")).withColumn("id", F.xxhash64("tenant_id", "episode_number"))
+    kids = t.tags.select(F.col("episode_id").alias("episode_number"), "tag")
+    return rows.join(kids, "episode_number").select("id", "tenant_id", "title", "tag")
+
+
+@query("DML13", "SELECT episode_id, tag FROM tags WHERE episode_id % 4 <> 0 UNION ALL SELECT id, 'fresh' FROM episodes WHERE id % 4 = 0")
+def dml13(t: Tables):
+    fresh = t.episodes.filter("id % 4 = 0").select(F.col("id").alias("episode_id"), F.lit("fresh").alias("tag"))
+    return U.replace_children(t.tags, fresh, "episode_id")
+
+
+@query("DML14", "SELECT count(*) FILTER (guest <> '' AND new <> '' AND guest <> new) AS updated, count(*) FILTER (guest = '' AND new <> '') AS filled, count(*) FILTER (guest <> '' AND new = '') AS cleared FROM (SELECT guest, CASE WHEN id % 10 = 0 THEN '' ELSE guest_from_title END AS new FROM episodes)")
+def dml14(t: Tables):
+    return U.rederive(t.episodes, "guest", F.when(F.col("id") % 10 == 0, "").otherwise(F.col("guest_from_title")))
+
+
+@query("QLT1", "SELECT event_id, list_filter([CASE WHEN NOT coalesce(event_type IN ('view', 'click', 'purchase'), false) THEN 'type' END, CASE WHEN NOT coalesce(value BETWEEN 0 AND 60, false) THEN 'value' END, CASE WHEN NOT coalesce(length(props) < 9, false) THEN 'props' END], lambda x: x IS NOT NULL) AS reasons FROM events")
+def qlt1(t: Tables):
+    rules = {"type": F.col("event_type").isin("view", "click", "purchase"), "value": F.col("value").between(0, 60), "props": F.length("props") < 9}
+    return U.validate(t.raw("events"), rules).select("event_id", "reasons")
+
+
+@query("QLT2", "SELECT 'null tenant' AS invariant, count(*) AS n FROM episodes WHERE tenant_id IS NULL UNION ALL SELECT 'duplicate key', count(*) FROM (SELECT doc_id % 900 FROM documents GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'foreign guest', count(*) FROM guest_episodes b JOIN guests g ON g.id = b.guest_id JOIN episodes e ON e.id = b.episode_id WHERE g.tenant_id <> e.tenant_id")
+def qlt2(t: Tables):
+    n = F.count(F.lit(1)).alias("n")
+    nulls = t.episodes.filter("tenant_id is null").agg(n).select(F.lit("null tenant").alias("invariant"), "n")
+    twice = M.frequency(t.documents.select((F.col("doc_id") % 900).alias("k")), "k", name="c").filter("c > 1").agg(n).select(F.lit("duplicate key"), "n")
+    mixed = t.guest_episodes.join(t.guests.select(F.col("id").alias("guest_id"), F.col("tenant_id").alias("a")), "guest_id").join(t.episodes.select(F.col("id").alias("episode_id"), F.col("tenant_id").alias("b")), "episode_id")
+    return nulls.union(twice).union(mixed.filter("a <> b").agg(n).select(F.lit("foreign guest"), "n"))
+
+
+@query("QLT3", "SELECT 'no links' AS kind, id FROM episodes WHERE id NOT IN (SELECT episode_id FROM links) UNION ALL SELECT 'short', id FROM episodes WHERE duration_seconds < 100 UNION ALL SELECT 'no tags', id FROM episodes WHERE id NOT IN (SELECT episode_id FROM tags)")
+def qlt3(t: Tables):
+    e = t.episodes.select("id", "duration_seconds")
+    without = lambda df, kind: e.join(df.select(F.col("episode_id").alias("id")).distinct(), "id", "left_anti").select(F.lit(kind).alias("kind"), "id")
+    return without(t.links, "no links").union(e.filter("duration_seconds < 100").select(F.lit("short"), "id")).union(without(t.tags, "no tags"))
+
+
+@query("QLT4", "SELECT k, count(*) AS n, list_sort(list(DISTINCT episode_type) FILTER (episode_type IS NOT NULL)) AS kinds FROM (SELECT episode_number // 3 AS k, episode_type FROM episodes) GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT episode_type) > 1")
+def qlt4(t: Tables):
+    keyed = t.episodes.select(F.floor(F.col("episode_number") / 3).alias("k"), "episode_type")
+    return keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("episode_type")).alias("kinds")).filter((F.col("n") > 1) & (F.size("kinds") > 1))
+
+
+@query("QLT5", """WITH q AS (SELECT source_id, idx, start_s + CASE WHEN idx % 3 = 0 THEN 0 ELSE 200 END AS at, substr(text, 5, 30) AS probe FROM segments WHERE length(text) > 40)
+SELECT q.source_id, q.idx, CASE WHEN bool_or(contains(s.text, probe) AND s.start_s BETWEEN q.at - 15 AND q.at + 90) THEN 'ok' WHEN bool_or(contains(s.text, probe)) THEN 'elsewhere' ELSE 'missing' END AS status FROM q JOIN segments s ON s.source_id = q.source_id GROUP BY 1, 2""")
+def qlt5(t: Tables):
+    notes = t.segments.filter(F.length("text") > 40).select("source_id", "idx", (F.col("start_s") + F.when(F.col("idx") % 3 == 0, 0).otherwise(200)).alias("at"), F.substring("text", 5, 30).alias("probe"))
+    there = notes.join(t.segments.select("source_id", "start_s", F.col("text").alias("body")), "source_id").withColumn("hit", F.contains("body", F.col("probe")))
+    near = F.col("hit") & F.col("start_s").between(F.col("at") - 15, F.col("at") + 90)
+    return there.groupBy("source_id", "idx").agg(F.when(F.bool_or(near), "ok").when(F.bool_or("hit"), "elsewhere").otherwise("missing").alias("status"))
+
+
+@query("QLT6", "SELECT c.item_id, e.id IS NOT NULL AS present FROM (SELECT item_id, 'g' || (item_id * 1000) AS guid FROM benchmark) c LEFT JOIN episodes e ON e.guid = c.guid")
+def qlt6(t: Tables):
+    cites = t.raw("benchmark").select("item_id", F.concat(F.lit("g"), F.col("item_id") * 1000).alias("guid"))
+    return cites.join(t.episodes.select("guid", F.lit(True).alias("hit")), "guid", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("present"))
+
+
+@query("QLT7", "SELECT event_id, coalesce(CASE WHEN event_type IN ('view', 'click') THEN event_type END, 'medium') AS difficulty, (json_extract(props, '$.k'))::INT % 5 < 4 AS valid FROM events")
+def qlt7(t: Tables):
+    item = X.loose_json(F.col("props"), "k int")["k"]
+    return t.raw("events").select("event_id", F.when(F.col("event_type").isin("view", "click"), F.col("event_type")).otherwise("medium").alias("difficulty"), (item % 5 < 4).alias("valid"))
+
+
+@query("QLT8", "SELECT coalesce(e.tenant_id, g.tenant_id) AS tenant_id, coalesce(n, 0)::BIGINT AS n, target, abs(coalesce(n, 0) - target) <= greatest(5.0, target * 0.05) AS ok FROM (SELECT tenant_id, count(*) AS n FROM episodes GROUP BY 1) e FULL JOIN (VALUES ('1-URGENT', 2990), ('2-HIGH', 100), ('6-NONE', 3)) g(tenant_id, target) ON g.tenant_id = e.tenant_id")
+def qlt8(t: Tables):
+    goals = t.spark.createDataFrame([("1-URGENT", 2990), ("2-HIGH", 100), ("6-NONE", 3)], "tenant_id string, target int")
+    return U.check_targets(M.frequency(t.episodes, "tenant_id"), goals, "tenant_id")
+
+
+@query("QLT9", r"""WITH p AS (SELECT source_id, idx, trim(regexp_replace(regexp_replace(strip_accents(lower(substr(text, 1, 30))), '[^\p{L}\p{N}]', ' ', 'g'), ' +', ' ', 'g')) AS k FROM segments), x AS (SELECT source_id, trim(regexp_replace(regexp_replace(strip_accents(lower(string_agg(text, ' ' ORDER BY idx) FILTER (idx % 2 = 0))), '[^\p{L}\p{N}]', ' ', 'g'), ' +', ' ', 'g')) AS t FROM segments GROUP BY 1)
+SELECT source_id, count(*) AS phrases, count(*) FILTER (contains(t, k)) AS found FROM p JOIN x USING (source_id) GROUP BY 1""")
+def qlt9(t: Tables):
+    phrases = t.segments.select("source_id", P.verbatim_key(F.substring("text", 1, 30)).alias("k"))
+    whole = t.segments.filter("idx % 2 = 0").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("s")).select("source_id", P.verbatim_key(F.array_join("s.text", " ")).alias("t"))
+    return phrases.join(whole, "source_id", "left").groupBy("source_id").agg(F.count(F.lit(1)).alias("phrases"), F.count_if(F.coalesce(F.contains("t", F.col("k")), F.lit(False))).alias("found"))
+
+
+CHUNKS = """WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY idx) AS i FROM segments),
+r AS (SELECT source_id, i, 0 AS chunk, start_s AS lo, end_s AS hi, idx AS first FROM s WHERE i = 1
+ UNION ALL SELECT s.source_id, s.i, r.chunk + (r.hi - r.lo >= {0})::INT, CASE WHEN r.hi - r.lo >= {0} THEN s.start_s ELSE r.lo END, CASE WHEN r.hi - r.lo >= {0} THEN s.end_s ELSE greatest(r.hi, s.end_s) END, CASE WHEN r.hi - r.lo >= {0} THEN s.idx ELSE r.first END FROM r JOIN s ON s.source_id = r.source_id AND s.i = r.i + 1)
+SELECT source_id, chunk::INT AS chunk, max(lo) AS lo, max(hi) AS hi, max(first) AS first, max(s.idx) AS last FROM r JOIN s USING (source_id, i) GROUP BY 1, 2"""
+
+
+@query("WIN8", CHUNKS.format(30))
+def win8(t: Tables):
+    return T.chunk_segments(t.segments, 30)
+
+
+@query("TRN1", CHUNKS.format(240))
+def trn1(t: Tables):
+    return T.chunk_segments(t.segments, 240)
+
+
+@query("WIN10", "SELECT source_id, idx FROM (SELECT source_id, idx, start_s, max(end_s) OVER (PARTITION BY source_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT source_id, idx, start_s - (idx % 2) * 55 AS start_s, end_s FROM segments)) WHERE m IS NULL OR start_s >= m")
+def win10(t: Tables):
+    moved = t.segments.withColumn("start_s", F.col("start_s") - (F.col("idx") % 2) * 55)
+    return T.merge_chunks(moved).select("source_id", "idx")
+
+
+V = r"trim(regexp_replace(regexp_replace(strip_accents(lower({})), '[^\p{{L}}\p{{N}}]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query("TRN2", f"SELECT b.item_id, d.doc_id FROM (SELECT item_id, {V.format('text')} AS q FROM benchmark) b JOIN (SELECT doc_id, {V.format('text')} AS t FROM documents) d ON length(q) >= 3 AND contains(t, q)")
+def trn2(t: Tables):
+    return T.verbatim_matches(t.raw("benchmark"), t.documents)
+
+
+@query("TRN3", """SELECT source_id, idx, CASE WHEN role NOT IN ('user', 'assistant') THEN 'author' WHEN length(text) < 30 THEN 'short' WHEN contains(lower(text), 'idiot') THEN 'blocked' WHEN rn > 3 THEN 'cap' ELSE 'kept' END AS reason FROM (SELECT *, sum(CASE WHEN role IN ('user', 'assistant') AND length(text) >= 30 AND NOT contains(lower(text), 'idiot') THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY idx) AS rn FROM segments)""")
+def trn3(t: Tables):
+    from pyspark.sql import Window
+
+    reason = F.when(~F.col("role").isin("user", "assistant"), "author").when(F.length("text") < 30, "short").when(F.contains(F.lower("text"), F.lit("idiot")), "blocked")
+    rows = t.segments.withColumn("reason", reason)
+    passed = F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).over(Window.partitionBy("source_id").orderBy("idx"))
+    return rows.withColumn("rn", passed).select("source_id", "idx", F.coalesce("reason", F.when(F.col("rn") > 3, "cap").otherwise("kept")).alias("reason"))
+
+
+LENSES = [("growth", ["the", "of", "erth"], 0.5), ("langue", ["que", "de", "eau", ""], None), ("leer", [], 0.1)]
+LENS_SQL = "(VALUES ('growth', ['the', 'of', 'erth'], 0.5::DOUBLE), ('langue', ['que', 'de', 'eau', ''], NULL), ('leer', []::VARCHAR[], 0.1::DOUBLE)) l(lens, concepts, threshold)"
+SCORED = f"SELECT source_id, idx, lens, threshold, text, round(CASE WHEN len(concepts) > 0 AND length(text) > 0 THEN len(list_filter(concepts, lambda c: c <> '' AND contains(strip_accents(lower(text)), c))) / len(concepts)::DOUBLE ELSE 0 END, 6) AS score FROM segments JOIN {LENS_SQL} ON true"
+
+
+def lenses(t: Tables):
+    return t.spark.createDataFrame(LENSES, "lens string, concepts array<string>, threshold double")
+
+
+@query("TRN4", f"SELECT source_id, idx, lens, score FROM ({SCORED})")
+def trn4(t: Tables):
+    return T.score_lenses(t.segments, lenses(t)).select("source_id", "idx", "lens", "score")
+
+
+@query("TRN5", f"SELECT source_id, idx, lens, score, length(substr(text, 1, 2000)) AS size FROM ({SCORED}) WHERE score >= coalesce(threshold, 0.3)")
+def trn5(t: Tables):
+    matched = T.score_lenses(t.segments, lenses(t)).filter(F.col("score") >= F.coalesce("threshold", F.lit(0.3)))
+    return matched.select("source_id", "idx", "lens", "score", F.length(F.substring("text", 1, 2000)).cast("long").alias("size"))
+
+
+@query("TRN6", f"SELECT lens, matches, near, CASE WHEN matches < 3 THEN 'few matches' WHEN near < 5 THEN 'few candidates' ELSE 'generate' END AS decision FROM (SELECT lens, count(*) FILTER (score > 0.3) AS matches, count(*) FILTER (1 - score < 0.7) AS near FROM ({SCORED}) GROUP BY 1)")
+def trn6(t: Tables):
+    g = T.score_lenses(t.segments, lenses(t)).groupBy("lens").agg(F.count_if(F.col("score") > 0.3).alias("matches"), F.count_if(1 - F.col("score") < 0.7).alias("near"))
+    return g.withColumn("decision", F.when(F.col("matches") < 3, "few matches").when(F.col("near") < 5, "few candidates").otherwise("generate"))
+
+
+@query("TRN7", """SELECT user_id, coalesce(min(event_id) FILTER (event_type <> 'error' AND value >= 50), arg_min(event_id, (-value * 1000000 + event_id / 1000000.0))) AS event_id, count(*) FILTER (event_type <> 'error' AND value >= 50) > 0 AS passed FROM events GROUP BY 1""")
+def trn7(t: Tables):
+    tries = t.raw("events").select("user_id", "event_id", F.col("value").alias("score"), (F.col("event_type") != "error").alias("passed"))
+    return T.choose_attempt(tries, "user_id", "event_id", 50)
+
+
+@query("TRN8")
+def trn8(t: Tables):
+    """Numbered sections of a Markdown text that is put together from a source's turns, flattened back into rows."""
+    line = F.concat(F.lit("## "), F.col("idx") + 1, F.lit(". "), F.substring(F.regexp_replace("text", "\n", " "), 1, 40), F.lit("\n["), X.to_hms(F.col("start_s")), F.lit("]\n"), "text", F.lit("\n"))
+    whole = t.segments.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("md")))), lambda x: x["md"]), "").alias("md"))
+    part = whole.select("source_id", F.explode(F.split("md", r"(?m)^(?=## [0-9]+\. )")).alias("s")).filter("s <> ''")
+    return part.select("source_id", F.regexp_extract("s", r"^## ([0-9]+)\.", 1).cast("int").alias("number"), F.regexp_extract("s", r"^## [0-9]+\. ([^\n]*)", 1).alias("title"), X.parse_duration(F.regexp_extract("s", r"\[([0-9:]+)\]", 1)).alias("seconds"))
+
+
+@query("UDF1", "SELECT source_id, idx, (contains(lower(text), 'the')::INT + contains(lower(text), 'que')::INT) / 2.0::DOUBLE AS score FROM segments")
+def udf1(t: Tables):
+    from tesserae.functions import scoring
+
+    return t.segments.select("source_id", "idx", scoring.score("concept_match", F.col("text"), concepts=["the", "que"]).alias("score"))
+
+
+#: Rules of typed events, by type; the rules of a type apply to its rows alone.
+VALIDATORS = {"purchase": lambda: {"value": F.col("value") <= 50}, "view": lambda: {"value": F.col("value") <= 90, "props": F.length("props") <= 9}}
+
+
+@query("UDF3", "SELECT event_id, CASE event_type WHEN 'purchase' THEN value <= 50 WHEN 'view' THEN value <= 90 AND length(props) <= 9 END AS valid FROM events WHERE event_type IN ('purchase', 'view')")
+def udf3(t: Tables):
+    verdict = F.lit(None).cast("boolean")
+    for kind, rules in VALIDATORS.items():
+        verdict = F.when(F.col("event_type") == kind, P.all_of(list(rules().values()))).otherwise(verdict)
+    return t.raw("events").filter(F.col("event_type").isin(*VALIDATORS)).select("event_id", verdict.alias("valid"))

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 #: Words of names that are bad for certain; rows with one of them, split or not, are the classifier's bad rows.
 SEEDS = frozenset("spam casino pills bets bet poker viagra porn xxx warez ads adserver track tracker malware phish lottery jackpot loan loans".split())
+#: Occurrences that a seed word has among the bad from the start.
+SEED_COUNT = 2
 #: Ordinary words that names are made of, so that written-together names can be split in small tables too.
 ORDINARY = "free win cheap farm play best online shop news blog mail home world the my top web site host data book club play game games money cash deal deals health care book photo video music sport travel food".split()
 #: Size of the model: most frequent words that the splitter and the classifier know. Counts themselves cover all rows.
@@ -106,7 +108,7 @@ class Bayes:
         good, bad = (sum(c[i] for c in counts.values()) + len(counts) + 1 for i in (0, 1))
         self.odds = {w: math.log((b + 1) / bad) - math.log((g + 1) / good) for w, (g, b) in counts.items()}
         self.unknown = math.log(good / bad)
-        self.prior = math.log((rows[1] + 1) / (rows[0] + 1))
+        self.prior = 0.0 if min(rows) < 1 else 0.5 * math.log(rows[1] / rows[0])  # half way to even classes: bad rows are few
 
     def bad(self, words: list[str]) -> bool:
         """Whether a name is more probably bad; a name without words is not."""
@@ -133,7 +135,11 @@ def train(parsed: DataFrame) -> tuple[Splitter, Bayes]:
 
     by_word = names.mapInArrow(words, "w string, bad int, n long").groupBy("w").agg(F.sum(F.when(F.col("bad") == 0, F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("bad") == 1, F.col("n")).otherwise(0)).alias("bad"))
     rows = {r.w: (r.good, r.bad) for r in by_word.orderBy(F.desc(F.col("good") + F.col("bad")), "w").limit(VOCABULARY).collect()}
-    return splitter, Bayes(rows, rows.pop("", (0, 0)))
+    totals = rows.pop("", (0, 0))
+    for w in SEEDS:
+        good, bad = rows.get(f"h:{w}", (0, 0))
+        rows[f"h:{w}"] = (good, bad + SEED_COUNT)
+    return splitter, Bayes(rows, totals)
 
 
 def judged(pages: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import n_blocks, written
+from tesserae.llm.common import fresh, n_blocks, written
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
@@ -223,9 +223,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return marks.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
 
-def _with_ranges(docs: DataFrame) -> DataFrame:
-    marks = repeated_ranges(docs).withColumnRenamed("doc_id", "_d").withColumnRenamed("th", "_t")
-    return docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left").drop("_d", "_t")
+def _with_ranges(docs: DataFrame, name: str = "ranges") -> DataFrame:
+    """``docs`` with the ranges of each row's text in column ``name``, which ``docs`` must not have."""
+    d, t = fresh(docs, "d"), fresh(docs, "t")
+    marks = repeated_ranges(docs).select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("ranges").alias(name))
+    return docs.join(marks, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)), "left").select(*docs.columns, name)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,8 +268,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and short texts have no repeats; a character that a cut splits goes; equal rows are cut alike.
     """
-    plan = _with_ranges(docs).select(*docs.columns, "ranges")
-    done = plan.mapInArrow(_cut, docs.schema)
+    done = _with_ranges(docs, fresh(docs, "ranges")).mapInArrow(_cut, docs.schema)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

@@ -270,7 +270,10 @@ def labelled_by_markup(html: str) -> tuple[list[list[str]], list[int]] | None:
 
 def train_field(pages: DataFrame) -> Field:
     """A field from the layouts and from a bounded sample of the table's pages, chosen by hash of the html."""
-    got = pages.select("html").filter(F.octet_length("html").between(1, SAMPLE_BYTES // 20)).orderBy(F.xxhash64("html")).limit(SAMPLE_PAGES).collect()
+    mark = F.xxhash64("html")
+    # a thinned choice first, so that no task sends the driver more than its share of the sample
+    thin = F.pmod(mark, F.lit(max(1, pages.count() // (4 * SAMPLE_PAGES)))) == 0
+    got = pages.select("html").filter(thin & F.octet_length("html").between(1, SAMPLE_BYTES // 20)).orderBy(mark).limit(SAMPLE_PAGES).collect()
     own, size = [], 0
     for row in got:
         size += len(row[0])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.relational import distinct_on
+from tesserae.operators.relational import distinct_on, small
 
 
 def pick_profile(candidates: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def pick_profile(candidates: DataFrame, hosts: DataFrame) -> DataFrame:
 
     ``candidates``: ``person, id, slug, label``; ``hosts``: ``host, host_slug``. The rule is returned.
     """
-    known = candidates.join(F.broadcast(hosts), F.col("slug") == F.col("host_slug"), "left")
+    known = candidates.join(small(hosts), F.col("slug") == F.col("host_slug"), "left")
     own = F.col("person") == F.col("host")
     rank = F.when(F.col("host").isNotNull() & own, 0).when(F.contains(F.lower("label"), F.lower("person")), 1).when(F.contains(F.col("slug"), F.regexp_replace(F.lower("person"), "[^a-z0-9]", "")), 2).otherwise(3)
     kept = known.filter(F.col("host").isNull() | own).withColumn("rule", rank)

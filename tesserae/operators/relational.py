@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a side that is broadcast, at most.
+SMALL = 10_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``most`` rows, else as it is, for Spark to join by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group; ``order`` should end in a unique column. No keys: of the table."""
     if not keys:
@@ -87,7 +96,7 @@ def merge_with_index(fresh: DataFrame, index: DataFrame, key: str) -> DataFrame:
 def scoped(df: DataFrame, access: DataFrame, email: str, tenant: str = "tenant_id") -> DataFrame:
     """Rows of tenants that the principal may see; a wildcard row allows all."""
     mine = access.filter(F.col("email") == email)
-    return df.join(F.broadcast(mine), (F.col("access_tenant") == F.col(tenant)) | (F.col("access_tenant") == "*"), "left_semi")
+    return df.join(small(mine), (F.col("access_tenant") == F.col(tenant)) | (F.col("access_tenant") == "*"), "left_semi")
 
 
 def cascade_delete(child: DataFrame, gone: DataFrame, key: str, *columns: str) -> DataFrame:

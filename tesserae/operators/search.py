@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.relational import top_n_per_group
+from tesserae.operators.relational import small, top_n_per_group
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,13 +23,13 @@ def with_norm(df: DataFrame, vector: str = "v") -> DataFrame:
 
 
 def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, same_tenant: bool = True) -> DataFrame:
-    """Exact top ``k`` items by cosine for each of few query rows (``query_id, tenant, v``), which are broadcast.
+    """Exact top ``k`` items by cosine for each of query rows (``query_id, tenant, v``), which are broadcast if they are few.
 
     Scores are rounded to 6 places and ties go to the lower id.
     """
     q = with_norm(queries).select("query_id", F.col("tenant").alias("q_tenant"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
     on = (F.col("tenant") == F.col("q_tenant")) if same_tenant else (F.col("tenant") != F.col("q_tenant"))
-    scored = with_norm(items).join(F.broadcast(q), on & (F.col("id") != F.col("query_id")))
+    scored = with_norm(items).join(small(q), on & (F.col("id") != F.col("query_id")))
     score = F.round(dot(F.col("v"), F.col("q")) / (F.col("norm") * F.col("q_norm")), 6)
     best = top_n_per_group(scored.select("query_id", "id", score.alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], k)
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))))
@@ -87,9 +87,9 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 def trigram_search(queries: DataFrame, items: DataFrame, columns: list[str], k: int, least: float = 0.1) -> DataFrame:
     """Items by the best trigram similarity of any column to the query text, above ``least``: top ``k`` a query.
 
-    Queries are few and broadcast; an item is scored only if it shares a trigram with the query.
+    Few queries are broadcast; an item is scored only if it shares a trigram with the query.
     """
-    q = F.broadcast(queries.select("query_id", trigrams(F.col("query")).alias("q")))
+    q = small(queries.select("query_id", trigrams(F.col("query")).alias("q")))
     grams = items.select("id", *(trigrams(F.col(c)).alias(c) for c in columns))
     near = grams.join(q, F.arrays_overlap(F.col("q"), F.array_union(*columns) if len(columns) == 2 else F.flatten(F.array(*columns))))
     score = F.greatest(*(trigram_similarity(F.col(c), F.col("q")) for c in columns)) if len(columns) > 1 else trigram_similarity(F.col(columns[0]), F.col("q"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.predicates import folded, verbatim_key
+from tesserae.operators.relational import small
 
 
 def chunk_segments(df: DataFrame, seconds: float) -> DataFrame:
@@ -56,7 +57,7 @@ def verbatim_matches(quotes: DataFrame, texts: DataFrame, probe: int = 8) -> Dat
 def score_lenses(events: DataFrame, lenses: DataFrame, text: str = "text") -> DataFrame:
     """Share of a lens's concepts that occur in an event's folded text; 0 for an empty list or text."""
     low = folded(F.lower(text))
-    joined = events.withColumn("_t", low).join(F.broadcast(lenses), F.lit(True))
+    joined = events.withColumn("_t", low).join(small(lenses), F.lit(True))
     hits = F.size(F.filter("concepts", lambda c: (c != "") & F.contains(F.col("_t"), F.lower(c))))
     return joined.withColumn("score", F.round(F.when((F.size("concepts") > 0) & (F.length("_t") > 0), hits / F.size("concepts")).otherwise(0.0), 6)).drop("_t")
 

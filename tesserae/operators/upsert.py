@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators.relational import distinct_on
+from tesserae.operators.relational import distinct_on, small
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], policy: dict[str, str], order: list[Column]) -> DataFrame:
@@ -71,7 +71,7 @@ def replace_children(children: DataFrame, fresh: DataFrame, parent: str) -> Data
 
 def check_targets(counts: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     """``n`` against ``target``, within the greater of 5 and 5 %; no verdict without a target."""
-    joined = counts.join(F.broadcast(targets), key, "full_outer")
+    joined = counts.join(small(targets), key, "full_outer")
     off = F.abs(F.coalesce("n", F.lit(0)) - F.col("target"))
     return joined.select(key, F.coalesce("n", F.lit(0)).alias("n"), "target", (off <= F.greatest(F.lit(5.0), F.col("target") * 0.05)).alias("ok"))
 

@@ -28,7 +28,8 @@ LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
 #: Bytes hashed at once in a task; longer texts are taken in overlapping parts.
 PART = 1 << 20
-TASK_BYTES = 4 << 20
+#: Bytes of runs that a task indexes, and that one anchor may bring to a task.
+TASK_BYTES, HOT_BYTES = 4 << 20, 16 << 20
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 5
 _POSITION = np.uint64((1 << 24) - 1)
@@ -162,24 +163,40 @@ class Levels:
         return head, mark, number
 
 
+def _window_keys(raws: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of all windows of some runs: the run's index, the start in the run, the first eight bytes, and the fingerprint."""
+    sizes = np.array([len(x) for x in raws], np.int64)
+    ends = np.cumsum(sizes)
+    buf = np.frombuffer(b"".join(raws), np.uint8)
+    valid = np.ones(len(buf), bool)
+    for e in ends.tolist():
+        valid[e - LENGTH + 1 : e] = False
+    at = np.flatnonzero(valid)
+    sums, down = prefix_hashes(buf)
+    mark = _mixed((sums[at + LENGTH] - sums[at]) * down[at])
+    head = np.ndarray((len(buf) - 7,), ">u8", buf, strides=(1,))[at].astype(np.uint64)
+    owner = np.searchsorted(ends, at, "right")
+    return owner, at - (ends - sizes)[owner], head, mark
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, run, copies, bytes) to a row for each window."""
+    for batch in batches:
+        if batch.num_rows:
+            owner, rel, head, mark = _window_keys(batch.column(3).to_pylist())
+            pick = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(rel.astype(np.int32)), batch.column(2).take(pick), pa.array(head.view(np.int64)), pa.array(mark.view(np.int64))], names=["anchor", "run", "at", "copies", "head", "mark"])
+
+
 def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (anchor, run, copies, bytes) of whole anchor groups to rows (anchor, run, lo, hi): repeated bytes of the run."""
     family, kept = Levels(), []
     for batch in batches:
-        raws = batch.column(3).to_pylist()
-        sizes = np.array([len(x) for x in raws])
-        starts, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes)
-        buf = np.frombuffer(b"".join(raws), np.uint8)
-        valid = np.ones(len(buf), bool)
-        for e in ends.tolist():
-            valid[e - LENGTH + 1 : e] = False
-        at = np.flatnonzero(valid)
-        sums, down = prefix_hashes(buf)
-        mark = _mixed((sums[at + LENGTH] - sums[at]) * down[at])
-        head = np.ndarray((len(buf) - 7,), ">u8", buf, strides=(1,))[at].astype(np.uint64)
-        owner = np.searchsorted(ends, at, "right")
+        if not batch.num_rows:
+            continue
+        owner, rel, head, mark = _window_keys(batch.column(3).to_pylist())
         family.add(head, mark, np.array(batch.column(2).to_pylist())[owner] > 1)
-        kept.append((batch.column(0), batch.column(1), owner.astype(np.int32), (at - starts[owner]).astype(np.int32)))
+        kept.append((batch.column(0), batch.column(1), owner.astype(np.int32), rel.astype(np.int32)))
     done = 0
     for anchors, names, owner, rel in kept:
         hit = np.flatnonzero(family.repeated[done : done + len(owner)])
@@ -209,16 +226,24 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     ``docs`` has ``doc_id`` (long), ``text``; ``th`` is a hash of the text, so a row is found again by both.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = keyed.mapInArrow(_find_runs, "anchor long, run long, doc_id long, th long, low long, n int")
-    twice = found.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).filter("c > 1").drop("c")
-    places = written(twice, "places")
+    found = written(keyed.mapInArrow(_find_runs, "anchor long, run long, doc_id long, th long, low long, n int"), "all-runs")
+    # counted before the join, so that a very frequent anchor costs one row a task; the join's skew is split by Spark
+    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
+    places = written(found.join(often, "anchor", "left_semi"), "places")
     reps = places.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th", "low", "n")).alias("at"))
     reps = reps.select("anchor", "run", "copies", "at.*").withColumnRenamed("doc_id", "d").withColumnRenamed("th", "t")
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th"))
     bytes_ = F.substring(F.col("text").cast("binary"), (F.col("low") + 1).cast("int"), F.col("n") + F.lit(LENGTH - 1))
     texts = written(reps.join(keyed, same).select("anchor", "run", "copies", bytes_.alias("raw")), "runs")
+    sizes = texts.groupBy("anchor").agg(F.sum(F.octet_length("raw")).alias("size"))
+    hot = written(sizes.filter(F.col("size") > HOT_BYTES).select("anchor"), "hot-anchors")
     tasks = n_blocks(texts.agg(F.sum(F.octet_length("raw"))).first()[0], TASK_BYTES)
-    hits = written(texts.repartition(tasks, "anchor").sortWithinPartitions("anchor", "run").mapInArrow(_scan_runs, "anchor long, run long, lo int, hi int"), "hits")
+    calm = texts.join(hot, "anchor", "left_anti").repartition(tasks, "anchor").sortWithinPartitions("anchor", "run").mapInArrow(_scan_runs, "anchor long, run long, lo int, hi int")
+    # windows of an anchor with very many different runs are dealt by their own fingerprints instead
+    windows = texts.join(hot, "anchor", "left_semi").mapInArrow(_windows, "anchor long, run long, at int, copies long, head long, mark long")
+    twice = windows.groupBy("head", "mark").agg(F.sum("copies").alias("c")).filter("c > 1").select("head", "mark")
+    loose = windows.join(twice, ["head", "mark"], "left_semi").select("anchor", "run", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
+    hits = written(calm.union(loose), "hits")
     marks = places.join(hits, ["anchor", "run"]).select("doc_id", "th", (F.col("low") + F.col("lo")).alias("lo"), (F.col("low") + F.col("hi")).alias("hi"))
     return marks.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import n_blocks, written
+from tesserae.llm.common import fresh, n_blocks, written
 from tesserae.llm.components import components
 from tesserae.llm.suffixes import _mixed, prefix_hashes
 
@@ -233,18 +233,26 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     groups = components(links)
     named = sets.select("a", "b", "sid", "least").join(groups.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    named = named.withColumn("component_id", F.min("least").over(Window.partitionBy("label"))).select("a", "b", "component_id")
+    # a label's least id is found by partial aggregation, so a very large group is no hot window
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "label").select("a", "b", "component_id")
     whole = full.select("doc_id", "th", "n", "a", "b").join(named, ["a", "b"]).select("doc_id", "th", "n", "component_id")
     return whole.union(rows.filter("n = 0").select("doc_id", "th", "n", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with one row of each group of similar texts, the one with the least id (then text); rows without words stay."""
-    groups = similar_groups(docs)
-    best = groups.filter("n > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("_d"), F.col("k.th").alias("_t"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
-    kept = docs.join(best, same, "left_semi")
-    return kept.union(docs.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
+    """``docs`` with one row of each group of similar texts: the one with the least id, then text hash; rows without words stay.
+
+    Of rows that are equal in id and text, any one stays.
+    """
+    c, d, t = (fresh(docs, x) for x in ("c", "d", "t"))
+    rows = similar_groups(docs).filter("n > 0").groupBy("component_id", "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
+    order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "c")
+    best = rows.groupBy("component_id").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias(d), F.col("k.th").alias(t), F.col("k.c").alias(c))
+    kept = docs.join(best, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)))
+    several = kept.filter(F.col(c) > 1).dropDuplicates(["doc_id", t])
+    without = docs.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return kept.filter(F.col(c) == 1).select(*docs.columns).union(several.select(*docs.columns)).union(without)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

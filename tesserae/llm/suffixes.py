@@ -227,8 +227,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     found = written(keyed.mapInArrow(_find_runs, "anchor long, run long, doc_id long, th long, low long, n int"), "all-runs")
-    # counted before the join, so that a very frequent anchor costs one row a task; the join's skew is split by Spark
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
+    # counted and written before the join, so that a very frequent anchor costs one row a task and the join's skew can be split
+    often = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"), "anchors")
     places = written(found.join(often, "anchor", "left_semi"), "places")
     reps = places.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th", "low", "n")).alias("at"))
     reps = reps.select("anchor", "run", "copies", "at.*").withColumnRenamed("doc_id", "d").withColumnRenamed("th", "t")

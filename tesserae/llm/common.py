@@ -51,11 +51,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Cut values that may reach the driver and stand in a plan; beyond it ranges grow, and their tasks sort with spilling.
+MOST_CUTS = 4096
+
+
 def key_cuts(df: DataFrame, column: str, n: int) -> list[int]:
     """At most ``n - 1`` ascending cut values that split a long column into ranges of about equal counts.
 
-    Only the cuts (bounded by ``n``) reach the driver. No cuts for an empty or all-null column.
+    Only the cuts (at most ``MOST_CUTS``) reach the driver. No cuts for an empty or all-null column.
     """
+    n = min(n, MOST_CUTS)
     if n < 2:
         return []
     got = df.agg(F.percentile_approx(F.col(column), [i / n for i in range(1, n)], 20 * n).alias("q")).first()

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import key_cuts, n_blocks, range_bucket
+from tesserae.llm.common import MOST_CUTS, key_cuts, n_blocks, range_bucket
 
 WINDOW, END_ID, BLOCK_BYTES = 2048, 1, 8 << 20
 #: In tokens of padding: a cut at a document's end, at a sentence's end, and inside a sentence that is longer than a window.
 AT_DOCUMENT, AT_SENTENCE, INSIDE = 0, 16, 1024
-#: Pieces of text whose ids a worker remembers, at most.
-REMEMBERED = 600_000
+#: Pieces of text whose ids a worker remembers before it lets older ones go.
+REMEMBERED = 350_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: A single space between two other characters starts a new token in byte-level BPE pre-tokenization.
 _SPACE = re.compile(r"(?<=[^\s]) (?=[^\s])")
@@ -36,16 +36,27 @@ _ODD_SPACE = re.compile(r" \s|\s |^ | $")
 
 
 class _Pieces(dict):
-    """Ids of pieces of text, each encoded when first asked for; ``lead`` comes before every piece."""
+    """Ids of pieces of text, each encoded when first asked for; ``lead`` comes before every piece.
+
+    What was not asked for since the last ``turn`` but one is forgotten.
+    """
 
     def __init__(self, encode, lead: str):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.before = encode, lead, {}
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = found = self.encode(self.lead + piece)
+        found = self.before.get(piece)
+        if found is None:
+            found = self.encode(self.lead + piece)
+        self[piece] = found
         return found
 
+    def turn(self) -> None:
+        """Begin anew, with what is known now as the last resort before encoding."""
+        self.before = dict(self)
+        self.clear()
+
 
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes; each distinct piece between single spaces is encoded once."""
@@ -63,7 +74,7 @@ class Ids:
         prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
         self.letters = [chr(b if b in prints else next(others)) for b in range(256)]
-        self.first, self.later = _Pieces(self._encode, ""), _Pieces(self._encode, " ")
+        self.first, self.later, self.words = _Pieces(self._encode, ""), _Pieces(self._encode, " "), _Pieces(self._encode_token, "")
 
     def _encode(self, piece: str) -> bytes:
         """Ids of a piece that starts a token and ends one."""
@@ -74,18 +85,20 @@ class Ids:
             parts = [piece[:-1], piece[-1]]
         else:
             parts = self.parts(piece)
-        letters, ids = self.letters, array("I")
-        for part in parts:
-            ids.extend([t.id for t in self.model.tokenize("".join([letters[b] for b in part.encode()]))])
-        return ids.tobytes()
+        return b"".join([self.words[part] for part in parts]) if len(parts) > 1 else self._encode_token(piece)
+
+    def _encode_token(self, part: str) -> bytes:
+        """Ids of one pre-token."""
+        text = part.replace(" ", "Ġ") if part.isascii() and part.isprintable() else "".join([self.letters[b] for b in part.encode()])
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without an end."""
         out = []
         for text in texts:
             if len(self.later) + len(self.first) > REMEMBERED:
-                self.first.clear()
-                self.later.clear()
+                for known in (self.first, self.later, self.words):
+                    known.turn()
             if _ODD_SPACE.search(text):
                 first, *later = _SPACE.split(text)
             else:
@@ -148,8 +161,8 @@ def candidate_cuts(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, wind
     return places, kind[places]
 
 
-def pack_block(names: list, encoded: list[bytes], ends: np.ndarray, block: int, window: int = WINDOW) -> dict[str, list]:
-    """The pieces of one block; its sequences are numbered from ``block * 2**32``."""
+def pack_block(names: list, encoded: list[bytes], ends: np.ndarray, number: int, window: int = WINDOW) -> tuple[dict[str, list], int]:
+    """The pieces of some documents, whose sequences are numbered from ``number``, and the next number."""
     end = np.array([END_ID], "<u4").tobytes()
     raw = end.join(encoded) + end
     ids = np.frombuffer(raw, "<u4")
@@ -160,36 +173,41 @@ def pack_block(names: list, encoded: list[bytes], ends: np.ndarray, block: int,
     starts = np.concatenate(([0], stops[:-1]))
     doc, seq = np.searchsorted(doc_ends, starts, "right"), np.searchsorted(chain, starts, "right")
     view = memoryview(raw)
-    return {
+    pieces = {
         "doc_id": [names[i] for i in doc.tolist()],
         "start": starts - (doc_ends - lengths)[doc],
         "length": stops - starts,
         "ids_crc32": [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)],
         "doc_tokens": lengths[doc],
-        "sequence_id": (block << 32) + seq,
+        "sequence_id": number + seq,
         "offset": starts - np.concatenate(([0], chain))[seq],
     }
+    return pieces, number + len(chain)
 
 
-def _packer(path: str, window: int):
+def _packer(path: str, window: int, most: int):
     schema = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, ends, block, names, encoded = ids_of(path), None, None, [], []
+        """Rows (block, doc_id, text) in order; a task holds about ``most`` bytes of text at once, however long a block is."""
+        coder, ends, block, number, names, encoded, size = ids_of(path), None, None, 0, [], [], 0
 
         def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in pack_block(names, encoded, ends, block, window).items()}, schema=schema)
+            nonlocal number
+            pieces, number = pack_block(names, encoded, ends, number, window)
+            return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in pieces.items()}, schema=schema)
 
         for batch in batches:
             ends = coder.sentence_ends() if ends is None else ends
-            blocks, ids, texts = (batch.column(i).to_pylist() for i in range(3))
-            for one, name, code in zip(blocks, ids, coder.of([t or "" for t in texts]), strict=True):
-                if names and one != block:
+            for one, name, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if names and (one != block or size >= most):
                     yield packed()
-                    names, encoded = [], []
-                block = one
+                    names, encoded, size = [], [], 0
+                if one != block:
+                    block, number = one, one << 32
                 names.append(name)
-                encoded.append(code)
+                encoded += coder.of([text or ""])
+                size += len(text or "")
         if names:
             yield packed()
 
@@ -210,8 +228,8 @@ def pack(df: DataFrame, path: str | None = None, window: int = WINDOW, block_byt
     total = df.agg(F.sum(F.octet_length("text"))).first()[0]
     blocks = n_blocks(total, block_bytes)
     block = range_bucket(F.col("doc_id"), key_cuts(df, "doc_id", blocks))
-    dealt = df.select(block.alias("block"), "doc_id", "text").withColumn("tie", F.xxhash64("text")).repartition(blocks, "block").sortWithinPartitions("block", "doc_id", "tie")
-    return dealt.select("block", "doc_id", "text").mapInArrow(_packer(path, window), PIECES)
+    dealt = df.select(block.alias("block"), "doc_id", "text").withColumn("tie", F.xxhash64("text")).repartition(min(blocks, MOST_CUTS), "block").sortWithinPartitions("block", "doc_id", "tie")
+    return dealt.select("block", "doc_id", "text").mapInArrow(_packer(path, window, block_bytes), PIECES)
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

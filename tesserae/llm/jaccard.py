@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ _CLASSES = np.array(CLASSES)
 LIGHT, SPARE = 3, 4
 CHUNK, CHUNK_GRAMS, TASK_BYTES = 1024, 1_000_000, 8 << 20
 #: Bytes of text hashed at once in a task.
-PART = 2 << 20
+PART = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -123,14 +124,16 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
 
 
 def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about ``PART`` bytes of text each."""
+    """Slices of the batches with about ``PART`` bytes of text each; only a slice's texts are copied."""
     for batch in batches:
-        raws = [x.encode() if x else b"" for x in batch.column(text).to_pylist()]
+        column = batch.column(text)
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         at = size = 0
-        for i, raw in enumerate(raws):
-            size += len(raw)
-            if size >= PART or i + 1 == len(raws):
-                yield batch.slice(at, i + 1 - at), raws[at : i + 1]
+        for i, more in enumerate(sizes):
+            size += more
+            if size >= PART or i + 1 == len(sizes):
+                part = batch.slice(at, i + 1 - at)
+                yield part, [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column(text)]
                 at, size = i + 1, 0
 
 

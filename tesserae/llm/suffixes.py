@@ -27,7 +27,7 @@ from tesserae.llm.common import fresh, n_blocks, written
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
 #: Bytes hashed at once in a task; longer texts are taken in overlapping parts.
-PART = 1 << 20
+PART = 1 << 19
 #: Bytes of runs that a task indexes, and that one anchor may bring to a task.
 TASK_BYTES, HOT_BYTES = 4 << 20, 16 << 20
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)

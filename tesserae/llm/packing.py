@@ -27,25 +27,30 @@ WINDOW, END_ID, BLOCK_BYTES = 2048, 1, 8 << 20
 #: In tokens of padding: a cut at a document's end, at a sentence's end, and inside a sentence that is longer than a window.
 AT_DOCUMENT, AT_SENTENCE, INSIDE = 0, 16, 1024
 #: Pieces of text whose ids a worker remembers before it lets older ones go.
-REMEMBERED = 350_000
+REMEMBERED = 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: A single space between two other characters starts a new token in byte-level BPE pre-tokenization.
 _SPACE = re.compile(r"(?<=[^\s]) (?=[^\s])")
-#: Where a text has a space elsewhere, it can't be split at every space.
-_ODD_SPACE = re.compile(r" \s|\s |^ | $")
+
+
+class _OddSpaceError(Exception):
+    """A text can't be split at every space."""
 
 
 class _Pieces(dict):
     """Ids of pieces of text, each encoded when first asked for; ``lead`` comes before every piece.
 
-    What was not asked for since the last ``turn`` but one is forgotten.
+    What was not asked for since the last ``turn`` but one is forgotten. With ``split``, a piece
+    that touches other white space is refused.
     """
 
-    def __init__(self, encode, lead: str):
+    def __init__(self, encode, lead: str, split: bool = True):
         super().__init__()
-        self.encode, self.lead, self.before = encode, lead, {}
+        self.encode, self.lead, self.split, self.before = encode, lead, split, {}
 
     def __missing__(self, piece: str) -> bytes:
+        if self.split and (self.lead and (not piece or piece[0].isspace()) or piece[-1:].isspace()):
+            raise _OddSpaceError
         found = self.before.get(piece)
         if found is None:
             found = self.encode(self.lead + piece)
@@ -74,7 +79,7 @@ class Ids:
         prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
         self.letters = [chr(b if b in prints else next(others)) for b in range(256)]
-        self.first, self.later, self.words = _Pieces(self._encode, ""), _Pieces(self._encode, " "), _Pieces(self._encode_token, "")
+        self.first, self.later, self.words = _Pieces(self._encode, ""), _Pieces(self._encode, " "), _Pieces(self._encode_token, "", False)
 
     def _encode(self, piece: str) -> bytes:
         """Ids of a piece that starts a token and ends one."""
@@ -96,14 +101,15 @@ class Ids:
         """Ids of each text, without an end."""
         out = []
         for text in texts:
-            if len(self.later) + len(self.first) > REMEMBERED:
+            if len(self.later) + len(self.first) + len(self.words) > REMEMBERED:
                 for known in (self.first, self.later, self.words):
                     known.turn()
-            if _ODD_SPACE.search(text):
+            first, *later = text.split(" ")
+            try:
+                out.append(self.first[first] + b"".join(map(self.later.__getitem__, later)) if text else b"")
+            except _OddSpaceError:  # a piece that touches other white space: split only where it is safe
                 first, *later = _SPACE.split(text)
-            else:
-                first, *later = text.split(" ")
-            out.append(b"".join([self.first[first], *map(self.later.__getitem__, later)]) if text else b"")
+                out.append(b"".join([self._encode(first), *(self._encode(" " + p) for p in later)]))
         return out
 
     def sentence_ends(self) -> np.ndarray:

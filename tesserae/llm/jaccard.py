@@ -2,12 +2,17 @@
 
 All n-grams have one global order (of their hashes). It is cut into fragments, the same for all
 documents of a size class, and a document's set is cut into one segment a fragment. Two sets with
-Jaccard similarity of 0.9 or more differ in at most ``2 M / 19`` n-grams, where ``M`` bounds their
-sizes; with more fragments than that, one segment at least is the same in both. Equal segments
+Jaccard similarity of ``t`` or more differ in at most ``2 M (1 - t) / (1 + t)`` n-grams, where ``M``
+bounds their sizes; with more fragments than that, one segment at least is the same in both. Equal segments
 therefore find every pair; documents that are connected by them form blocks. Within a block the
 partial overlaps are counted fragment by fragment and summed per pair, which gives exact
 similarities.
 
+At lower thresholds segments are so short that unlike sets share many. There, with ``rare``, a set's
+candidates are those that share one of its rarest ``(1 - t) n + 1`` n-grams (one of them is in every
+similar set), and sets meet only if the parities of their hashed n-grams differ in no more bits than
+similar sets' can. No pair is lost by either.
+
 Equal sets meet as one before anything else. A block of more than ``CHUNK`` sets is dealt as pairs
 of chunks, so no task holds more than two chunks, and links leave a task as a spanning forest,
 never as all pairs.
@@ -27,9 +32,11 @@ from tesserae.llm.common import fresh, n_blocks, written
 from tesserae.llm.components import components
 from tesserae.llm.suffixes import _mixed, prefix_hashes
 
-#: Similarity as a fraction, here 90/100.
+#: The contract of op3: similarity as a fraction, here 90/100, of sets of n-grams of so many words.
 LEAST = (90, 100)
 GRAM = 3
+#: The pipeline's, found by rare n-grams, which no contract binds.
+STAGE_LEAST, STAGE_GRAM = (80, 100), 5
 #: Upper sizes of the classes: each a third above the last, at least one more.
 CLASSES = [1]
 while CLASSES[-1] < 1 << 40:
@@ -38,6 +45,8 @@ _CLASSES = np.array(CLASSES)
 #: Segments of fewer n-grams are left out, unless a document has more of them than the spare fragments.
 LIGHT, SPARE = 3, 4
 CHUNK, CHUNK_GRAMS, TASK_BYTES = 1024, 1_000_000, 8 << 20
+#: Rows whose n-grams are counted to order them, occurrences there that make one common, and common ones at most; they only decide how many candidates there are.
+COUNTED, COMMON, MOST_COMMON = 20_000, 6, 200_000
 #: Bytes of text hashed at once in a task.
 PART = 1 << 20
 
@@ -78,21 +87,23 @@ def gram_sets(raws: list[bytes], gram: int = GRAM) -> tuple[np.ndarray, np.ndarr
     return owner[first], hashed[first]
 
 
-def differ_at_most(top: np.ndarray) -> np.ndarray:
+def differ_at_most(top: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
     """How many n-grams two similar sets of at most ``top`` n-grams can differ in."""
-    part, whole = LEAST
+    part, whole = least
     return 2 * top * (whole - part) // (whole + part)
 
 
-def signatures(owner: np.ndarray, hashed: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(owner: np.ndarray, hashed: np.ndarray, n: int, least: tuple[int, int] = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Owners and signatures of the segments of ``n`` sets; two sets that are similar share a signature."""
     size = np.bincount(owner, minlength=n)
     own = np.searchsorted(_CLASSES, np.maximum(size, 1))
     owners, signs = [], []
-    part, whole = LEAST
-    # a set also joins the next class if a similar set can be in it
-    for klass, wanted in ((own, size > 0), (own + 1, size * whole // part > _CLASSES[own])):
-        differ = differ_at_most(_CLASSES[klass])
+    part, whole = least
+    # a set also joins each further class that a similar set can be in
+    reach = np.searchsorted(_CLASSES, np.maximum(size * whole // part, 1))
+    for more in range(int((reach - own).max(initial=0)) + 1):
+        klass, wanted = own + more, (size > 0) & (own + more <= reach)
+        differ = differ_at_most(_CLASSES[klass], least)
         wanted = wanted & (differ > 0)
         cut = differ + 1 + SPARE
         use = wanted[owner]
@@ -117,6 +128,49 @@ def signatures(owner: np.ndarray, hashed: np.ndarray, n: int) -> tuple[np.ndarra
     return (np.concatenate(owners), np.concatenate(signs)) if owners else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
+def rarest(owner: np.ndarray, hashed: np.ndarray, n: int, least: tuple[int, int], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and n-grams of the part of each set that every similar set shares one of; ``common`` n-grams (sorted) come last in the order."""
+    part, whole = least
+    at = np.minimum(np.searchsorted(common, hashed), max(0, len(common) - 1))
+    late = common[at] == hashed if len(common) else np.zeros(len(hashed), bool)
+    order = np.lexsort((hashed, late, owner))
+    owner, hashed = owner[order], hashed[order]
+    size = np.bincount(owner, minlength=n)
+    keep = np.arange(len(owner)) - (np.cumsum(size) - size)[owner] <= (size * (whole - part) // whole)[owner]
+    return owner[keep], hashed[keep]
+
+
+def parities(owner: np.ndarray, hashed: np.ndarray, n: int) -> list[bytes]:
+    """For each set, the parity of its n-grams in each of 256 cells or more, a power of two, about two for each n-gram."""
+    size = np.bincount(owner, minlength=n)
+    cells = np.left_shift(1, np.maximum(8, np.ceil(np.log2(np.maximum(size, 1) * 2)).astype(np.int64)))
+    begin = np.cumsum(cells) - cells
+    odd = np.bincount(begin[owner] + (hashed & (cells - 1)[owner].astype(np.uint64)).astype(np.int64), minlength=int(cells.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [packed[b // 8 : (b + c) // 8] for b, c in zip(begin.tolist(), cells.tolist(), strict=True)]
+
+
+def maybe_near(size: np.ndarray, bits: list[bytes], least: tuple[int, int]) -> np.ndarray:
+    """Which pairs of sets sizes and parities don't tell apart: each differing n-gram changes one parity."""
+    part, whole = least
+    near = np.zeros((len(size), len(size)), bool)
+    width = np.array([len(b) for b in bits])
+    for w in np.unique(width):
+        mine, wide = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        all_ = np.frombuffer(b"".join([bits[i] for i in mine]), np.uint64).reshape(len(mine), -1)
+        if len(wide):  # cells of twice as many fold into these
+            half = np.frombuffer(b"".join([bits[i] for i in wide]), np.uint64).reshape(len(wide), 2, -1)
+            all_ = np.concatenate([all_, half[:, 0] ^ half[:, 1]])
+        other = np.r_[mine, wide]
+        step = max(1, (1 << 18) // all_.size)
+        for k in range(0, len(mine), step):
+            differ = np.bitwise_count(all_[k : min(k + step, len(mine)), None] ^ all_[None]).sum(2, dtype=np.int64)
+            a, b = size[mine[k : k + step]][:, None], size[other][None]
+            ok = (differ * (whole + part) <= (a + b) * (whole - part)) & (np.minimum(a, b) * whole >= np.maximum(a, b) * part)
+            near[np.ix_(mine[k : k + step], other)] = ok
+    return near | near.T
+
+
 def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     order = np.argsort(owner, kind="stable")
     offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=n))]
@@ -137,21 +191,26 @@ def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Re
                 at, size = i + 1, 0
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, th, text) to rows (doc_id, th, n, a, b, signs): size, 128-bit name and signatures of the set."""
-    for part, raws in _parts(batches, 2):
-        owner, hashed = gram_sets(raws)
-        n = len(raws)
-        size = np.bincount(owner, minlength=n)
-        names = []
-        for salt in (1, 2):
-            total = np.zeros(n, np.uint64)
-            np.add.at(total, owner, _mixed(hashed + np.uint64(salt)))
-            names.append(pa.array(_mixed(total + size.astype(np.uint64)).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), *names, _lists(*signatures(owner, hashed, n), n)], names=["doc_id", "th", "n", "a", "b", "signs"])
+def _describe(gram: int, least: tuple[int, int], common: np.ndarray | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (doc_id, th, text) to rows (doc_id, th, n, a, b, signs): size, 128-bit name and signatures of the set."""
+        for part, raws in _parts(batches, 2):
+            owner, hashed = gram_sets(raws, gram)
+            n = len(raws)
+            size = np.bincount(owner, minlength=n)
+            names = []
+            for salt in (1, 2):
+                total = np.zeros(n, np.uint64)
+                np.add.at(total, owner, _mixed(hashed + np.uint64(salt)))
+                names.append(pa.array(_mixed(total + size.astype(np.uint64)).view(np.int64)))
+            found = signatures(owner, hashed, n, least) if common is None else rarest(owner, hashed, n, least, common)
+            bits = [None] * n if common is None else parities(owner, hashed, n)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), *names, _lists(*found, n), pa.array(bits, pa.binary())], names=["doc_id", "th", "n", "a", "b", "signs", "bits"])
+
+    return run
 
 
-def linked(raws: list[bytes], gram: int = GRAM, fragments: int = 16) -> np.ndarray:
+def linked(raws: list[bytes], gram: int = GRAM, fragments: int = 16, least: tuple[int, int] = LEAST) -> np.ndarray:
     """For each of some texts, the least index that links reach; partial overlaps are counted by fragment and summed."""
     owner, hashed = gram_sets(raws, gram)
     n = len(raws)
@@ -167,10 +226,15 @@ def linked(raws: list[bytes], gram: int = GRAM, fragments: int = 16) -> np.ndarr
             segment = np.zeros((n, len(f)), np.float32)
             segment[owner[mine], place[mine] - f[0]] = 1
             overlap += segment @ segment.T
-    part, whole = LEAST
+    part, whole = least
     near = overlap.astype(np.int64) * (whole + part) >= part * (size[:, None] + size[None, :])
     near &= (size > 0)[:, None] & (size > 0)[None, :]
-    label = np.arange(n)
+    return _labels(near)
+
+
+def _labels(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links, the least index that they reach."""
+    label = np.arange(len(near))
     while True:
         low = np.array([label[row].min() if row.any() else label[i] for i, row in enumerate(near)])
         low = np.minimum(low, label)
@@ -180,42 +244,94 @@ def linked(raws: list[bytes], gram: int = GRAM, fragments: int = 16) -> np.ndarr
         label = low
 
 
-def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, i, j, sid, text), sorted by the first three, to rows (a, b): a spanning forest of each block's links."""
+def _grams(gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (text) to the n-grams of their sets."""
+        for _, raws in _parts(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(gram_sets(raws, gram)[1].view(np.int64))], names=["g"])
 
-    def forest(held: list[tuple]) -> pa.RecordBatch:
-        label = linked([x[1] for x in held])
-        sid = np.array([x[0] for x in held], np.int64)
-        hit = np.flatnonzero(label != np.arange(len(held)))
-        return pa.RecordBatch.from_arrays([pa.array(sid[hit]), pa.array(sid[label[hit]])], names=["a", "b"])
+    return run
 
-    key, held = None, []
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(5)]
-        for block, i, j, sid, text in zip(*columns, strict=True):
-            if (block, i, j) != key and held:
-                yield forest(held)
-                held = []
-            key = (block, i, j)
-            held.append((sid, (text or "").encode()))
-    if held:
-        yield forest(held)
-
-
-def similar_groups(docs: DataFrame) -> DataFrame:
+
+def _common(docs: DataFrame, gram: int) -> np.ndarray:
+    """The n-grams that are common in some of the rows, sorted."""
+    thin = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, docs.count() // COUNTED))) == 0
+    counted = docs.filter(thin).select("text").mapInArrow(_grams(gram), "g long").groupBy("g").count().filter(F.col("count") >= COMMON)
+    return np.sort(np.array([r.g for r in counted.orderBy(F.desc("count"), "g").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
+
+
+def _link_sharers(least: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (sign, sid, n, bits), sorted by the first, to rows (a, b): a spanning forest of each sign's pairs that may be similar."""
+        sign, held = None, []
+
+        def forest() -> pa.RecordBatch:
+            label = _labels(maybe_near(np.array([x[1] for x in held], np.int64), [x[2] for x in held], least))
+            sid = np.array([x[0] for x in held], np.int64)
+            hit = np.flatnonzero(label != np.arange(len(held)))
+            return pa.RecordBatch.from_arrays([pa.array(sid[hit]), pa.array(sid[label[hit]])], names=["a", "b"])
+
+        for batch in batches:
+            for one, *rest in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if one != sign and held:
+                    yield forest()
+                    held = []
+                sign = one
+                held.append(rest)
+        if held:
+            yield forest()
+
+    return run
+
+
+def _link_blocks(gram: int, least: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (block, i, j, sid, text), sorted by the first three, to rows (a, b): a spanning forest of each block's links."""
+
+        def forest(held: list[tuple]) -> pa.RecordBatch:
+            label = linked([x[1] for x in held], gram, least=least)
+            sid = np.array([x[0] for x in held], np.int64)
+            hit = np.flatnonzero(label != np.arange(len(held)))
+            return pa.RecordBatch.from_arrays([pa.array(sid[hit]), pa.array(sid[label[hit]])], names=["a", "b"])
+
+        key, held = None, []
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for block, i, j, sid, text in zip(*columns, strict=True):
+                if (block, i, j) != key and held:
+                    yield forest(held)
+                    held = []
+                key = (block, i, j)
+                held.append((sid, (text or "").encode()))
+        if held:
+            yield forest(held)
+
+    return run
+
+
+def similar_groups(docs: DataFrame, gram: int = GRAM, least: tuple[int, int] = LEAST, rare: bool = False) -> DataFrame:
     """``doc_id, th, n, component_id`` of every row of ``docs`` (``doc_id`` long, ``text``).
 
+    Sets of n-grams of ``gram`` words are linked at a similarity of ``least`` (a fraction) or more.
     ``n`` is the size of the row's set; ``component_id`` the least id that links reach (its own for
     an empty set, and where no id of a component is known, null). ``th`` is a hash of the text.
     """
+    common = _common(docs, gram) if rare else None
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    rows = written(keyed.mapInArrow(_describe, "doc_id long, th long, n long, a long, b long, signs array<long>"), "sets")
+    rows = written(keyed.mapInArrow(_describe(gram, least, common), "doc_id long, th long, n long, a long, b long, signs array<long>, bits binary"), "sets")
     full = rows.filter("n > 0")
-    sets = full.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("signs").alias("signs"))
+    sets = full.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("signs").alias("signs"), F.first("bits").alias("bits"))
     sets = written(sets.withColumn("sid", F.xxhash64("a", "b")), "distinct")
     segments = sets.select("sid", F.explode("signs").alias("sign"))
     leader = F.min("sid").over(Window.partitionBy("sign"))
-    edges = written(segments.withColumn("b", leader).filter("sid <> b").select(F.col("sid").alias("a"), "b").distinct(), "candidates")
+    star = segments.withColumn("b", leader)
+    if rare:
+        shared = written(star.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("sign"))).filter("c > 1"), "shared")
+        star = shared.filter(F.col("c") > CHUNK)  # too many to compare in one task
+        few = shared.filter(F.col("c") <= CHUNK).select("sign", "sid").join(sets.select("sid", "n", "bits"), "sid").select("sign", "sid", "n", "bits")
+        pairs = few.repartition("sign").sortWithinPartitions("sign").mapInArrow(_link_sharers(least), "a long, b long")
+    edges = star.filter("sid <> b").select(F.col("sid").alias("a"), "b")
+    edges = written((edges.union(pairs) if rare else edges).distinct(), "candidates")
     blocks = components(edges)
 
     running = Window.partitionBy("label").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -232,7 +348,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text") * F.size("pairs"))).first()[0]
     placed = texts.select("block", F.explode("pairs").alias("p"), "sid", "text").select("block", "p.i", "p.j", "sid", "text")
     tasks = n_blocks(size, TASK_BYTES)
-    links = placed.repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j", "sid").mapInArrow(_link_blocks, "a long, b long")
+    links = placed.repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j", "sid").mapInArrow(_link_blocks(gram, least), "a long, b long")
 
     groups = components(links)
     named = sets.select("a", "b", "sid", "least").join(groups.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -249,7 +365,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Of rows that are equal in id and text, any one stays.
     """
     c, d, t = (fresh(docs, x) for x in ("c", "d", "t"))
-    rows = similar_groups(docs).filter("n > 0").groupBy("component_id", "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
+    rows = similar_groups(docs, STAGE_GRAM, STAGE_LEAST, rare=True).filter("n > 0").groupBy("component_id", "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
     order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "c")
     best = rows.groupBy("component_id").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias(d), F.col("k.th").alias(t), F.col("k.c").alias(c))
     kept = docs.join(best, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)))
@@ -261,7 +377,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near-equal texts of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return similar_groups(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return similar_groups(docs, GRAM, LEAST).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 OP3_SQL = r"""

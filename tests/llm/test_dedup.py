@@ -125,6 +125,36 @@ def test_similar_sets_share_a_signature():
             assert drop == 0 or set(signs[owner == 0]) & set(signs[owner == 1]) or len(pair[0]) < 10
 
 
+def test_stage_keeps_one_of_each_group_at_80_of_five_words(spark, monkeypatch):
+    rng, texts = random.Random(7), []
+    for size in (4, 5, 6, 12, 40, 130, 400, 1500):
+        base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        texts += [" ".join(base), " ".join(base[: size - size // 10]), " ".join(base[: size - size * 3 // 10])]
+        for edits in range(1, 7):  # edits apart from each other, each in five n-grams of five words
+            words = list(base)
+            for k in range(min(edits * max(1, size // 130), size)):
+                words[(k * 37 + 11 * edits) % size] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    texts += ["a", "A", "a b", "a b c"]
+    sets = [grams(t, 5) for t in texts]
+    label = list(range(len(texts)))
+    between = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if 100 * len(a & b) >= 80 * len(a | b):
+                x, y = grams(texts[i]), grams(texts[j])
+                between += 100 * len(x & y) < 90 * len(x | y)
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if z == old else z for z in label]
+    assert between > 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for common, chunk in ((2, 1024), (10**6, 4)):
+        monkeypatch.setattr(jaccard, "COMMON", common)
+        monkeypatch.setattr(jaccard, "CHUNK", chunk)
+        assert sorted(r.doc_id for r in jaccard.one_of_each_group(spark, df, "").collect()) == sorted(set(label))
+
+
 def test_groups_hard(spark, hard, nothing):
     rows = jaccard.similar_groups(hard).collect()
     assert len(rows) == hard.count() and jaccard.similar_groups(nothing).count() == 0

@@ -143,3 +143,10 @@ def test_lm_hard(hard, nothing):
     rows = lm.score_texts(hard.select("doc_id", "text")).collect()
     assert len(rows) == hard.count() and all(r.n_tokens >= 1 and r.score < 0 for r in rows)
     assert lm.score_texts(nothing).count() == 0
+
+
+def test_lm_words_that_touch_odd_spaces(spark):
+    texts = ["\u00a0« mot\u00a0»", "\u3000字 fin\u0085", "x\x1c \x1fy", "plain words"] * 10
+    rows = lm.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in rows] == [len(t.encode().split()) + 1 for t in texts]
+    assert all(np.isfinite(r.score) for r in rows if not r.held_out)

@@ -35,17 +35,24 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, same_tenant: bool
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))))
 
 
-def all_pairs_top_k(items: DataFrame, k: int, blocks: int = 4, rows: int = 4096) -> DataFrame:
+def pairs_of_blocks(items: DataFrame, blocks: int | None, rows: int) -> DataFrame:
+    """``id, tenant, v, b, i, j``: each item in block ``b`` of its tenant, once for each pair ``i, j`` of blocks with its own."""
+    number = F.lit(blocks) if blocks else F.ceil(F.count(F.lit(1)) / F.lit(rows))
+    sizes = items.groupBy(F.col("tenant").alias("of")).agg(number.cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = items.join(sizes, F.col("tenant").eqNullSafe(F.col("of"))).select("id", "tenant", "v", "blocks", block.alias("b"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "b").alias("i"), F.greatest(x, "b").alias("j")))
+    return placed.select("id", "tenant", "v", "b", F.explode(pairs).alias("p")).select("id", "tenant", "v", "b", "p.i", "p.j")
+
+
+def all_pairs_top_k(items: DataFrame, k: int, blocks: int | None = None, rows: int = 4096) -> DataFrame:
     """Each item's ``k`` nearest others in its tenant, from products of blocks of vectors.
 
-    A tenant's items are dealt to ``blocks`` blocks; every pair of blocks meets in one group, whose
-    product gives partial top-k lists; only those are shuffled to the merge, never all pairs.
-    Choose ``blocks`` so that a block holds at most about ``rows`` items.
+    A tenant's items are dealt to blocks of about ``rows`` items, or to ``blocks`` blocks; every pair
+    of blocks meets in one group, whose product gives partial top-k lists; only those are shuffled to
+    the merge, never all pairs.
     """
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    placed = items.select("id", "tenant", "v", block.alias("b"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least(x, "b").alias("i"), F.greatest(x, "b").alias("j")))
-    dealt = placed.select("id", "tenant", "v", "b", F.explode(pairs).alias("p")).select("id", "tenant", "v", "b", "p.i", "p.j")
+    dealt = pairs_of_blocks(items, blocks, rows)
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iat[0], pdf["j"].iat[0]

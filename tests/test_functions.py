@@ -110,3 +110,15 @@ def test_all_pairs_in_blocks(spark, data):
     t = Tables(spark, data)
     one = {tuple(r) for r in S.all_pairs_top_k(t.vectors, 3, blocks=1).collect()}
     assert one == {tuple(r) for r in S.all_pairs_top_k(t.vectors, 3, blocks=5).collect()}
+
+
+def test_blocks_follow_the_tenants_rows(spark, data):
+    from tesserae.sources.tables import Tables
+
+    t = Tables(spark, data)
+    groups = S.pairs_of_blocks(t.vectors, None, 5).groupBy("tenant", "i", "j").count().collect()
+    sizes = {r.tenant: r["count"] for r in t.vectors.groupBy("tenant").count().collect()}
+    blocks = {x: -(-n // 5) for x, n in sizes.items()}
+    assert max(blocks.values()) > 4 and max(r["count"] for r in groups) <= 40
+    assert all(max(r.j for r in groups if r.tenant == x) < n for x, n in blocks.items())
+    assert {tuple(r) for r in S.all_pairs_top_k(t.vectors, 3, rows=5).collect()} == {tuple(r) for r in S.all_pairs_top_k(t.vectors, 3, blocks=1).collect()}

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -69,8 +70,18 @@ ODD = ["", "  a  b\n\n c ", "a<|endoftext|>b 's it's I'll don't  x\u00a0y \u3000
 def test_ids_equal_the_tokenizer(spark, data):
     texts = ODD + [r.text for r in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()]
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
-    assert packing.Ids(PATH).of(texts) == [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    coder = packing.Ids(PATH)
+    ids, lengths = coder.of(pa.array([*texts, None]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [*want, []]
+    words = sorted({w for t in texts for w in t.split(" ") if "<|" not in w})
+    ids, lengths = coder.words(pa.array(words))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [e.ids for e in plain.encode_batch([" " + w for w in words], add_special_tokens=False)]
+
+
+def test_ids_of_special_strings():
+    ids, _ = packing.Ids(PATH).of(pa.array(["a <|endoftext|> b"]))
+    assert ids.tolist() == [64, 220, 50256, 275]
 
 
 def brute_cost(places, penalty, window):
@@ -93,7 +104,6 @@ def test_cuts_are_best():
 
 def check_pieces(rows, docs, window=2048):
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     ids = Counter((k, np.array(plain.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for k, t in docs)
     parts, places = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -121,6 +131,13 @@ def test_op10(spark, data):
     assert check_pieces(packing.op10_packing(spark, data).collect(), docs) > 0.97
 
 
+def test_pack_equal_ids(spark):
+    rows = [(7, f"text {i} of many. " * 40) for i in range(300)] + [(None, "no id"), (7, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=20_000).collect()
+    check_pieces(got, rows)
+    assert len({r.sequence_id >> 32 for r in got}) > 3
+
+
 def test_pack_hard(hard, nothing):
     check_pieces(packing.pack(hard, block_bytes=100_000).collect(), [(r.doc_id, r.text) for r in hard.collect()])
     assert packing.pack(nothing).count() == 0
@@ -138,7 +155,7 @@ def test_pipeline_stages(spark, data):
     before = spark.read.parquet(f"{data}/documents.parquet")
     kept = {r.doc_id for r in quality.judge(before).filter("kept").collect()}
     assert {r["doc_id"] for r in outs[0]} == kept
-    groups = jaccard.similar_groups(before.filter(F.col("doc_id").isin(*kept))).collect()
+    groups = jaccard.similar_groups(before.filter(F.col("doc_id").isin(*kept)), jaccard.STAGE_GRAM, jaccard.STAGE_LEAST).collect()
     assert Counter(r["doc_id"] for r in outs[1]) == Counter({r.component_id for r in groups})
     length = 200
     bytes_ = Counter(t[i : i + length] for r in outs[1] for t in [r["text"].encode()] for i in range(len(t) - length + 1))

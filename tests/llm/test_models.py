@@ -8,9 +8,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tesserae.llm import html, lm, urls
+from tesserae.llm.packing import ids_of
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
@@ -98,7 +103,7 @@ def brute_lm(docs):
 
 
 def test_op8(spark, data, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 100_000)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     want, rows = brute_lm(docs), lm.op8_lm_scoring(spark, data).collect()
     assert len(rows) == len(want)
@@ -106,7 +111,15 @@ def test_op8(spark, data, monkeypatch):
         assert tuple(r)[1:5] == want[r.doc_id][:4] and math.isclose(r.base_score, want[r.doc_id][4], rel_tol=1e-9) and -1e6 < r.score < 0
     held = [r for r in rows if r.held_out]
     flat = sum(r.n_tokens for r in held) * math.log10(1 / 50257)
-    assert sum(r.score for r in held) > 2.5 * flat / 2
+    assert sum(r.score for r in held) > 1.2 * flat
+
+
+def test_op8_beats_the_base_on_held_out_texts(spark, data):
+    larger = f"{os.path.dirname(data)}/sf0.1"
+    if not os.path.isdir(larger):
+        pytest.skip("needs the larger table: of 200 texts nearly every held-out word is unknown")
+    held = lm.op8_lm_scoring(spark, larger).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert held["sum(score)"] > held["sum(base_score)"]
 
 
 def model_and_texts():
@@ -115,28 +128,79 @@ def model_and_texts():
     starts = np.arange(lm.END + 1) % 2 == 0
     starts[lm.END] = True
     model = lm.Model(counts, starts)
-    texts = [np.r_[(np.arange(k) * 7 + k) % 60, lm.END] for k in (0, 1, 15, 16, 17, 100)]
-    return model, texts
-
-
-def test_each_id_is_scored_once_and_sums_to_one():
-    model, texts = model_and_texts()
+    texts = [np.r_[(np.arange(k) * 7 + k) % 60, lm.END] for k in (0, 1, 15, 16, 17, 23, 24, 25, 100)]
+    return model, texts, starts
+
+
+def plain_scores(model, text, starts):
+    """Each id's log probability and that of a word's start, one place at a time, from the weights alone."""
+    w, out = model.w, []
+    emit = np.exp(w["m"].astype(float))
+    emit /= emit.sum(0)
+    for i, goal in enumerate(text):
+        first = i - i % lm.STEP
+        at = [j for j in range(first - lm.BACK, i + 1) if j >= 0]
+        rows = [model.row[lm.END if j == 0 else text[j - 1]] for j in at]
+        u = np.array([w["e"][r] + w["p"][j - first + lm.BACK] for j, r in zip(at, rows, strict=True)], float)
+        a = (u[-1] @ w["q"]) @ (u @ w["k"]).T / lm.WIDTH**0.5
+        a = np.exp(a - a.max())
+        z = (a / a.sum()) @ (u @ w["v"]) @ w["o"] + w["c"][rows[-1]] + w["b"]
+        g = np.exp(z - z.max())
+        g /= g.sum()
+        p = emit @ g
+        out.append((math.log(p[model.row[goal]]) + model.inside[goal], math.log(p[model.starts > 0].sum())))
+    return np.array(out)
+
+
+def test_scores_equal_a_plain_model():
+    model, texts, starts = model_and_texts()
     ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
-    whole, new = model.score(ids, lengths, model.tables())
-    alone = np.concatenate([model.score(t, np.array([len(t)]), model.tables())[0] for t in texts])
-    assert np.allclose(whole, alone, atol=1e-4) and (new <= 0).all()
-    text = texts[4]
-    every = [model.score(np.r_[text[:5], i], np.array([6]), model.tables())[0][-1] for i in range(200)]
-    spare = [model.score(np.r_[text[:5], i], np.array([6]), model.tables())[0][-1] for i in range(200, 400)]
-    assert np.exp(every).sum() + np.exp(spare).sum() < 1.0001
+    got, new = model.score(ids, lengths, model.tables())
+    want = np.concatenate([plain_scores(model, t, starts) for t in texts])
+    assert np.allclose(got, want[:, 0], atol=1e-3) and np.allclose(new, want[:, 1], atol=1e-3)
+
+
+def test_scores_sum_to_one():
+    model, texts, _ = model_and_texts()
+    every = [model.score(np.r_[texts[4][:5], i], np.array([6]), model.tables())[0][-1] for i in range(0, lm.END + 1, 1 if lm.END < 500 else 97)]
+    head = [model.score(np.r_[texts[4][:5], i], np.array([6]), model.tables())[0][-1] for i in range(200)]
+    assert max(every) < 0 and np.exp(head).sum() < 1.0001
+    emit = model.emissions()
+    assert np.allclose(emit.sum(0), 1, atol=1e-4) and np.allclose(np.bincount(model.row, np.exp(model.inside), len(emit))[np.unique(model.row)], 1, atol=1e-3)
+
+
+def test_windows_are_the_text(spark):
+    coder = ids_of(PATH)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["un", "deux", "antidisestablishment", "x,y", "Zwölf"], n)) for n in (0, 1, 5, 30, 99, 100, 101, 700)]
+    words, codes, long = lm.split_chunk(pa.array(texts))
+    assert words[-1].as_py() == "" and long.tolist() == [len(t.split()) + 1 for t in texts]
+    train = np.array([True] * 7 + [False])
+    rows = lm.chosen_windows(words, codes, long, train, coder)
+    assert len(rows) == sum(-(-n // lm.EVERY) for n in long[:7])
+    of = [[lm.END, *(i for w in t.split() for i in coder.fast.encode_ordinary(" " + w.lower().replace("Ö", "ö"))), lm.END] for t in texts]
+    every = {tuple(ids[i : i + 2]) for ids in of[:7] for i in range(len(ids) - 1)}
+    for r in rows:
+        seen, goals = r[: lm.BACK + lm.STEP], r[lm.BACK + lm.STEP :]
+        n = (goals >= 0).sum()
+        assert n and (goals[:n] >= 0).all() and seen[lm.BACK] >= 0 and (seen[lm.BACK + n :] < 0).all()
+        assert all((a, b) in every for a, b in zip(seen[lm.BACK : lm.BACK + n].tolist(), goals[:n].tolist(), strict=True))
+        assert seen[lm.BACK + 1 : lm.BACK + n].tolist() == goals[: n - 1].tolist()
 
 
 def test_fitting_lowers_the_loss():
-    model, texts = model_and_texts()
+    model, texts, _ = model_and_texts()
     ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
     before = model.score(ids, lengths, model.tables())[0].sum()
-    model.fit(texts, steps=60, batch=8)
+    seen, goals = np.full((len(texts), lm.BACK + lm.STEP), -1, np.int32), np.full((len(texts), lm.STEP), -1, np.int32)
+    for s, g, t in zip(seen, goals, texts, strict=True):
+        n = min(len(t), lm.STEP)
+        g[:n], s[lm.BACK : lm.BACK + n] = t[:n], np.r_[lm.END, t[: n - 1]]
+    flat = model.flat().copy()
+    model.fit(seen, goals, steps=60, batch=8)
     assert model.score(ids, lengths, model.tables())[0].sum() > before
+    model.take(flat)
+    assert np.isclose(model.score(ids, lengths, model.tables())[0].sum(), before)
 
 
 def test_lm_hard(hard, nothing):

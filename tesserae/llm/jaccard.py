@@ -1,17 +1,12 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All n-grams have one global order (of their hashes). It is cut into fragments, the same for all
-documents of a size class, and a document's set is cut into one segment a fragment. Two sets with
-Jaccard similarity of ``t`` or more differ in at most ``2 M (1 - t) / (1 + t)`` n-grams, where ``M``
-bounds their sizes; with more fragments than that, one segment at least is the same in both. Equal segments
-therefore find every pair; documents that are connected by them form blocks. Within a block the
-partial overlaps are counted fragment by fragment and summed per pair, which gives exact
-similarities.
-
-At lower thresholds segments are so short that unlike sets share many. There, with ``rare``, a set's
-candidates are those that share one of its rarest ``(1 - t) n + 1`` n-grams (one of them is in every
-similar set), and sets meet only if the parities of their hashed n-grams differ in no more bits than
-similar sets' can. No pair is lost by either.
+All n-grams have one global order: by how often their cell of a table of counts over all rows was
+hit, then by hash, so the rarest come first. A set's candidates are the sets that share one of its
+first ``(1 - t) n + 1`` n-grams (every set of a similarity of ``t`` or more does), if sizes and the
+parities of their hashed n-grams do not tell them apart; no pair is lost by either test, and sets
+without a rare n-gram in common never meet. Candidates that are connected form blocks. Within a
+block the order is cut into fragments, partial overlaps are counted fragment by fragment and summed
+per pair, which gives exact similarities.
 
 Equal sets meet as one before anything else. A block of more than ``CHUNK`` sets is dealt as pairs
 of chunks, so no task holds more than two chunks, and links leave a task as a spanning forest,
@@ -20,12 +15,13 @@ never as all pairs.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import fresh, n_blocks, written
@@ -35,18 +31,13 @@ from tesserae.llm.suffixes import _mixed, prefix_hashes
 #: The contract of op3: similarity as a fraction, here 90/100, of sets of n-grams of so many words.
 LEAST = (90, 100)
 GRAM = 3
-#: The pipeline's, found by rare n-grams, which no contract binds.
+#: The pipeline's, which no contract binds.
 STAGE_LEAST, STAGE_GRAM = (80, 100), 5
-#: Upper sizes of the classes: each a third above the last, at least one more.
-CLASSES = [1]
-while CLASSES[-1] < 1 << 40:
-    CLASSES.append(max(CLASSES[-1] + 1, CLASSES[-1] * 4 // 3))
-_CLASSES = np.array(CLASSES)
-#: Segments of fewer n-grams are left out, unless a document has more of them than the spare fragments.
-LIGHT, SPARE = 3, 4
 CHUNK, CHUNK_GRAMS, TASK_BYTES = 1024, 1_000_000, 8 << 20
-#: Rows whose n-grams are counted to order them, occurrences there that make one common, and common ones at most; they only decide how many candidates there are.
-COUNTED, COMMON, MOST_COMMON = 20_000, 6, 200_000
+#: Cells of the table of counts that orders n-grams, and how many go into one row on their way to its sum.
+CELLS, CELLS_PART = 1 << 20, 1 << 16
+#: Parities of a set at most; beyond it they tell less, but still lose no pair.
+MOST_PARITIES = 4096
 #: Bytes of text hashed at once in a task.
 PART = 1 << 20
 
@@ -87,53 +78,10 @@ def gram_sets(raws: list[bytes], gram: int = GRAM) -> tuple[np.ndarray, np.ndarr
     return owner[first], hashed[first]
 
 
-def differ_at_most(top: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
-    """How many n-grams two similar sets of at most ``top`` n-grams can differ in."""
+def rarest(owner: np.ndarray, hashed: np.ndarray, n: int, least: tuple[int, int], counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and n-grams of the part of each set that every similar set shares one of; the order is by ``counted`` cells, then by hash."""
     part, whole = least
-    return 2 * top * (whole - part) // (whole + part)
-
-
-def signatures(owner: np.ndarray, hashed: np.ndarray, n: int, least: tuple[int, int] = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Owners and signatures of the segments of ``n`` sets; two sets that are similar share a signature."""
-    size = np.bincount(owner, minlength=n)
-    own = np.searchsorted(_CLASSES, np.maximum(size, 1))
-    owners, signs = [], []
-    part, whole = least
-    # a set also joins each further class that a similar set can be in
-    reach = np.searchsorted(_CLASSES, np.maximum(size * whole // part, 1))
-    for more in range(int((reach - own).max(initial=0)) + 1):
-        klass, wanted = own + more, (size > 0) & (own + more <= reach)
-        differ = differ_at_most(_CLASSES[klass], least)
-        wanted = wanted & (differ > 0)
-        cut = differ + 1 + SPARE
-        use = wanted[owner]
-        o, h = owner[use], hashed[use]
-        if not len(o):
-            continue
-        fragment = ((h >> np.uint64(32)) * cut[o].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (fragment[1:] != fragment[:-1])])
-        total = np.add.reduceat(_mixed(h), first)
-        length = np.diff(np.r_[first, len(o)])
-        so, sf = o[first], fragment[first]
-        heavy = length >= LIGHT
-        light = cut - np.bincount(so[heavy], minlength=n)
-        keep = heavy | (light[so] > SPARE)
-        base = lambda k, f: _mixed((k.astype(np.uint64) << np.uint64(32)) + f.astype(np.uint64))
-        owners.append(so[keep])
-        signs.append(_mixed(total[keep] + base(klass[so], sf)[keep]))
-        for i in np.flatnonzero(wanted & (light > SPARE)):  # few sets: their empty segments count too
-            empty = np.setdiff1d(np.arange(cut[i]), sf[so == i])
-            owners.append(np.full(len(empty), i))
-            signs.append(_mixed(base(np.full(len(empty), klass[i]), empty)))
-    return (np.concatenate(owners), np.concatenate(signs)) if owners else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-
-def rarest(owner: np.ndarray, hashed: np.ndarray, n: int, least: tuple[int, int], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owners and n-grams of the part of each set that every similar set shares one of; ``common`` n-grams (sorted) come last in the order."""
-    part, whole = least
-    at = np.minimum(np.searchsorted(common, hashed), max(0, len(common) - 1))
-    late = common[at] == hashed if len(common) else np.zeros(len(hashed), bool)
-    order = np.lexsort((hashed, late, owner))
+    order = np.lexsort((hashed, counted[hashed & np.uint64(len(counted) - 1)], owner))
     owner, hashed = owner[order], hashed[order]
     size = np.bincount(owner, minlength=n)
     keep = np.arange(len(owner)) - (np.cumsum(size) - size)[owner] <= (size * (whole - part) // whole)[owner]
@@ -141,9 +89,9 @@ def rarest(owner: np.ndarray, hashed: np.ndarray, n: int, least: tuple[int, int]
 
 
 def parities(owner: np.ndarray, hashed: np.ndarray, n: int) -> list[bytes]:
-    """For each set, the parity of its n-grams in each of 256 cells or more, a power of two, about two for each n-gram."""
+    """For each set, the parity of its n-grams in each of 256 to ``MOST_PARITIES`` cells, a power of two, about two for each n-gram."""
     size = np.bincount(owner, minlength=n)
-    cells = np.left_shift(1, np.maximum(8, np.ceil(np.log2(np.maximum(size, 1) * 2)).astype(np.int64)))
+    cells = np.left_shift(1, np.maximum(8, np.minimum(MOST_PARITIES.bit_length() - 1, np.ceil(np.log2(np.maximum(size, 1) * 2)).astype(np.int64))))
     begin = np.cumsum(cells) - cells
     odd = np.bincount(begin[owner] + (hashed & (cells - 1)[owner].astype(np.uint64)).astype(np.int64), minlength=int(cells.sum())) & 1
     packed = np.packbits(odd.astype(np.uint8)).tobytes()
@@ -191,9 +139,9 @@ def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Re
                 at, size = i + 1, 0
 
 
-def _describe(gram: int, least: tuple[int, int], common: np.ndarray | None):
+def _describe(gram: int, least: tuple[int, int], counted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc_id, th, text) to rows (doc_id, th, n, a, b, signs): size, 128-bit name and signatures of the set."""
+        """Rows (doc_id, th, text) to rows (doc_id, th, n, a, b, signs, bits): size, 128-bit name, rarest n-grams and parities of the set."""
         for part, raws in _parts(batches, 2):
             owner, hashed = gram_sets(raws, gram)
             n = len(raws)
@@ -203,9 +151,7 @@ def _describe(gram: int, least: tuple[int, int], common: np.ndarray | None):
                 total = np.zeros(n, np.uint64)
                 np.add.at(total, owner, _mixed(hashed + np.uint64(salt)))
                 names.append(pa.array(_mixed(total + size.astype(np.uint64)).view(np.int64)))
-            found = signatures(owner, hashed, n, least) if common is None else rarest(owner, hashed, n, least, common)
-            bits = [None] * n if common is None else parities(owner, hashed, n)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), *names, _lists(*found, n), pa.array(bits, pa.binary())], names=["doc_id", "th", "n", "a", "b", "signs", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), *names, _lists(*rarest(owner, hashed, n, least, counted), n), pa.array(parities(owner, hashed, n), pa.binary())], names=["doc_id", "th", "n", "a", "b", "signs", "bits"])
 
     return run
 
@@ -244,20 +190,34 @@ def _labels(near: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _grams(gram: int):
+def _cells(gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (text) to the n-grams of their sets."""
+        """Rows (text) to rows (part, cells): how many n-grams fell into each cell of the table."""
+        total = np.zeros(CELLS, np.int64)
         for _, raws in _parts(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array(gram_sets(raws, gram)[1].view(np.int64))], names=["g"])
+            total += np.bincount((gram_sets(raws, gram)[1] & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        parts = [zlib.compress(total[i : i + CELLS_PART].tobytes(), 1) for i in range(0, CELLS, CELLS_PART)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], names=["part", "cells"])
 
     return run
 
 
-def _common(docs: DataFrame, gram: int) -> np.ndarray:
-    """The n-grams that are common in some of the rows, sorted."""
-    thin = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, docs.count() // COUNTED))) == 0
-    counted = docs.filter(thin).select("text").mapInArrow(_grams(gram), "g long").groupBy("g").count().filter(F.col("count") >= COMMON)
-    return np.sort(np.array([r.g for r in counted.orderBy(F.desc("count"), "g").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
+def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(raw), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["part", "cells"])
+
+
+def counted_cells(texts: DataFrame, gram: int) -> np.ndarray:
+    """How many n-grams of all rows fell into each cell: a table of one size, however many rows there are."""
+    parts = -(-CELLS // CELLS_PART)
+    summed = texts.mapInArrow(_cells(gram), "part int, cells binary").repartition(parts, "part").mapInArrow(_sum_cells, "part int, cells binary")
+    out = np.zeros(CELLS, np.int64)
+    for row in summed.collect():
+        out[row.part * CELLS_PART :][:CELLS_PART] = np.frombuffer(zlib.decompress(row.cells), np.int64)
+    return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
 
 
 def _link_sharers(least: tuple[int, int]):
@@ -309,35 +269,34 @@ def _link_blocks(gram: int, least: tuple[int, int]):
     return run
 
 
-def similar_groups(docs: DataFrame, gram: int = GRAM, least: tuple[int, int] = LEAST, rare: bool = False) -> DataFrame:
+def similar_groups(docs: DataFrame, gram: int = GRAM, least: tuple[int, int] = LEAST) -> DataFrame:
     """``doc_id, th, n, component_id`` of every row of ``docs`` (``doc_id`` long, ``text``).
 
     Sets of n-grams of ``gram`` words are linked at a similarity of ``least`` (a fraction) or more.
     ``n`` is the size of the row's set; ``component_id`` the least id that links reach (its own for
-    an empty set, and where no id of a component is known, null). ``th`` is a hash of the text.
+    an empty set, and where no id of a component is known, null). ``th`` is a hash of the text. Null
+    and empty texts have an empty set, linked with nothing; repeated rows come back each; an empty
+    table gives none; other columns are ignored.
     """
-    common = _common(docs, gram) if rare else None
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    rows = written(keyed.mapInArrow(_describe(gram, least, common), "doc_id long, th long, n long, a long, b long, signs array<long>, bits binary"), "sets")
+    counted = counted_cells(docs.select("text"), gram)
+    rows = written(keyed.mapInArrow(_describe(gram, least, counted), "doc_id long, th long, n long, a long, b long, signs array<long>, bits binary"), "sets")
     full = rows.filter("n > 0")
     sets = full.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("signs").alias("signs"), F.first("bits").alias("bits"))
     sets = written(sets.withColumn("sid", F.xxhash64("a", "b")), "distinct")
     segments = sets.select("sid", F.explode("signs").alias("sign"))
-    leader = F.min("sid").over(Window.partitionBy("sign"))
-    star = segments.withColumn("b", leader)
-    if rare:
-        shared = written(star.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("sign"))).filter("c > 1"), "shared")
-        star = shared.filter(F.col("c") > CHUNK)  # too many to compare in one task
-        few = shared.filter(F.col("c") <= CHUNK).select("sign", "sid").join(sets.select("sid", "n", "bits"), "sid").select("sign", "sid", "n", "bits")
-        pairs = few.repartition("sign").sortWithinPartitions("sign").mapInArrow(_link_sharers(least), "a long, b long")
-    edges = star.filter("sid <> b").select(F.col("sid").alias("a"), "b")
-    edges = written((edges.union(pairs) if rare else edges).distinct(), "candidates")
-    blocks = components(edges)
-
-    running = Window.partitionBy("label").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    member = blocks.join(sets.select(F.col("sid").alias("node"), "n", "at"), "node")
-    chunk = (F.count(F.lit(1)).over(running) / F.lit(float(CHUNK)) + F.sum("n").over(running) / F.lit(float(CHUNK_GRAMS))).cast("long")
-    member = member.withColumn("chunk", chunk).withColumn("last", F.max("chunk").over(Window.partitionBy("label")))
+    # counts and leaders by partial aggregation, written, so that a join's skew can be split
+    often = written(segments.groupBy("sign").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("b")).filter("c > 1"), "often")
+    shared = written(segments.join(often, "sign"), "shared")
+    star = shared.filter(F.col("c") > CHUNK).filter("sid <> b").select(F.col("sid").alias("a"), "b")  # too many to compare in one task
+    few = shared.filter(F.col("c") <= CHUNK).join(sets.select("sid", "n", "bits"), "sid").select("sign", "sid", "n", "bits")
+    pairs = few.repartition("sign").sortWithinPartitions("sign").mapInArrow(_link_sharers(least), "a long, b long")
+    blocks = components(star.union(pairs))
+
+    member = written(blocks.join(sets.select(F.col("sid").alias("node"), "n", "at"), "node"), "members")
+    chunks = member.groupBy("label").agg(F.greatest(F.count(F.lit(1)) / F.lit(float(CHUNK)), F.sum("n") / F.lit(float(CHUNK_GRAMS))).alias("size"))
+    member = member.join(chunks.select("label", F.greatest(F.lit(1), F.ceil("size")).cast("long").alias("chunks")), "label")
+    member = member.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).withColumn("last", F.col("chunks") - 1)
     # a block of two chunks at most goes to one task; of more, every pair of chunks does
     others = F.when(F.col("last") < 2, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda x: x != F.col("chunk")), lambda x: F.struct(F.least(x, "chunk").alias("i"), F.greatest(x, "chunk").alias("j")))
@@ -365,7 +324,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Of rows that are equal in id and text, any one stays.
     """
     c, d, t = (fresh(docs, x) for x in ("c", "d", "t"))
-    rows = similar_groups(docs, STAGE_GRAM, STAGE_LEAST, rare=True).filter("n > 0").groupBy("component_id", "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
+    rows = similar_groups(docs, STAGE_GRAM, STAGE_LEAST).filter("n > 0").groupBy("component_id", "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
     order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th", "c")
     best = rows.groupBy("component_id").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias(d), F.col("k.th").alias(t), F.col("k.c").alias(c))
     kept = docs.join(best, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)))

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import components, jaccard, suffixes
@@ -110,19 +111,36 @@ def test_groups_equal_brute_force(spark, monkeypatch):
     assert [(r.n, r.component_id) for r in jaccard.similar_groups(df).orderBy("doc_id").collect()] == brute_groups(texts)
 
 
-def test_similar_sets_share_a_signature():
+@pytest.mark.parametrize("least", [(90, 100), (80, 100)])
+def test_similar_sets_share_a_rare_gram_and_pass_the_parities(least):
     rng = np.random.default_rng(5)
-    for size in (10, 18, 19, 20, 57, 200, 999):
+    part, whole = least
+    counted = rng.integers(0, 9, 1 << 10).astype(np.uint32)
+    for size in (1, 2, 9, 10, 18, 20, 57, 200, 999, 5000):
         for _ in range(20):
             a = rng.integers(0, 2**63, size).astype(np.uint64)
-            most = int(jaccard.differ_at_most(np.array([size]))[0])
-            drop = rng.integers(0, most // 2 + 1)
+            drop = rng.integers(0, size * (whole - part) // whole + 1)
             b = np.concatenate([a[drop:], rng.integers(0, 2**63, drop).astype(np.uint64)])
-            if 100 * (size - drop) < 90 * (size + drop):
+            if whole * (size - drop) < part * (size + drop):
+                b = a[drop:]
+            if whole * len(np.intersect1d(a, b)) < part * len(np.union1d(a, b)):
                 continue
             pair = [np.unique(a), np.unique(b)]
-            owner, signs = jaccard.signatures(np.repeat([0, 1], [len(x) for x in pair]), np.concatenate(pair), 2)
-            assert drop == 0 or set(signs[owner == 0]) & set(signs[owner == 1]) or len(pair[0]) < 10
+            owner, hashed = np.repeat([0, 1], [len(x) for x in pair]), np.concatenate(pair)
+            o, signs = jaccard.rarest(owner, hashed, 2, least, counted)
+            assert set(signs[o == 0]) & set(signs[o == 1])
+            assert jaccard.maybe_near(np.array([len(x) for x in pair]), jaccard.parities(owner, hashed, 2), least)[0, 1]
+
+
+def test_unlike_sets_are_told_apart():
+    rng = np.random.default_rng(6)
+    for size in (10, 12, 25, 400):
+        owner, hashed = np.repeat(np.arange(300), size), rng.integers(0, 2**63, 300 * size).astype(np.uint64)
+        order = np.lexsort((hashed, owner))
+        o, signs = jaccard.rarest(owner, hashed[order], 300, (90, 100), np.zeros(1 << 10, np.uint32))
+        assert len(np.unique(signs)) == len(signs)
+        near = jaccard.maybe_near(np.full(300, size), jaccard.parities(owner, hashed[order], 300), (90, 100))
+        assert near.sum() == 300 if size > 10 else near.sum() < 400
 
 
 def test_stage_keeps_one_of_each_group_at_80_of_five_words(spark, monkeypatch):
@@ -149,8 +167,7 @@ def test_stage_keeps_one_of_each_group_at_80_of_five_words(spark, monkeypatch):
                 label = [new if z == old else z for z in label]
     assert between > 5
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    for common, chunk in ((2, 1024), (10**6, 4)):
-        monkeypatch.setattr(jaccard, "COMMON", common)
+    for chunk in (1024, 4):
         monkeypatch.setattr(jaccard, "CHUNK", chunk)
         assert sorted(r.doc_id for r in jaccard.one_of_each_group(spark, df, "").collect()) == sorted(set(label))
 

@@ -27,7 +27,9 @@ _NAME = re.compile(r"</?([a-zA-Z][\w:-]*)")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "select", "option", "button")}
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg")}
+#: Form controls whose text is left out; the end of an element around them, or the start of a block, ends them too.
+_CONTROLS = frozenset("button datalist option select".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -43,6 +45,7 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
     text: list[str] = []
     linked = 0
     in_link = 0
+    hidden = False
 
     def flush() -> None:
         nonlocal linked
@@ -59,6 +62,8 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
         token = found[0]
         at = found.end()
         if token[0] != "<" or len(token) == 1:
+            if hidden:
+                continue
             text.append(token)
             if in_link:
                 linked += len(token)
@@ -75,8 +80,12 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
+                    hidden = hidden and any(n in _CONTROLS for n, _ in stack)
                     break
             continue
+        if hidden and name in _BLOCK and name not in ("label", "legend"):
+            del stack[next(i for i, (n, _) in enumerate(stack) if n in _CONTROLS) :]
+            hidden = False
         if name == "br":
             text.append(" ")
         if name in _RAW_END:
@@ -106,6 +115,7 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
             mine = dict.fromkeys((*above, *([f"in:{name}"] if name in _BLOCK else ()), *(f"as:{m}" for m in sorted(marks))))
             above = tuple(mine)
         stack.append((name, above))
+        hidden = hidden or name in _CONTROLS
     flush()
     return out
 

@@ -56,15 +56,23 @@ class Splitter:
 
     def __init__(self, counts: dict[str, int]):
         total = sum(counts.values()) + 1
+        self.counts, self.total = counts, total
         self.cost = {w: -math.log10(c / total) for w, c in counts.items()}
         self.unknown = math.log10(total)
         self.known: dict[str, list[str]] = {}
 
-    def split(self, letters: str) -> list[str]:
-        """An unknown word costs the more the longer it is, so names of known words come apart and others stay whole."""
-        if letters in self.known:
+    def split(self, letters: str, own: int = 0) -> list[str]:
+        """An unknown word costs the more the longer it is, so names of known words come apart and others stay whole.
+
+        ``own`` occurrences of the whole are its own and don't vouch for it.
+        """
+        if not own and letters in self.known:
             return self.known[letters]
         n, cost = len(letters), self.cost.get
+        if own:
+            left = self.counts.get(letters, 0) - own
+            whole = -math.log10(left / self.total) if left > 0 else None
+            cost = lambda w: whole if w == letters else self.cost.get(w)
         best, came = [0.0] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
             found = (math.inf, 0)
@@ -81,9 +89,10 @@ class Splitter:
         while end:
             words.append(letters[came[end] : end])
             end = came[end]
-        if len(self.known) > 200_000:
-            self.known.clear()
-        self.known[letters] = words[::-1]
+        if not own:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[letters] = words[::-1]
         return words[::-1]
 
 
@@ -116,12 +125,25 @@ class Bayes:
 
 
 def train(parsed: DataFrame) -> tuple[Splitter, Bayes]:
-    """Splitter and classifier from all rows of ``host, path``; at most ``VOCABULARY`` words of each reach the driver."""
+    """Splitter and classifier from all rows of ``host, path``; at most ``VOCABULARY`` words of each reach the driver.
+
+    Words are counted twice: as labels are written, then in the likeliest split of each label, for
+    which its own occurrences don't count, so names written together are no words for being frequent.
+    """
     names = parsed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     tokens = names.select(F.explode(F.array_distinct(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0)))).alias("w"), "n")
     counted = tokens.filter(F.length("w").between(2, LONGEST)).groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY)
-    counts = Counter({w: 1 for w in ORDINARY}) + Counter({w: 1 for w in SEEDS}) + Counter({r.w: r.n for r in counted.collect()})
-    splitter = Splitter(counts)
+    listed = Counter([*ORDINARY, *SEEDS])
+    first = Splitter(listed + Counter({r.w: r.n for r in counted.collect()}))
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(part, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for part in first.split(w, n)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["w", "n"])
+
+    labels = tokens.filter(F.length("w") > 1).groupBy("w").agg(F.sum("n").alias("n"))
+    split = labels.mapInArrow(apart, "w string, n long").filter(F.length("w").between(2, LONGEST)).groupBy("w").agg(F.sum("n").alias("n"))
+    splitter = Splitter(listed + Counter({r.w: r.n for r in split.orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()}))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

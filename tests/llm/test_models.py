@@ -92,6 +92,36 @@ def test_splitter_is_best():
     assert s.split("cheappills") == ["cheap", "pills"] and s.split("freebets") == ["free", "bets"] and s.split("ththre") == ["ththre"] and "".join(s.split("q" * 90)) == "q" * 90
 
 
+def test_names_written_together_are_judged(spark):
+    urls_ = [f"http://{n}.example/{i}" for i in range(6) for n in ("cheappills", "freecasinobets", "gardenbooks", "garden", "books", "weather", "cheap")] + [f"http://news{i}.example/a" for i in range(40)]
+    rows = urls.judged(spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")).collect()
+    assert {r.host.split(".")[0] for r in rows if r.verdict == "block"} == {"cheappills", "freecasinobets"}
+
+
+def test_url_of_great_length_and_no_rows(spark):
+    df = spark.createDataFrame([(1, "http://" + "ab" * 40_000 + ".org/" + "x/" * 40_000)], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in urls.judged(df).collect()] == [("org/", "allow")]
+    assert urls.judged(df.limit(0)).count() == 0
+
+
+CONTROLS = {
+    '<datalist><option value="a"></datalist><article><p>Long enough to be the main text of the page, a sentence.</p></article>': ["Long enough to be the main text of the page, a sentence."],
+    "<article><button>Share<p>First of the texts.</p><p>Second.</p></article>": ["First of the texts.", "Second."],
+    "<div>before <select><option>one<option>two</select> after <button>go</button> end</div><p>x</p>": ["before after end", "x"],
+    "<button>go": [],
+}
+
+
+@pytest.mark.parametrize("page", CONTROLS)
+def test_controls_hide_their_own_text_only(page):
+    assert [b[0] for b in html.leaf_blocks(page)] == CONTROLS[page]
+
+
+def test_extraction_of_no_pages(spark, field):
+    none = spark.createDataFrame([], "page_id long, url string, html string, text int")
+    assert html.main_text(none, field).count() == 0 and html.main_text(none).count() == 0
+
+
 def tokens(text):
     return (text or "").encode().lower().split() + [b""]
 

@@ -91,24 +91,25 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when((one == "") | (other == ""), (one == other).cast("double")).otherwise(estimate)
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], block_bytes: int, total: int | None) -> DataFrame:
+def with_next(df: DataFrame, key: str, columns: list[str], block_bytes: int, total: int | None, ties: str = "text") -> DataFrame:
     """``df`` with ``next_<column>`` of the row that follows in descending order of the long ``key`` (after the last: the first).
 
     Rows are dealt to ranges of the key; the first row of a range also goes to the range before it
-    as a guest, so no ordering of the whole table is needed. Null keys come last; ties are ordered
-    by a hash of the named columns.
+    as a guest, so no ordering of the whole table is needed. Null keys come last; equal keys are
+    ordered by a hash of the column ``ties``, and rows that are equal in both follow each other; an
+    empty table stays empty; columns of any name are kept.
     """
     blocks = n_blocks(total, block_bytes)
-    b, tie, guest = fresh(df, "bucket"), fresh(df, "tie"), fresh(df, "guest")
-    placed = df.withColumn(b, range_bucket(F.col(key), key_cuts(df, key, blocks))).withColumn(tie, F.xxhash64(*columns))
+    b, tie, guest, host, head, mine_, homes_ = (fresh(df, x) for x in ("bucket", "tie", "guest", "host", "head", "mine", "homes"))
+    placed = df.withColumn(b, range_bucket(F.col(key), key_cuts(df, key, blocks))).withColumn(tie, F.xxhash64(ties))
     order = F.struct(F.coalesce(F.col(key).isNotNull(), F.lit(False)).alias("p"), F.col(key).alias("k"), F.col(tie).alias("t"))
     # one row a range
-    heads = placed.groupBy(b).agg(F.max(order).alias("head"))
+    heads = placed.groupBy(b).agg(F.max(order).alias(head))
     descending = Window.orderBy(F.col(b).desc())
-    before = heads.withColumn("host", F.coalesce(F.lag(b).over(descending), F.min(b).over(Window.partitionBy()))).select(F.col(b).alias("_b"), "head", "host")
-    mine = placed.join(F.broadcast(before), (F.col(b) == F.col("_b")), "left")
-    homes = F.when(order.eqNullSafe(F.col("head")), F.array(F.struct(F.col(b).alias("home"), F.lit(False).alias(guest)), F.struct(F.col("host").alias("home"), F.lit(True).alias(guest)))).otherwise(F.array(F.struct(F.col(b).alias("home"), F.lit(False).alias(guest))))
-    dealt = mine.select(*df.columns, tie, F.explode(homes).alias("_h")).select(*df.columns, tie, F.col("_h.home").alias(b), F.col(f"_h.{guest}").alias(guest))
+    before = heads.withColumn(host, F.coalesce(F.lag(b).over(descending), F.min(b).over(Window.partitionBy()))).select(F.col(b).alias(mine_), head, host)
+    mine = placed.join(F.broadcast(before), F.col(b) == F.col(mine_), "left")
+    homes = F.when(order.eqNullSafe(F.col(head)), F.array(F.struct(F.col(b).alias("home"), F.lit(False).alias("guest")), F.struct(F.col(host).alias("home"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col(b).alias("home"), F.lit(False).alias("guest"))))
+    dealt = mine.select(*df.columns, tie, F.explode(homes).alias(homes_)).select(*df.columns, tie, F.col(homes_)["home"].alias(b), F.col(homes_)["guest"].alias(guest))
     near = Window.partitionBy(b).orderBy(guest, F.col(key).desc_nulls_last(), F.col(tie).desc())
     return dealt.select(*df.columns, guest, *(F.lead(c).over(near).alias(f"next_{c}") for c in columns)).filter(~F.col(guest)).drop(guest)
 

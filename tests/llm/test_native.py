@@ -106,3 +106,11 @@ def test_fingerprint_hard(hard):
 def test_next_of_one_row(spark):
     one = spark.createDataFrame([(5, "x")], "k long, text string")
     assert [tuple(r) for r in fingerprint.with_next(one, "k", ["text"], 10, 1).collect()] == [(5, "x", "x")]
+
+
+def test_next_keeps_columns_of_any_name(spark, nothing):
+    names = ["text", "k", "head", "host", "_h", "home", "guest", "tie", "bucket", "mine", "homes"]
+    df = spark.createDataFrame([(str(i), i, *"abcdefghi") for i in range(9)], ", ".join(f"{n} {'long' if n == 'k' else 'string'}" for n in names))
+    got = fingerprint.with_next(df, "k", ["text"], 2, 20).orderBy("k")
+    assert got.columns == [*names, "next_text"] and [r.next_text for r in got.collect()] == ["8", *map(str, range(8))]
+    assert fingerprint.with_next(nothing, "doc_id", ["text"], 10, 0).count() == 0

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import WORD, written
+from tesserae.llm.common import WORD, fresh, written
 
 WEIGHTS, CAP, SHARE, BINS = (1, 2, 3), 3, 1.0, 4096
 #: Source tables of at most so many rows are broadcast; larger ones are joined by shuffle.
@@ -78,7 +78,9 @@ def _rank(uniform: Column, chance: Column) -> Column:
 
 
 def mix(df: DataFrame, seed: int = 0) -> DataFrame:
-    """``df`` (``doc_id``, ``text``, ``source``) with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``.
+    """``df`` (``doc_id``, ``text``, ``source``) with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``, last and in this order.
+
+    Where ``df`` has columns of these names, the new ones get underscores in front.
 
     A null text has no words, a null source is a source of its own and comes last; documents without
     words are taken with the whole copies of their rate; rows that are equal in id and text share
@@ -113,19 +115,20 @@ def mix(df: DataFrame, seed: int = 0) -> DataFrame:
     )
     cuts = written(sources.join(cut, "key", "left"), "mix-cuts")
 
-    k, s, p, u = (f"_mix_{x}" for x in ("key", "size", "priority", "u"))
+    k, s, p, u, ss, t, m, at = (fresh(df, f"_mix_{x}") for x in ("key", "size", "priority", "u", "ss", "t", "m", "cut"))
     columns = [F.col(f"`{c}`") for c in df.columns]
     rows = df.select(*columns, key.alias(k), size.alias(s), priority.alias(p), uniform.alias(u))
-    joined = rows.join(broadcast(cuts.select(F.col("key").alias(k), F.col("source_size").alias("_mix_ss"), F.col("target").alias("_mix_t"), F.col("mean").alias("_mix_m"), F.col("cut").alias("_mix_cut"))), k)
-    whole, chance = _copies(F.coalesce(F.col("_mix_t") / F.col("_mix_ss"), F.lit(0.0)), F.col(p), F.coalesce("_mix_m", F.lit(1.0)))
-    more = F.coalesce(_rank(F.col(u), chance) <= F.col("_mix_cut"), F.lit(False)).cast("long")
-    return joined.select(*columns, F.col(s).alias("mix_size"), F.col("_mix_ss").alias("mix_source_size"), F.col("_mix_t").alias("mix_target"), (whole + more).cast("long").alias("mix_copies"))
+    joined = rows.join(broadcast(cuts.select(F.col("key").alias(k), F.col("source_size").alias(ss), F.col("target").alias(t), F.col("mean").alias(m), F.col("cut").alias(at))), k)
+    whole, chance = _copies(F.coalesce(F.col(t) / F.col(ss), F.lit(0.0)), F.col(p), F.coalesce(m, F.lit(1.0)))
+    more = F.coalesce(_rank(F.col(u), chance) <= F.col(at), F.lit(False)).cast("long")
+    return joined.select(*columns, F.col(s).alias(fresh(df, "mix_size")), F.col(ss).alias(fresh(df, "mix_source_size")), F.col(t).alias(fresh(df, "mix_target")), (whole + more).cast("long").alias(fresh(df, "mix_copies")))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with its own columns only."""
-    copies = F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))
-    picked = mix(docs).filter(F.col("mix_copies") > 0).withColumn("_copy", F.explode(copies))
+    mixed = mix(docs)
+    n = F.col(mixed.columns[-1])
+    picked = mixed.filter(n > 0).withColumn(fresh(mixed, "copy"), F.explode(F.sequence(F.lit(1).cast("long"), n)))
     return picked.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -64,6 +64,12 @@ def test_mix_hard(spark, hard, nothing):
     assert mixing.mixed_documents(spark, hard, "").columns == hard.columns
 
 
+def test_mix_keeps_columns_of_any_name(spark, hard):
+    named = hard.select("*", *(F.lit("x").alias(n) for n in ("mix_copies", "mix_size", "_mix_key", "_mix_t", "copy", "key")))
+    got = mixing.mixed_documents(spark, named, "")
+    assert got.columns == named.columns and got.count() == mixing.mixed_documents(spark, hard, "").count()
+
+
 ODD = ["", "  a  b\n\n c ", "a<|endoftext|>b 's it's I'll don't  x\u00a0y \u3000z 1234 ab12 ...!! \t\tq", " lead", "trail ", "l'eau. 日本語 です🙂 x🙂y", "\n", "a\n b", "a \nb", "x'S 'tis ' s", "q\u2028 bar \x1c baz\x85 q", "a\0 b c"]
 
 

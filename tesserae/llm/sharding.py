@@ -77,7 +77,9 @@ def row_numbers(df: DataFrame, name: str, per_bucket: int = 200_000) -> tuple[Da
     inside = Window.partitionBy(bucket).orderBy(hashed, *columns).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn(name, F.coalesce(F.sum(rows).over(inside), F.lit(0))).join(F.broadcast(offsets), bucket)
     first = F.col(name) + F.col(start)
-    return placed.select(*columns, F.explode(F.sequence(first, first + F.col(rows) - 1)).alias(name)), n
+    # numbers of very many equal rows in parts, so that no array is long
+    parts = placed.select(*columns, (first + F.col(rows) - 1).alias(rows), F.explode(F.sequence(first, first + F.col(rows) - 1, F.lit(1 << 16).cast("long"))).alias(name))
+    return parts.select(*columns, F.explode(F.sequence(F.col(name), F.least(F.col(name) + ((1 << 16) - 1), F.col(rows)))).alias(name)), n
 
 
 def shard_rows(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:

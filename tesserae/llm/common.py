@@ -14,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a folder of our own, if all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tesserae-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -49,6 +49,12 @@ def test_cut_equals_brute_force(spark, monkeypatch):
         assert cut_rows(spark, texts) == brute_cut([(t or "").encode() for t in texts])
 
 
+def test_op2(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()
+    got = suffixes.op2_suffix_array_dedup(spark, data).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_cut([(r.text or "").encode() for r in docs]) and [r.doc_id for r in got] == [r.doc_id for r in docs]
+
+
 def test_hot_anchors_are_dealt_by_window(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT_BYTES", 0)
     texts = planted(6)

@@ -211,23 +211,20 @@ def test_windows_are_the_text(spark):
     of = [[lm.END, *(i for w in t.split() for i in coder.fast.encode_ordinary(" " + w.lower().replace("Ö", "ö"))), lm.END] for t in texts]
     every = {tuple(ids[i : i + 2]) for ids in of[:7] for i in range(len(ids) - 1)}
     for r in rows:
-        seen, goals = r[: lm.BACK + lm.STEP], r[lm.BACK + lm.STEP :]
-        n = (goals >= 0).sum()
-        assert n and (goals[:n] >= 0).all() and seen[lm.BACK] >= 0 and (seen[lm.BACK + n :] < 0).all()
-        assert all((a, b) in every for a, b in zip(seen[lm.BACK : lm.BACK + n].tolist(), goals[:n].tolist(), strict=True))
-        assert seen[lm.BACK + 1 : lm.BACK + n].tolist() == goals[: n - 1].tolist()
+        there = np.flatnonzero(r != lm.NONE)
+        assert there[0] <= lm.BACK < there[-1] and (np.diff(there) == 1).all()
+        assert all(pair in every for pair in zip(r[there[:-1]].tolist(), r[there[1:]].tolist(), strict=True))
 
 
 def test_fitting_lowers_the_loss():
     model, texts, _ = model_and_texts()
     ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
     before = model.score(ids, lengths, model.tables())[0].sum()
-    seen, goals = np.full((len(texts), lm.BACK + lm.STEP), -1, np.int32), np.full((len(texts), lm.STEP), -1, np.int32)
-    for s, g, t in zip(seen, goals, texts, strict=True):
-        n = min(len(t), lm.STEP)
-        g[:n], s[lm.BACK : lm.BACK + n] = t[:n], np.r_[lm.END, t[: n - 1]]
+    windows = np.full((len(texts), lm.BACK + 1 + lm.STEP), lm.NONE, np.uint16)
+    for w, t in zip(windows, texts, strict=True):
+        w[lm.BACK : lm.BACK + 1 + min(len(t), lm.STEP)] = np.r_[lm.END, t[: lm.STEP]]
     flat = model.flat().copy()
-    model.fit(seen, goals, steps=60, batch=8)
+    model.fit(windows, steps=60, batch=8)
     assert model.score(ids, lengths, model.tables())[0].sum() > before
     model.take(flat)
     assert np.isclose(model.score(ids, lengths, model.tables())[0].sum(), before)

@@ -42,6 +42,16 @@ def contains_none(column: str, patterns: list[str]) -> Column:
     return all_of([~F.contains(F.col(column), F.lit(p)) for p in patterns])
 
 
+def overlaps_or_all(column: str, values: list[str] | None) -> Column:
+    """Whether an array shares one of ``values``; without values every row passes."""
+    return F.lit(True) if values is None else F.arrays_overlap(column, F.array(*(F.lit(v) for v in values)))
+
+
+def equals_or_all(column: str, value: object) -> Column:
+    """Whether the column has ``value``; without a value every row passes."""
+    return F.lit(True) if value is None else F.col(column) == F.lit(value)
+
+
 def folded(text: Column) -> Column:
     """Without marks on Latin letters."""
     return F.translate(text, MARKED, BARE)
@@ -67,10 +77,19 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(url, r"^https?://(www\.)?([^/]+).*", "$2")
 
 
+#: First words of titles that name no person.
+TITLE_WORDS = "rediff|extrait|excerpt|bonus|zoom|episode|hors[- ]?serie|interview|special|partenariat|replay|bande[- ]?annonce|teaser|hs"
+#: Verbs that tell a title from a name.
+TITLE_VERBS = "comment|pourquoi|reprendre|reussir|réussir|construire|explorer|decouvrir|découvrir|devenir|trouver|investir|gagner|monter|lancer|creer|créer|developper|développer"
+
+
 def valid_person_name(name: Column) -> Column:
-    """Two or more words, upper-case start, no bracket, colon, slash, bar, hash or guillemet, at most 50 characters."""
-    n = F.trim(name)
-    return (
-        n.isNotNull() & (F.size(F.split(n, r"\s+")) >= 2) & n.rlike(r"^\p{Lu}") & ~n.rlike(r"[\[\](){}:/|#«»\x{2019}]") & ~n.rlike(r"[0-9]") & (F.length(n) <= 50) & ~n.rlike("[\"']$")
-        & (F.size(F.split(n, " - ")) < 3) & ~n.rlike(r"(?i)^(the|le|la|les|episode|best|bonus)\b")
-    )
+    """Two or more words (hyphens part them too), an upper-case start, at most 50 characters, and no mark of a title.
+
+    Marks are: an opening bracket or hash, digits alone, a listed first word, a listed verb, a colon,
+    slash, bar or guillemet, a curly apostrophe, a quote at the end, and two dashes between spaces.
+    """
+    n = F.regexp_replace(name, r"^[\s\x{a0}]+|[\s\x{a0}]+$", "")
+    words = F.filter(F.split(n, r"[\s\x{a0}-]+"), lambda w: w != "")
+    marks = [r"^[\[#]", r"^[0-9]+$", rf"(?i)^({TITLE_WORDS})(?![A-Za-z0-9_])", rf"(?i)(?<![A-Za-z0-9_])({TITLE_VERBS})(?![A-Za-z0-9_])", r"[:/|«»\x{2019}]", r"['‘`]$", r"(?s)\s-\s.*\s-\s"]
+    return F.coalesce(n.rlike("^[A-ZÀ-Ý]") & (F.size(words) >= 2) & (F.length(n) <= 50) & ~any_of([n.rlike(m) for m in marks]), F.lit(False))

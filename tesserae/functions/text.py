@@ -10,7 +10,9 @@ from tesserae.functions.predicates import any_of, folded, host_of, slug
 #: Named references that landed descriptions use, with their characters, in the order they are replaced.
 REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 #: Kinds of links by parts of the host; the first that fits counts. Replace for another catalogue.
-HOST_KINDS = [("profile", ["profiles.example"]), ("social", ["social.example", "video.example"]), ("audio", ["audio.example", "cast.example"]), ("tool", ["brand1.", "brand2.", "tool.example"])]
+HOST_KINDS = [("profile", ["profiles.example"]), ("social", ["social.example", "video.example"]), ("cross_ref", ["audio.example", "cast.example"]), ("tool", ["brand1.", "brand2.", "tool.example"])]
+#: Endings of audio files.
+AUDIO_FILE = r"(?i)\.(?:mp3|m4a|wav|ogg)(?:\?|$)"
 #: Path parts that never name an item.
 UTILITY = "about|contact|privacy|terms|tag|category|search|login|feed"
 #: Kinds of items by words of the title, in order of priority.
@@ -42,10 +44,26 @@ def to_hms(seconds: Column) -> Column:
     return F.concat(two(F.floor(s / 3600)), F.lit(":"), two(F.floor(s / 60) % 60), F.lit(":"), two(s % 60))
 
 
+#: An anchor with its address and its inside; and an address that stands in plain text.
+ANCHOR = r"""(?is)<a\s+[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
+BARE_URL = r"""https?://[^\s<>"'()]+[^\s<>"'().,;:!?]"""
+
+
 def anchors(html: Column) -> Column:
-    """``(href, label)`` of every anchor, in order; labels without tags, at most 200 characters."""
-    whole = F.regexp_extract_all(html, F.lit(r"<a [^>]*href=\"[^\"]*\"[^>]*>[^<]*</a>"), F.lit(0))
-    return F.transform(whole, lambda a: F.struct(F.regexp_extract(a, r"href=\"([^\"]*)\"", 1).alias("href"), F.substring(F.trim(F.regexp_replace(a, r"<[^>]*>", "")), 1, 200).alias("label")))
+    """``(href, label)`` of every anchor, in order; labels as text, at most 200 characters, null where empty."""
+    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("h"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("t"))
+    return F.transform(both, lambda a: F.struct(F.trim(a["h"]).alias("href"), F.nullif(F.substring(html_to_text(a["t"]), 1, 200), F.lit("")).alias("label")))
+
+
+def web_links(html: Column) -> Column:
+    """``(href, label)`` of the anchors that lead to the web, then of addresses in the text, which have no label."""
+    bare = F.transform(F.regexp_extract_all(html_to_text(html), F.lit(BARE_URL), F.lit(0)), lambda u: F.struct(u.alias("href"), F.lit(None).cast("string").alias("label")))
+    return F.concat(F.filter(anchors(html), lambda a: a["href"].rlike("(?i)^https?://")), bare)
+
+
+def without_front_matter(markdown: Column) -> Column:
+    """Markdown without the block between two lines of three hyphens at its start."""
+    return F.regexp_replace(markdown, r"(?s)^---\n.*?\n---\n", "")
 
 
 def absolute_url(href: Column, base: Column) -> Column:
@@ -55,13 +73,16 @@ def absolute_url(href: Column, base: Column) -> Column:
 
 
 def classify_url(url: Column, own_host: str) -> Column:
-    """Kind of a link: by host, own items by path, bare hosts as companies, the rest as resources; empty is other."""
+    """Kind of a link, the first that fits: profile or social by host, audio by the file, other catalogues and tools by host, own items by path, bare hosts as companies, the rest as resources; empty is other."""
     host = host_of(url)
     path = F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)
     kind = F.when(F.coalesce(url, F.lit("")) == "", "other")
     for name, parts in HOST_KINDS:
+        if name == "cross_ref":
+            kind = kind.when(url.rlike(AUDIO_FILE), "audio")
         kind = kind.when(any_of([F.contains(host, F.lit(p)) for p in parts]), name)
-    return kind.when((host == own_host) & ~path.isin("", "/") & ~path.rlike(rf"^/({UTILITY})\b"), "episode_ref").when(path.isin("", "/"), "company").otherwise("resource")
+    own = (host == own_host) & ~path.isin("", "/") & ~path.rlike(rf"^/({UTILITY})\b")
+    return kind.when(own, "episode_ref").when(url.rlike("^https?://[^/]+/?$"), "company").otherwise("resource")
 
 
 def episode_ref_reason(url: Column, own_host: str) -> Column:

@@ -104,3 +104,9 @@ def cascade_delete(child: DataFrame, gone: DataFrame, key: str, *columns: str) -
     for c in columns:
         child = child.join(gone.select(F.col(key).alias(c)).distinct(), c, "left_anti").select(*child.columns)
     return child
+
+
+def first_filled(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``first``, or ``second`` where ``first`` has no rows; of the other side one row at most is moved."""
+    any_ = first.limit(1).select(F.lit(1).alias("_any"))
+    return first.union(second.join(F.broadcast(any_), F.lit(True), "left_anti").select(*first.columns))

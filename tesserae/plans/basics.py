@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import predicates as P
+from tesserae.functions import text as X
 from tesserae.operators import relational as R
 from tesserae.plans.registry import query
 from tesserae.sources.tables import PRIORITIES, Tables
@@ -19,10 +20,12 @@ def src1(t: Tables):
     return t.episodes.filter(F.col("tenant_id") == "1-URGENT").select("id", "title", "pillar")
 
 
-@query("SRC2", "SELECT tenant_id, count(*) AS n FROM episodes WHERE tenant_id IN (SELECT DISTINCT tenant_id FROM guests WHERE company = 'building') GROUP BY 1")
+@query("SRC2", """WITH k AS (SELECT DISTINCT tenant_id FROM guests WHERE company = 'none such'), f AS (SELECT DISTINCT tenant_id FROM guests WHERE company = 'building')
+SELECT tenant_id, count(*) AS n FROM episodes WHERE tenant_id IN (SELECT tenant_id FROM k UNION SELECT tenant_id FROM f WHERE NOT EXISTS (SELECT 1 FROM k)) GROUP BY 1""")
 def src2(t: Tables):
-    known = t.guests.filter(F.col("company") == "building").select("tenant_id").distinct()
-    return t.episodes.join(known, "tenant_id", "left_semi").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
+    """Tenants of a first table, of a second where the first is empty."""
+    first, second = (t.guests.filter(F.col("company") == c).select("tenant_id").distinct() for c in ("none such", "building"))
+    return t.episodes.join(R.first_filled(first, second), "tenant_id", "left_semi").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SRC5", "SELECT page_id, url, length(html) AS size FROM pages WHERE html IS NOT NULL")
@@ -30,11 +33,13 @@ def src5(t: Tables):
     return t.pages.filter(F.col("html").isNotNull()).select("page_id", "url", F.length("html").cast("long").alias("size"))
 
 
-@query("SRC7", "SELECT doc_id, source, len(list_intersect(list_distinct(string_split(substr(text, 1, 2000), ' ')), ['the', 'of', 'de', 'la', 'und']))::INT AS overlap FROM documents ORDER BY overlap DESC, doc_id LIMIT 20")
+@query("SRC7", """SELECT doc_id, source, len(list_intersect(list_distinct(string_split(substr(text, 1, 2000), ' ')), ['the', 'of', 'de', 'la', 'und']))::INT AS overlap FROM documents ORDER BY overlap DESC, doc_id LIMIT 20""")
 def src7(t: Tables):
-    words = F.array_distinct(F.split(F.substring("text", 1, 2000), " "))
+    """Texts landed as Markdown with front matter, which is stripped before the cap and the ranking."""
+    landed = t.documents.select("doc_id", "source", F.concat(F.lit("---\ntitle: the of\nlang: "), "lang", F.lit("\n---\n"), "text").alias("markdown"))
+    words = F.array_distinct(F.split(F.substring(X.without_front_matter(F.col("markdown")), 1, 2000), " "))
     wanted = F.array(*(F.lit(x) for x in ("the", "of", "de", "la", "und")))
-    return t.documents.select("doc_id", "source", F.size(F.array_intersect(words, wanted)).alias("overlap")).orderBy(F.desc("overlap"), "doc_id").limit(20)
+    return landed.select("doc_id", "source", F.size(F.array_intersect(words, wanted)).alias("overlap")).orderBy(F.desc("overlap"), "doc_id").limit(20)
 
 
 @query("FLT1", "SELECT id, title FROM episodes WHERE pillar = 'P3' AND difficulty = 'F' AND (lower(title) LIKE '%building%' OR lower(guest) LIKE '%building%')")
@@ -76,9 +81,12 @@ def flt7(t: Tables):
     return t.links.filter(~F.col("url").like("%brand1.%") & ~F.col("url").rlike(r"/p/[0-9]\z") & ~F.col("link_type").isin("tool")).select("id", "url")
 
 
-@query("FLT8", "SELECT episode_id FROM enrichment WHERE list_has_any(tags, ['Brand#3', 'Brand#9']) ORDER BY episode_id LIMIT 50")
+@query("FLT8", "SELECT n.episode_id, e.date_created FROM enrichment n JOIN episodes e ON e.id = n.episode_id WHERE list_has_any(tags, ['Brand#3', 'Brand#9']) AND pillar = 'P3' ORDER BY e.date_created, n.episode_id LIMIT 50")
 def flt8(t: Tables):
-    return t.enrichment.filter(F.arrays_overlap("tags", F.array(F.lit("Brand#3"), F.lit("Brand#9")))).select("episode_id").orderBy("episode_id").limit(50)
+    """Optional parameters: values for tags and pillar, none for difficulty, which therefore passes all."""
+    rows = t.enrichment.join(t.episodes.select(F.col("id").alias("episode_id"), "pillar", "difficulty", "date_created"), "episode_id")
+    wanted = P.overlaps_or_all("tags", ["Brand#3", "Brand#9"]) & P.equals_or_all("pillar", "P3") & P.equals_or_all("difficulty", None)
+    return rows.filter(wanted).select("episode_id", "date_created").orderBy("date_created", "episode_id").limit(50)
 
 
 @query("FLT9", "SELECT id FROM episodes WHERE episode_type IS DISTINCT FROM editorial_type")
@@ -86,13 +94,18 @@ def flt9(t: Tables):
     return t.episodes.filter(~F.col("episode_type").eqNullSafe(F.col("editorial_type"))).select("id")
 
 
-@query("FLT10", r"""SELECT page_id, host FROM (SELECT page_id, regexp_extract(url, '//([^/]*)', 1) AS host FROM pages)
-WHERE len(regexp_split_to_array(trim(regexp_replace(host, '[.]', ' ', 'g')), '\s+')) >= 2 AND regexp_matches(upper(host[1]) || host[2:], '^\p{Lu}') AND length(host) <= 50
- AND NOT regexp_matches(host, '[0-9]') AND len(string_split(host, ' - ')) < 3 AND NOT regexp_matches(upper(host[1]) || replace(host[2:], '.', ' '), '(?i)^(the|le|la|les|episode|best|bonus)\b')""")
+@query("FLT10", rf"""WITH c AS (SELECT doc_id AS id, 'text' AS kind, trim(regexp_extract(text, '^[^.\n]*')) AS n FROM documents UNION ALL SELECT id, 'guest', guest FROM episodes UNION ALL SELECT id, 'title', trim(replace(title, '#', '')) FROM episodes
+ UNION ALL SELECT page_id, 'page', trim(regexp_extract(html, '<h1>([^<]*)', 1)) FROM pages)
+SELECT id, kind, n FROM c WHERE regexp_matches(n, '^[A-ZÀ-Ý]') AND len(list_filter(regexp_split_to_array(n, '[\s-]+'), lambda w: w <> '')) >= 2 AND length(n) <= 50 AND NOT regexp_matches(n, '^[\[#]|^[0-9]+$|[:/|«»’]|[''‘`]$|\s-\s.*\s-\s')
+ AND NOT regexp_matches(n, '(?i)^({P.TITLE_WORDS})\b') AND NOT regexp_matches(n, '(?i)\b({P.TITLE_VERBS})\b')""")
 def flt10(t: Tables):
-    host = F.regexp_extract("url", "//([^/]*)", 1)
-    name = F.concat(F.upper(F.substring(host, 1, 1)), F.regexp_replace(F.substring(host, 2, 1000), "[.]", " "))
-    return t.pages.select("page_id", host.alias("host"), name.alias("name")).filter(P.valid_person_name(F.col("name"))).select("page_id", "host")
+    """Names among first sentences, guests, titles and headings."""
+    found = (
+        t.documents.select(F.col("doc_id").alias("id"), F.lit("text").alias("kind"), F.trim(F.regexp_extract("text", r"^[^.\n]*", 0)).alias("n"))
+        .union(t.episodes.select("id", F.lit("guest"), "guest")).union(t.episodes.select("id", F.lit("title"), F.trim(F.regexp_replace("title", "#", ""))))
+        .union(t.pages.select("page_id", F.lit("page"), F.trim(F.regexp_extract("html", "<h1>([^<]*)", 1))))
+    )
+    return found.filter(P.valid_person_name(F.col("n")))
 
 
 @query("FLT11", "SELECT tenant_id, count(*) AS n FROM episodes WHERE tenant_id IN ('1-URGENT', '5-LOW') GROUP BY 1")

@@ -10,34 +10,30 @@ from tesserae.operators import relational as R
 from tesserae.plans.registry import query
 from tesserae.sources.tables import HOST, Tables
 
-HEAD = "substr(text, 1, 60)"
-LI = r"""SELECT page_id, url, i, href, label FROM (SELECT page_id, url, generate_subscripts(a, 1) AS i, regexp_extract(unnest(a), 'href="([^"]*)"', 1) AS href, substr(trim(regexp_replace(unnest(a), '<[^>]*>', '', 'g')), 1, 200) AS label
- FROM (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>[^<]*</a>') AS a FROM pages))"""
 FOLD = "strip_accents(lower({}))"
 
 
-def head():
-    """A short piece of a text, as a title or name stands in one."""
-    return F.substring("text", 1, 60)
-
-
-@query("TXT1", rf"SELECT doc_id, trim(regexp_replace(strip_accents(lower({HEAD})), '\s+', ' ', 'g')) AS k FROM documents")
+@query("TXT1", rf"SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g')) AS k FROM documents")
 def txt1(t: Tables):
-    return t.documents.select("doc_id", P.name_key(head()).alias("k"))
+    return t.documents.select("doc_id", P.name_key(F.col("text")).alias("k"))
 
 
-@query("TXT2", rf"SELECT doc_id, substr(regexp_replace(regexp_replace(strip_accents(lower({HEAD})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 20) AS slug FROM documents")
+@query("TXT2", rf"SELECT doc_id, substr(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 20) AS slug FROM documents")
 def txt2(t: Tables):
-    return t.documents.select("doc_id", P.slug(head(), 20).alias("slug"))
+    return t.documents.select("doc_id", P.slug(F.col("text"), 20).alias("slug"))
 
 
-@query("TXT3", rf"SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower({HEAD})), '[^\p{{L}}\p{{N}}]', ' ', 'g'), ' +', ' ', 'g')) AS k FROM documents")
+@query("TXT3", rf"SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\p{{L}}\p{{N}}]', ' ', 'g'), ' +', ' ', 'g')) AS k FROM documents")
 def txt3(t: Tables):
-    return t.documents.select("doc_id", P.verbatim_key(head()).alias("k"))
+    return t.documents.select("doc_id", P.verbatim_key(F.col("text")).alias("k"))
+
 
+#: ``html_to_text`` of the column ``html``.
+PLAIN = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</p>', chr(10) || chr(10), 'g'), '<[^>]*>', ' ', 'g'),
+ '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'))"""
 
-@query("TXT4", r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</p>', chr(10) || chr(10), 'g'), '<[^>]*>', ' ', 'g'),
- '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g')) AS text FROM pages""")
+
+@query("TXT4", f"SELECT page_id, {PLAIN} AS text FROM pages")
 def txt4(t: Tables):
     return t.pages.select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
@@ -51,18 +47,24 @@ def txt5(t: Tables):
 
 
 def page_links(t: Tables):
-    """Anchors of all pages, in order."""
-    return t.pages.select("page_id", "url", F.posexplode(X.anchors(F.col("html"))).alias("i", "a")).select("page_id", "url", (F.col("i") + 1).alias("i"), "a.href", "a.label")
+    """Links of all pages to the web, in order."""
+    return t.pages.select("page_id", "url", F.posexplode(X.web_links(F.col("html"))).alias("i", "a")).select("page_id", "url", (F.col("i") + 1).alias("i"), "a.href", "a.label")
+
+
+ANCHORS = X.ANCHOR.replace("'", "''")
+LINKS = f"""WITH a AS (SELECT page_id, url, generate_subscripts(h, 1) AS i, trim(unnest(h)) AS href, unnest(x) AS html FROM (SELECT page_id, url, regexp_extract_all(html, '{ANCHORS}', 1) AS h, regexp_extract_all(html, '{ANCHORS}', 2) AS x FROM pages)),
+b AS (SELECT page_id, url, generate_subscripts(h, 1) + 1000000 AS i, unnest(h) AS href FROM (SELECT page_id, url, regexp_extract_all({PLAIN}, '{X.BARE_URL.replace("'", "''")}') AS h FROM pages)),
+page_links AS (SELECT page_id, url, i, href, nullif(substr({PLAIN}, 1, 200), '') AS label FROM a WHERE regexp_matches(href, '(?i)^https?://') UNION ALL SELECT page_id, url, i, href, NULL FROM b)"""
 
 
-@query("TXT6", f"SELECT page_id, href, label FROM (SELECT *, row_number() OVER (PARTITION BY page_id, lower(href) ORDER BY i) AS rn FROM ({LI})) WHERE rn = 1")
+@query("TXT6", f"{LINKS} SELECT page_id, href, label FROM (SELECT *, row_number() OVER (PARTITION BY page_id, lower(href) ORDER BY i) AS rn FROM page_links) WHERE rn = 1")
 def txt6(t: Tables):
     first = R.distinct_on(page_links(t).withColumn("k", F.lower("href")), ["page_id", "k"], [F.asc("i")])
     return first.select("page_id", "href", "label")
 
 
-KIND = """CASE WHEN coalesce(url, '') = '' THEN 'other' WHEN contains(h, 'profiles.example') THEN 'profile' WHEN contains(h, 'social.example') OR contains(h, 'video.example') THEN 'social' WHEN contains(h, 'audio.example') OR contains(h, 'cast.example') THEN 'audio'
- WHEN contains(h, 'brand1.') OR contains(h, 'brand2.') OR contains(h, 'tool.example') THEN 'tool' WHEN h = 'cat.example.com' AND p NOT IN ('', '/') AND NOT regexp_matches(p, '^/(about|contact|privacy|terms|tag|category|search|login|feed)\\b') THEN 'episode_ref' WHEN p IN ('', '/') THEN 'company' ELSE 'resource' END""".replace("\\\\", "\\")
+KIND = """CASE WHEN coalesce(url, '') = '' THEN 'other' WHEN contains(h, 'profiles.example') THEN 'profile' WHEN contains(h, 'social.example') OR contains(h, 'video.example') THEN 'social' WHEN regexp_matches(url, '(?i)[.](mp3|m4a|wav|ogg)([?]|$)') THEN 'audio' WHEN contains(h, 'audio.example') OR contains(h, 'cast.example') THEN 'cross_ref'
+ WHEN contains(h, 'brand1.') OR contains(h, 'brand2.') OR contains(h, 'tool.example') THEN 'tool' WHEN h = 'cat.example.com' AND p NOT IN ('', '/') AND NOT regexp_matches(p, '^/(about|contact|privacy|terms|tag|category|search|login|feed)\\b') THEN 'episode_ref' WHEN regexp_matches(url, '^https?://[^/]+/?$') THEN 'company' ELSE 'resource' END""".replace("\\\\", "\\")
 PARTS = r"SELECT *, regexp_replace(url, '^https?://(www[.])?([^/]+).*', '\2') AS h, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS p FROM links"
 
 
@@ -169,7 +171,7 @@ def txt22(t: Tables):
     return t.links.select("id", simple.alias("simple"), X.classify_url(F.col("url"), HOST).alias("kind"))
 
 
-@query("TXT23", f"SELECT page_id, i::INT AS i, CASE WHEN regexp_matches(href, '^(#|mailto:|tel:|javascript:)') THEN NULL WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN href[1] = '/' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || href ELSE regexp_extract(url, '^[a-z]+://[^/?#]+') || '/' || href END AS target FROM ({LI})")
+@query("TXT23", f"{LINKS} SELECT page_id, i::INT AS i, CASE WHEN regexp_matches(href, '^(#|mailto:|tel:|javascript:)') THEN NULL WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN href[1] = '/' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || href ELSE regexp_extract(url, '^[a-z]+://[^/?#]+') || '/' || href END AS target FROM page_links")
 def txt23(t: Tables):
     return page_links(t).select("page_id", "i", X.absolute_url(F.col("href"), F.col("url")).alias("target"))
 
@@ -213,9 +215,9 @@ def txt30(t: Tables):
     return t.documents.join(F.broadcast(phrases), F.contains(F.lower("text"), F.col("phrase"))).select("doc_id", "phrase")
 
 
-@query("TXT31", rf"SELECT substr(sha256(lower(trim({HEAD}))), 1, 32) AS k, count(*) AS n FROM documents GROUP BY 1")
+@query("TXT31", rf"SELECT substr(sha256(lower(trim(text))), 1, 32) AS k, count(*) AS n FROM documents GROUP BY 1")
 def txt31(t: Tables):
-    return t.documents.groupBy(F.substring(F.sha2(F.lower(F.trim(head())), 256), 1, 32).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return t.documents.groupBy(F.substring(F.sha2(F.lower(F.trim(F.col("text"))), 256), 1, 32).alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("TXT32", "SELECT event_id, (json_extract(props, '$.k'))::INT AS k FROM events")

@@ -106,8 +106,8 @@ def dml11(t: Tables):
 
 @query("DML12")
 def dml12(t: Tables):
-    """Nested documents, one a tenant, loaded as rows with surrogate ids of their natural keys; children without a parent go."""
-    docs = t.episodes.filter("id < 1000").groupBy("tenant_id").agg(F.collect_list(F.struct("episode_number", "title", "guest")).alias("items"))
+    """Nested documents, one for a tenant and a thousand ids, loaded as rows with surrogate ids of their natural keys; children without a parent go."""
+    docs = t.episodes.groupBy("tenant_id", F.floor(F.col("id") / 1000).alias("part")).agg(F.collect_list(F.struct("episode_number", "title", "guest")).alias("items"))
     rows = docs.select("tenant_id", F.inline("items")).withColumn("id", F.xxhash64("tenant_id", "episode_number"))
     kids = t.tags.select(F.col("episode_id").alias("episode_number"), "tag")
     return rows.join(kids, "episode_number").select("id", "tenant_id", "title", "tag")

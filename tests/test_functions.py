@@ -24,9 +24,9 @@ def test_durations(spark):
 
 
 def test_person_names(spark):
-    good = ["Ada Lovelace", "Élodie de la Tour", "Jean-Luc Picard"]
-    bad = ["ada lovelace", "Ada", "[Ada Lovelace]", "Ada: Lovelace", "A B/C", "Best of Ada", "Ada Lovelace 2", "Ada «Lovelace»", "A" * 30 + " " + "B" * 30, None]
-    assert values(spark, good, P.valid_person_name) == [True] * 3
+    good = ["Ada Lovelace", "Élodie de la Tour", "Jean-Luc", "Ada Lovelace 2", "Zoomer Ada", " Ada - Lovelace ", "O'Neil Ada"]
+    bad = ["ada lovelace", "Ada", "[Ada Lovelace]", "Ada: Lovelace", "A B/C", "Bonus Ada Lovelace", "12 34", "12", "Ada devenir Reine", "Ada Lovelace'", "Ada’s Engine", "A - b - c", "Ada «Lovelace»", "A" * 30 + " " + "B" * 30, "", None]
+    assert values(spark, good, P.valid_person_name) == [True] * len(good)
     assert not any(values(spark, bad, P.valid_person_name))
 
 
@@ -41,13 +41,20 @@ def test_html_to_text(spark):
 
 
 def test_links_and_classes(spark):
-    urls = ["https://cat.example.com/e/1", "https://cat.example.com/", "https://cat.example.com/about", "https://www.social.example/x", "https://firm.example.org", "https://firm.example.org/a", "", None]
-    assert values(spark, urls, lambda u: X.classify_url(u, "cat.example.com")) == ["episode_ref", "company", "resource", "social", "company", "resource", "other", "other"]
+    urls = ["https://cat.example.com/e/1", "https://cat.example.com/", "https://cat.example.com/about", "https://www.social.example/x", "https://firm.example.org", "https://firm.example.org/a", "", None, "https://a.example/x.MP3?y", "https://cast.example/show/1", "https://a.example/?q=1"]
+    assert values(spark, urls, lambda u: X.classify_url(u, "cat.example.com")) == ["episode_ref", "company", "resource", "social", "company", "resource", "other", "other", "audio", "cross_ref", "resource"]
     assert values(spark, urls[:4], lambda u: X.episode_ref_reason(u, "cat.example.com")) == ["match", "root", "utility", "host"]
     base = F.lit("https://a.example/x?y")
     assert values(spark, ["/b", "#c", "mailto:d", "http://e.example/f", "g"], lambda u: X.absolute_url(u, base)) == ["https://a.example/b", None, None, "http://e.example/f", "https://a.example/g"]
 
 
+def test_web_links(spark):
+    page = """<a class='x' href='https://a.example/1'><b>Bold</b> &amp; more</a> <a href="/local">l</a> see https://b.example/2. <a href="http://c.example"></a> (https://A.example/1)"""
+    got = values(spark, [page, "", None], X.web_links)
+    assert [(g["href"], g["label"]) for g in got[0]] == [("https://a.example/1", "Bold & more"), ("http://c.example", None), ("https://b.example/2", None), ("https://A.example/1", None)]
+    assert got[1] == [] and values(spark, ["---\na: b\n---\nText"], X.without_front_matter) == ["Text"]
+
+
 def test_titles(spark):
     assert values(spark, ["#12 - Extrait : x", "Bonus x", "12 x", "x", None], X.editorial_type) == ["extract", "bonus", "full", "unknown", "unknown"]
     assert values(spark, ["#12 - A long talk - Ada", "12. What now?", "a - what?"], X.clean_title) == ["A long talk", "What now?", "a - what?"]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.relational import distinct_on, small
+from tesserae.operators.relational import distinct_on, small, top_n_per_group
 
 
 def pick_profile(candidates: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -65,3 +67,33 @@ def ability(answers: DataFrame, keys: list[str], order: list[str], right: str, d
 
     done = answers.groupBy(*keys).agg(F.aggregate(items, zero, step).alias("s"))
     return done.select(*keys, F.round("s.theta", 6).alias("theta"), "s.score", "s.n")
+
+
+def recommend(users: DataFrame, items: DataFrame, done: DataFrame, goals: dict[str, list[str]], n: int) -> DataFrame:
+    """Top ``n`` items of each user with score and reasons; only scores above 0, without what the user has done.
+
+    ``users``: ``user_id, interests, goals, level``; ``items``: ``id, pillar, level, path, recent``;
+    ``done``: ``user_id, id``. 30 for an interest, 20 for the user's level, 10 for the next and -10
+    beyond it, 25 for the first goal that fits, 10 on a path, 5 if recent. Users meet classes of
+    items that are alike in all of these, and of a class only as many items as a user can need, so
+    users and items are never crossed.
+    """
+    alike = ["pillar", "level", "path", "recent"]
+    classes = items.select(*alike).distinct()
+    score, why = F.lit(0), []
+    wanted = F.exists("goals", lambda g: F.coalesce(F.array_contains(F.coalesce(*(F.when(g == k, F.array(*(F.lit(p) for p in ps))) for k, ps in goals.items()), F.array().cast("array<string>")), F.col("pillar")), F.lit(False)))
+    mine = F.col("mine")
+    for points, name, holds in (
+        (30, "interest", F.array_contains("interests", F.col("pillar"))), (20, "level", F.col("level") == mine), (10, "next level", F.col("level") == mine + 1),
+        (-10, None, F.col("level") > mine + 1), (25, "goal", wanted), (10, "path", F.col("path")), (5, "recent", F.col("recent")),
+    ):
+        score = score + F.when(holds, points).otherwise(0)
+        why += [F.when(holds, name)] if name else []
+    scored = users.withColumnRenamed("level", "mine").join(small(classes), F.lit(True)).select("user_id", *alike, score.alias("score"), F.concat_ws(",", *why).alias("reasons")).filter("score > 0")
+    # a user needs n items of a class at most, and one more for each that is done
+    placed = items.withColumn("place", F.row_number().over(Window.partitionBy(*alike).orderBy("id")))
+    most = done.join(items, "id").groupBy("user_id", *alike).count().groupBy(*alike).agg(F.max("count").alias("most"))
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in alike])
+    needed = placed.alias("p").join(small(most).alias("m"), same("p", "m"), "left").filter(F.col("place") <= n + F.coalesce("most", F.lit(0))).select("p.id", *(F.col(f"p.{c}") for c in alike))
+    found = scored.alias("p").join(small(needed).alias("m"), same("p", "m")).select("user_id", "id", "score", "reasons")
+    return top_n_per_group(found.join(done, ["user_id", "id"], "left_anti"), ["user_id"], [F.desc("score"), F.asc("id")], n)

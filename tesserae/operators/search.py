@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.predicates import folded
 from tesserae.operators.relational import small, top_n_per_group
 
 
@@ -22,19 +23,62 @@ def with_norm(df: DataFrame, vector: str = "v") -> DataFrame:
     return df.withColumn("norm", F.sqrt(dot(F.col(vector), F.col(vector))))
 
 
-def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, same_tenant: bool = True) -> DataFrame:
-    """Exact top ``k`` items by cosine for each of query rows (``query_id, tenant, v``), which are broadcast if they are few.
+def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, same_tenant: bool = True, rows: int = 4096) -> DataFrame:
+    """Exact top ``k`` items by cosine for each of query rows (``query_id, tenant, v``), of the same tenant or of all others.
 
-    Scores are rounded to 6 places and ties go to the lower id.
+    Scores are rounded to 6 places and ties go to the lower id; a query is not its own hit.
     """
-    q = with_norm(queries).select("query_id", F.col("tenant").alias("q_tenant"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
-    on = (F.col("tenant") == F.col("q_tenant")) if same_tenant else (F.col("tenant") != F.col("q_tenant"))
-    scored = with_norm(items).join(small(q), on & (F.col("id") != F.col("query_id")))
-    score = F.round(dot(F.col("v"), F.col("q")) / (F.col("norm") * F.col("q_norm")), 6)
-    best = top_n_per_group(scored.select("query_id", "id", score.alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], k)
+    found = block_products(queries, items, k, "same" if same_tenant else "other", rows=rows).filter("id is not null").select("query_id", "id", (1 - F.col("distance")).alias("score"))
+    best = top_n_per_group(found.withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.asc("id")], k)
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))))
 
 
+def block_products(queries: DataFrame, items: DataFrame, k: int, tenants: str, penalty: float = 1.0, most: float | None = None, rows: int = 4096) -> DataFrame:
+    """``query_id, id, distance``: partial lists of the ``k`` nearest items of each query, from products of blocks of vectors.
+
+    ``tenants`` says which items count: ``same``, ``other`` or ``any``. Distances (one less the cosine)
+    of the query's own tenant are multiplied by ``penalty``; those beyond ``most`` are dropped, and a
+    row without id tells how many. Queries and items are dealt to blocks of about ``rows`` rows by
+    counts, and each pair of blocks meets in one group, so neither side is broadcast.
+    """
+    key = F.col("tenant").cast("string") if tenants == "same" else F.lit("")
+
+    def dealt(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        sizes = df.groupBy(key.alias("g")).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(f"{name}_blocks"))
+        return df.select(key.alias("g"), F.col(name).alias("id"), "tenant", "v"), sizes
+
+    (q, q_sizes), (x, x_sizes) = dealt(queries, "query_id"), dealt(items, "id")
+    sizes = q_sizes.join(x_sizes, "g").withColumnsRenamed({"query_id_blocks": "qs", "id_blocks": "xs"})
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q.join(sizes, "g").select("g", block("qs").alias("i"), every("xs").alias("j"), F.lit(True).alias("asks"), "id", "tenant", "v")
+    right = x.join(sizes, "g").select("g", every("qs").alias("i"), block("xs").alias("j"), F.lit(False).alias("asks"), "id", "tenant", "v")
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, out = pdf[pdf["asks"]], pdf[~pdf["asks"]], []
+        if len(a) and len(b):
+            one, two = (np.stack(part["v"].to_list()) for part in (a, b))
+            one, two = (u / np.linalg.norm(u, axis=1, keepdims=True) for u in (one, two))
+            ids, others, ours, theirs = a["id"].to_numpy(), b["id"].to_numpy(), a["tenant"].to_numpy(), b["tenant"].to_numpy()
+            for at in range(0, len(ids), 512):
+                part = slice(at, at + 512)
+                same = ours[part, None] == theirs[None, :]
+                far = np.round(1 - np.round(one[part] @ two.T, 6), 6)
+                far = np.round(far * np.where(same, penalty, 1.0), 6)
+                far[(ids[part, None] == others[None, :]) | (same if tenants == "other" else False)] = np.inf
+                beyond = np.isfinite(far) & (far > most) if most is not None else np.zeros(far.shape, bool)
+                far[beyond] = np.inf
+                order = np.lexsort((np.broadcast_to(others, far.shape), far))[:, :k]
+                got = pd.DataFrame({"query_id": np.repeat(ids[part], order.shape[1]), "id": others[order].ravel(), "distance": np.take_along_axis(far, order, 1).ravel()})
+                out.append(got[np.isfinite(got["distance"])])
+                if most is not None:
+                    out.append(pd.DataFrame({"query_id": ids[part], "id": pd.array([None] * len(ids[part]), "Int64"), "distance": beyond.sum(1).astype(float)}))
+        got = pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "distance": []})
+        return got.astype({"query_id": "int64", "id": "Int64", "distance": "float64"})
+
+    return left.union(right).groupBy("g", "i", "j").applyInPandas(nearest, "query_id long, id long, distance double")
+
+
 def pairs_of_blocks(items: DataFrame, blocks: int | None, rows: int) -> DataFrame:
     """``id, tenant, v, b, i, j``: each item in block ``b`` of its tenant, once for each pair ``i, j`` of blocks with its own."""
     number = F.lit(blocks) if blocks else F.ceil(F.count(F.lit(1)) / F.lit(rows))
@@ -94,13 +138,16 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 def trigram_search(queries: DataFrame, items: DataFrame, columns: list[str], k: int, least: float = 0.1) -> DataFrame:
     """Items by the best trigram similarity of any column to the query text, above ``least``: top ``k`` a query.
 
-    Few queries are broadcast; an item is scored only if it shares a trigram with the query.
+    Trigrams of items are joined with those of queries and shared ones are counted for each query,
+    item and column, so only items that share one are touched. A null column has none.
     """
-    q = small(queries.select("query_id", trigrams(F.col("query")).alias("q")))
-    grams = items.select("id", *(trigrams(F.col(c)).alias(c) for c in columns))
-    near = grams.join(q, F.arrays_overlap(F.col("q"), F.array_union(*columns) if len(columns) == 2 else F.flatten(F.array(*columns))))
-    score = F.greatest(*(trigram_similarity(F.col(c), F.col("q")) for c in columns)) if len(columns) > 1 else trigram_similarity(F.col(columns[0]), F.col("q"))
-    best = top_n_per_group(near.select("query_id", "id", score.alias("score")).filter(F.col("score") > least), ["query_id"], [F.desc("score"), F.asc("id")], k)
+    grams = lambda c: trigrams(F.coalesce(F.col(c), F.lit("")))
+    q = queries.select("query_id", grams("query").alias("q")).select("query_id", F.size("q").alias("nq"), F.explode("q").alias("gram"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), grams(c).alias("g")) for i, c in enumerate(columns))))
+    indexed = items.select("id", each.alias("x")).select("id", "x.c", F.size("x.g").alias("ng"), F.explode("x.g").alias("gram"))
+    shared = indexed.join(small(q), "gram").groupBy("query_id", "id", "c").agg(F.count(F.lit(1)).alias("n"), F.first("nq").alias("nq"), F.first("ng").alias("ng"))
+    scored = shared.withColumn("score", F.round(F.col("n") / (F.col("nq") + F.col("ng") - F.col("n")), 6)).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    best = top_n_per_group(scored.filter(F.col("score") > least), ["query_id"], [F.desc("score"), F.asc("id")], k)
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))))
 
 
@@ -114,11 +161,31 @@ def rank_fusion(semantic: DataFrame, lexical: DataFrame, n: int, weights: tuple[
     return top_n_per_group(fused, ["query_id"], [F.desc("score"), F.asc("id")], n)
 
 
-def boosted(candidates: DataFrame, own: str, group: str, distance: str, excluded: list[str], most: float, n: int, penalty: float = 1.2) -> DataFrame:
-    """Candidates nearest first after a penalty on the own group, excluded groups and far ones dropped."""
-    d = F.round(F.col(distance) * F.when(F.col(group) == F.col(own), penalty).otherwise(1.0), 6)
-    kept = candidates.withColumn("adjusted", d).filter(~F.col(group).isin(*excluded) & (F.col("adjusted") <= most))
-    return top_n_per_group(kept, ["query_id"], [F.asc("adjusted"), F.asc("id")], n)
+def boosted(queries: DataFrame, items: DataFrame, excluded: list, most: float, n: int, penalty: float = 1.2) -> DataFrame:
+    """``query_id, id, adjusted``, nearest first after a penalty on the query's own tenant, with the query's counts of what was left out.
+
+    ``n_excluded`` items are of excluded tenants, ``n_far`` are beyond ``most``; a query without hits has a row without id.
+    """
+    out = items.filter(F.col("tenant").isin(*excluded)).agg(F.count(F.lit(1)).alias("n_excluded"))
+    found = block_products(queries, items.filter(~F.col("tenant").isin(*excluded)), n, "any", penalty, most)
+    far = found.filter("id is null").groupBy("query_id").agg(F.sum("distance").cast("long").alias("n_far"))
+    best = top_n_per_group(found.filter("id is not null").withColumnRenamed("distance", "adjusted"), ["query_id"], [F.asc("adjusted"), F.asc("id")], n)
+    # one row of totals; a query of an excluded tenant is not among what was left out for it
+    own = queries.select("query_id", F.col("tenant").isin(*excluded).cast("long").alias("own"))
+    return own.join(far, "query_id", "left").join(best, "query_id", "left").join(F.broadcast(out), F.lit(True)).select("query_id", "id", "adjusted", (F.col("n_excluded") - F.col("own")).alias("n_excluded"), F.coalesce("n_far", F.lit(0).cast("long")).alias("n_far"))
+
+
+def best_part(parts: DataFrame, queries: DataFrame, group: str, order: str, title: str, content: str) -> DataFrame:
+    """Of each query and group, the part with most points: 1 for a term in title or content, 2 more in the title; none at 0.
+
+    Terms are the query's words of three letters or more, without marks, distinct or not.
+    """
+    words = F.filter(F.split(folded(F.lower("query")), r"\W+"), lambda w: F.length(w) >= 3)
+    terms = small(queries.select("query_id", F.explode(words).alias("term")))
+    low = parts.select(group, order, F.lower(title).alias("_title"), F.lower(F.concat(F.col(title), F.lit(" "), F.col(content))).alias("_all"))
+    hits = low.join(terms, F.contains("_all", "term"))
+    points = hits.groupBy("query_id", group, order).agg(F.sum(F.lit(1) + F.contains("_title", "term").cast("int") * 2).alias("score"))
+    return top_n_per_group(points, ["query_id", group], [F.desc("score"), F.asc(order)], 1)
 
 
 def project_and_cluster(items: DataFrame, clusters: int, seed: int = 1) -> DataFrame:

@@ -27,23 +27,56 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return top_n_per_group(df, keys, order, 1)
 
 
-def with_prev_next(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``df`` with ``prev`` and ``next``: the neighbouring values of ``order`` in the group."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("prev", F.lag(order).over(w)).withColumn("next", F.lead(order).over(w))
+#: Rows of a range of a group, about, where neighbours are sought.
+RANGE_ROWS = 200_000
+
+
+def with_prev_next(df: DataFrame, keys: list[str], order: str, rows: int = 0) -> DataFrame:
+    """``df`` with ``prev`` and ``next``: the neighbouring values of ``order`` (number, date or time) in the group.
+
+    A group is dealt to ranges of ``order``, as many as its count asks for, and the ends of ranges
+    are looked up in a table of one row a range, so a group of any size is shared by many tasks.
+    """
+    x = F.col(order)
+    number = (x if df.schema[order].dataType.typeName() not in ("date", "timestamp", "timestamp_ntz") else x.cast("timestamp")).cast("double")
+    sizes = df.groupBy(*keys).agg(F.min(number).alias("_lo"), F.max(number).alias("_hi"), F.ceil(F.count(F.lit(1)) / F.lit(rows or RANGE_ROWS)).alias("_ranges"))
+    part = F.floor((number - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1.0)) * F.col("_ranges"))
+    dealt = df.join(sizes, keys).withColumn("_part", F.coalesce(part, F.lit(-1).cast("long"))).drop("_lo", "_hi", "_ranges")
+    near = Window.partitionBy(*keys, "_part").orderBy(order)
+    ends = dealt.groupBy(*keys, "_part").agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+    along = Window.partitionBy(*keys).orderBy("_part")
+    ends = ends.select(*keys, "_part", F.lag("_last").over(along).alias("_before"), F.lead("_first").over(along).alias("_after"))
+    inner = lambda f: F.when(f(F.lit(1)).over(near).isNotNull(), F.struct(f(order).over(near).alias("x")))
+    both = dealt.withColumn("prev", inner(F.lag)).withColumn("next", inner(F.lead)).join(ends, [*keys, "_part"])
+    found = lambda side, end: F.when(F.col(side).isNotNull(), F.col(f"{side}.x")).otherwise(F.col(end))
+    return both.withColumn("prev", found("prev", "_before")).withColumn("next", found("next", "_after")).drop("_part", "_before", "_after")
+
+
+def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Exact median of each group (null for none): only values near it, by an approximate bracket, are ordered."""
+    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.lit(1).alias("_one"))
+    on = [*keys, "_one"]
+    bracket = known.groupBy(*on).agg(F.percentile_approx("_v", [0.499, 0.501], 10_000).alias("_q"), F.count(F.lit(1)).alias("_n"))
+    placed = known.join(bracket, on)
+    low, high = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
+    below = placed.groupBy(*on).agg(F.count_if(F.col("_v") < low).alias("_below"), F.first("_n").alias("_n"))
+    inside = placed.filter(F.col("_v").between(low, high)).groupBy(*on, "_v").agg(F.count(F.lit(1)).alias("_c")).join(below, on)
+    upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*on).orderBy("_v"))
+    at = lambda half: F.min(F.when(F.col("_upto") > half((F.col("_n") - 1) / 2), F.col("_v")))
+    return inside.withColumn("_upto", upto).groupBy(*on).agg(((at(F.floor) + at(F.ceil)) / 2).alias(name)).select(*keys, name)
 
 
 def number_gaps(df: DataFrame, keys: list[str], number: str) -> DataFrame:
     """Numbers missing between the least and the greatest of each group."""
-    after = F.lead(number).over(Window.partitionBy(*keys).orderBy(number))
-    gaps = df.select(*keys, number).filter(F.col(number).isNotNull()).distinct().withColumn("_next", after).filter(F.col("_next") - F.col(number) > 1)
-    return gaps.select(*keys, F.explode(F.sequence(F.col(number) + 1, F.col("_next") - 1)).alias("missing"))
+    gaps = with_prev_next(df.select(*keys, number).filter(F.col(number).isNotNull()).distinct(), keys, number).filter(F.col("next") - F.col(number) > 1)
+    return gaps.select(*keys, F.explode(F.sequence(F.col(number) + 1, F.col("next") - 1)).alias("missing"))
 
 
 def publish_cadence(df: DataFrame, keys: list[str], date: str) -> DataFrame:
     """Median days between consecutive dates, rounded to 2; null for fewer than two."""
-    gap = (F.unix_timestamp(date) - F.unix_timestamp(F.lag(date).over(Window.partitionBy(*keys).orderBy(date)))) / 86400.0
-    return df.filter(F.col(date).isNotNull()).withColumn("_gap", gap).groupBy(*keys).agg(F.round(F.percentile("_gap", 0.5), 2).alias("median_days"))
+    dated = df.select(*keys, date).filter(F.col(date).isNotNull())
+    gaps = with_prev_next(dated, keys, date).withColumn("_gap", (F.unix_timestamp(date) - F.unix_timestamp("prev")) / 86400.0)
+    return dated.select(*keys).distinct().join(medians(gaps, keys, "_gap", "median_days"), keys, "left").select(*keys, F.round("median_days", 2).alias("median_days"))
 
 
 def char_budget_prefix(df: DataFrame, key: str, order: str, text: str, cap: int) -> DataFrame:

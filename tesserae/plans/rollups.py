@@ -20,11 +20,14 @@ JOIN (VALUES ('urgent.example.net', '1-URGENT'), ('high.example.net', '2-HIGH'),
  ON l.url LIKE 'https://www.' || h.host || '/%' WHERE h.tenant_id <> e.tenant_id"""
 
 
-@query("AGG1", "SELECT 'episodes' AS kind, '' AS k, count(*) AS n FROM episodes UNION ALL SELECT 'guests', '', count(*) FROM guests UNION ALL SELECT 'pillar', pillar, count(*) FROM episodes GROUP BY pillar UNION ALL SELECT 'difficulty', coalesce(difficulty, '-'), count(*) FROM episodes GROUP BY difficulty")
+@query("AGG1", """SELECT 'episodes' AS kind, '' AS k, count(*) AS n FROM episodes UNION ALL SELECT 'guests', '', count(*) FROM guests UNION ALL SELECT 'links', '', count(*) FROM links UNION ALL SELECT 'pillar', pillar, count(*) FROM episodes GROUP BY pillar UNION ALL SELECT 'difficulty', coalesce(difficulty, '-'), count(*) FROM episodes GROUP BY difficulty
+ UNION ALL SELECT * FROM (SELECT 'person', guest, count(*) AS n FROM episodes WHERE guest <> '' GROUP BY guest ORDER BY n DESC, guest LIMIT 5)""")
 def agg1(t: Tables):
     e = t.episodes
+    whole = lambda df, name: df.agg(_one().alias("n")).select(F.lit(name).alias("kind"), F.lit("").alias("k"), "n")
+    top = M.frequency(e.filter("guest <> ''"), "guest").orderBy(F.desc("n"), "guest").limit(5)
     return (
-        e.agg(_one().alias("n")).select(F.lit("episodes").alias("kind"), F.lit("").alias("k"), "n").union(t.guests.agg(_one().alias("n")).select(F.lit("guests"), F.lit(""), "n"))
+        whole(e, "episodes").union(whole(t.guests, "guests")).union(whole(t.links, "links")).union(top.select(F.lit("person"), "guest", "n"))
         .union(M.frequency(e, "pillar").select(F.lit("pillar"), "pillar", "n")).union(M.frequency(e, "difficulty").select(F.lit("difficulty"), F.coalesce("difficulty", F.lit("-")), "n"))
     )
 
@@ -67,7 +70,9 @@ def agg8(t: Tables):
 
 @query("AGG9", "SELECT count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, min(value) AS least, max(value) AS most FROM events")
 def agg9(t: Tables):
-    return t.raw("events").agg(_one().alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.min("value").alias("least"), F.max("value").alias("most"))
+    values = t.raw("events").select("value")
+    rest = values.agg(_one().alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return rest.join(R.medians(values, [], "value", "median"), F.lit(True), "left").select("n", "mean", F.round("median", 6).alias("median"), "least", "most")
 
 
 @query("AGG10", "SELECT (SELECT count(*) FROM episodes) AS episodes, (SELECT count(DISTINCT episode_id) FROM tags) AS tagged, (SELECT count(DISTINCT episode_id) FROM links) AS linked")
@@ -150,12 +155,19 @@ def agg22(t: Tables):
     return M.frequency(seen, "label", name="tenants").filter("tenants >= 2")
 
 
-@query("AGG23", f"""WITH p AS (SELECT {GUEST} AS k, tenant_id, pillar, episode_number FROM episodes), g AS (SELECT lower(trim(name)) AS k, max(length(bio)) AS bio_length, min(linkedin_url) AS profile FROM guests GROUP BY 1)
-SELECT p.k, count(*) AS n, count(DISTINCT tenant_id) AS tenants, list_sort(list(DISTINCT pillar)) AS pillars, any_value(bio_length)::INT AS bio_length, any_value(profile) AS profile, count(DISTINCT tenant_id) > 1 AS shared FROM p LEFT JOIN g ON g.k = p.k GROUP BY 1""")
+@query("AGG23", f"""WITH p AS (SELECT {GUEST} AS k, tenant_id, count(*) AS n, list(DISTINCT pillar) AS ps FROM episodes GROUP BY 1, 2), u AS (SELECT k, sum(n)::BIGINT AS n, count(*) AS tenants, list_sort(list_distinct(flatten(list(ps)))) AS pillars, string_agg(tenant_id || ':' || n, ',' ORDER BY tenant_id) AS appearances FROM p GROUP BY 1),
+b AS (SELECT lower(trim(name)) AS k, bio, row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY length(bio) DESC, id) AS rn FROM guests WHERE bio IS NOT NULL), l AS (SELECT lower(trim(name)) AS k, linkedin_url AS profile, row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY id) AS rn FROM guests WHERE linkedin_url IS NOT NULL)
+SELECT u.k, n, tenants, pillars, appearances, bio, profile, tenants > 1 AS shared FROM u LEFT JOIN b ON b.k = u.k AND b.rn = 1 LEFT JOIN l ON l.k = u.k AND l.rn = 1 ORDER BY shared DESC, n DESC, u.k LIMIT 500""")
 def agg23(t: Tables):
-    people = t.guests.groupBy(F.lower(F.trim("name")).alias("k")).agg(F.max(F.length("bio")).alias("bio_length"), F.min("linkedin_url").alias("profile"))
-    seen = t.episodes.groupBy(P.guest_key().alias("k")).agg(_one().alias("n"), F.count_distinct("tenant_id").alias("tenants"), F.array_sort(F.collect_set("pillar")).alias("pillars"))
-    return seen.join(people, "k", "left").withColumn("shared", F.col("tenants") > 1)
+    """Each person's appearances a tenant, longest bio (of equal ones the first) and first profile; shared ones first."""
+    people = t.guests.withColumn("k", F.lower(F.trim("name")))
+    bio = R.distinct_on(people.filter("bio is not null"), ["k"], [F.desc(F.length("bio")), F.asc("id")]).select("k", "bio")
+    profile = R.distinct_on(people.filter("linkedin_url is not null"), ["k"], [F.asc("id")]).select("k", F.col("linkedin_url").alias("profile"))
+    by_tenant = t.episodes.groupBy(P.guest_key().alias("k"), "tenant_id").agg(_one().alias("n"), F.collect_set("pillar").alias("ps"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tenant_id", "n"))), lambda x: F.concat(x["tenant_id"], F.lit(":"), x["n"])), ",")
+    seen = by_tenant.groupBy("k").agg(F.sum("n").alias("n"), _one().alias("tenants"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("pillars"), lines.alias("appearances"))
+    top = seen.withColumn("shared", F.col("tenants") > 1).orderBy(F.desc("shared"), F.desc("n"), "k").limit(500)
+    return top.join(bio, "k", "left").join(profile, "k", "left").select("k", "n", "tenants", "pillars", "appearances", "bio", "profile", "shared")
 
 
 @query("AGG24", """WITH m AS (SELECT l.label, e.tenant_id, count(*) AS n FROM links l JOIN episodes e ON e.id = l.episode_id WHERE link_type = 'company' GROUP BY 1, 2)
@@ -188,11 +200,13 @@ def agg27(t: Tables):
 @query("AGG28", f"""WITH p AS (SELECT from_tenant, to_tenant, count(*) AS n FROM ({REFS}) GROUP BY 1, 2), s AS (SELECT count(*) AS k FROM p WHERE n >= 5)
 SELECT from_tenant, to_tenant, n, CASE WHEN k >= 5 THEN 'normal' ELSE 'starter' END AS mode FROM (SELECT *, row_number() OVER (ORDER BY n DESC, from_tenant, to_tenant) AS rn FROM p) JOIN s ON true WHERE n >= 5 AND rn <= CASE WHEN k >= 5 THEN 10 ELSE 3 END""")
 def agg28(t: Tables):
-    pairs = agg27(t).filter("n >= 5")
-    many = F.broadcast(pairs.agg((_one() >= 5).alias("many")))
-    best = pairs.orderBy(F.desc("n"), "from_tenant", "to_tenant").limit(10).join(many, F.lit(True))
-    starter = pairs.orderBy(F.desc("n"), "from_tenant", "to_tenant").limit(3).join(many, F.lit(True))
-    return best.filter("many").union(starter.filter("not many")).select("from_tenant", "to_tenant", "n", F.when(F.col("many"), "normal").otherwise("starter").alias("mode"))
+    """Ten pairs tell whether there are five or more, so the pairs are counted once."""
+    from pyspark.sql import Window
+
+    best = agg27(t).filter("n >= 5").orderBy(F.desc("n"), "from_tenant", "to_tenant").limit(10)
+    order = Window.orderBy(F.desc("n"), "from_tenant", "to_tenant")  # over ten rows
+    ranked = best.withColumn("rn", F.row_number().over(order)).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy()) >= 5)
+    return ranked.filter("many or rn <= 3").select("from_tenant", "to_tenant", "n", F.when(F.col("many"), "normal").otherwise("starter").alias("mode"))
 
 
 @query("AGG29", "SELECT count(*) AS n, count(DISTINCT tenant_id) AS tenants, round(sum(duration_seconds) / 3600.0::DOUBLE)::BIGINT AS hours FROM episodes WHERE tenant_id IN ('1-URGENT', '5-LOW')")
@@ -200,10 +214,19 @@ def agg29(t: Tables):
     return t.episodes.filter(F.col("tenant_id").isin("1-URGENT", "5-LOW")).agg(_one().alias("n"), F.count_distinct("tenant_id").alias("tenants"), F.round(F.sum("duration_seconds") / 3600.0).cast("long").alias("hours"))
 
 
-@query("AGG30", """SELECT tenant_id, n, top_guest, top_n FROM (SELECT tenant_id, count(*) AS n FROM episodes GROUP BY 1) JOIN (SELECT tenant_id, guest AS top_guest, c AS top_n, row_number() OVER (PARTITION BY tenant_id ORDER BY c DESC, guest) AS rn FROM (SELECT tenant_id, guest, count(*) AS c FROM episodes WHERE guest <> '' GROUP BY 1, 2)) USING (tenant_id) WHERE rn = 1""")
+@query("AGG30", """WITH c AS (SELECT tenant_id, count(*) AS n, round(sum(duration_seconds) / 3600.0::DOUBLE)::BIGINT AS hours FROM episodes GROUP BY 1),
+g AS (SELECT tenant_id, guest AS top_guest, c AS top_n, row_number() OVER (PARTITION BY tenant_id ORDER BY c DESC, guest) AS rn FROM (SELECT tenant_id, guest, count(*) AS c FROM episodes WHERE guest <> '' GROUP BY 1, 2)),
+s AS (SELECT tenant_id, label AS top_sponsor, row_number() OVER (PARTITION BY tenant_id ORDER BY c DESC, label) AS rn FROM (SELECT e.tenant_id, l.label, count(*) AS c FROM links l JOIN episodes e ON e.id = l.episode_id WHERE link_type = 'company' GROUP BY 1, 2))
+SELECT c.tenant_id, n, hours, top_guest, top_n, top_sponsor FROM c LEFT JOIN g ON g.tenant_id = c.tenant_id AND g.rn = 1 LEFT JOIN s ON s.tenant_id = c.tenant_id AND s.rn = 1 UNION ALL SELECT 'all', sum(n)::BIGINT, sum(hours)::BIGINT, NULL, NULL, NULL FROM c""")
 def agg30(t: Tables):
+    """Each tenant's sums with its top guest and sponsor, and the sums of all."""
     top = R.distinct_on(M.frequency(t.episodes.filter("guest <> ''"), "tenant_id", "guest", name="top_n"), ["tenant_id"], [F.desc("top_n"), F.asc("guest")]).withColumnRenamed("guest", "top_guest")
-    return M.frequency(t.episodes, "tenant_id").join(top, "tenant_id").select("tenant_id", "n", "top_guest", "top_n")
+    named = t.links.filter("link_type = 'company'").join(t.episodes.select(F.col("id").alias("episode_id"), "tenant_id"), "episode_id")
+    sponsor = R.distinct_on(M.frequency(named, "tenant_id", "label"), ["tenant_id"], [F.desc("n"), F.asc("label")]).select("tenant_id", F.col("label").alias("top_sponsor"))
+    sums = t.episodes.groupBy("tenant_id").agg(_one().alias("n"), F.round(F.sum("duration_seconds") / 3600.0).cast("long").alias("hours"))
+    rows = sums.join(top, "tenant_id", "left").join(sponsor, "tenant_id", "left").select("tenant_id", "n", "hours", "top_guest", "top_n", "top_sponsor")
+    none = F.lit(None)
+    return rows.union(sums.agg(F.sum("n").alias("n"), F.sum("hours").alias("hours")).select(F.lit("all"), "n", "hours", none.cast("string"), none.cast("long"), none.cast("string")))
 
 
 @query("AGG31", "SELECT g.id, count(*) AS n, count(DISTINCT pillar) AS pillars, sum(round(duration_seconds / 60.0::DOUBLE))::BIGINT AS minutes, count(*) > 1 AS recurring FROM guests g JOIN guest_episodes b ON b.guest_id = g.id JOIN episodes e ON e.id = b.episode_id GROUP BY 1")
@@ -257,10 +280,14 @@ def agg38(t: Tables):
     return R.top_n_per_group(counts, ["label"], [F.desc("n"), F.asc("pillar")], 3)
 
 
-@query("AGG39", r"SELECT m AS contact, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9._-]+@[a-zA-Z0-9-]+[.][a-z]+'), lambda x: lower(x)))) AS m FROM documents) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 1")
+@query("AGG39", r"""WITH m AS (SELECT doc_id AS id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9._-]+@[a-zA-Z0-9-]+[.][a-z]+'), lambda x: lower(x)))) AS contact FROM documents
+ UNION ALL SELECT episode_id, regexp_replace(lower(url), '/+$', '') FROM links WHERE link_type <> 'episode_ref') SELECT contact, count(DISTINCT id) AS n FROM m GROUP BY 1 HAVING count(DISTINCT id) >= 5""")
 def agg39(t: Tables):
+    """Addresses and accounts seen in five items or more; links to content don't count, a slash at the end is dropped."""
     found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[a-zA-Z0-9._-]+@[a-zA-Z0-9-]+[.][a-z]+"), F.lit(0)), F.lower))
-    return M.frequency(t.documents.select(F.explode(found).alias("contact")), "contact").filter("n >= 1")
+    mails = t.documents.select(F.col("doc_id").alias("id"), F.explode(found).alias("contact"))
+    accounts = t.links.filter("link_type <> 'episode_ref'").select("episode_id", F.regexp_replace(F.lower("url"), "/+$", ""))
+    return mails.union(accounts).distinct().groupBy("contact").agg(_one().alias("n")).filter("n >= 5")
 
 
 @query("AGG40", "SELECT lens, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(['user', 'assistant', 'system', 'tool']) AS lens) LEFT JOIN (SELECT role AS lens, count(*) AS n FROM conversations GROUP BY 1) USING (lens)")
@@ -292,11 +319,12 @@ def agg44(t: Tables):
     return t.links.groupBy("episode_id").agg(ids("tool").alias("tools"), ids("company").alias("companies"), F.count_if(~F.col("link_type").isin("tool", "company")).alias("others"))
 
 
-@query("AGG45", "SELECT source, target, count(*) AS n FROM (SELECT d.source, r.target FROM documents d JOIN (VALUES ('the', 'src1'), ('que', 'src2'), ('und', 'src3')) r(pattern, target) ON contains(lower(d.text), ' ' || r.pattern || ' ') WHERE d.source <> r.target) GROUP BY 1, 2")
+@query("AGG45", "SELECT source, target, count(*) AS n FROM (SELECT d.source, r.target FROM documents d JOIN (VALUES ('the', 'src1'), ('que', 'src2'), ('und', 'src3')) r(pattern, target) ON contains(lower(d.text), ' ' || r.pattern || ' ') WHERE d.source <> r.target ORDER BY d.doc_id DESC, r.target LIMIT 300) GROUP BY 1, 2")
 def agg45(t: Tables):
+    """The newest 300 references, counted by direction."""
     rules = t.spark.createDataFrame([("the", "src1"), ("que", "src2"), ("und", "src3")], "pattern string, target string")
     hits = t.documents.join(F.broadcast(rules), F.contains(F.lower("text"), F.concat(F.lit(" "), "pattern", F.lit(" "))) & (F.col("source") != F.col("target")))
-    return M.frequency(hits, "source", "target")
+    return M.frequency(hits.select("doc_id", "source", "target").orderBy(F.desc("doc_id"), "target").limit(300), "source", "target")
 
 
 @query("AGG46", "SELECT e.id, g.linkedin_url FROM episodes e JOIN guest_episodes b ON b.episode_id = e.id JOIN guests g ON g.id = b.guest_id")
@@ -310,19 +338,28 @@ def agg47(t: Tables):
     return M.frequency(t.documents.select(F.substring("text", 1, 1).alias("first")), "first")
 
 
-@query("GRF1", "SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM episodes a JOIN episodes b ON a.guest = b.guest AND a.id < b.id AND a.guest <> '' AND a.tenant_id = b.tenant_id")
+@query("GRF1", "WITH x AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM episodes a JOIN episodes b ON a.guest = b.guest AND a.id < b.id AND a.guest <> '' AND a.tenant_id = b.tenant_id), d AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM x UNION ALL SELECT b FROM x) GROUP BY 1) SELECT a, b, p.n AS degree_a, q.n AS degree_b FROM x JOIN d p ON p.id = a JOIN d q ON q.id = b")
 def grf1(t: Tables):
-    """Chains would connect the same items with fewer rows; the reference's edge list is asked for, bounded by items a guest has in one tenant."""
+    """Edges between items of one guest in one tenant, undirected, with the degrees of their ends; the list itself is what is asked for."""
     e = t.episodes.filter("guest <> ''").select("tenant_id", "guest", "id")
-    return e.withColumnRenamed("id", "a").join(e.withColumnRenamed("id", "b"), ["tenant_id", "guest"]).filter("a < b").select("a", "b")
+    # an item has one guest, so its degree is the others of its group
+    sized = e.join(e.groupBy("tenant_id", "guest").agg((_one() - 1).alias("degree")), ["tenant_id", "guest"])
+    a, b = (sized.withColumnsRenamed({"id": x, "degree": f"degree_{x}"}) for x in "ab")
+    return a.join(b, ["tenant_id", "guest"]).filter("a < b").select("a", "b", "degree_a", "degree_b")
 
 
-@query("GRF2", """SELECT DISTINCT a, b, kind, w FROM (SELECT id AS a, lead(id) OVER (PARTITION BY guest ORDER BY id) AS b, 'guest' AS kind, 2 AS w FROM episodes WHERE guest <> ''
- UNION ALL SELECT conv_id * 17 + turn, lead(conv_id * 17 + turn) OVER (PARTITION BY conv_id ORDER BY turn), 'step', 2 FROM conversations) WHERE b IS NOT NULL AND a <> b""")
+@query("GRF2", """WITH c AS (SELECT o_orderkey AS id, o_custkey % 97 AS expert FROM orders), s AS (SELECT conv_id * 17 + turn AS k, conv_id, turn FROM conversations),
+x AS (SELECT id AS a, lead(id) OVER (PARTITION BY expert ORDER BY id) AS b, 'expert' AS kind, 4 AS w FROM c UNION ALL SELECT k, lead(k) OVER (PARTITION BY conv_id ORDER BY turn), 'step', 2 FROM s UNION ALL SELECT lead(k) OVER (PARTITION BY conv_id ORDER BY turn), k, 'step', 2 FROM s
+ UNION ALL SELECT id, lead(id) OVER (PARTITION BY guest ORDER BY id), 'guest', 2 FROM episodes WHERE guest <> '') SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, kind, w FROM x WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b""")
 def grf2(t: Tables):
+    """Edges of three kinds: items of one expert (weight 4), steps of a path both ways, items of one guest; once for a pair and kind."""
     from pyspark.sql import Window
 
-    guest = t.episodes.filter("guest <> ''").select(F.col("id").alias("a"), F.lead("id").over(Window.partitionBy("guest").orderBy("id")).alias("b"), F.lit("guest").alias("kind"), F.lit(2).alias("w"))
-    key = F.col("conv_id") * 17 + F.col("turn")
-    step = t.raw("conversations").select(key.alias("a"), F.lead(key).over(Window.partitionBy("conv_id").orderBy("turn")).alias("b"), F.lit("step"), F.lit(2))
-    return guest.union(step).filter("b is not null and a <> b").distinct()
+    def chain(df, group: str, order: str, key, kind: str, weight: int):
+        after = F.lead(key).over(Window.partitionBy(group).orderBy(order))
+        return df.select(key.alias("a"), after.alias("b"), F.lit(kind).alias("kind"), F.lit(weight).alias("w"))
+
+    steps = chain(t.raw("conversations"), "conv_id", "turn", F.col("conv_id") * 17 + F.col("turn"), "step", 2)
+    back = steps.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind", "w")
+    rows = chain(t.raw("orders").withColumn("expert", F.col("o_custkey") % 97), "expert", "o_orderkey", F.col("o_orderkey"), "expert", 4).union(steps).union(back).union(chain(t.episodes.filter("guest <> ''"), "guest", "id", F.col("id"), "guest", 2))
+    return rows.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind", "w").distinct()

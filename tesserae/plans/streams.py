@@ -14,8 +14,12 @@ from tesserae.streaming import jobs as J
 
 
 def place(t: Tables) -> str:
-    """A fresh folder in the shared checkpoint folder of the cluster; a local one only where none is named."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tesserae-")
+    """A fresh folder in the shared checkpoint folder of the cluster; a local one only where none is named and all run on this machine."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tesserae-")
     return f"{base}/streams/{uuid.uuid4().hex}"
 
 
@@ -50,13 +54,5 @@ def st1(t: Tables):
     items = landed(t).select("user_id", "ts", "value", "event_id").withColumn("guid", F.col("event_id"))
     q = J.ingest(items, f"{where}/items", "guid").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    versions = [v for v in range(last, -1, -1)]
-    for v in versions:
-        try:
-            done = t.spark.read.parquet(f"{where}/items/v{v}")
-            break
-        except Exception as e:  # a batch without rows wrote no version
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+    done = t.spark.read.parquet(f"{where}/items/v{J.last_version(t.spark, f'{where}/items')}")
     return done.groupBy("user_id").agg(F.max("ts").alias("ts"))

@@ -12,9 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, folder: str) -> DataFrame:
-    """The events table as a stream of landed files."""
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "*.parquet").parquet(folder)
+def read_events(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
+    """The events table as a stream of landed files, at most ``files`` a batch."""
+    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def volume(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -27,49 +27,66 @@ def expiring_keys(events: DataFrame, idle: str = "15 minutes", late: str = "1 ho
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", idle).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("opened"), F.col("w.end").alias("expires"), "n")
 
 
-def ability(answers: DataFrame, rate: float = 0.3, idle: str = "30 days") -> DataFrame:
+def ability(answers: DataFrame, rate: float = 0.3, idle_days: int = 30, late: str = "1 day") -> DataFrame:
     """Ability of each user after every batch of answers (``user_id, ts, event_id, value``), kept as state.
 
-    Answers of a batch are sorted by time before they are applied. A user idle for ``idle`` of event
-    time is given out once more and forgotten.
+    Answers of a batch are sorted by time before they are applied. A user without an answer for
+    ``idle_days`` of event time is given out once more and forgotten, and begins anew after that.
     """
     from math import exp
 
+    idle = idle_days * 86_400_000
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        theta, n = state.get if state.exists else (0.0, 0)
+        theta, n, last = state.get if state.exists else (0.0, 0, 0)
         if state.hasTimedOut:
             state.remove()
         else:
             rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+            if state.exists and int(rows["ts"].min().timestamp() * 1000) > last + idle:  # back before the watermark told
+                theta, n = 0.0, 0
             for value in rows["value"]:
                 theta += rate * (float(value > 10) - 1 / (1 + exp(-theta)))
                 n += 1
-            state.update((theta, n))
+            last = max(last, int(rows["ts"].max().timestamp() * 1000))
+            state.update((theta, n, last))
+            state.setTimeoutTimestamp(max(last + idle, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "theta": [round(theta, 6)], "n": [n]})
 
-    keyed = answers.select("user_id", "ts", "event_id", "value").groupBy("user_id")
-    return keyed.applyInPandasWithState(step, "user_id long, theta double, n long", "theta double, n long", "update", GroupStateTimeout.NoTimeout)
+    keyed = answers.select("user_id", "ts", "event_id", "value").withWatermark("ts", late).groupBy("user_id")
+    return keyed.applyInPandasWithState(step, "user_id long, theta double, n long", "theta double, n long, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def ingest(items: DataFrame, path: str, key: str, late: str = "1 day"):
-    """A writer that upserts each batch of new items into a Parquet folder, one row a key; replaying a batch changes nothing.
+def last_version(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """The highest complete version of a table written by ``ingest``, or the highest below ``before``; None for none."""
+    try:
+        done = spark.read.schema("version long").parquet(f"{path}/complete")
+    except Exception as e:  # nothing is complete yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return done.filter(F.lit(True) if before is None else F.col("version") < before).agg(F.max("version")).first()[0]
 
-    Each batch is written to a folder of its own number and the pointer row is the number itself, so
-    readers take the highest complete one.
-    """
+
+def upsert_batch(batch: DataFrame, number: int, path: str, key: str) -> None:
+    """Write version ``number`` from the last complete version below it and the batch, then note it as complete; a batch without rows writes none."""
     from tesserae.operators.upsert import upsert
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            target = spark.read.parquet(f"{path}/v{number - 1}")
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            target = batch.limit(0)
-        upsert(target, batch, [key], {}, [F.desc("ts")]).write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return items.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]).writeStream.outputMode("append").foreachBatch(write)
+    spark = batch.sparkSession
+    if batch.isEmpty():
+        return
+    last = last_version(spark, path, number)
+    target = batch.limit(0) if last is None else spark.read.schema(batch.schema).parquet(f"{path}/v{last}")
+    upsert(target, batch, [key], {}, [F.desc("ts")]).write.mode("overwrite").parquet(f"{path}/v{number}")
+    spark.range(number, number + 1).toDF("version").coalesce(1).write.mode("append").parquet(f"{path}/complete")
+
+
+def ingest(items: DataFrame, path: str, key: str, late: str = "1 day"):
+    """A writer that upserts each batch of new items into a Parquet table, one row a key; replaying a batch changes nothing.
+
+    Versions are numbered as batches are, whatever numbers are missing; readers take ``last_version``.
+    """
+    return items.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]).writeStream.outputMode("append").foreachBatch(lambda batch, number: upsert_batch(batch, number, path, key))
 
 
 def run_once(stream: DataFrame, spark: SparkSession, checkpoint: str, name: str, mode: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Boundary cases of column functions and operators."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import predicates as P
@@ -12,6 +13,7 @@ from tesserae.operators import relational as R
 from tesserae.operators import search as S
 from tesserae.operators import transcripts as T
 from tesserae.operators import upsert as U
+from tesserae.streaming import jobs as J
 
 
 def values(spark, inputs, build):
@@ -129,3 +131,62 @@ def test_blocks_follow_the_tenants_rows(spark, data):
     assert max(blocks.values()) > 4 and max(r["count"] for r in groups) <= 40
     assert all(max(r.j for r in groups if r.tenant == x) < n for x, n in blocks.items())
     assert {tuple(r) for r in S.all_pairs_top_k(t.vectors, 3, rows=5).collect()} == {tuple(r) for r in S.all_pairs_top_k(t.vectors, 3, blocks=1).collect()}
+
+
+def landed(spark, folder, batches):
+    """Write each batch of (event_id, day, user_id, value) as a file of its own, in order."""
+    import datetime as dt
+    import os
+    import shutil
+
+    for i, rows in enumerate(batches):
+        out = [(e, dt.datetime(2024, 1, 1) + dt.timedelta(days=d), u, "x", float(v), "{}") for e, d, u, v in rows]
+        spark.createDataFrame(out, J.EVENTS).coalesce(1).write.parquet(f"{folder}/tmp{i}")
+        part = next(f for f in os.listdir(f"{folder}/tmp{i}") if f.endswith(".parquet"))
+        os.makedirs(f"{folder}/in", exist_ok=True)
+        shutil.move(f"{folder}/tmp{i}/{part}", f"{folder}/in/{i}.parquet")
+        os.utime(f"{folder}/in/{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    return J.read_events(spark, f"{folder}/in", 1)
+
+
+def test_ability_forgets_idle_users(spark, tmp_path):
+    events = landed(spark, str(tmp_path), [[(1, 0, 7, 20), (2, 0, 8, 20)], [(3, 1, 7, 20)], [(4, 60, 8, 20)], [(5, 61, 7, 20)]])
+    rows = J.run_once(J.ability(events), spark, f"file://{tmp_path}/work", "ability", "update").collect()
+    assert max(r.n for r in rows if r.user_id == 7) == 2 and sorted(r.n for r in rows if r.user_id == 7)[:2] == [1, 1]
+    assert {r.theta for r in rows if r.n == 1} == {0.15}
+
+
+def test_ingest_over_batches_gaps_and_replays(spark, tmp_path):
+    events = landed(spark, str(tmp_path), [[(1, 0, 1, 1)], [(2, 0, 2, 1), (3, 0, 3, 1)], [(4, 1, 4, 1)]])
+    path = f"file://{tmp_path}/items"
+    q = J.ingest(events.select("event_id", "ts", "value"), path, "event_id").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = J.last_version(spark, path)
+    assert sorted(r.event_id for r in spark.read.parquet(f"{path}/v{last}").collect()) == [1, 2, 3, 4]
+    assert J.last_version(spark, path, last) < last and J.last_version(spark, f"{path}/none") is None
+    # a gap in the numbers loses nothing, and a replay changes nothing
+    more = landed(spark, f"{tmp_path}/again", [[(4, 1, 4, 9), (5, 2, 5, 1)]])
+    for number in (last + 5, last + 5):
+        batch = spark.read.schema(J.EVENTS).parquet(f"{tmp_path}/again/in").select("event_id", "ts", "value")
+        J.upsert_batch(batch, number, path, "event_id")
+        assert sorted(r.event_id for r in spark.read.parquet(f"{path}/v{J.last_version(spark, path)}").collect()) == [1, 2, 3, 4, 5]
+    assert more.isStreaming
+
+
+def test_neighbours_over_ranges(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, *range(50)]) if g < 2 else 5) for g in range(3) for _ in range(40)] + [(9, None)]
+    df = spark.createDataFrame(rows, "g int, x int")
+    got = sorted(map(repr, R.with_prev_next(df, ["g"], "x", rows=6).collect()))
+    w = Window.partitionBy("g").orderBy("x")
+    assert got == sorted(map(repr, df.withColumn("prev", F.lag("x").over(w)).withColumn("next", F.lead("x").over(w)).collect()))
+
+
+def test_medians(spark):
+    import statistics
+
+    rows = [(g, float(i * i % 101)) for g, n in ((0, 1), (1, 2), (2, 501), (3, 1000)) for i in range(n)] + [(4, None)]
+    got = {r.g: r.m for r in R.medians(spark.createDataFrame(rows, "g int, x double"), ["g"], "x", "m").collect()}
+    assert got == {g: statistics.median([x for k, x in rows if k == g]) for g in range(4)}

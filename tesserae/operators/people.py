@@ -7,19 +7,66 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.predicates import name_key, valid_person_name
 from tesserae.operators.relational import distinct_on, small, top_n_per_group
 
 
-def pick_profile(candidates: DataFrame, hosts: DataFrame) -> DataFrame:
-    """One profile URL a person: host slugs are dropped unless the person is the host; then by label, slug, and order.
+def pick_profile(candidates: DataFrame, hosts: DataFrame, parasites: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """``person, id, rule`` of the one profile URL picked for each person, and of those rejected.
 
-    ``candidates``: ``person, id, slug, label``; ``hosts``: ``host, host_slug``. The rule is returned.
+    ``candidates``: ``person, id, slug, label``; ``hosts``: ``host, host_slug``. Parasites are rejected,
+    and a host's slug unless the person is a host. Of the rest a host's own comes first, then a label
+    that names the person (whole, or a word of four letters or more), then a slug that does, then order.
     """
-    known = candidates.join(small(hosts), F.col("slug") == F.col("host_slug"), "left")
-    own = F.col("person") == F.col("host")
-    rank = F.when(F.col("host").isNotNull() & own, 0).when(F.contains(F.lower("label"), F.lower("person")), 1).when(F.contains(F.col("slug"), F.regexp_replace(F.lower("person"), "[^a-z0-9]", "")), 2).otherwise(3)
-    kept = known.filter(F.col("host").isNull() | own).withColumn("rule", rank)
-    return distinct_on(kept, ["person"], [F.asc("rule"), F.asc("id")]).select("person", "id", "rule")
+    slugs = hosts.select(F.col("host_slug").alias("slug"), F.lit(True).alias("_of_host")).distinct()
+    names = hosts.select(F.col("host").alias("person"), F.lit(True).alias("_is_host")).distinct()
+    known = candidates.join(small(slugs), "slug", "left").join(small(names), "person", "left")
+    of_host, is_host = (F.coalesce(c, F.lit(False)) for c in ("_of_host", "_is_host"))
+    name = F.lower("person")
+    words = F.filter(F.split(name, " "), lambda w: F.length(w) >= 4)
+
+    def named(text: Column) -> Column:
+        spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z]", " "), F.lit(" "))
+        return F.contains(F.lower(text), name) | F.exists(words, lambda w: F.contains(spaced, F.concat(F.lit(" "), w, F.lit(" "))))
+
+    bad = F.when(F.col("slug").isin(*parasites), "parasite").when(of_host & ~is_host, "host")
+    rule = F.when(is_host & of_host, "host").when(F.coalesce(named(F.col("label")), F.lit(False)), "label").when(named(F.col("slug")), "slug").otherwise("order")
+    judged = known.select("person", "id", bad.alias("_bad"), rule.alias("rule"))
+    rank = F.array_position(F.array(*(F.lit(r) for r in ("host", "label", "slug", "order"))), F.col("rule"))
+    return distinct_on(judged.filter("_bad is null"), ["person"], [rank, F.asc("id")]).select("person", "id", "rule"), judged.filter("_bad is not null").select("person", "id", F.col("_bad").alias("rule")).distinct()
+
+
+def merged_people(seen: DataFrame, known: DataFrame) -> DataFrame:
+    """One row a person over all tenants: key, tenants, items, appearances, longest bio, first profile.
+
+    ``seen``: ``name, tenant_id, episode_number``; ``known``: ``id, name, bio, profile``. Names that
+    are no person's and keys under three letters are left out; a row without a number counts for the
+    person and adds no number. Appearances list each tenant's sorted distinct numbers.
+    """
+    rows = seen.filter(valid_person_name(F.col("name"))).select(name_key(F.col("name")).alias("k"), "tenant_id", "episode_number").filter(F.length("k") >= 3)
+    by_tenant = rows.groupBy("k", "tenant_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("episode_number")).alias("numbers"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("tenant_id", "numbers"))), lambda x: F.concat(x["tenant_id"], F.lit(":"), F.array_join(x["numbers"].cast("array<string>"), " ")))
+    people = by_tenant.groupBy("k").agg(F.count(F.lit(1)).alias("tenants"), F.sum("n").alias("n"), F.array_join(lines, ",").alias("appearances"))
+    named = known.withColumn("k", name_key(F.col("name")))
+    bio = distinct_on(named.filter("bio is not null"), ["k"], [F.desc(F.length("bio")), F.asc("id")]).select("k", "bio")
+    profile = distinct_on(named.filter("profile is not null"), ["k"], [F.asc("id")]).select("k", "profile")
+    return people.join(bio, "k", "left").join(profile, "k", "left")
+
+
+def next_pillar(abilities: DataFrame) -> DataFrame:
+    """Each user's next pillar and level from ``user_id, pillar, theta, n``.
+
+    With more than three pillars at the least count, or a least count below 2, a least counted one is
+    explored; else the one of theta nearest 0 among those of two answers or more. Ties go by name.
+    """
+    pillars = abilities.select("pillar").distinct()
+    every = abilities.select("user_id").distinct().join(small(pillars), F.lit(True)).join(abilities, ["user_id", "pillar"], "left").select("user_id", "pillar", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("theta", F.lit(0.0)).alias("theta"))
+    mine = Window.partitionBy("user_id")
+    least = every.withColumn("least", F.min("n").over(mine))
+    told = least.withColumn("explores", (F.sum((F.col("n") == F.col("least")).cast("int")).over(mine) > 3) | (F.col("least") < 2))
+    first = F.when(F.col("explores"), F.col("n") != F.col("least")).otherwise(F.col("n") < 2)
+    best = distinct_on(told, ["user_id"], [first.asc(), F.when(F.col("explores"), 0.0).otherwise(F.abs("theta")).asc(), F.asc("pillar")])
+    return best.select("user_id", "pillar", "explores", F.when(F.col("theta") < -0.5, "easy").when(F.col("theta") > 0.5, "hard").otherwise("medium").alias("level"))
 
 
 def jaccard_matches(left: DataFrame, right: DataFrame, least: float, sure: float, band: float) -> DataFrame:

@@ -67,3 +67,27 @@ def choose_attempt(df: DataFrame, key: str, order: str, least: float) -> DataFra
     good = F.when(F.col("passed") & (F.col("score") >= least), F.col(order))
     done = df.groupBy(key).agg(F.min(good).alias("a"), F.min(F.struct((-F.col("score")).alias("s"), F.col(order).alias("o"))).alias("b"))
     return done.select(key, F.coalesce("a", "b.o").alias(order), F.col("a").isNotNull().alias("passed"))
+
+
+def validated_quotes(quotes: DataFrame, segments: DataFrame, authors: list[str], window: int, blocked: list[str], cap: int, slack: float = 10.0, shortest: int = 10, longest_short: int = 280) -> DataFrame:
+    """``quotes`` (``source_id, quote, author, first, last, quoted``) with ``reason`` and ``platforms``.
+
+    The first that applies: too short (``schema``), not an allowed author, a segment number out of
+    bounds, one beyond the ``window`` that was shown, words that the segments within ``slack`` seconds
+    don't have in this order, a blocked phrase; of the rest ``cap`` a source are ``kept``. Quotes of
+    more than ``longest_short`` characters go without the short platform.
+    """
+    ends = segments.groupBy("source_id").agg(F.max("idx").alias("most"))
+    at = segments.select("source_id", "idx", "start_s", "end_s")
+    known = quotes.join(ends, "source_id").join(at.select("source_id", F.col("idx").alias("first"), F.col("start_s").alias("_from")), ["source_id", "first"], "left").join(at.select("source_id", F.col("idx").alias("last"), F.col("end_s").alias("_to")), ["source_id", "last"], "left")
+    # only quotes that get as far as the comparison meet segments
+    reason = F.when(F.length(F.trim("quoted")) < shortest, "schema").when(~F.col("author").isin(*authors), "author").when(F.col("last") > F.col("most"), "bounds").when(F.greatest("first", "last") >= window, "window")
+    judged = known.withColumn("reason", reason)
+    timed = judged.filter("reason is null").select("source_id", "quote", "_from", "_to").join(segments.select("source_id", "idx", "start_s", "end_s", "text"), "source_id")
+    near = timed.filter((F.col("end_s") >= F.col("_from") - slack) & (F.col("start_s") <= F.col("_to") + slack)).groupBy("source_id", "quote").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda s: s["text"]), " ").alias("_near"))
+    said = F.coalesce((F.length(verbatim_key(F.col("quoted"))) >= 3) & F.contains(verbatim_key(F.col("_near")), verbatim_key(F.col("quoted"))), F.lit(False))
+    bad = F.exists(F.array(*(F.lit(b) for b in blocked)), lambda b: F.contains(F.lower("quoted"), b))
+    full = judged.join(near, ["source_id", "quote"], "left").withColumn("reason", F.coalesce("reason", F.when(~said, "not verbatim").when(bad, "blocked")))
+    passed = F.sum(F.col("reason").isNull().cast("int")).over(Window.partitionBy("source_id").orderBy("quote"))
+    short = F.when(F.length("quoted") > longest_short, F.array(F.lit("web"))).otherwise(F.array(F.lit("web"), F.lit("short")))
+    return full.withColumn("_passed", passed).select(*quotes.columns, F.coalesce("reason", F.when(F.col("_passed") > cap, "cap").otherwise("kept")).alias("reason"), short.alias("platforms"))

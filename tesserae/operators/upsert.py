@@ -79,3 +79,25 @@ def check_targets(counts: DataFrame, targets: DataFrame, key: str) -> DataFrame:
 def overwrite_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
     """Replace only the partitions that ``df`` has rows of."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def upsert_by_first_key(target: DataFrame, source: DataFrame, keys: list[tuple[str, Column]], policy: dict[str, str], order: list[Column]) -> DataFrame:
+    """Upserts one key after the other: a source row goes by the first key that it has and whose condition holds, else it is skipped."""
+    left = F.lit(True)
+    for key, holds in keys:
+        mine = left & F.coalesce(holds, F.lit(False)) & F.col(key).isNotNull()
+        target = upsert(target, source.filter(mine).select(*target.columns), [key], policy, order)
+        left = left & ~mine
+    return target
+
+
+def validate_typed(df: DataFrame, kind: str, common: dict[str, Column], by_type: dict[str, dict[str, Column]], strict: bool) -> DataFrame:
+    """``df`` with ``reasons`` (names of rules that a row breaks: common ones, and its type's) and ``unknown`` (a type without rules).
+
+    With ``strict`` an unknown type is a reason too. A condition that is null is broken.
+    """
+    broken = lambda name, rule, when: F.when(when & ~F.coalesce(rule, F.lit(False)), name)
+    every = [broken(n, r, F.lit(True)) for n, r in common.items()] + [broken(n, r, F.col(kind).eqNullSafe(F.lit(k))) for k, rules in by_type.items() for n, r in rules.items()]
+    unknown = ~F.col(kind).isin(*by_type)
+    every += [F.when(F.coalesce(unknown, F.lit(True)), "unknown type")] if strict else []
+    return df.withColumn("reasons", F.filter(F.array(*every), lambda x: x.isNotNull())).withColumn("unknown", unknown)

@@ -12,7 +12,13 @@ from tesserae.plans.registry import query
 from tesserae.sources.tables import PRIORITIES, Tables
 
 FULL = "(episode_type IS NULL OR episode_type = 'full')"
-GUEST = "lower(trim(coalesce(nullif(guest, ''), guest_from_title)))"
+GUEST_NAME = "coalesce(nullif(guest, ''), guest_from_title)"
+GUEST = f"lower(trim({GUEST_NAME}))"
+#: ``valid_person_name`` of ``{n}``.
+NAME_SQL = (
+    r"regexp_matches({n}, '^[A-ZÀ-Ý]') AND len(list_filter(regexp_split_to_array({n}, '[\s-]+'), lambda w: w <> '')) >= 2 AND length({n}) <= 50 AND NOT regexp_matches({n}, '^[\[#]|^[0-9]+$|[:/|«»’]|[''‘`]$|\s-\s.*\s-\s')"
+    + rf" AND NOT regexp_matches({{n}}, '(?i)^({P.TITLE_WORDS})\b') AND NOT regexp_matches({{n}}, '(?i)\b({P.TITLE_VERBS})\b')"
+)
 
 
 @query("SRC1", "SELECT id, title, pillar FROM episodes WHERE tenant_id = '1-URGENT'")
@@ -96,8 +102,7 @@ def flt9(t: Tables):
 
 @query("FLT10", rf"""WITH c AS (SELECT doc_id AS id, 'text' AS kind, trim(regexp_extract(text, '^[^.\n]*')) AS n FROM documents UNION ALL SELECT id, 'guest', guest FROM episodes UNION ALL SELECT id, 'title', trim(replace(title, '#', '')) FROM episodes
  UNION ALL SELECT page_id, 'page', trim(regexp_extract(html, '<h1>([^<]*)', 1)) FROM pages)
-SELECT id, kind, n FROM c WHERE regexp_matches(n, '^[A-ZÀ-Ý]') AND len(list_filter(regexp_split_to_array(n, '[\s-]+'), lambda w: w <> '')) >= 2 AND length(n) <= 50 AND NOT regexp_matches(n, '^[\[#]|^[0-9]+$|[:/|«»’]|[''‘`]$|\s-\s.*\s-\s')
- AND NOT regexp_matches(n, '(?i)^({P.TITLE_WORDS})\b') AND NOT regexp_matches(n, '(?i)\b({P.TITLE_VERBS})\b')""")
+SELECT id, kind, n FROM c WHERE {NAME_SQL.format(n='n')}""")
 def flt10(t: Tables):
     """Names among first sentences, guests, titles and headings."""
     found = (

@@ -9,7 +9,7 @@ from tesserae.functions import text as X
 from tesserae.operators import measures as M
 from tesserae.operators import people as E
 from tesserae.operators import relational as R
-from tesserae.plans.basics import GUEST
+from tesserae.plans.basics import GUEST, GUEST_NAME, NAME_SQL
 from tesserae.plans.registry import query
 from tesserae.sources.tables import Tables
 
@@ -21,27 +21,37 @@ def tokens(text):
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 2))
 
 
-@query("ENT1", f"""SELECT k, count(DISTINCT tenant_id) AS tenants, count(*) AS n, list_sort(list(DISTINCT episode_number)) AS numbers, contains(k, '00007') AS host FROM (SELECT {GUEST} AS k, tenant_id, episode_number FROM episodes) WHERE length(k) >= 3 GROUP BY 1""")
+@query("ENT1", f"""WITH p AS (SELECT replace({GUEST_NAME}, '#', ' ') AS name, tenant_id, episode_number FROM episodes), v AS (SELECT trim(regexp_replace(strip_accents(lower(name)), '\\s+', ' ', 'g')) AS k, * FROM p WHERE {NAME_SQL.format(n='name')}),
+a AS (SELECT k, tenant_id, count(*) AS n, list_sort(list(DISTINCT episode_number) FILTER (episode_number IS NOT NULL)) AS numbers FROM v WHERE length(k) >= 3 GROUP BY 1, 2),
+g AS (SELECT trim(lower(replace(name, '#', ' '))) AS k, id, bio, linkedin_url FROM guests), b AS (SELECT k, bio, row_number() OVER (PARTITION BY k ORDER BY length(bio) DESC, id) AS rn FROM g WHERE bio IS NOT NULL), l AS (SELECT k, linkedin_url, row_number() OVER (PARTITION BY k ORDER BY id) AS rn FROM g WHERE linkedin_url IS NOT NULL)
+SELECT u.*, b.bio, l.linkedin_url AS profile, contains(u.k, '00007') AS host FROM (SELECT k, count(*) AS tenants, sum(n)::BIGINT AS n, string_agg(tenant_id || ':' || array_to_string(numbers, ' '), ',' ORDER BY tenant_id) AS appearances FROM a GROUP BY 1) u LEFT JOIN b ON b.k = u.k AND b.rn = 1 LEFT JOIN l ON l.k = u.k AND l.rn = 1""")
 def ent1(t: Tables):
-    people = t.episodes.select(P.name_key(P.guest_key()).alias("k"), "tenant_id", "episode_number").filter(F.length("k") >= 3)
-    merged = people.groupBy("k").agg(F.count_distinct("tenant_id").alias("tenants"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("episode_number")).alias("numbers"))
-    return merged.withColumn("host", F.contains("k", F.lit("00007")))
+    spaced = lambda c: F.regexp_replace(c, "#", " ")
+    seen = t.episodes.select(spaced(F.coalesce(F.nullif("guest", F.lit("")), "guest_from_title")).alias("name"), "tenant_id", "episode_number")
+    known = t.guests.select("id", spaced(F.col("name")).alias("name"), "bio", F.col("linkedin_url").alias("profile"))
+    return E.merged_people(seen, known).withColumn("host", F.contains("k", F.lit("00007")))
 
 
 def candidates(t: Tables):
-    """Profile candidates: links of a guest's items."""
-    return t.guest_episodes.join(t.guests.select(F.col("id").alias("guest_id"), F.col("name").alias("person")), "guest_id").join(t.links.filter("link_type = 'company'"), "episode_id").select(
-        "person", "id", F.regexp_extract("url", "/p/([0-9]+)", 1).alias("slug"), "label"
-    )
+    """Profile candidates: links of a guest's items; one label in five names the guest."""
+    linked = t.guest_episodes.join(t.guests.select(F.col("id").alias("guest_id"), F.regexp_replace("name", "#", " ").alias("person")), "guest_id").join(t.links.filter("link_type = 'company'"), "episode_id")
+    return linked.select("person", "id", F.regexp_extract("url", "/p/([0-9]+)", 1).alias("slug"), F.when(F.col("id") % 5 == 0, F.concat("label", F.lit(" - "), F.lower("person"))).otherwise(F.col("label")).alias("label"))
 
 
-@query("ENT2", """WITH c AS (SELECT g.name AS person, l.id, regexp_extract(l.url, '/p/([0-9]+)', 1) AS slug, l.label FROM guest_episodes b JOIN guests g ON g.id = b.guest_id JOIN links l ON l.episode_id = b.episode_id WHERE l.link_type = 'company'),
-h(host, host_slug) AS (VALUES ('Customer#000000007', '7'), ('Customer#000000011', '11')),
-r AS (SELECT person, id, CASE WHEN host = person THEN 0 WHEN contains(lower(label), lower(person)) THEN 1 WHEN contains(slug, regexp_replace(lower(person), '[^a-z0-9]', '', 'g')) THEN 2 ELSE 3 END AS rule FROM c LEFT JOIN h ON h.host_slug = c.slug WHERE host IS NULL OR host = person)
-SELECT person, id, rule FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY rule, id) AS rn FROM r) WHERE rn = 1""")
+NAMED = "list_filter(string_split(lower(person), ' '), lambda w: length(w) >= 4)"
+
+
+@query("ENT2", f"""WITH c AS (SELECT replace(g.name, '#', ' ') AS person, l.id, regexp_extract(l.url, '/p/([0-9]+)', 1) AS slug, CASE WHEN l.id % 5 = 0 THEN l.label || ' - ' || lower(replace(g.name, '#', ' ')) ELSE l.label END AS label FROM guest_episodes b JOIN guests g ON g.id = b.guest_id JOIN links l ON l.episode_id = b.episode_id WHERE l.link_type = 'company'),
+h(host, host_slug) AS (VALUES ('Customer 000000007', '7'), ('Customer 000000011', '11')),
+r AS (SELECT c.*, slug IN ('3', '4') AS parasite, hs.host_slug IS NOT NULL AS of_host, EXISTS (SELECT 1 FROM h WHERE host = person) AS is_host,
+ len(list_filter({NAMED}, lambda w: contains(' ' || regexp_replace(lower(label), '[^a-z]', ' ', 'g') || ' ', ' ' || w || ' '))) > 0 OR contains(lower(label), lower(person)) AS labelled, contains(slug, lower(person)) AS slugged FROM c LEFT JOIN (SELECT DISTINCT host_slug FROM h) hs ON hs.host_slug = c.slug),
+k AS (SELECT person, id, CASE WHEN is_host AND of_host THEN 'host' WHEN labelled THEN 'label' WHEN slugged THEN 'slug' ELSE 'order' END AS rule FROM r WHERE NOT parasite AND (NOT of_host OR is_host))
+SELECT person, id, rule, 'picked' AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY list_position(['host', 'label', 'slug', 'order'], rule), id) AS rn FROM k) WHERE rn = 1
+UNION ALL SELECT DISTINCT person, id, CASE WHEN parasite THEN 'parasite' ELSE 'host' END, 'rejected' FROM r WHERE parasite OR (of_host AND NOT is_host)""")
 def ent2(t: Tables):
-    hosts = t.spark.createDataFrame([("Customer#000000007", "7"), ("Customer#000000011", "11")], "host string, host_slug string")
-    return E.pick_profile(candidates(t), hosts)
+    hosts = t.spark.createDataFrame([("Customer 000000007", "7"), ("Customer 000000011", "11")], "host string, host_slug string")
+    picked, rejected = E.pick_profile(candidates(t), hosts, parasites=["3", "4"])
+    return picked.withColumn("outcome", F.lit("picked")).union(rejected.withColumn("outcome", F.lit("rejected")))
 
 
 @query("ENT3", "SELECT DISTINCT tenant_id, variant FROM (SELECT tenant_id, unnest([replace(s, '-', ''), s, replace(s, '-', '.'), s[1] || replace(substr(s, strpos(s, '-') + 1), '-', '')]) AS variant FROM (SELECT tenant_id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM guests WHERE authority_score > 95))")
@@ -104,12 +114,16 @@ def qui1(t: Tables):
     return E.ability(t.answers, ["user_id", "pillar"], ["ts", "event_id"], "right", d)
 
 
-@query("QUI2", """WITH c AS (SELECT user_id, pillar, count(*) AS n, sum(CASE WHEN "right" THEN 1 ELSE -1 END)::BIGINT AS balance FROM answers GROUP BY 1, 2)
-SELECT user_id, pillar, CASE WHEN balance > 2 THEN 'hard' WHEN balance < -2 THEN 'easy' ELSE 'medium' END AS level FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN n < 2 THEN 0 ELSE 1 END, abs(balance), pillar) AS rn FROM c) WHERE rn = 1""")
+@query("QUI2", f"""WITH RECURSIVE a AS (SELECT user_id, pillar, "right" AS ok, {D} AS d, row_number() OVER (PARTITION BY user_id, pillar ORDER BY ts, event_id) AS i FROM answers),
+r AS (SELECT user_id, pillar, i, 0.0::DOUBLE + 0.3::DOUBLE * (ok::INT::DOUBLE - 1 / (1 + exp(-(0.0::DOUBLE - d)))) AS theta, greatest(0, least(100, 50 + CASE WHEN ok THEN 10 ELSE -5 END)) AS score FROM a WHERE i = 1
+ UNION ALL SELECT a.user_id, a.pillar, a.i, r.theta + 0.3::DOUBLE * (a.ok::INT::DOUBLE - 1 / (1 + exp(-(r.theta - a.d)))), greatest(0, least(100, r.score + CASE WHEN a.ok THEN 10 ELSE -5 END)) FROM r JOIN a ON a.user_id = r.user_id AND a.pillar = r.pillar AND a.i = r.i + 1),
+h AS (SELECT user_id, pillar, round(arg_max(theta, i), 6) AS theta, max(i) AS n FROM r GROUP BY 1, 2), c AS (SELECT u.user_id, p.pillar, coalesce(h.n, 0) AS n, coalesce(h.theta, 0) AS theta FROM (SELECT DISTINCT user_id FROM answers) u JOIN (SELECT DISTINCT pillar FROM answers) p ON true LEFT JOIN h ON h.user_id = u.user_id AND h.pillar = p.pillar),
+m AS (SELECT *, min(n) OVER (PARTITION BY user_id) AS mn FROM c), x AS (SELECT *, count(*) FILTER (n = mn) OVER (PARTITION BY user_id) > 3 OR mn < 2 AS explores FROM m),
+b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN explores THEN (n <> mn)::INT ELSE (n < 2)::INT END, CASE WHEN explores THEN 0 ELSE abs(theta) END, pillar) AS rn FROM x)
+SELECT user_id, pillar, explores, CASE WHEN theta < -0.5 THEN 'easy' WHEN theta > 0.5 THEN 'hard' ELSE 'medium' END AS level FROM b WHERE rn = 1""")
 def qui2(t: Tables):
-    counts = t.answers.groupBy("user_id", "pillar").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("right"), 1).otherwise(-1)).alias("balance"))
-    best = R.distinct_on(counts, ["user_id"], [F.when(F.col("n") < 2, 0).otherwise(1), F.abs("balance"), F.asc("pillar")])
-    return best.select("user_id", "pillar", F.when(F.col("balance") > 2, "hard").when(F.col("balance") < -2, "easy").otherwise("medium").alias("level"))
+    d = F.when(F.col("pillar") == "error", 1.0).when(F.col("pillar") == "click", 0.0).otherwise(0.5)
+    return E.next_pillar(E.ability(t.answers, ["user_id", "pillar"], ["ts", "event_id"], "right", d))
 
 
 @query("QUI3")

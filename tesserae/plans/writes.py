@@ -26,9 +26,23 @@ def source(t: Tables):
     return t.episodes.filter("id % 3 < 2").select("id", F.when(i % 4 == 0, None).otherwise(F.concat(F.lit("new "), i)).alias("title"), F.when(i % 3 == 0, None).otherwise("N").alias("difficulty"), F.lit("g").alias("guest"))
 
 
-@query("DML1", f"SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.title ELSE o.title END AS title, coalesce(n.difficulty, o.difficulty) AS difficulty, coalesce(o.guest, n.guest) AS guest FROM ({TARGET}) o FULL JOIN ({SOURCE}) n ON o.id = n.id")
+SOURCE_ITEMS = """SELECT CASE WHEN id % 5 <> 0 THEN id END AS number, CASE WHEN id % 7 <> 0 THEN guid END AS guid, episode_type AS kind, CASE WHEN id % 4 <> 0 THEN 'new ' || id END AS title, CASE WHEN id % 3 <> 0 THEN 'N' END AS difficulty, 'g' AS guest FROM episodes WHERE id % 3 < 2"""
+
+
+@query("DML1", f"""WITH o AS (SELECT episode_number AS number, guid, title, difficulty, guest FROM episodes WHERE id % 2 = 0), s AS ({SOURCE_ITEMS}),
+a AS (SELECT coalesce(o.number, n.number) AS number, coalesce(o.guid, n.guid) AS guid, CASE WHEN n.number IS NOT NULL THEN n.title ELSE o.title END AS title, coalesce(n.difficulty, o.difficulty) AS difficulty, coalesce(o.guest, n.guest) AS guest
+ FROM o FULL JOIN (SELECT * FROM s WHERE coalesce(kind, 'full') = 'full' AND number IS NOT NULL) n ON o.number = n.number)
+SELECT coalesce(a.number, n.number) AS number, coalesce(a.guid, n.guid) AS guid, CASE WHEN n.guid IS NOT NULL THEN n.title ELSE a.title END AS title, coalesce(n.difficulty, a.difficulty) AS difficulty, coalesce(a.guest, n.guest) AS guest
+ FROM a FULL JOIN (SELECT * FROM s WHERE NOT (coalesce(kind, 'full') = 'full' AND number IS NOT NULL) AND guid IS NOT NULL) n ON a.guid = n.guid""")
 def dml1(t: Tables):
-    return U.upsert(target(t), source(t), ["id"], {"difficulty": "keep_if_null", "guest": "keep"}, [F.asc("title")])
+    """Full items by number first, then the others by guid; those with neither are skipped."""
+    i = F.col("id")
+    known = t.episodes.filter("id % 2 = 0").select(F.col("episode_number").alias("number"), "guid", "title", "difficulty", "guest")
+    items = t.episodes.filter("id % 3 < 2").select(
+        F.when(i % 5 != 0, i).alias("number"), F.when(i % 7 != 0, F.col("guid")).alias("guid"), F.col("episode_type").alias("kind"), F.when(i % 4 != 0, F.concat(F.lit("new "), i)).alias("title"), F.when(i % 3 != 0, "N").alias("difficulty"), F.lit("g").alias("guest")
+    )
+    policy = {"difficulty": "keep_if_null", "guest": "keep", "number": "keep", "guid": "keep"}
+    return U.upsert_by_first_key(known, items, [("number", F.coalesce("kind", F.lit("full")) == "full"), ("guid", F.lit(True))], policy, [F.asc("title")])
 
 
 @query("SNK1", f"SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.title ELSE o.title END AS title, CASE WHEN n.id IS NOT NULL THEN n.difficulty ELSE o.difficulty END AS difficulty, CASE WHEN n.id IS NOT NULL THEN n.guest ELSE o.guest END AS guest FROM ({TARGET}) o FULL JOIN ({SOURCE}) n ON o.id = n.id")
@@ -124,10 +138,14 @@ def dml14(t: Tables):
     return U.rederive(t.episodes, "guest", F.when(F.col("id") % 10 == 0, "").otherwise(F.col("guest_from_title")))
 
 
-@query("QLT1", "SELECT event_id, list_filter([CASE WHEN NOT coalesce(event_type IN ('view', 'click', 'purchase'), false) THEN 'type' END, CASE WHEN NOT coalesce(value BETWEEN 0 AND 60, false) THEN 'value' END, CASE WHEN NOT coalesce(length(props) < 9, false) THEN 'props' END], lambda x: x IS NOT NULL) AS reasons FROM events")
+@query("QLT1", """SELECT event_id, list_filter([CASE WHEN coalesce(trim(event_type), '') = '' THEN 'type' END, CASE WHEN NOT coalesce(event_id % 100 <= event_id % 100 + value - 5, false) THEN 'position' END, CASE WHEN event_type = 'view' AND NOT coalesce(value / 100 BETWEEN 0 AND 1, false) THEN 'score' END,
+ CASE WHEN event_type = 'click' AND NOT coalesce(value BETWEEN 0 AND 60, false) THEN 'value' END, CASE WHEN event_type = 'click' AND NOT coalesce(length(props) BETWEEN 9 AND 500, false) THEN 'rationale' END], lambda x: x IS NOT NULL) AS reasons, event_type NOT IN ('view', 'click') AS unknown FROM events""")
 def qlt1(t: Tables):
-    rules = {"type": F.col("event_type").isin("view", "click", "purchase"), "value": F.col("value").between(0, 60), "props": F.length("props") < 9}
-    return U.validate(t.raw("events"), rules).select("event_id", "reasons")
+    """Required type, order of the position, ranges of each type's fields; an unknown type is a warning, and a rejection where that is asked for."""
+    start = F.col("event_id") % 100
+    common = {"type": F.coalesce(F.trim("event_type"), F.lit("")) != "", "position": start <= start + F.col("value") - 5}
+    by_type = {"view": {"score": (F.col("value") / 100).between(0, 1)}, "click": {"value": F.col("value").between(0, 60), "rationale": F.length("props").between(9, 500)}}
+    return U.validate_typed(t.raw("events"), "event_type", common, by_type, strict=False).select("event_id", "reasons", "unknown")
 
 
 @query("QLT2", "SELECT 'null tenant' AS invariant, count(*) AS n FROM episodes WHERE tenant_id IS NULL UNION ALL SELECT 'duplicate key', count(*) FROM (SELECT doc_id % 900 FROM documents GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'foreign guest', count(*) FROM guest_episodes b JOIN guests g ON g.id = b.guest_id JOIN episodes e ON e.id = b.episode_id WHERE g.tenant_id <> e.tenant_id")
@@ -139,11 +157,18 @@ def qlt2(t: Tables):
     return nulls.union(twice).union(mixed.filter("a <> b").agg(n).select(F.lit("foreign guest"), "n"))
 
 
-@query("QLT3", "SELECT 'no links' AS kind, id FROM episodes WHERE id NOT IN (SELECT episode_id FROM links) UNION ALL SELECT 'short', id FROM episodes WHERE duration_seconds < 100 UNION ALL SELECT 'no tags', id FROM episodes WHERE id NOT IN (SELECT episode_id FROM tags)")
+@query("QLT3", f"""SELECT 'no links' AS kind, id FROM episodes WHERE id NOT IN (SELECT episode_id FROM links) UNION ALL SELECT 'short', id FROM episodes WHERE duration_seconds < 100 UNION ALL SELECT 'no tags', id FROM episodes WHERE id NOT IN (SELECT episode_id FROM tags)
+ UNION ALL SELECT 'no feed item', id FROM episodes WHERE guid NOT IN (SELECT guid FROM episodes WHERE id % 10 <> 0) UNION ALL SELECT 'gap', unnest(range(episode_number + 1, nxt)) FROM (SELECT episode_number, lead(episode_number) OVER (PARTITION BY tenant_id ORDER BY episode_number) AS nxt FROM episodes) WHERE nxt - episode_number > 1
+ UNION ALL SELECT 'duplicate slug', id FROM (SELECT id, count(*) OVER (PARTITION BY tenant_id, lower(guest), pillar) AS n FROM episodes WHERE guest <> '') WHERE n > 1""")
 def qlt3(t: Tables):
-    e = t.episodes.select("id", "duration_seconds")
-    without = lambda df, kind: e.join(df.select(F.col("episode_id").alias("id")).distinct(), "id", "left_anti").select(F.lit(kind).alias("kind"), "id")
-    return without(t.links, "no links").union(e.filter("duration_seconds < 100").select(F.lit("short"), "id")).union(without(t.tags, "no tags"))
+    e = t.episodes.select("id", "tenant_id", "guid", "guest", "pillar", "duration_seconds", "episode_number")
+    label = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id")
+    without = lambda df, kind: label(e.join(df.select(F.col("episode_id").alias("id")).distinct(), "id", "left_anti"), kind)
+    feed = t.episodes.filter("id % 10 <> 0").select("guid").distinct()
+    keyed = e.filter("guest <> ''").withColumn("slug", F.lower("guest"))
+    twice = keyed.join(M.frequency(keyed, "tenant_id", "slug", "pillar").filter("n > 1"), ["tenant_id", "slug", "pillar"], "left_semi")
+    gaps = R.number_gaps(e, ["tenant_id"], "episode_number").withColumnRenamed("missing", "id")
+    return without(t.links, "no links").union(label(e.filter("duration_seconds < 100"), "short")).union(without(t.tags, "no tags")).union(label(e.join(feed, "guid", "left_anti"), "no feed item")).union(label(gaps, "gap")).union(label(twice, "duplicate slug"))
 
 
 @query("QLT4", "SELECT k, count(*) AS n, list_sort(list(DISTINCT episode_type) FILTER (episode_type IS NOT NULL)) AS kinds FROM (SELECT episode_number // 3 AS k, episode_type FROM episodes) GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT episode_type) > 1")
@@ -217,14 +242,22 @@ def trn2(t: Tables):
     return T.verbatim_matches(t.raw("benchmark"), t.documents)
 
 
-@query("TRN3", """SELECT source_id, idx, CASE WHEN role NOT IN ('user', 'assistant') THEN 'author' WHEN length(text) < 30 THEN 'short' WHEN contains(lower(text), 'idiot') THEN 'blocked' WHEN rn > 3 THEN 'cap' ELSE 'kept' END AS reason FROM (SELECT *, sum(CASE WHEN role IN ('user', 'assistant') AND length(text) >= 30 AND NOT contains(lower(text), 'idiot') THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY idx) AS rn FROM segments)""")
-def trn3(t: Tables):
-    from pyspark.sql import Window
+QUOTES = """SELECT source_id, idx AS quote, role AS author, idx AS first, CASE WHEN idx % 6 = 5 THEN idx + 50 ELSE idx END AS last, CASE WHEN idx % 5 = 4 THEN 'unsaid ' ELSE '' END || substr(text, 1, CASE WHEN idx % 2 = 0 THEN 300 ELSE 60 END) AS quoted FROM segments"""
+
 
-    reason = F.when(~F.col("role").isin("user", "assistant"), "author").when(F.length("text") < 30, "short").when(F.contains(F.lower("text"), F.lit("idiot")), "blocked")
-    rows = t.segments.withColumn("reason", reason)
-    passed = F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).over(Window.partitionBy("source_id").orderBy("idx"))
-    return rows.withColumn("rn", passed).select("source_id", "idx", F.coalesce("reason", F.when(F.col("rn") > 3, "cap").otherwise("kept")).alias("reason"))
+@query("TRN3", f"""WITH q AS ({QUOTES}), n AS (SELECT source_id, max(idx) AS most FROM segments GROUP BY 1),
+x AS (SELECT q.*, n.most, (SELECT string_agg(s.text, ' ' ORDER BY s.idx) FROM segments s JOIN segments a ON a.source_id = q.source_id AND a.idx = q.first JOIN segments b ON b.source_id = q.source_id AND b.idx = q.last WHERE s.source_id = q.source_id AND s.end_s >= a.start_s - 10 AND s.start_s <= b.end_s + 10) AS near FROM q JOIN n USING (source_id)),
+r AS (SELECT *, CASE WHEN length(trim(quoted)) < 10 THEN 'schema' WHEN author NOT IN ('user', 'assistant') THEN 'author' WHEN last > most THEN 'bounds' WHEN first >= 8 OR last >= 8 THEN 'window'
+ WHEN NOT coalesce(length({V.format('quoted')}) >= 3 AND contains({V.format('near')}, {V.format('quoted')}), false) THEN 'not verbatim' WHEN contains(lower(quoted), 'idiot') THEN 'blocked' END AS reason FROM x),
+c AS (SELECT *, sum((reason IS NULL)::INT) OVER (PARTITION BY source_id ORDER BY quote) AS rn FROM r)
+SELECT source_id, quote, coalesce(reason, CASE WHEN rn > 3 THEN 'cap' ELSE 'kept' END) AS reason, CASE WHEN length(quoted) > 280 THEN ['web'] ELSE ['web', 'short'] END AS platforms FROM c""")
+def trn3(t: Tables):
+    i = F.col("idx")
+    quotes = t.segments.select(
+        "source_id", i.alias("quote"), F.col("role").alias("author"), i.alias("first"), F.when(i % 6 == 5, i + 50).otherwise(i).alias("last"),
+        F.concat(F.when(i % 5 == 4, "unsaid ").otherwise(""), F.when(i % 2 == 0, F.substring("text", 1, 300)).otherwise(F.substring("text", 1, 60))).alias("quoted"),
+    )
+    return T.validated_quotes(quotes, t.segments, authors=["user", "assistant"], window=8, blocked=["idiot"], cap=3).select("source_id", "quote", "reason", "platforms")
 
 
 LENSES = [("growth", ["the", "of", "erth"], 0.5), ("langue", ["que", "de", "eau", ""], None), ("leer", [], 0.1)]

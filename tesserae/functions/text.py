@@ -157,3 +157,27 @@ def missing_numbers(candidate: Column, source: Column) -> Column:
     found = F.array_distinct(F.regexp_extract_all(candidate, F.lit(r"[0-9]+(?:[.,][0-9]+)?(?: ?(?:%|k|kg|km|min|h))?"), F.lit(0)))
     bare = F.regexp_replace(source, " ", "")
     return F.filter(found, lambda n: ~F.contains(source, n) & ~F.contains(bare, F.regexp_replace(n, " ", "")))
+
+
+def bold_phrases(html: Column, denied: list[str], most: int = 10) -> Column:
+    """The first ``most`` distinct bold phrases of 21 to 199 characters that hold none of the ``denied`` words."""
+    inside = F.regexp_extract_all(html, F.lit(r"(?is)<(?:b|strong)>(.*?)</(?:b|strong)>"), F.lit(1))
+    plain = F.transform(inside, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", " "), r"[ \t\n]+", " ")))
+    fit = F.filter(plain, lambda x: F.length(x).between(21, 199) & ~any_of([F.contains(F.lower(x), F.lit(d)) for d in denied]))
+    return F.slice(F.array_distinct(fit), 1, most)
+
+
+def outside_links(html: Column, own: list[str], most: int = 15) -> Column:
+    """The first ``most`` anchors to other sites whose label has 4 to 99 characters."""
+    web = F.filter(anchors(html), lambda a: a["href"].rlike("(?i)^https?://") & F.coalesce(F.length(a["label"]).between(4, 99), F.lit(False)) & ~any_of([F.contains(a["href"], F.lit(d)) for d in own]))
+    return F.slice(web, 1, most)
+
+
+def rating(text: Column) -> Column:
+    """The number before ``/ 5``; null for none."""
+    return F.regexp_replace(F.nullif(F.regexp_extract(text, r"([0-9]+(?:[.,][0-9]+)?)\s*/\s*5", 1), F.lit("")), ",", ".").cast("double")
+
+
+def first_known(text: Column, names: list[str]) -> Column:
+    """The first of ``names``, in their order, that occurs in the text; null for none."""
+    return F.coalesce(*(F.when(F.contains(text, F.lit(n)), n) for n in names))

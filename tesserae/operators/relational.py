@@ -143,3 +143,22 @@ def first_filled(first: DataFrame, second: DataFrame) -> DataFrame:
     """``first``, or ``second`` where ``first`` has no rows; of the other side one row at most is moved."""
     any_ = first.limit(1).select(F.lit(1).alias("_any"))
     return first.union(second.join(F.broadcast(any_), F.lit(True), "left_anti").select(*first.columns))
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """Pairs of rows of the same ``keys`` whose closed intervals meet, each once.
+
+    Both have ``keys``, ``start`` and ``stop``; columns of the two must differ otherwise. Intervals
+    are dealt to buckets of ``width``, so only those near each other in time are compared; a pair is
+    kept in the first bucket that both touch.
+    """
+
+    def dealt(df: DataFrame, name: str) -> DataFrame:
+        at = lambda c: F.floor(F.col(c) / width)
+        kept = df.filter("start <= stop").withColumn("_bucket", F.explode(F.sequence(at("start"), at("stop"))))
+        return kept.withColumnsRenamed({"start": f"_{name}_start", "stop": f"_{name}_stop"})
+
+    both = dealt(left, "l").join(dealt(right, "r"), [*keys, "_bucket"])
+    meet = (F.col("_l_start") <= F.col("_r_stop")) & (F.col("_r_start") <= F.col("_l_stop"))
+    first = F.floor(F.greatest("_l_start", "_r_start") / width) == F.col("_bucket")
+    return both.filter(meet & first).drop("_bucket", "_l_start", "_l_stop", "_r_start", "_r_stop")

@@ -261,10 +261,11 @@ def host_refs(t: Tables):
 
 @query("JON15", """SELECT c.source_id, c.idx, count(*) AS n, string_agg(s.idx::VARCHAR, ',' ORDER BY s.idx) AS parts FROM segments c JOIN segments s ON s.source_id = c.source_id AND s.end_s >= c.start_s - 10 AND s.start_s <= c.end_s + 10 GROUP BY 1, 2""")
 def jon15(t: Tables):
-    c = t.segments.select("source_id", "idx", (F.col("start_s") - 10).alias("lo"), (F.col("end_s") + 10).alias("hi"))
-    s = t.segments.select("source_id", F.col("idx").alias("other"), "start_s", "end_s")
-    near = c.join(s, "source_id").filter((F.col("end_s") >= F.col("lo")) & (F.col("start_s") <= F.col("hi")))
-    return near.groupBy("source_id", "idx").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("other")), ",").alias("parts"))
+    s = t.segments
+    around = s.select("source_id", "idx", (F.col("start_s") - 10).alias("start"), (F.col("end_s") + 10).alias("stop"))
+    met = R.overlapping(around, s.select("source_id", F.col("idx").alias("part"), F.col("start_s").alias("start"), F.col("end_s").alias("stop")), ["source_id"], 300.0)
+    parts = F.array_join(F.array_sort(F.collect_list("part")).cast("array<string>"), ",")
+    return met.groupBy("source_id", "idx").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts"))
 
 
 @query("JON16", f"SELECT id, lag(id) OVER w AS prev, lead(id) OVER w AS next FROM episodes WHERE {FULL} WINDOW w AS (PARTITION BY tenant_id ORDER BY id)")

@@ -247,10 +247,18 @@ def txt35(t: Tables):
     return t.episodes.select("id", F.when(F.col("difficulty").isNotNull(), levels[F.col("difficulty")]).alias("level"), day.alias("day"))
 
 
-@query("TXT36", r"SELECT page_id, list_sort(list_slice(list_filter(list_distinct(list_transform(regexp_extract_all(html, '<b>([^<]{20,200})', 1), lambda x: trim(x))), lambda x: NOT contains(lower(x), 'cookie')), 1, 1000)) AS takeaways FROM pages")
+DENIED = ["http", "€", "cookie", "podcast", "apple", "spotify"]
+INSIDE = "regexp_extract_all(html, '(?is)<(?:b|strong)>(.*?)</(?:b|strong)>', 1)"
+
+
+@query("TXT36", LINKS + f""", k AS (SELECT page_id, list_filter(list_transform({INSIDE}, lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '[ \\t\\n]+', ' ', 'g'))), lambda x: length(x) BETWEEN 21 AND 199 AND len(list_filter({DENIED}, lambda d: contains(lower(x), d))) = 0) AS b FROM pages),
+f AS (SELECT page_id, i, href, label, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rn FROM page_links WHERE length(label) BETWEEN 4 AND 99 AND NOT contains(href, 'example.com') AND i <= 1000000)
+SELECT p.page_id, list_filter(b, lambda x, i: list_position(b, x) = i)[1:10] AS takeaways, (SELECT string_agg(href, ' ' ORDER BY i) FROM f WHERE f.page_id = p.page_id AND rn <= 15) AS refs,
+ try_cast(replace(regexp_extract(html, '([0-9]+(?:[.,][0-9]+)?)\\s*/\\s*5', 1), ',', '.') AS DOUBLE) AS rating, list_filter(['then', 'und der', 'que la'], lambda s: contains(html, s))[1] AS sponsor FROM pages p JOIN k ON k.page_id = p.page_id""")
 def txt36(t: Tables):
-    bold = F.transform(F.regexp_extract_all("html", F.lit("<b>([^<]{20,200})"), F.lit(1)), lambda x: F.trim(x))
-    return t.pages.select("page_id", F.array_sort(F.filter(F.array_distinct(bold), lambda x: ~F.contains(F.lower(x), F.lit("cookie")))).alias("takeaways"))
+    """Facts of pages: bold phrases, outside references with a label, a rating of five, the first known sponsor in the text."""
+    facts = t.pages.select("page_id", X.bold_phrases(F.col("html"), DENIED).alias("takeaways"), X.rating(F.col("html")).alias("rating"), X.first_known(F.col("html"), ["then", "und der", "que la"]).alias("sponsor"), X.outside_links(F.col("html"), ["example.com"]).alias("links"))
+    return facts.select("page_id", "takeaways", F.nullif(F.array_join(F.transform("links", lambda x: x["href"]), " "), F.lit("")).alias("refs"), "rating", "sponsor")
 
 
 @query("TXT37", "SELECT source_id, string_agg('## ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY idx) AS article FROM segments GROUP BY 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,20 +86,54 @@ def jaccard_matches(left: DataFrame, right: DataFrame, least: float, sure: float
     return left.select(F.col("key").alias("a")).join(best, "a", "left").select("a", F.when(status != "unmatched", F.col("b")).alias("b"), "score", status.alias("status"))
 
 
-def one_to_one(left: DataFrame, right: DataFrame, rules: list) -> DataFrame:
-    """Greedy matching, one pass a rule over what earlier passes left; in a pass, mutual firsts by key win.
+def one_to_one(left: DataFrame, right: DataFrame, rules: list, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Greedy matching ``a, b, rule``: each rule in turn is used up on what earlier ones left.
 
-    A rule maps ``(left, right)`` to a frame of candidate ``a, b``. Ties go to lower keys.
+    A rule maps ``(left, right)`` to a frame of candidate ``a, b``. Candidates have a fixed order, by
+    hash; one that comes first for both its ends is a match, its ends are consumed, and so on until
+    no candidate is left, which takes few rounds. ``save`` writes a frame and reads it back.
     """
-    done = None
+    none = left.select("a").crossJoin(right.select("b")).limit(0).withColumn("rule", F.lit(""))
+    found = [none]
     for name, rule in rules:
-        pairs = rule(left, right).distinct()
-        first = lambda df, k, o: df.withColumn("_r", F.row_number().over(Window.partitionBy(k).orderBy(o))).filter("_r = 1").drop("_r")
-        mutual = first(first(pairs, "a", "b"), "b", "a").withColumn("rule", F.lit(name))
-        done = mutual if done is None else done.union(mutual)
-        left = left.join(mutual.select("a"), "a", "left_anti")
-        right = right.join(mutual.select("b"), "b", "left_anti")
-    return done
+        pairs = save(rule(left, right).distinct().withColumn("h", F.xxhash64("a", "b")))
+        while not pairs.isEmpty():
+            order = F.struct("h", "a", "b")
+            best = lambda k: pairs.groupBy(k).agg(F.min(order).alias(f"best_{k}"))  # noqa: B023, E731
+            both = pairs.join(best("a"), "a").join(best("b"), "b")
+            taken = save(both.filter((F.col("best_a") == F.col("best_b")) & (F.col("best_a") == order)).select("a", "b", F.lit(name).alias("rule")))
+            found.append(taken)
+            pairs = save(pairs.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti").select("a", "b", "h"))
+            left, right = left.join(taken.select("a"), "a", "left_anti"), right.join(taken.select("b"), "b", "left_anti")
+    return reduce(lambda x, y: x.union(y), found)
+
+
+def slug_rules(number: str = "number") -> list:
+    """Rules over ``left`` (``a, number, x``) and ``right`` (``b, y``): number before the slug, equal, prefix both ways, contained (six letters or more).
+
+    Prefixes are matched by equality with written-out prefixes, contained slugs by their first six
+    letters, so no rule compares all with all.
+    """
+    heads = lambda c: F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.length(c))), lambda n: F.substring(F.col(c), F.lit(1), n))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 5)), lambda n: F.substring(F.col(c), n, F.lit(6))))
+
+    def starts(one: DataFrame, c: str, other: DataFrame, d: str) -> DataFrame:
+        """Rows of ``one`` whose ``c`` begins with the other's ``d``."""
+        known = other.filter(F.length(d) > 3)
+        return one.filter(F.length(c) > 3).withColumn("_head", F.explode(heads(c))).join(known, F.col("_head") == F.col(d)).select("a", "b")
+
+    def inside(one: DataFrame, c: str, other: DataFrame, d: str) -> DataFrame:
+        """Rows of ``one`` whose ``c`` holds the other's ``d``."""
+        known = other.filter(F.length(d) >= 6).withColumn("_first", F.substring(d, 1, 6))
+        return one.filter(F.length(c) >= 6).withColumn("_gram", F.explode(grams(c))).join(known, F.col("_gram") == F.col("_first")).filter(F.contains(c, d)).select("a", "b")
+
+    return [
+        ("number", lambda l, r: l.join(r.withColumn("_n", F.try_to_number(F.nullif(F.regexp_extract("y", "^([0-9]{1,9})-", 1), F.lit("")), F.lit("999999999")).cast("long")), F.col(number) == F.col("_n")).select("a", "b")),
+        ("exact", lambda l, r: l.join(r, F.col("x") == F.col("y")).select("a", "b")),
+        ("begins", lambda l, r: starts(r, "y", l, "x")),
+        ("begun", lambda l, r: starts(l, "x", r, "y")),
+        ("holds", lambda l, r: inside(l, "x", r, "y").union(inside(r, "y", l, "x"))),
+    ]
 
 
 def ability(answers: DataFrame, keys: list[str], order: list[str], right: str, difficulty: Column, rate: float = 0.3) -> DataFrame:

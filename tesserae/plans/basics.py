@@ -372,9 +372,9 @@ def top4(t: Tables):
     return R.distinct_on(unseen, ["user_id"], [F.asc("priority"), F.asc("pillar")])
 
 
-@query("TOP5")
+@query("TOP5", "SELECT id, pillar FROM episodes ORDER BY md5('7|' || id), id LIMIT 20")
 def top5(t: Tables):
-    return t.episodes.select("id", "pillar").orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(20)
+    return t.episodes.select("id", "pillar").orderBy(F.md5(F.concat(F.lit("7|"), "id").cast("binary")), "id").limit(20)
 
 
 @query("TOP6", "SELECT id, tenant_id, date_created FROM episodes ORDER BY date_created DESC, id DESC LIMIT 500")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import functions as F
 
 from tesserae.functions import predicates as P
@@ -11,6 +13,7 @@ from tesserae.operators import people as E
 from tesserae.operators import relational as R
 from tesserae.plans.basics import GUEST, GUEST_NAME, NAME_SQL
 from tesserae.plans.registry import query
+from tesserae.plans.streams import place
 from tesserae.sources.tables import Tables
 
 TOK = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: length(w) > 2))"
@@ -86,20 +89,28 @@ def jon12(t: Tables):
 
 @query("JON13")
 def jon13(t: Tables):
-    left = t.episodes.select(F.col("id").alias("a"), P.slug(F.col("title")).alias("x"))
-    right = t.guests.select(F.col("id").alias("b"), P.slug(F.col("name")).alias("y"))
-    tail = lambda c: F.regexp_extract(c, "([0-9]{9})", 1)
-    exact = lambda a, b: a.join(b, F.col("x") == F.col("y")).select("a", "b")
-    number = lambda a, b: a.join(b, tail("x") == tail("y")).select("a", "b")
-    return E.one_to_one(left, right, [("exact", exact), ("number", number)])
+    """Items by their guest's slug, and profile slugs of several makes: with a number, whole, longer, shorter, inside."""
+    i = F.col("id")
+    left = t.episodes.select(i.alias("a"), F.col("episode_number").alias("number"), P.slug(F.coalesce(F.nullif("guest", F.lit("")), "guest_from_title")).alias("x"))
+    name = P.slug(F.col("name"))
+    made = F.when(i % 5 == 0, F.concat(F.col("authority_score"), F.lit("-"), name)).when(i % 5 == 1, name).when(i % 5 == 2, F.concat(name, F.lit("-more"))).when(i % 5 == 3, F.substring(name, 1, 15)).otherwise(F.concat(F.lit("the-"), name))
+    where, k = place(t), count()
+
+    def save(df):
+        path = f"{where}/{next(k)}"
+        df.write.parquet(path)
+        return t.spark.read.schema(df.schema).parquet(path)
+
+    return E.one_to_one(save(left), save(t.guests.select(i.alias("b"), made.alias("y"))), E.slug_rules(), save)
 
 
-@query("JON21")
+@query("JON21", "SELECT pillar, difficulty, list_sort(list(e.id || ':' || e.title)) AS items FROM (SELECT pillar, difficulty, unnest(list(id * 2)) AS ref FROM episodes GROUP BY 1, 2) n JOIN (SELECT id, title FROM episodes) e ON e.id = n.ref GROUP BY 1, 2")
 def jon21(t: Tables):
-    """Category to sub-theme to ids, nested twice, resolved to titles; ids without an item are dropped."""
-    nested = t.episodes.groupBy("pillar", "difficulty").agg(F.array_sort(F.collect_list(F.col("id") * 2)).alias("ids")).groupBy("pillar").agg(F.collect_list(F.struct("difficulty", "ids")).alias("themes"))
+    """Category to sub-theme to ids, nested twice and written once a thousand ids, resolved to titles; ids without an item are dropped."""
+    part = F.floor(F.col("id") / 1000)
+    nested = t.episodes.groupBy(part.alias("part"), "pillar", "difficulty").agg(F.collect_list(F.col("id") * 2).alias("ids")).groupBy("part", "pillar").agg(F.collect_list(F.struct("difficulty", "ids")).alias("themes"))
     flat = nested.select("pillar", F.inline("themes")).select("pillar", "difficulty", F.explode("ids").alias("id"))
-    return flat.join(t.episodes.select("id", "title"), "id").groupBy("pillar", "difficulty").agg(F.array_sort(F.collect_list(F.struct("id", "title"))).alias("items"))
+    return flat.join(t.episodes.select("id", "title"), "id").groupBy("pillar", "difficulty").agg(F.array_sort(F.collect_list(F.concat("id", F.lit(":"), "title"))).alias("items"))
 
 
 D = "CASE pillar WHEN 'error' THEN 1.0::DOUBLE WHEN 'click' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END"
@@ -126,15 +137,17 @@ def qui2(t: Tables):
     return E.next_pillar(E.ability(t.answers, ["user_id", "pillar"], ["ts", "event_id"], "right", d))
 
 
-@query("QUI3")
+@query("QUI3", """WITH o AS (SELECT guest AS other FROM (SELECT guest, count(*) AS n FROM episodes WHERE guest <> '' GROUP BY 1 ORDER BY n DESC, guest LIMIT 20)),
+w AS (SELECT id, guest, other, row_number() OVER (PARTITION BY id ORDER BY md5(id || other), other) AS rn FROM episodes JOIN o ON guest <> other WHERE guest <> ''), x AS (SELECT id, guest, other AS x FROM w WHERE rn <= 3 UNION ALL SELECT id, guest, guest FROM episodes WHERE guest <> ''),
+l AS (SELECT id, any_value(guest) AS guest, list(x ORDER BY md5('o' || id || x), x) AS options FROM x GROUP BY 1) SELECT id, options, (list_position(options, guest) - 1)::BIGINT AS answer FROM l""")
 def qui3(t: Tables):
-    """Four options a question, three of them from other categories of a bounded list, in an order set by hash."""
-    names = F.broadcast(M.frequency(t.episodes.filter("guest <> ''"), "guest").orderBy(F.desc("n"), "guest").limit(20).select(F.col("guest").alias("other")))
-    q = t.episodes.filter("guest <> ''").select("id", "guest")
-    wrong = R.top_n_per_group(q.join(names, F.col("guest") != F.col("other")), ["id", "guest"], [F.xxhash64("id", "other"), F.asc("other")], 3)
-    options = wrong.groupBy("id", "guest").agg(F.collect_list("other").alias("o")).withColumn("o", F.array_append("o", F.col("guest")))
-    mixed = F.transform(F.array_sort(F.transform("o", lambda x: F.struct(F.xxhash64("id", x).alias("h"), x.alias("x")))), lambda s: s["x"])
-    return options.select("id", mixed.alias("options")).join(q, "id").select("id", "options", (F.array_position("options", F.col("guest")) - 1).alias("answer"))
+    """Four options a question, three of them from other people of a bounded list, in an order set by hash."""
+    names = F.broadcast(M.frequency(t.episodes.filter("guest <> ''"), "guest").orderBy(F.desc("n"), "guest").limit(20).agg(F.collect_list("guest").alias("others")))
+    mark = lambda *c: F.md5(F.concat(*c).cast("binary"))
+    by_mark = lambda xs, *lead: F.transform(F.array_sort(F.transform(xs, lambda x: F.struct(mark(*lead, F.col("id"), x).alias("h"), x.alias("x")))), lambda s: s["x"])
+    q = t.episodes.filter("guest <> ''").select("id", "guest").join(names, F.lit(True))
+    options = q.withColumn("o", F.slice(by_mark(F.filter("others", lambda x: x != F.col("guest"))), 1, 3)).withColumn("options", by_mark(F.array_append("o", F.col("guest")), F.lit("o")))
+    return options.select("id", "options", (F.array_position("options", F.col("guest")) - 1).alias("answer"))
 
 
 @query("CLS1", """WITH v(category) AS (VALUES ('P1'), ('P2'), ('P3'), ('P4')), a AS (SELECT event_id % 5000 AS id, 'P' || (event_id % 7) AS category, row_number() OVER (PARTITION BY event_id % 5000 ORDER BY event_id DESC) AS rn FROM events WHERE 'P' || (event_id % 7) IN (SELECT category FROM v))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tesserae.functions import predicates as P
@@ -118,13 +120,25 @@ def dml11(t: Tables):
     return M.frequency(R.cascade_delete(t.links, polluted, "id", "episode_id"), "episode_id")
 
 
-@query("DML12")
+@query("DML12", """WITH k AS (SELECT *, substr(md5(tenant_id || '|' || episode_number), 1, 16) AS key FROM episodes), g AS (SELECT DISTINCT substr(md5(tenant_id || '|' || guest), 1, 16) AS key, tenant_id, guest FROM episodes WHERE guest <> '')
+SELECT 'item' AS tab, key, tenant_id AS a, title AS b FROM k UNION ALL SELECT 'media', key, url, duration_seconds::VARCHAR FROM k UNION ALL SELECT 'person', key, tenant_id, guest FROM g UNION ALL SELECT 'bridge', k.key, g.key, NULL FROM k JOIN g ON g.tenant_id = k.tenant_id AND g.guest = k.guest
+ UNION ALL SELECT 'tag', k.key, x.tag, NULL FROM k JOIN tags x ON x.episode_id = k.episode_number UNION ALL SELECT 'link', k.key, l.url, l.link_type FROM k JOIN links l ON l.episode_id = k.episode_number UNION ALL SELECT 'next', k.key, n.key, NULL FROM k LEFT JOIN k n ON n.tenant_id = k.tenant_id AND n.episode_number = k.episode_number + 1
+ UNION ALL SELECT 'enrichment', k.key, array_to_string(x.tags, ','), NULL FROM k JOIN enrichment x ON x.episode_id = k.episode_number""")
 def dml12(t: Tables):
-    """Nested documents, one for a tenant and a thousand ids, loaded as rows with surrogate ids of their natural keys; children without a parent go."""
-    docs = t.episodes.groupBy("tenant_id", F.floor(F.col("id") / 1000).alias("part")).agg(F.collect_list(F.struct("episode_number", "title", "guest")).alias("items"))
-    rows = docs.select("tenant_id", F.inline("items")).withColumn("id", F.xxhash64("tenant_id", "episode_number"))
-    kids = t.tags.select(F.col("episode_id").alias("episode_number"), "tag")
-    return rows.join(kids, "episode_number").select("id", "tenant_id", "title", "tag")
+    """Nested documents, one for a tenant and a thousand ids, loaded as the rows of eight tables with surrogate keys of their natural ones; children without a parent go, references without one are null."""
+    key = lambda *c: F.substring(F.md5(F.concat_ws("|", *c).cast("binary")), 1, 16)
+    none = F.lit(None).cast("string")
+    docs = t.episodes.groupBy("tenant_id", F.floor(F.col("id") / 1000).alias("part")).agg(F.collect_list(F.struct("episode_number", "title", "guest", F.struct("url", "duration_seconds").alias("media"))).alias("items"))
+    items = docs.select("tenant_id", F.inline("items")).withColumn("key", key("tenant_id", "episode_number"))
+    people = items.filter("guest <> ''").select(key("tenant_id", "guest").alias("key"), "tenant_id", "guest").distinct()
+    child = lambda df: items.select("key", "episode_number").join(df.withColumnRenamed("episode_id", "episode_number"), "episode_number")
+    after = items.select("tenant_id", (F.col("episode_number") - 1).alias("episode_number"), F.col("key").alias("next"))
+    tables = [
+        items.select(F.lit("item").alias("tab"), "key", F.col("tenant_id").alias("a"), F.col("title").alias("b")), items.select(F.lit("media"), "key", "media.url", F.col("media.duration_seconds").cast("string")), people.select(F.lit("person"), "key", "tenant_id", "guest"),
+        items.filter("guest <> ''").select(F.lit("bridge"), "key", key("tenant_id", "guest"), none), child(t.tags).select(F.lit("tag"), "key", "tag", none), child(t.links).select(F.lit("link"), "key", "url", "link_type"),
+        items.join(after, ["tenant_id", "episode_number"], "left").select(F.lit("next"), "key", "next", none), child(t.enrichment).select(F.lit("enrichment"), "key", F.array_join("tags", ","), none),
+    ]
+    return reduce(lambda x, y: x.union(y), tables)
 
 
 @query("DML13", "SELECT episode_id, tag FROM tags WHERE episode_id % 4 <> 0 UNION ALL SELECT id, 'fresh' FROM episodes WHERE id % 4 = 0")

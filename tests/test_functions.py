@@ -100,11 +100,46 @@ def test_chunks_and_gaps(spark):
     assert sorted(map(tuple, R.number_gaps(n, ["k"], "n").collect())) == [("a", 2), ("a", 3)]
 
 
-def test_one_to_one_consumes(spark):
-    left = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "a int, l string")
-    right = spark.createDataFrame([(7, "x"), (8, "yy")], "b int, r string")
-    rules = [("exact", lambda p, q: p.join(q, F.col("l") == F.col("r")).select("a", "b")), ("prefix", lambda p, q: p.join(q, F.col("r").startswith(F.col("l"))).select("a", "b"))]
-    assert sorted(map(tuple, E.one_to_one(left, right, rules).collect())) == [(1, 7, "exact"), (3, 8, "prefix")]
+def saver(spark, folder):
+    from itertools import count
+
+    k = count()
+
+    def save(df):
+        path = f"{folder}/{next(k)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return save
+
+
+def test_one_to_one_consumes(spark, tmp_path):
+    left = spark.createDataFrame([(1, 9, "ada-love"), (2, 9, "ada-love"), (3, 5, "bob-long"), (4, 124, "c"), (5, None, "dora-x"), (6, None, "the-inner-name"), (7, None, "zz")], "a int, number long, x string")
+    right = spark.createDataFrame([(10, "ada-love"), (11, "ada-love"), (12, "bob-long-more"), (13, "124-who"), (14, "dora"), (15, "inner-name"), (16, "q")], "b int, y string")
+    got = E.one_to_one(left, right, E.slug_rules(), saver(spark, str(tmp_path))).collect()
+    assert sorted((r.a, r.rule) for r in got) == [(1, "exact"), (2, "exact"), (3, "begins"), (4, "number"), (5, "begun"), (6, "holds")]
+    assert sorted(r.b for r in got) == [10, 11, 12, 13, 14, 15] and {r.b for r in got if r.a < 3} == {10, 11}
+
+
+def test_one_to_one_leaves_no_candidate(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    xs = ["-".join(rng.choices(["ann", "bob", "carl", "dora"], k=rng.randint(1, 3))) for _ in range(60)]
+    ys = [rng.choice([f"{rng.randint(1, 80)}-", "", "", "my-"]) + "-".join(rng.choices(["ann", "bob", "carl", "dora"], k=rng.randint(1, 3))) for _ in range(50)]
+    left, right = spark.createDataFrame([(i, i, x) for i, x in enumerate(xs)], "a int, number long, x string"), spark.createDataFrame(list(enumerate(ys)), "b int, y string")
+    got = E.one_to_one(left, right, E.slug_rules(), saver(spark, str(tmp_path))).collect()
+    fits = {
+        "number": lambda a, x, y: y.split("-")[0] == str(a), "exact": lambda a, x, y: x == y, "begins": lambda a, x, y: len(x) > 3 and y.startswith(x),
+        "begun": lambda a, x, y: len(y) > 3 and x.startswith(y), "holds": lambda a, x, y: min(len(x), len(y)) >= 6 and (x in y or y in x),
+    }
+    free_a, free_b = set(range(60)), set(range(50))
+    for rule, fit in fits.items():
+        mine = [(r.a, r.b) for r in got if r.rule == rule]
+        assert all(fit(a, xs[a], ys[b]) for a, b in mine) and len({a for a, _ in mine}) == len({b for _, b in mine}) == len(mine)
+        assert {a for a, _ in mine} <= free_a and {b for _, b in mine} <= free_b
+        free_a, free_b = free_a - {a for a, _ in mine}, free_b - {b for _, b in mine}
+        assert not [(a, b) for a in free_a for b in free_b if fit(a, xs[a], ys[b])]
 
 
 def test_unknown_strategy_fails(spark):

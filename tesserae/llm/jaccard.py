@@ -287,9 +287,10 @@ def similar_groups(docs: DataFrame, gram: int = GRAM, least: tuple[int, int] = L
     segments = sets.select("sid", F.explode("signs").alias("sign"))
     # counts and leaders by partial aggregation, written, so that a join's skew can be split
     often = written(segments.groupBy("sign").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("b")).filter("c > 1"), "often")
-    shared = written(segments.join(often, "sign"), "shared")
+    # joined by shuffle at every size, so that what moves grows in proportion
+    shared = written(segments.join(often.hint("merge"), "sign"), "shared")
     star = shared.filter(F.col("c") > CHUNK).filter("sid <> b").select(F.col("sid").alias("a"), "b")  # too many to compare in one task
-    few = shared.filter(F.col("c") <= CHUNK).join(sets.select("sid", "n", "bits"), "sid").select("sign", "sid", "n", "bits")
+    few = shared.filter(F.col("c") <= CHUNK).join(sets.select("sid", "n", "bits").hint("merge"), "sid").select("sign", "sid", "n", "bits")
     pairs = few.repartition("sign").sortWithinPartitions("sign").mapInArrow(_link_sharers(least), "a long, b long")
     blocks = components(star.union(pairs))
 
@@ -302,7 +303,7 @@ def similar_groups(docs: DataFrame, gram: int = GRAM, least: tuple[int, int] = L
         F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda x: x != F.col("chunk")), lambda x: F.struct(F.least(x, "chunk").alias("i"), F.greatest(x, "chunk").alias("j")))
     )
     dealt = member.select(F.col("label").alias("block"), F.col("node").alias("sid"), F.col("at.doc_id").alias("d"), F.col("at.th").alias("t"), others.alias("pairs"))
-    texts = keyed.join(dealt, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th"))).select("block", "sid", "pairs", "text").dropDuplicates(["block", "sid"])
+    texts = keyed.join(dealt.hint("merge"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th"))).select("block", "sid", "pairs", "text").dropDuplicates(["block", "sid"])
     texts = written(texts, "texts")
     size = texts.agg(F.sum(F.octet_length("text") * F.size("pairs"))).first()[0]
     placed = texts.select("block", F.explode("pairs").alias("p"), "sid", "text").select("block", "p.i", "p.j", "sid", "text")

@@ -159,9 +159,20 @@ def txt20(t: Tables):
     return src.select("source_id", F.posexplode(end).alias("i", "c")).select("source_id", "i", "c.title", "c.words")
 
 
-@query("TXT21", r"SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS heading, len(regexp_extract_all(html, '<p>'))::INT AS paragraphs FROM pages")
+LONGEST = "(SELECT arg_max(z, length(z)) FROM (SELECT unnest(regexp_extract_all(html, '(?is)<{t}[^>]*>(.*?)</{t}>', 1)) AS z))"
+ABSOLUTE = "CASE WHEN regexp_matches({h}, '^(#|mailto:|tel:|javascript:)') THEN NULL WHEN regexp_matches({h}, '^[a-z]+://') THEN {h} WHEN {h}[1] = '/' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || {h} ELSE regexp_extract(url, '^[a-z]+://[^/?#]+') || '/' || {h} END"
+
+
+@query("TXT21", f"""WITH p AS (SELECT page_id, url, coalesce({LONGEST.format(t='article')}, {LONGEST.format(t='main')}, html) AS root FROM pages),
+a AS (SELECT page_id, url, generate_subscripts(h, 1) AS i, trim(unnest(h)) AS href, unnest(x) AS html FROM (SELECT page_id, url, regexp_extract_all(root, '{ANCHORS}', 1) AS h, regexp_extract_all(root, '{ANCHORS}', 2) AS x FROM p)),
+l AS (SELECT page_id, i, {ABSOLUTE.format(h='href')} AS target, coalesce(substr({PLAIN}, 1, 500), '') AS label FROM a), f AS (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY i) AS rn FROM l WHERE target IS NOT NULL),
+c AS (SELECT page_id, string_agg({PLAIN}, ' / ' ORDER BY i) AS chapters FROM (SELECT page_id, generate_subscripts(h, 1) AS i, unnest(h) AS html FROM (SELECT page_id, regexp_extract_all(root, '(?is)<h[1-4][^>]*>(.*?)</h[1-4]>', 1) AS h FROM p)) GROUP BY 1)
+SELECT p.page_id, length(root) AS root, coalesce(c.chapters, '') AS chapters, coalesce((SELECT string_agg(target || ' ' || label, ' / ' ORDER BY i) FROM f WHERE f.page_id = p.page_id AND rn = 1), '') AS links FROM p LEFT JOIN c ON c.page_id = p.page_id""")
 def txt21(t: Tables):
-    return t.pages.select("page_id", F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("heading"), F.regexp_count("html", F.lit("<p>")).alias("paragraphs"))
+    """The article of a page (the longest, else the main part, else all), its headings, and its links, each once."""
+    rooted = t.pages.select("page_id", "url", X.article_root(F.col("html")).alias("root"))
+    heads = F.transform(F.regexp_extract_all("root", F.lit("(?is)<h[1-4][^>]*>(.*?)</h[1-4]>"), F.lit(1)), X.html_to_text)
+    return rooted.select("page_id", F.length("root").cast("long").alias("root"), F.array_join(heads, " / ").alias("chapters"), F.array_join(F.transform(X.article_links(F.col("root"), F.col("url")), lambda a: F.concat_ws(" ", a["target"], a["label"])), " / ").alias("links"))
 
 
 @query("TXT22", f"SELECT id, CASE WHEN h = 'cat.example.com' THEN 'episode_ref' WHEN len(string_split(h, '.')) = 2 THEN 'company' ELSE 'resource' END AS simple, {KIND} AS kind FROM ({PARTS})")

@@ -171,15 +171,23 @@ def prj6(t: Tables):
     return t.enrichment.select("episode_id", F.size("tags").alias("n"), F.get("tags", F.lit(0)).alias("first_tag"))
 
 
-@query("PRJ7", """SELECT e.id, e.title, g.name, coalesce(l.tools, 0)::BIGINT AS tools, coalesce(l.refs, 0)::BIGINT AS refs, x.tags[1] AS first_tag,
- lag(e.episode_number) OVER w AS prev, lead(e.episode_number) OVER w AS next FROM episodes e JOIN guest_episodes b ON b.episode_id = e.id JOIN guests g ON g.id = b.guest_id
- LEFT JOIN (SELECT episode_id, count(*) FILTER (link_type = 'tool') AS tools, count(*) FILTER (link_type = 'episode_ref') AS refs FROM links GROUP BY 1) l ON l.episode_id = e.id
- LEFT JOIN enrichment x ON x.episode_id = e.id WINDOW w AS (PARTITION BY e.tenant_id ORDER BY e.episode_number)""")
+@query("PRJ7", """WITH l AS (SELECT episode_id, string_agg(link_type || ': ' || urls, '; ' ORDER BY link_type) AS links FROM (SELECT episode_id, link_type, string_agg(url, ' ' ORDER BY id) AS urls FROM links GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT l.episode_id, string_agg(coalesce(o.id || ' ' || o.title, '-'), '; ' ORDER BY l.id) AS refs FROM links l LEFT JOIN episodes o ON o.url = l.url WHERE l.link_type = 'episode_ref' GROUP BY 1),
+p AS (SELECT b.episode_id, min(g.name) AS name, min(g.linkedin_url) AS profile FROM guest_episodes b JOIN guests g ON g.id = b.guest_id GROUP BY 1)
+SELECT e.id, e.title, e.duration_seconds, p.name, p.profile, coalesce(l.links, '') AS links, coalesce(r.refs, '') AS refs, coalesce(array_to_string(x.tags, ', '), '') AS tags, lag(e.episode_number) OVER w AS prev, lead(e.episode_number) OVER w AS next
+ FROM episodes e LEFT JOIN p ON p.episode_id = e.id LEFT JOIN l ON l.episode_id = e.id LEFT JOIN r ON r.episode_id = e.id LEFT JOIN enrichment x ON x.episode_id = e.id WINDOW w AS (PARTITION BY e.tenant_id ORDER BY e.episode_number)""")
 def prj7(t: Tables):
-    kinds = t.links.groupBy(F.col("episode_id").alias("id")).agg(F.count_if(F.col("link_type") == "tool").alias("tools"), F.count_if(F.col("link_type") == "episode_ref").alias("refs"))
-    people = t.guest_episodes.join(t.guests.select(F.col("id").alias("guest_id"), "name"), "guest_id").select(F.col("episode_id").alias("id"), "name")
-    e = R.with_prev_next(t.episodes, ["tenant_id"], "episode_number").join(people, "id").join(kinds, "id", "left").join(t.enrichment.withColumnRenamed("episode_id", "id"), "id", "left")
-    return e.select("id", "title", "name", F.coalesce("tools", F.lit(0)).alias("tools"), F.coalesce("refs", F.lit(0)).alias("refs"), F.get("tags", F.lit(0)).alias("first_tag"), "prev", "next")
+    """An item with its person, links by type, references resolved to items (misses kept as a dash), tags, and the items before and after."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    sorted_ = lambda order, what: F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(what).alias("x")))), lambda v: v["x"])
+    by_kind = t.links.groupBy("episode_id", "link_type").agg(F.concat(F.col("link_type"), F.lit(": "), F.array_join(sorted_("id", "url"), " ")).alias("line"))
+    links = by_kind.groupBy(F.col("episode_id").alias("id")).agg(F.array_join(sorted_("link_type", "line"), "; ").alias("links"))
+    items = t.episodes.select("url", F.concat("id", F.lit(" "), "title").alias("line"))
+    refs = t.links.filter("link_type = 'episode_ref'").join(items, "url", "left").withColumn("line", F.coalesce("line", F.lit("-")))
+    refs = refs.groupBy(F.col("episode_id").alias("ref_of")).agg(F.array_join(sorted_("id", "line"), "; ").alias("refs")).withColumnRenamed("ref_of", "id")
+    people = t.guest_episodes.join(t.guests.select(F.col("id").alias("guest_id"), "name", "linkedin_url"), "guest_id").groupBy(F.col("episode_id").alias("id")).agg(F.min("name").alias("name"), F.min("linkedin_url").alias("profile"))
+    e = R.with_prev_next(t.episodes, ["tenant_id"], "episode_number").join(people, "id", "left").join(links, "id", "left").join(refs, "id", "left").join(t.enrichment.withColumnRenamed("episode_id", "id"), "id", "left")
+    return e.select("id", "title", "duration_seconds", "name", "profile", text("links").alias("links"), text("refs").alias("refs"), text(F.array_join("tags", ", ")).alias("tags"), "prev", "next")
 
 
 @query("JON1", "SELECT b.episode_id, min(g.id) AS guest_id FROM guest_episodes b JOIN guests g ON g.id = b.guest_id GROUP BY 1")

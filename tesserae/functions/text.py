@@ -113,17 +113,47 @@ def title_number(title: Column) -> Column:
     return F.nullif(F.regexp_extract(title, r"^#?([0-9]{1,9})", 1), F.lit("")).cast("long")
 
 
+#: Small words inside names.
+PARTICLES = "de|du|des|la|le|les|van|von|der|dos|da|del|di|y|d[ae'’]"
+#: First words of titles that are topics or questions.
+TOPIC_WORDS = "comment|combien|pourquoi|tout|quand|quoi|que|qui|quels?|un|une|des|investir|investissement|prendre|faut-il|saas|immobilier|bourse|crypto|hors[- ]?s[ée]rie|extrait|bonus|episode|saison|zoom|s[ée]rie"
+_WORD = r"[A-ZÀ-Ý][a-zà-ÿ'’-]+"
+_PERSON = rf"(?:{_WORD}|(?:{PARTICLES})(?= ))(?:[ '’-](?:{_WORD}|{PARTICLES})(?![\p{{L}}])){{1,4}}"
+
+
 def guest_from_title(title: Column) -> Column:
-    """Struct of name, company and role: ``Name (Company)``, ``Name, role``, ``Name - Company``, or a leading name."""
-    body = F.trim(F.regexp_replace(title, r"^(#?[0-9]+ *[-:.] *)", ""))
-    name = r"(\p{Lu}[\p{L}#0-9'.-]+(?: \p{Lu}[\p{L}'.-]+){0,3})"
-    cases = [(rf"^{name} \(([^)]+)\)", "company"), (rf"^{name}, ([^-|]+)", "role"), (rf"^{name} - ([^|]+)", "company")]
-    out = F.when(body.endswith("?"), F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("company"), F.lit(None).cast("string").alias("role")))
-    for pattern, kind in cases:
-        second = F.trim(F.regexp_extract(body, pattern, 2))
-        none = F.lit(None).cast("string")
-        out = out.when(body.rlike(pattern), F.struct(F.regexp_extract(body, pattern, 1).alias("name"), (second if kind == "company" else none).alias("company"), (second if kind == "role" else none).alias("role")))
-    return out.otherwise(F.struct(F.nullif(F.regexp_extract(body, rf"^{name}", 1), F.lit("")).alias("name"), F.lit(None).cast("string").alias("company"), F.lit(None).cast("string").alias("role")))
+    """Struct of name, company and role that a title tells; all null where it names no person.
+
+    Numbers, ``Episode n:``, bracketed tags and ``VF -`` in front are dropped. A title that begins as a
+    topic names a person after ``de`` or after its last mark. Else the first form that fits counts:
+    ``Name (Company): role``, ``Name, role at Company``, ``Name - role at Company``, ``Name - Company -
+    role``, a leading name.
+    """
+    body = title
+    for lead in (r"^#?\s*[0-9]+\s*[-–—:]\s*", r"(?i)^episode\s+[0-9]+\s*[-–—:]\s*", r"(?i)^\[[^\]]*\]\s*[-–—]?\s*", r"(?i)^vf\s*[-–—]\s*"):
+        body = F.regexp_replace(body, lead, "")
+    body = F.trim(body)
+    at, free = r"\s+(?:at|chez|from|@)\s+", r"([^|–—-]{2,80})"
+    forms = [
+        (rf"^([^(|,]{{2,80}}?)\s*\(([^)]+)\)\s*(?:[-–—:]\s*(.+))?$", 1, 2, 3),
+        (rf"(?i)^([^,|]{{2,80}}),\s*([^|–—-]+?){at}{free}", 1, 3, 2),
+        (rf"(?i)^([^|–—-]{{2,80}}?)\s*[-–—]\s*(.+?)(?:{at}|\s+de\s+){free}$", 1, 3, 2),
+        (rf"^({_PERSON})\s*[-–—]\s*([^–—-]{{2,60}})(?:\s*[-–—]\s*(.+))?$", 1, 2, 3),
+        (rf"^({_PERSON}), ([^|–—-]+)$", 1, 0, 2),
+        (rf"^({_PERSON})", 1, 0, 0),
+    ]
+    none = F.lit(None).cast("string")
+
+    def told(pattern: str, *groups: int) -> Column:
+        part = lambda g: F.nullif(F.trim(F.regexp_extract(body, pattern, g)), F.lit("")) if g else none
+        return F.struct(*(part(g).alias(n) for g, n in zip(groups, ("name", "company", "role"), strict=True)))
+
+    topic = body.rlike(rf"(?i)^(?:{TOPIC_WORDS})(?![\p{{L}}])") | body.rlike(r"^(?:L[ea]s? [A-Z]|Les chiffres|L['’])")
+    of, tail = rf"\b(?:de |d['’])\s*({_PERSON})", rf"(?:[?!.]|[-–—])\s*(?:[-–—]\s*)?({_WORD}(?:[ '’-](?:{_WORD}|{PARTICLES})(?![\p{{L}}]))*)(?:\s+(?:et|and|&|,)\s+.*|(?:\s+[A-ZÀ-Ý]+)*)$"
+    out = F.when(topic & body.rlike(of), told(of, 1, 0, 0)).when(topic & body.rlike(tail), told(tail, 1, 0, 0)).when(topic, F.struct(none.alias("name"), none.alias("company"), none.alias("role")))
+    for pattern, *groups in forms:
+        out = out.when(body.rlike(pattern), told(pattern, *groups))
+    return out.otherwise(F.struct(none.alias("name"), none.alias("company"), none.alias("role")))
 
 
 def chapters(text: Column) -> Column:

@@ -60,8 +60,13 @@ def test_web_links(spark):
 def test_titles(spark):
     assert values(spark, ["#12 - Extrait : x", "Bonus x", "12 x", "x", None], X.editorial_type) == ["extract", "bonus", "full", "unknown", "unknown"]
     assert values(spark, ["#12 - A long talk - Ada", "12. What now?", "a - what?"], X.clean_title) == ["A long talk", "What now?", "a - what?"]
-    got = values(spark, ["#3 - Ada Lovelace (Engines)", "Ada Lovelace, founder", "Ada Lovelace - Engines", "Why not?"], X.guest_from_title)
-    assert [(g["name"], g["company"], g["role"]) for g in got] == [("Ada Lovelace", "Engines", None), ("Ada Lovelace", None, "founder"), ("Ada Lovelace", "Engines", None), (None, None, None)]
+    told = {
+        "#3 - Ada Lovelace (Engines)": ("Ada Lovelace", "Engines", None), "Ada Lovelace (Engines) : how it began": ("Ada Lovelace", "Engines", "how it began"), "Ada Lovelace, founder": ("Ada Lovelace", None, "founder"),
+        "Episode 7: Ada Lovelace, CTO at Acme": ("Ada Lovelace", "Acme", "CTO"), "#12 - Ada Lovelace - CEO de Engines Nord": ("Ada Lovelace", "Engines Nord", "CEO"), "Ada Lovelace - Engines": ("Ada Lovelace", "Engines", None),
+        "[EXTRAIT] Anne de la Tour - Engines - CEO": ("Anne de la Tour", "Engines", "CEO"), "Jean-Luc Le Grand et la mer": ("Jean-Luc Le Grand", None, None), "Why not?": (None, None, None), "the sea": (None, None, None), "": (None, None, None),
+        "Comment vivre ?": (None, None, None), "#1 - Combien vaut un four ? - Ada Lovelace": ("Ada Lovelace", None, None), "#2 - Combien vaut un four ? - Marine et Paul": ("Marine", None, None), "[ZOOM] Les chiffres de Ada Lovelace - ingénieure": ("Ada Lovelace", None, None),
+    }
+    assert {t: tuple(g) for t, g in zip(told, values(spark, list(told), X.guest_from_title), strict=True)} == told
 
 
 def test_chapters(spark):

@@ -99,15 +99,17 @@ def txt11(t: Tables):
     return t.episodes.select("id", X.guest_from_title(F.col("title")).alias("g")).select("id", "g.name", "g.company", "g.role")
 
 
-@query("TXT12", r"SELECT page_id AS id, 'firm ' || regexp_extract(url, '//(?:www[.]|m[.]|blog[.])?([a-z]+)', 1) AS sponsor, 'entry' AS kind FROM pages UNION ALL SELECT doc_id, lower(unnest(list_distinct(regexp_extract_all(text, '(?i)[^\n]{0,20}(?: for the | que la )[^\n]{0,20}')))), 'marker' FROM documents".replace("\\\\", "\\"))
+FIRM = "'Firm' || regexp_extract(url, '//(?:www[.]|m[.]|blog[.])?([a-z]+)', 1)"
+
+
+@query("TXT12", f"""WITH f AS (SELECT page_id, url, {FIRM} AS firm FROM pages) SELECT page_id, lower(firm) AS sponsor, url AS context FROM f UNION ALL SELECT page_id, 'two de trois', 'shop.example/x' FROM f
+ UNION ALL SELECT page_id, lower(firm) || ' nord', 'Bonjour. Brought to you by ' || firm || ' Nord, enjoy. Un grand merci à nos sponsors : ' || substr(firm || ' : ' || url || ' ', 1, 60 - length(', enjoy. Un grand merci à nos sponsors : ')) FROM f""")
 def txt12(t: Tables):
-    """Entries ``Name : url`` of notes that are written from the pages' addresses, and marker phrases with their context."""
-    name = F.regexp_extract("url", r"//(?:www[.]|m[.]|blog[.])?([a-z]+)", 1)
-    notes = t.pages.select(F.col("page_id").alias("id"), F.concat(F.lit("Thanks to our partners\nFirm "), name, F.lit(" : "), "url", F.lit("\nand you")).alias("text"))
-    entries = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?m)^ *(\p{Lu}[\p{L}0-9]*(?: \p{L}[\p{L}0-9]*){0,3}) ?: ?https?://\S+"), F.lit(1)), lambda x: F.lower(x)))
-    marked = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?i)[^\n]{0,20}(?: for the | que la )[^\n]{0,20}"), F.lit(0))), lambda x: F.lower(x))
-    found = notes.select("id", F.explode(entries).alias("sponsor"), F.lit("entry").alias("kind"))
-    return found.union(t.documents.select("doc_id", F.explode(marked), F.lit("marker")))
+    """Notes written from the pages' addresses: a list of sponsors with its end, and a name after a phrase."""
+    firm = F.concat(F.lit("Firm"), F.regexp_extract("url", r"//(?:www[.]|m[.]|blog[.])?([a-z]+)", 1))
+    parts = ["Bonjour. Brought to you by ", firm, " Nord, enjoy. Un grand merci à nos sponsors : ", firm, " : ", F.col("url"), " Two de Trois : shop.example/x then small : http://no.example Vous souhaitez sponsoriser Late : http://late.example"]
+    notes = t.pages.select("page_id", F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("text"))
+    return notes.select("page_id", F.explode(X.sponsors(F.col("text"))).alias("s")).select("page_id", F.lower("s.name").alias("sponsor"), "s.context")
 
 
 @query("TXT13", "SELECT d.doc_id, r.name FROM documents d JOIN (VALUES ('einung'), ('desen'), ('para la')) r(name) ON contains(strip_accents(lower(d.text)), r.name)")

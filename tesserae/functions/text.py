@@ -268,3 +268,53 @@ def sponsors(text: Column) -> Column:
     every = F.concat(listed, F.filter(F.array(*(after(x) for x in SPONSOR_PHRASES)), lambda e: e.isNotNull()))
     keys = F.transform(every, lambda e: F.lower(e["name"]))
     return F.filter(every, lambda e, i: F.array_position(keys, F.lower(e["name"])) == i + 1)
+
+
+#: Headers of the blocks of a description, by what the block is; those named ``end`` only end another.
+BLOCK_HEADERS = [
+    ("topic", r"Le\s+sujet\s*:"), ("guest", r"L[e']?\s*invit[ée]e?s?\s+du\s+jour\s*:"), ("guest", r"Les\s+invit[ée]e?s\s*:"), ("guest", r"Au\s+micro\s*:"),
+    ("items", r"D[ée]couvrez\s*:"), ("items", r"Au\s+programme\s*:"), ("items", r"Dans\s+cet\s+[ée]pisode\s*:"),
+    ("references", r"Ils?\s+citent\s+les\s+r[ée]f[ée]rences\s+suivantes\s*:"), ("references", r"R[ée]f[ée]rences?\s*:"), ("references", r"Ressources\s*:"),
+    ("episodes", r"Ainsi\s+que\s+d'anciens\s+[ée]pisodes[^\n#]*"), ("episodes", r"Les\s+anciens\s+[ée]pisodes\s+de\s+\w+\s+mentionn[ée]s[^\n#]*"),
+    ("promo", r"Avantages?\s*:"), ("promo", r"Bonne\s+nouvelle\s*!"), ("end", r"Chapitres\s*:"), ("end", r"TIMELINE\s*:"), ("end", r"H[ée]berg[ée]\s+par"),
+    ("end", r"On\s+vous\s+souhaite"), ("end", r"Merci\s+(?:à|a)\s+(?:notre|nos)\s+partenaire"), ("end", r"La\s+libre\s+antenne"),
+]
+
+
+def description_blocks(text: Column) -> Column:
+    """Struct of a description's parts: topic, guest, items, references, episodes, promo, chapters, video; null or empty where missing.
+
+    The text is cut in front of every header, so a block ends at the nearest other one; of several
+    blocks of a kind the one whose header is listed first counts.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[\u2018\u2019\u02bc]", "'"), "\u00a0", " "), r"[ \t]+\n", "\n")
+    every = "|".join(h for _, h in BLOCK_HEADERS)
+    cuts = F.split(F.regexp_replace(plain, rf"(?i)({every})", "\u0001$1"), "\u0001")
+
+    def block(kind: str) -> Column:
+        first = lambda header: F.get(F.filter(cuts, lambda c: c.rlike(rf"(?i)^(?:{header})")), F.lit(0))
+        found = [first(h) for k, h in BLOCK_HEADERS if k == kind]
+        return F.trim(F.regexp_replace(F.coalesce(*found), rf"(?i)^(?:{every})", ""), F.lit(" \n"))
+
+    clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    least = lambda c, n: F.when(F.length(c) > n, c)
+    bullets = lambda c: F.filter(F.transform(F.regexp_extract_all(F.concat(F.lit("\n"), c), F.lit(r"(?s)\n\s*[-•*]\s*(.+?)(?=\n\s*[-•*]|$)"), F.lit(1)), lambda x: F.substring(clean(x), 1, 280)), lambda x: F.length(x) > 2)
+    address = r"https?://[^\s<>\"'()]+[^\s<>\"'().,;:!?]"
+    url = lambda c: F.nullif(F.regexp_extract(c, address, 0), F.lit(""))
+    label = lambda c: F.coalesce(F.nullif(F.trim(F.regexp_replace(F.regexp_replace(c, address, ""), r"[→:—-]\s*$", "")), F.lit("")), url(c))
+    numbered = lambda c: F.regexp_extract_all(c, F.lit(r"#\s*([0-9]{1,4}\s*[-–—:]\s*[^\n#]+)"), F.lit(1))
+    past = F.coalesce(F.nullif(numbered(block("episodes")), F.array().cast("array<string>")), F.regexp_extract_all(plain, F.lit(r"#\s*([0-9]{1,4}\s*[-–—]\s*[^\n#]{3,80})"), F.lit(1)))
+    episodes = F.transform(past, lambda x: F.struct(F.regexp_extract(x, "^[0-9]+", 0).cast("int").alias("number"), F.regexp_replace(clean(F.regexp_replace(x, r"^[0-9]+\s*[-–—:]\s*", "")), r"[.,;:]+$", "").alias("title")))
+    numbers = F.transform(episodes, lambda e: e["number"])
+    offer = clean(block("promo"))
+    promo = F.struct(
+        F.nullif(F.upper(F.regexp_extract(offer, r"(?i)code\s+(?:promo\s+)?([a-z][a-z0-9]{2,20})", 1)), F.lit("")).alias("code"), url(offer).alias("url"),
+        F.nullif(F.trim(F.regexp_extract(offer, r"chez\s+([A-Z][\w&' .-]{1,40}?)(?:\s+→|\s*$|\s*\(|\s+pour|\s+avec|\s*[.,:;])", 1)), F.lit("")).alias("partner"),
+    )
+    none = F.array().cast("array<string>")
+    return F.struct(
+        least(clean(block("topic")), 10).alias("topic"), least(clean(block("guest")), 5).alias("guest"), F.coalesce(bullets(block("items")), none).alias("items"),
+        F.transform(F.coalesce(bullets(block("references")), none), lambda x: F.struct(label(x).alias("label"), url(x).alias("url"))).alias("references"),
+        F.filter(episodes, lambda e, i: F.array_position(numbers, e["number"]) == i + 1).alias("episodes"), promo.alias("promo"), chapters(plain).alias("chapters"),
+        F.nullif(F.regexp_extract(plain, r"https?://(?:www\.)?video\.example/\S+", 0), F.lit("")).alias("video"),
+    )

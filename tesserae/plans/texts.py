@@ -84,14 +84,27 @@ def txt9(t: Tables):
     return t.links.select("id", P.any_of([F.contains(P.host_of(F.col("url")), F.lit(p)) for p in parts]).alias("is_tool"))
 
 
-@query("TXT10", "SELECT source_id, idx, (start_s::BIGINT) AS seconds, substr(replace(text, chr(10), ' '), 1, 30) AS title FROM segments WHERE trim(substr(replace(text, chr(10), ' '), 1, 30)) = substr(replace(text, chr(10), ' '), 1, 30) AND length(text) > 30")
+HEADS = "SELECT source_id, list(start_s::BIGINT || ':' || substr(replace(text, chr(10), ' '), 1, 30) ORDER BY idx) AS chapters FROM segments WHERE trim(substr(replace(text, chr(10), ' '), 1, 30)) = substr(replace(text, chr(10), ' '), 1, 30) AND length(text) > 30 GROUP BY 1"
+
+
+@query("TXT10", f"""SELECT source_id, 'About number ' || source_id AS topic, 'Guest ' || source_id || ' speaks' AS guest, ['first item, on two lines', 'second ' || source_id] AS items, ['Book ' || source_id || '=https://b.example/' || source_id, 'A paper='] AS refs, ['12:Old one', (source_id % 900 + 20) || ':Other'] AS episodes,
+ 'ABC' || source_id AS code, 'https://p.example/' || source_id AS promo_url, 'Firm Nord' AS partner, chapters, 'https://video.example/v' || source_id AS video FROM ({HEADS})""")
 def txt10(t: Tables):
-    """Chapter lines are written from segments, put together as one description a source, and parsed back."""
+    """Descriptions of all blocks are written from transcripts, with their chapter lines, and parsed back."""
     title = F.substring(F.regexp_replace("text", "\n", " "), 1, 30)
     rows = t.segments.filter((F.trim(title) == title) & (F.length("text") > 30)).select("source_id", "idx", F.concat(X.to_hms(F.col("start_s")), F.lit(" - "), title).alias("line"))
-    whole = rows.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("x")).select("source_id", F.col("x.idx").alias("idx"), F.array_join(F.col("x.line"), "\n").alias("description"))
-    found = whole.select("source_id", F.inline(F.arrays_zip("idx", X.chapters(F.col("description")).alias("c"))))
-    return found.select("source_id", "idx", "c.seconds", "c.title")
+    lines = rows.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    i = F.col("source_id")
+    parts = [
+        "Le sujet : About number ", i, "\nL’invité du jour : Guest ", i, " speaks\nDécouvrez :\n- first item,\non two lines\n- second ", i, "\nRéférences :\n- Book ", i, " : https://b.example/", i, "\n- A paper\nAinsi que d'anciens épisodes :\n#12 - Old one\n#", i % 900 + 20,
+        " - Other.\nAvantages : code promo abc", i, " chez Firm Nord pour tous https://p.example/", i, "\nChapitres :\n", F.col("lines"), "\nHébergé par X https://video.example/v", i,
+    ]
+    found = lines.select("source_id", X.description_blocks(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))).alias("d")).select("source_id", "d.*")
+    pair = lambda a, b, sep: lambda x: F.concat(x[a], F.lit(sep), F.coalesce(x[b].cast("string"), F.lit("")))
+    return found.select(
+        "source_id", "topic", "guest", "items", F.transform("references", pair("label", "url", "=")).alias("refs"), F.transform("episodes", pair("number", "title", ":")).alias("episodes"), F.col("promo.code").alias("code"), F.col("promo.url").alias("promo_url"),
+        F.col("promo.partner").alias("partner"), F.transform("chapters", pair("seconds", "title", ":")).alias("chapters"), "video",
+    )
 
 
 @query("TXT11")

@@ -171,8 +171,8 @@ def prj6(t: Tables):
     return t.enrichment.select("episode_id", F.size("tags").alias("n"), F.get("tags", F.lit(0)).alias("first_tag"))
 
 
-@query("PRJ7", """WITH l AS (SELECT episode_id, string_agg(link_type || ': ' || urls, '; ' ORDER BY link_type) AS links FROM (SELECT episode_id, link_type, string_agg(url, ' ' ORDER BY id) AS urls FROM links GROUP BY 1, 2) GROUP BY 1),
-r AS (SELECT l.episode_id, string_agg(coalesce(o.id || ' ' || o.title, '-'), '; ' ORDER BY l.id) AS refs FROM links l LEFT JOIN episodes o ON o.url = l.url WHERE l.link_type = 'episode_ref' GROUP BY 1),
+@query("PRJ7", """WITH l AS (SELECT episode_id, string_agg(link_type || ': ' || urls, '; ' ORDER BY link_type) AS links FROM (SELECT episode_id, link_type, string_agg(url, ' ' ORDER BY id, url) AS urls FROM links GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT l.episode_id, string_agg(coalesce(o.id || ' ' || o.title, '-'), '; ' ORDER BY l.id, coalesce(o.id || ' ' || o.title, '-')) AS refs FROM links l LEFT JOIN episodes o ON o.url = l.url WHERE l.link_type = 'episode_ref' GROUP BY 1),
 p AS (SELECT b.episode_id, min(g.name) AS name, min(g.linkedin_url) AS profile FROM guest_episodes b JOIN guests g ON g.id = b.guest_id GROUP BY 1)
 SELECT e.id, e.title, e.duration_seconds, p.name, p.profile, coalesce(l.links, '') AS links, coalesce(r.refs, '') AS refs, coalesce(array_to_string(x.tags, ', '), '') AS tags, lag(e.episode_number) OVER w AS prev, lead(e.episode_number) OVER w AS next
  FROM episodes e LEFT JOIN p ON p.episode_id = e.id LEFT JOIN l ON l.episode_id = e.id LEFT JOIN r ON r.episode_id = e.id LEFT JOIN enrichment x ON x.episode_id = e.id WINDOW w AS (PARTITION BY e.tenant_id ORDER BY e.episode_number)""")

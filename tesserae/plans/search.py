@@ -80,7 +80,7 @@ def vec6(t: Tables):
     return S.project_and_cluster(t.vectors, 5)
 
 
-@query("VEC7", """WITH l AS (SELECT episode_id, string_agg(url, ' ' ORDER BY id) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY id) AS rn FROM links) WHERE rn <= 5 GROUP BY 1),
+@query("VEC7", """WITH l AS (SELECT episode_id, string_agg(url, ' ' ORDER BY id, url) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY id, url) AS rn FROM links) WHERE rn <= 5 GROUP BY 1),
 c AS (SELECT source_id, string_agg(substr(text, 1, 20), '; ' ORDER BY idx) AS chapters, string_agg(text, ' ' ORDER BY idx) AS article FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY idx) AS rn FROM segments) WHERE rn <= 8 GROUP BY 1),
 b AS (SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '[^.\\n]{20,60}[.]'), lambda x: true)[1:5], ' / ') AS takeaways FROM documents)
 SELECT e.id, concat_ws(' | ', e.title, coalesce(e.guest, ''), coalesce(c.chapters, ''), coalesce(substr(c.article, 1, 200), ''), coalesce(b.takeaways, ''), coalesce(array_to_string(x.tags[1:5], ', '), ''), coalesce(l.urls, '')) AS pack
@@ -89,7 +89,7 @@ def vec7(t: Tables):
     """Each hit with its guest, eight chapters at most, an excerpt, takeaways, tags and links; transcripts and texts are found by a fiftieth of the id."""
     hits = t.episodes.filter("id % 50 = 0").select("id", "title", "guest", F.floor(F.col("id") / 50).alias("ref"))
     listed = lambda df, key, order, what, sep: df.groupBy(F.col(key).alias("_k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, what))), lambda x: x[what]), sep).alias("_v"))
-    few = listed(R.top_n_per_group(t.links, ["episode_id"], [F.asc("id")], 5), "episode_id", "id", "url", " ").withColumnsRenamed({"_k": "id", "_v": "urls"})
+    few = listed(R.top_n_per_group(t.links, ["episode_id"], [F.asc("id"), F.asc("url")], 5), "episode_id", "id", "url", " ").withColumnsRenamed({"_k": "id", "_v": "urls"})
     parts = R.top_n_per_group(t.segments.withColumn("head", F.substring("text", 1, 20)), ["source_id"], [F.asc("idx")], 8)
     chapters, article = (listed(parts, "source_id", "idx", what, sep).withColumnsRenamed({"_k": "ref", "_v": name}) for what, sep, name in (("head", "; ", "chapters"), ("text", " ", "article")))
     facts = t.documents.select(F.col("doc_id").alias("ref"), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^.\n]{20,60}[.]"), F.lit(0)), 1, 5), " / ").alias("takeaways"))

@@ -29,7 +29,7 @@ SPAN = LENGTH - GRAM + 1
 #: Bytes hashed at once in a task; longer texts are taken in overlapping parts.
 PART = 1 << 19
 #: Bytes of runs that a task indexes, and that one anchor may bring to a task.
-TASK_BYTES, HOT_BYTES = 4 << 20, 16 << 20
+TASK_BYTES, HOT_BYTES = 2 << 20, 16 << 20
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 5
 _POSITION = np.uint64((1 << 24) - 1)
@@ -207,6 +207,9 @@ def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pick = pa.array(owner[hit][first])
             lo, hi = rel[hit][first], rel[hit][last] + LENGTH
             yield pa.RecordBatch.from_arrays([anchors.take(pick), names.take(pick), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["anchor", "run", "lo", "hi"])
+    # a worker waits for further tasks beside the next stage's; it gives back what it can
+    del family, kept
+    pa.default_memory_pool().release_unused()
 
 
 def united(ranges: list[dict]) -> list[list[int]]:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space (Java and RE2 syntax).
@@ -86,3 +86,18 @@ def range_bucket(value: Column, cuts: list[int]) -> Column:
 def n_blocks(total: int | None, each: int, least: int = 1) -> int:
     """How many blocks of ``each`` hold ``total``."""
     return max(least, -(-int(total or 0) // each))
+
+
+def running_starts(df: DataFrame, number: str, value: str, name: str, each: int = 4096) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over all rows with a smaller ``number`` (whole, from 0, distinct).
+
+    Sums of groups of ``each`` numbers come first, so the window without a key sees one row a group.
+    """
+    group, before = fresh(df, "_group"), fresh(df, "_before")
+    grouped = df.withColumn(group, F.floor(F.col(number) / each))
+    sums = grouped.groupBy(group).agg(F.sum(value).alias(before))
+    past = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(group, F.coalesce(F.sum(before).over(past), F.lit(0)).alias(before))
+    inside = Window.partitionBy(group).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    joined = grouped.join(sums, group).withColumn(name, F.col(before) + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return joined.drop(group, before)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import fingerprint, html, jaccard, lm, mixing, packing, quality, sharding, suffixes, urls
+from tesserae.llm import fingerprint, html, jaccard, lm, mixing, packing, quality, sharding, suffixes, tokenfiles, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
+    "op12_token_files": tokenfiles.op12_token_files,
 }
 SQL = {"op3_ngram_jaccard_join": jaccard.OP3_SQL, "op4_quality_rules": quality.OP4_SQL, "op9_mixing": mixing.OP9_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import fingerprint, html, jaccard, lm, mixing, packing, quality, sharding, suffixes, tokenfiles, urls
+from tesserae.llm import fingerprint, html, jaccard, lm, mixing, packing, phrases, quality, sharding, suffixes, tokenfiles, trie, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_token_files": tokenfiles.op12_token_files,
+    "op13_phrase_collocations": phrases.op13_phrase_collocations,
 }
-SQL = {"op3_ngram_jaccard_join": jaccard.OP3_SQL, "op4_quality_rules": quality.OP4_SQL, "op9_mixing": mixing.OP9_SQL}
+SQL = {"op3_ngram_jaccard_join": jaccard.OP3_SQL, "op4_quality_rules": quality.OP4_SQL, "op9_mixing": mixing.OP9_SQL, "op11_prefix_trie": trie.OP11_SQL, "op13_phrase_collocations": phrases.OP13_SQL}

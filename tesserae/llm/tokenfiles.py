@@ -25,7 +25,7 @@ from tesserae.llm import coder
 from tesserae.llm.common import n_blocks, running_starts, shared_dir, written
 from tesserae.llm.wordids import word_ids
 
-END_ID, RANGE_BYTES, BLOCK_BYTES, BLOCK_IDS = 2, 32 << 20, 16 << 20, 1 << 22
+END_ID, RANGE_BYTES, BLOCK_BYTES, BLOCK_IDS = 2, 32 << 20, 8 << 20, 1 << 22
 #: The file begins with this; so does each block, followed by its counts of ids, documents and words, and the checksum of its body.
 FILE_MARK, BLOCK_MARK = b"TSIDS\x00\x01\x00", b"TSBK"
 _HEADER = struct.Struct("<4sIIII")

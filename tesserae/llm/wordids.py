@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words that a worker remembers at most; it starts afresh beyond them.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 _PLAIN, _PUNCTUATION, _WORD_END = "^[a-zà-öø-ÿœ]+$", string.punctuation, "</w>"
 
 

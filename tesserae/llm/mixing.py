@@ -61,7 +61,17 @@ def targets(sources: DataFrame, weights=WEIGHTS, cap: float = CAP, share: float
 def _sources(small: DataFrame) -> DataFrame:
     """For each source: size, target and the mean priority of its words."""
     sums = small.groupBy("key").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("priority")).alias("weighted"))
-    return targets(sums).select("key", "source_size", "target", (F.col("weighted") / F.col("source_size")).alias("mean"))
+    return targets(sums).select("key", "source_size", "target", F.try_divide("weighted", "source_size").alias("mean"))
+
+
+def _rate(target: str, source_size: str) -> Column:
+    """Expected copies of a source's documents; a source without words is taken as it is, once."""
+    return F.coalesce(F.try_divide(target, source_size), F.lit(1.0))
+
+
+def _mean(mean: str) -> Column:
+    """The mean priority of a source's words; that of documents without words where it has none."""
+    return F.coalesce(mean, F.lit(LESS_LIKELY))
 
 
 def _copies(rate: Column, priority: Column, mean: Column) -> tuple[Column, Column]:
@@ -83,7 +93,7 @@ def mix(df: DataFrame, seed: int = 0) -> DataFrame:
     Where ``df`` has columns of these names, the new ones get underscores in front.
 
     A null text has no words, a null source is a source of its own and comes last; documents without
-    words are taken with the whole copies of their rate; rows that are equal in id and text share
+    words are taken with the whole copies of their rate, once in a source that has no words at all; rows that are equal in id and text share
     one rank, so all or none of them get the last copy; an empty table stays empty.
     """
     key, size, priority, uniform = _measured(df, seed)
@@ -91,9 +101,8 @@ def mix(df: DataFrame, seed: int = 0) -> DataFrame:
     sources = written(_sources(small), "mix-sources")
     broadcast = F.broadcast if sources.count() <= BROADCAST_ROWS else (lambda x: x)
 
-    rate = F.col("target") / F.col("source_size")
     ranked = small.join(broadcast(sources), "key")
-    whole, chance = _copies(rate, F.col("priority"), F.col("mean"))
+    whole, chance = _copies(_rate("target", "source_size"), F.col("priority"), _mean("mean"))
     ranked = ranked.select("key", "size", "u", "target", (whole * F.col("size")).alias("certain"), _rank(F.col("u"), chance).alias("z"))
     binned = ranked.withColumn("bin", F.floor(F.col("z") * BINS).cast("int"))
 
@@ -119,7 +128,7 @@ def mix(df: DataFrame, seed: int = 0) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in df.columns]
     rows = df.select(*columns, key.alias(k), size.alias(s), priority.alias(p), uniform.alias(u))
     joined = rows.join(broadcast(cuts.select(F.col("key").alias(k), F.col("source_size").alias(ss), F.col("target").alias(t), F.col("mean").alias(m), F.col("cut").alias(at))), k)
-    whole, chance = _copies(F.coalesce(F.col(t) / F.col(ss), F.lit(0.0)), F.col(p), F.coalesce(m, F.lit(1.0)))
+    whole, chance = _copies(_rate(t, ss), F.col(p), _mean(m))
     more = F.coalesce(_rank(F.col(u), chance) <= F.col(at), F.lit(False)).cast("long")
     return joined.select(*columns, F.col(s).alias(fresh(df, "mix_size")), F.col(ss).alias(fresh(df, "mix_source_size")), F.col(t).alias(fresh(df, "mix_target")), (whole + more).cast("long").alias(fresh(df, "mix_copies")))
 

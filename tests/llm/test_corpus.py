@@ -64,6 +64,14 @@ def test_mix_hard(spark, hard, nothing):
     assert mixing.mixed_documents(spark, hard, "").columns == hard.columns
 
 
+def test_mix_sources_without_words(spark):
+    """A source of empty and null texts only has target 0, and its documents are taken once."""
+    rows = [(1, None, "bare"), (2, "", "bare"), (3, " \t", "bare"), (4, "a b c " * 30, "full"), (5, "d e", "full"), (6, None, None)]
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(got) == 6 and all(got[i].mix_source_size == 0 and got[i].mix_target == 0 and got[i].mix_copies == 1 for i in (1, 2, 3, 6))
+    assert got[4].mix_source_size == 92 and all(r.mix_size == 0 for r in map(got.get, (1, 2, 3, 6)))
+
+
 def test_mix_keeps_columns_of_any_name(spark, hard):
     named = hard.select("*", *(F.lit("x").alias(n) for n in ("mix_copies", "mix_size", "_mix_key", "_mix_t", "copy", "key")))
     got = mixing.mixed_documents(spark, named, "")

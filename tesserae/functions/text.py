@@ -55,10 +55,11 @@ def anchors(html: Column) -> Column:
     return F.transform(both, lambda a: F.struct(F.trim(a["h"]).alias("href"), F.nullif(F.substring(html_to_text(a["t"]), 1, 200), F.lit("")).alias("label")))
 
 
-def web_links(html: Column) -> Column:
-    """``(href, label)`` of the anchors that lead to the web, then of addresses in the text, which have no label."""
+def web_links(html: Column, base: Column | None = None) -> Column:
+    """``(href, label)`` of the anchors that lead to the web, resolved against ``base`` where one is given, then of addresses in the text, which have no label."""
     bare = F.transform(F.regexp_extract_all(html_to_text(html), F.lit(BARE_URL), F.lit(0)), lambda u: F.struct(u.alias("href"), F.lit(None).cast("string").alias("label")))
-    return F.concat(F.filter(anchors(html), lambda a: a["href"].rlike("(?i)^https?://")), bare)
+    found = anchors(html) if base is None else F.transform(anchors(html), lambda a: F.struct(absolute_url(a["href"], base).alias("href"), a["label"].alias("label")))
+    return F.concat(F.filter(found, lambda a: F.coalesce(a["href"].rlike("(?i)^https?://"), F.lit(False))), bare)
 
 
 def without_front_matter(markdown: Column) -> Column:
@@ -66,10 +67,30 @@ def without_front_matter(markdown: Column) -> Column:
     return F.regexp_replace(markdown, r"(?s)^---\n.*?\n---\n", "")
 
 
+def _plain_path(path: Column) -> Column:
+    """A path after its first slash without dot segments: a fold over its parts."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(parts, F.lit(""))).otherwise(parts)
+    step = lambda kept, part: F.when(part == ".", kept).when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, part))
+    return F.array_join(F.aggregate(closed, F.array().cast("array<string>"), step), "/")
+
+
 def absolute_url(href: Column, base: Column) -> Column:
-    """Against the base's scheme and host; null for fragments, mail and telephone links."""
-    root = F.regexp_extract(base, r"^[a-z]+://[^/?#]+", 0)
-    return F.when(href.rlike("^(#|mailto:|tel:|javascript:)"), None).when(href.rlike("^[a-z]+://"), href).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(root, F.lit("/"), href))
+    """A web address resolved against its page's; null for fragments and for other schemes (mail, telephone, scripts).
+
+    ``//host`` takes the scheme, ``/path`` the host, ``?query`` the path and anything else the folder
+    of the base; dot segments are folded, scheme and host are lower-cased, an empty path is ``/``.
+    """
+    h = F.trim(href)
+    root, path = F.regexp_extract(base, r"^[A-Za-z]+://[^/?#]*", 0), F.regexp_extract(base, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    scheme = F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    whole = (
+        F.when((h == "") | h.startswith("#"), None).when(scheme.isin("http", "https") & h.rlike("^[A-Za-z]+://"), h).when(scheme != "", None).when(h.startswith("//"), F.concat(F.substring_index(root, "//", 1), h))
+        .when(h.startswith("/"), F.concat(root, h)).when(h.startswith("?"), F.concat(root, path, h)).otherwise(F.concat(root, folder, h))
+    )
+    made = lambda u: F.concat(F.lower(F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]*", 0)), F.lit("/"), _plain_path(F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)), F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]*[^?#]*(.*)$", 1))
+    return F.get(F.transform(F.array(whole), made), F.lit(0))
 
 
 def classify_url(url: Column, own_host: str) -> Column:
@@ -113,55 +134,6 @@ def title_number(title: Column) -> Column:
     return F.nullif(F.regexp_extract(title, r"^#?([0-9]{1,9})", 1), F.lit("")).cast("long")
 
 
-#: Small words inside names.
-PARTICLES = "de|du|des|la|le|les|van|von|der|dos|da|del|di|y|d[ae'’]"
-#: First words of titles that are topics or questions.
-TOPIC_WORDS = "comment|combien|pourquoi|tout|quand|quoi|que|qui|quels?|un|une|des|investir|investissement|prendre|faut-il|saas|immobilier|bourse|crypto|hors[- ]?s[ée]rie|extrait|bonus|episode|saison|zoom|s[ée]rie"
-_WORD = r"[A-ZÀ-Ý][a-zà-ÿ'’-]+"
-_PERSON = rf"(?:{_WORD}|(?:{PARTICLES})(?= ))(?:[ '’-](?:{_WORD}|{PARTICLES})(?![\p{{L}}])){{1,4}}"
-
-
-def guest_from_title(title: Column) -> Column:
-    """Struct of name, company and role that a title tells; all null where it names no person.
-
-    Numbers, ``Episode n:``, bracketed tags and ``VF -`` in front are dropped. A title that begins as a
-    topic names a person after ``de`` or after its last mark. Else the first form that fits counts:
-    ``Name (Company): role``, ``Name, role at Company``, ``Name - role at Company``, ``Name - Company -
-    role``, a leading name.
-    """
-    body = title
-    for lead in (r"^#?\s*[0-9]+\s*[-–—:]\s*", r"(?i)^episode\s+[0-9]+\s*[-–—:]\s*", r"(?i)^\[[^\]]*\]\s*[-–—]?\s*", r"(?i)^vf\s*[-–—]\s*"):
-        body = F.regexp_replace(body, lead, "")
-    body = F.trim(body)
-    at, free = r"\s+(?:at|chez|from|@)\s+", r"([^|–—-]{2,80})"
-    forms = [
-        (rf"^([^(|,]{{2,80}}?)\s*\(([^)]+)\)\s*(?:[-–—:]\s*(.+))?$", 1, 2, 3),
-        (rf"(?i)^([^,|]{{2,80}}),\s*([^|–—-]+?){at}{free}", 1, 3, 2),
-        (rf"(?i)^([^|–—-]{{2,80}}?)\s*[-–—]\s*(.+?)(?:{at}|\s+de\s+){free}$", 1, 3, 2),
-        (rf"^({_PERSON})\s*[-–—]\s*([^–—-]{{2,60}})(?:\s*[-–—]\s*(.+))?$", 1, 2, 3),
-        (rf"^({_PERSON}), ([^|–—-]+)$", 1, 0, 2),
-        (rf"^({_PERSON})", 1, 0, 0),
-    ]
-    none = F.lit(None).cast("string")
-
-    def told(pattern: str, *groups: int) -> Column:
-        part = lambda g: F.nullif(F.trim(F.regexp_extract(body, pattern, g)), F.lit("")) if g else none
-        return F.struct(*(part(g).alias(n) for g, n in zip(groups, ("name", "company", "role"), strict=True)))
-
-    topic = body.rlike(rf"(?i)^(?:{TOPIC_WORDS})(?![\p{{L}}])") | body.rlike(r"^(?:L[ea]s? [A-Z]|Les chiffres|L['’])")
-    of, tail = rf"\b(?:de |d['’])\s*({_PERSON})", rf"(?:[?!.]|[-–—])\s*(?:[-–—]\s*)?({_WORD}(?:[ '’-](?:{_WORD}|{PARTICLES})(?![\p{{L}}]))*)(?:\s+(?:et|and|&|,)\s+.*|(?:\s+[A-ZÀ-Ý]+)*)$"
-    out = F.when(topic & body.rlike(of), told(of, 1, 0, 0)).when(topic & body.rlike(tail), told(tail, 1, 0, 0)).when(topic, F.struct(none.alias("name"), none.alias("company"), none.alias("role")))
-    for pattern, *groups in forms:
-        out = out.when(body.rlike(pattern), told(pattern, *groups))
-    return out.otherwise(F.struct(none.alias("name"), none.alias("company"), none.alias("role")))
-
-
-def chapters(text: Column) -> Column:
-    """``(seconds, title)`` of the lines ``HH:MM:SS - title``."""
-    lines = F.regexp_extract_all(text, F.lit(r"(?m)^ *[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})? *- *[^\n]+"), F.lit(0))
-    return F.transform(lines, lambda x: F.struct(parse_duration(F.regexp_extract(x, r"([0-9:]+)", 1)).alias("seconds"), F.trim(F.regexp_extract(x, r"- *(.+)$", 1)).alias("title")))
-
-
 def slug_variants(name: Column) -> Column:
     """Joined, hyphenated, dotted, and initial with the rest; distinct."""
     parts = F.split(slug(name, 200), "-")
@@ -197,12 +169,18 @@ def bold_phrases(html: Column, denied: list[str], most: int = 10) -> Column:
     return F.slice(F.array_distinct(fit), 1, most)
 
 
-def outside_links(html: Column, own: list[str], most: int = 15) -> Column:
-    """The first ``most`` anchors to other sites whose label has 4 to 99 characters."""
-    web = F.filter(anchors(html), lambda a: a["href"].rlike("(?i)^https?://") & F.coalesce(F.length(a["label"]).between(4, 99), F.lit(False)) & ~any_of([F.contains(a["href"], F.lit(d)) for d in own]))
+def outside_links(links: Column, own: list[str], most: int = 15) -> Column:
+    """The first ``most`` of some ``(href, label)`` that lead to other sites and whose label has 4 to 99 characters."""
+    web = F.filter(links, lambda a: F.coalesce(F.length(a["label"]).between(4, 99), F.lit(False)) & ~any_of([F.contains(a["href"], F.lit(d)) for d in own]))
     return F.slice(web, 1, most)
 
 
+def linked_numbers(links: Column, own: Column, most: int = 350) -> Column:
+    """Numbers ``#n`` (up to ``most``) in the labels of the ``(href, label)`` that lead to the page's own host, each once, in order."""
+    told = F.transform(F.filter(links, lambda a: host_of(a["href"]) == own), lambda a: F.nullif(F.regexp_extract(a["label"], "#([0-9]{1,3})", 1), F.lit("")).cast("int"))
+    return F.array_distinct(F.filter(told, lambda n: n.between(1, most)))
+
+
 def rating(text: Column) -> Column:
     """The number before ``/ 5``; null for none."""
     return F.regexp_replace(F.nullif(F.regexp_extract(text, r"([0-9]+(?:[.,][0-9]+)?)\s*/\s*5", 1), F.lit("")), ",", ".").cast("double")
@@ -229,92 +207,3 @@ def article_links(html: Column, base: Column, most: int = 500) -> Column:
     made = F.filter(F.transform(both, lambda a: F.struct(absolute_url(F.trim(a["h"]), base).alias("target"), F.substring(html_to_text(a["t"]), 1, most).alias("label"))), lambda a: a["target"].isNotNull())
     targets = F.transform(made, lambda a: a["target"])
     return F.filter(made, lambda a, i: F.array_position(targets, a["target"]) == i + 1)
-
-
-#: Phrases that a sponsor's name follows.
-SPONSOR_PHRASES = [r"cet[\s-]+épisode\s+(?:est\s+)?(?:sponsorisé|sponsorise|présenté|présente)\s+par", r"merci\s+(?:à|a)\s+(?:notre\s+)?(?:partenaire|sponsor)", r"sponsor[ié]*\s+par", r"en\s+partenariat\s+avec", r"brought\s+to\s+you\s+by"]
-#: What opens a list of sponsors, and what ends it.
-SPONSOR_LIST = r"merci\s+(?:à|a)\s+(?:tous\s+)?(?:nos|mes)\s+(?:sponsors|partenaires)\s*[:—-]?\s*"
-SPONSOR_LIST_END = r"vous\s+souhaitez\s+sponsoriser|timeline|h[ée]berg[ée]\s+par|montages?\s+[:-]|ecr[iy]vez[- ]nous|retrouvez[- ]nous|hors[- ]s[ée]rie"
-#: Small words inside company names.
-SMALL_WORDS = ["de", "du", "des", "la", "le", "les", "d", "&", "et", "y"]
-
-
-def sponsors(text: Column) -> Column:
-    """``(name, context)`` of sponsors: entries ``Name : address`` of a list, then names after a phrase with 60 characters around; the first of a name, whatever its case.
-
-    A name in a list has four words at most, each with a capital or digit first, small words apart.
-    A list goes on to a known end, else for 600 characters.
-    """
-    plain = html_to_text(text)
-    opened = F.regexp_extract(plain, rf"(?is){SPONSOR_LIST}(.*)", 1)
-    ended = F.regexp_extract(opened, rf"(?is)^(.+?)(?:{SPONSOR_LIST_END})", 1)
-    block = F.when(ended != "", ended).otherwise(F.substring(opened, 1, 600))
-    entry = r"([A-ZÀ-Ý][A-Za-zÀ-ÿ0-9&'’ -]{2,30}?)\s*:\s*(https?://\S+|[a-z0-9][a-z0-9.-]*\.[a-z]{2,}(?:/\S*)?)"
-    pairs = F.arrays_zip(F.regexp_extract_all(block, F.lit(entry), F.lit(1)).alias("n"), F.regexp_extract_all(block, F.lit(entry), F.lit(2)).alias("c"))
-    named = F.transform(pairs, lambda e: F.struct(F.trim(F.regexp_replace(e["n"], r"\s+", " ")).alias("name"), e["c"].alias("context")))
-    small = F.array(*(F.lit(w) for w in SMALL_WORDS))
-    proper = lambda n: F.forall(F.split(n, " "), lambda w: F.array_contains(small, F.lower(w)) | w.rlike("^[A-ZÀ-Ý0-9]"))
-    listed = F.filter(named, lambda e: (F.length(e["name"]) >= 3) & (F.size(F.split(e["name"], " ")) <= 4) & proper(e["name"]))
-
-    def after(phrase: str) -> Column:
-        form = rf"(?i){phrase}\s+(?-i:([A-Z][\w&'’ .-]{{1,40}}))"
-        whole = F.regexp_extract(plain, form, 0)
-        name = F.trim(F.regexp_replace(F.regexp_extract(plain, form, 1), r"[.,;:!?].*$", ""))
-        at = F.call_function("instr", plain, whole)
-        begin = F.greatest(F.lit(1), at - 60)
-        return F.when(F.length(name) >= 2, F.struct(name.alias("name"), F.trim(F.substring(plain, begin, at + F.length(whole) + 60 - begin)).alias("context")))
-
-    every = F.concat(listed, F.filter(F.array(*(after(x) for x in SPONSOR_PHRASES)), lambda e: e.isNotNull()))
-    keys = F.transform(every, lambda e: F.lower(e["name"]))
-    return F.filter(every, lambda e, i: F.array_position(keys, F.lower(e["name"])) == i + 1)
-
-
-#: Headers of the blocks of a description, by what the block is; those named ``end`` only end another.
-BLOCK_HEADERS = [
-    ("topic", r"Le\s+sujet\s*:"), ("guest", r"L[e']?\s*invit[ée]e?s?\s+du\s+jour\s*:"), ("guest", r"Les\s+invit[ée]e?s\s*:"), ("guest", r"Au\s+micro\s*:"),
-    ("items", r"D[ée]couvrez\s*:"), ("items", r"Au\s+programme\s*:"), ("items", r"Dans\s+cet\s+[ée]pisode\s*:"),
-    ("references", r"Ils?\s+citent\s+les\s+r[ée]f[ée]rences\s+suivantes\s*:"), ("references", r"R[ée]f[ée]rences?\s*:"), ("references", r"Ressources\s*:"),
-    ("episodes", r"Ainsi\s+que\s+d'anciens\s+[ée]pisodes[^\n#]*"), ("episodes", r"Les\s+anciens\s+[ée]pisodes\s+de\s+\w+\s+mentionn[ée]s[^\n#]*"),
-    ("promo", r"Avantages?\s*:"), ("promo", r"Bonne\s+nouvelle\s*!"), ("end", r"Chapitres\s*:"), ("end", r"TIMELINE\s*:"), ("end", r"H[ée]berg[ée]\s+par"),
-    ("end", r"On\s+vous\s+souhaite"), ("end", r"Merci\s+(?:à|a)\s+(?:notre|nos)\s+partenaire"), ("end", r"La\s+libre\s+antenne"),
-]
-
-
-def description_blocks(text: Column) -> Column:
-    """Struct of a description's parts: topic, guest, items, references, episodes, promo, chapters, video; null or empty where missing.
-
-    The text is cut in front of every header, so a block ends at the nearest other one; of several
-    blocks of a kind the one whose header is listed first counts.
-    """
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[\u2018\u2019\u02bc]", "'"), "\u00a0", " "), r"[ \t]+\n", "\n")
-    every = "|".join(h for _, h in BLOCK_HEADERS)
-    cuts = F.split(F.regexp_replace(plain, rf"(?i)({every})", "\u0001$1"), "\u0001")
-
-    def block(kind: str) -> Column:
-        first = lambda header: F.get(F.filter(cuts, lambda c: c.rlike(rf"(?i)^(?:{header})")), F.lit(0))
-        found = [first(h) for k, h in BLOCK_HEADERS if k == kind]
-        return F.trim(F.regexp_replace(F.coalesce(*found), rf"(?i)^(?:{every})", ""), F.lit(" \n"))
-
-    clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    least = lambda c, n: F.when(F.length(c) > n, c)
-    bullets = lambda c: F.filter(F.transform(F.regexp_extract_all(F.concat(F.lit("\n"), c), F.lit(r"(?s)\n\s*[-•*]\s*(.+?)(?=\n\s*[-•*]|$)"), F.lit(1)), lambda x: F.substring(clean(x), 1, 280)), lambda x: F.length(x) > 2)
-    address = r"https?://[^\s<>\"'()]+[^\s<>\"'().,;:!?]"
-    url = lambda c: F.nullif(F.regexp_extract(c, address, 0), F.lit(""))
-    label = lambda c: F.coalesce(F.nullif(F.trim(F.regexp_replace(F.regexp_replace(c, address, ""), r"[→:—-]\s*$", "")), F.lit("")), url(c))
-    numbered = lambda c: F.regexp_extract_all(c, F.lit(r"#\s*([0-9]{1,4}\s*[-–—:]\s*[^\n#]+)"), F.lit(1))
-    past = F.coalesce(F.nullif(numbered(block("episodes")), F.array().cast("array<string>")), F.regexp_extract_all(plain, F.lit(r"#\s*([0-9]{1,4}\s*[-–—]\s*[^\n#]{3,80})"), F.lit(1)))
-    episodes = F.transform(past, lambda x: F.struct(F.regexp_extract(x, "^[0-9]+", 0).cast("int").alias("number"), F.regexp_replace(clean(F.regexp_replace(x, r"^[0-9]+\s*[-–—:]\s*", "")), r"[.,;:]+$", "").alias("title")))
-    numbers = F.transform(episodes, lambda e: e["number"])
-    offer = clean(block("promo"))
-    promo = F.struct(
-        F.nullif(F.upper(F.regexp_extract(offer, r"(?i)code\s+(?:promo\s+)?([a-z][a-z0-9]{2,20})", 1)), F.lit("")).alias("code"), url(offer).alias("url"),
-        F.nullif(F.trim(F.regexp_extract(offer, r"chez\s+([A-Z][\w&' .-]{1,40}?)(?:\s+→|\s*$|\s*\(|\s+pour|\s+avec|\s*[.,:;])", 1)), F.lit("")).alias("partner"),
-    )
-    none = F.array().cast("array<string>")
-    return F.struct(
-        least(clean(block("topic")), 10).alias("topic"), least(clean(block("guest")), 5).alias("guest"), F.coalesce(bullets(block("items")), none).alias("items"),
-        F.transform(F.coalesce(bullets(block("references")), none), lambda x: F.struct(label(x).alias("label"), url(x).alias("url"))).alias("references"),
-        F.filter(episodes, lambda e, i: F.array_position(numbers, e["number"]) == i + 1).alias("episodes"), promo.alias("promo"), chapters(plain).alias("chapters"),
-        F.nullif(F.regexp_extract(plain, r"https?://(?:www\.)?video\.example/\S+", 0), F.lit("")).alias("video"),
-    )

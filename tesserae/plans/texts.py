@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tesserae.functions import notes as N
 from tesserae.functions import predicates as P
 from tesserae.functions import text as X
 from tesserae.operators import relational as R
@@ -46,15 +47,33 @@ def txt5(t: Tables):
     return t.raw("conversations").select("conv_id", "turn", v.alias("v"), X.parse_duration(v).alias("seconds"))
 
 
+#: What pages get at their end, since they name few addresses: an address with dot segments, a link one folder up, one to another host, and a bare address.
+NOTE = ["<p>See <a href='https://Out.example/a/./b/../", "page_id", "?q=1#f'>Reference ", "page_id", "</a>, <a href=\"../up/", "page_id", "\">Episode #", "page_id % 350 + 1", "</a>, <a href='//c.example'>Cdn</a>, <a href='?p=2'>Next</a>, <a href='mailto:a@b.example'>Mail</a> and https://bare.example/", "page_id", ".</p>"]
+NOTED = "html || " + " || ".join(f"({x})::VARCHAR" if x.startswith("page_id") else "'" + x.replace("'", "''") + "'" for x in NOTE)
+
+
+def noted_pages(t: Tables):
+    """Pages with ``NOTE`` at their end."""
+    return t.pages.withColumn("html", F.concat("html", *(F.expr(x).cast("string") if x.startswith("page_id") else F.lit(x) for x in NOTE)))
+
+
 def page_links(t: Tables):
-    """Links of all pages to the web, in order."""
-    return t.pages.select("page_id", "url", F.posexplode(X.web_links(F.col("html"))).alias("i", "a")).select("page_id", "url", (F.col("i") + 1).alias("i"), "a.href", "a.label")
+    """Links of all pages to the web, resolved, in order."""
+    return noted_pages(t).select("page_id", "url", F.posexplode(X.web_links(F.col("html"), F.col("url"))).alias("i", "a")).select("page_id", "url", (F.col("i") + 1).alias("i"), "a.href", "a.label")
 
 
 ANCHORS = X.ANCHOR.replace("'", "''")
-LINKS = f"""WITH a AS (SELECT page_id, url, generate_subscripts(h, 1) AS i, trim(unnest(h)) AS href, unnest(x) AS html FROM (SELECT page_id, url, regexp_extract_all(html, '{ANCHORS}', 1) AS h, regexp_extract_all(html, '{ANCHORS}', 2) AS x FROM pages)),
-b AS (SELECT page_id, url, generate_subscripts(h, 1) + 1000000 AS i, unnest(h) AS href FROM (SELECT page_id, url, regexp_extract_all({PLAIN}, '{X.BARE_URL.replace("'", "''")}') AS h FROM pages)),
-page_links AS (SELECT page_id, url, i, href, nullif(substr({PLAIN}, 1, 200), '') AS label FROM a WHERE regexp_matches(href, '(?i)^https?://') UNION ALL SELECT page_id, url, i, href, NULL FROM b)"""
+ROOT, PATH = "regexp_extract({u}, '(?i)^[a-z]+://[^/?#]*')", "regexp_extract({u}, '(?i)^[a-z]+://[^/?#]*([^?#]*)', 1)"
+#: A web address of ``{h}`` on the page ``url``; and the same with its dot segments folded, from ``whole``.
+WHOLE = f"""CASE WHEN {{h}} = '' OR {{h}}[1] = '#' THEN NULL WHEN regexp_matches({{h}}, '(?i)^https?://') THEN {{h}} WHEN regexp_matches({{h}}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN {{h}}[1:2] = '//' THEN string_split(url, '//')[1] || {{h}}
+ WHEN {{h}}[1] = '/' THEN {ROOT.format(u='url')} || {{h}} WHEN {{h}}[1] = '?' THEN {ROOT.format(u='url')} || {PATH.format(u='url')} || {{h}} ELSE {ROOT.format(u='url')} || CASE WHEN {PATH.format(u='url')} = '' THEN '/' ELSE regexp_replace({PATH.format(u='url')}, '[^/]*$', '') END || {{h}} END"""
+SEGMENTS = f"string_split(regexp_replace({PATH.format(u='whole')}, '^/', ''), '/')"
+FOLDED = f"""CASE WHEN whole IS NOT NULL THEN lower({ROOT.format(u='whole')}) || '/' || array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(CASE WHEN {SEGMENTS}[-1] IN ('.', '..') THEN list_append({SEGMENTS}, '') ELSE {SEGMENTS} END, lambda x: [x])),
+ lambda kept, s: CASE WHEN s[1] = '.' THEN kept WHEN s[1] = '..' THEN kept[:-2] ELSE list_concat(kept, s) END), '/') || regexp_extract(whole, '(?i)^[a-z]+://[^/?#]*[^?#]*(.*)$', 1) END"""
+LINKS = f"""WITH np AS (SELECT page_id, url, {NOTED} AS html FROM pages), ra AS (SELECT page_id, url, generate_subscripts(h, 1) AS i, trim(unnest(h)) AS raw, unnest(x) AS html FROM (SELECT page_id, url, regexp_extract_all(html, '{ANCHORS}', 1) AS h, regexp_extract_all(html, '{ANCHORS}', 2) AS x FROM np)),
+a AS (SELECT page_id, url, i, html, {FOLDED} AS href FROM (SELECT *, {WHOLE.format(h='raw')} AS whole FROM ra)),
+b AS (SELECT page_id, url, generate_subscripts(h, 1) + 1000000 AS i, unnest(h) AS href FROM (SELECT page_id, url, regexp_extract_all({PLAIN}, '{X.BARE_URL.replace("'", "''")}') AS h FROM np)),
+page_links AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY i)::INT AS i, href, label FROM (SELECT page_id, url, i, href, nullif(substr({PLAIN}, 1, 200), '') AS label FROM a WHERE href IS NOT NULL UNION ALL SELECT page_id, url, i, href, NULL FROM b))"""
 
 
 @query("TXT6", f"{LINKS} SELECT page_id, href, label FROM (SELECT *, row_number() OVER (PARTITION BY page_id, lower(href) ORDER BY i) AS rn FROM page_links) WHERE rn = 1")
@@ -84,7 +103,7 @@ def txt9(t: Tables):
     return t.links.select("id", P.any_of([F.contains(P.host_of(F.col("url")), F.lit(p)) for p in parts]).alias("is_tool"))
 
 
-HEADS = "SELECT source_id, list(start_s::BIGINT || ':' || substr(replace(text, chr(10), ' '), 1, 30) ORDER BY idx) AS chapters FROM segments WHERE trim(substr(replace(text, chr(10), ' '), 1, 30)) = substr(replace(text, chr(10), ' '), 1, 30) AND length(text) > 30 GROUP BY 1"
+HEADS = "SELECT source_id, list(start_s::BIGINT || ':' || rtrim(substr(replace(text, chr(10), ' '), 1, 30), '.,;:') ORDER BY idx) AS chapters FROM segments WHERE trim(substr(replace(text, chr(10), ' '), 1, 30)) = substr(replace(text, chr(10), ' '), 1, 30) AND length(text) > 30 GROUP BY 1"
 
 
 @query("TXT10", f"""SELECT source_id, 'About number ' || source_id AS topic, 'Guest ' || source_id || ' speaks' AS guest, ['first item, on two lines', 'second ' || source_id] AS items, ['Book ' || source_id || '=https://b.example/' || source_id, 'A paper='] AS refs, ['12:Old one', (source_id % 900 + 20) || ':Other'] AS episodes,
@@ -99,7 +118,7 @@ def txt10(t: Tables):
         "Le sujet : About number ", i, "\nL’invité du jour : Guest ", i, " speaks\nDécouvrez :\n- first item,\non two lines\n- second ", i, "\nRéférences :\n- Book ", i, " : https://b.example/", i, "\n- A paper\nAinsi que d'anciens épisodes :\n#12 - Old one\n#", i % 900 + 20,
         " - Other.\nAvantages : code promo abc", i, " chez Firm Nord pour tous https://p.example/", i, "\nChapitres :\n", F.col("lines"), "\nHébergé par X https://video.example/v", i,
     ]
-    found = lines.select("source_id", X.description_blocks(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))).alias("d")).select("source_id", "d.*")
+    found = lines.select("source_id", N.description_blocks(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))).alias("d")).select("source_id", "d.*")
     pair = lambda a, b, sep: lambda x: F.concat(x[a], F.lit(sep), F.coalesce(x[b].cast("string"), F.lit("")))
     return found.select(
         "source_id", "topic", "guest", "items", F.transform("references", pair("label", "url", "=")).alias("refs"), F.transform("episodes", pair("number", "title", ":")).alias("episodes"), F.col("promo.code").alias("code"), F.col("promo.url").alias("promo_url"),
@@ -109,7 +128,7 @@ def txt10(t: Tables):
 
 @query("TXT11")
 def txt11(t: Tables):
-    return t.episodes.select("id", X.guest_from_title(F.col("title")).alias("g")).select("id", "g.name", "g.company", "g.role")
+    return t.episodes.select("id", N.guest_from_title(F.col("title")).alias("g")).select("id", "g.name", "g.company", "g.role")
 
 
 FIRM = "'Firm' || regexp_extract(url, '//(?:www[.]|m[.]|blog[.])?([a-z]+)', 1)"
@@ -122,7 +141,7 @@ def txt12(t: Tables):
     firm = F.concat(F.lit("Firm"), F.regexp_extract("url", r"//(?:www[.]|m[.]|blog[.])?([a-z]+)", 1))
     parts = ["Bonjour. Brought to you by ", firm, " Nord, enjoy. Un grand merci à nos sponsors : ", firm, " : ", F.col("url"), " Two de Trois : shop.example/x then small : http://no.example Vous souhaitez sponsoriser Late : http://late.example"]
     notes = t.pages.select("page_id", F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("text"))
-    return notes.select("page_id", F.explode(X.sponsors(F.col("text"))).alias("s")).select("page_id", F.lower("s.name").alias("sponsor"), "s.context")
+    return notes.select("page_id", F.explode(N.sponsors(F.col("text"))).alias("s")).select("page_id", F.lower("s.name").alias("sponsor"), "s.context")
 
 
 @query("TXT13", "SELECT d.doc_id, r.name FROM documents d JOIN (VALUES ('einung'), ('desen'), ('para la')) r(name) ON contains(strip_accents(lower(d.text)), r.name)")
@@ -175,12 +194,11 @@ def txt20(t: Tables):
 
 
 LONGEST = "(SELECT arg_max(z, length(z)) FROM (SELECT unnest(regexp_extract_all(html, '(?is)<{t}[^>]*>(.*?)</{t}>', 1)) AS z))"
-ABSOLUTE = "CASE WHEN regexp_matches({h}, '^(#|mailto:|tel:|javascript:)') THEN NULL WHEN regexp_matches({h}, '^[a-z]+://') THEN {h} WHEN {h}[1] = '/' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || {h} ELSE regexp_extract(url, '^[a-z]+://[^/?#]+') || '/' || {h} END"
 
 
 @query("TXT21", f"""WITH p AS (SELECT page_id, url, coalesce({LONGEST.format(t='article')}, {LONGEST.format(t='main')}, html) AS root FROM pages),
 a AS (SELECT page_id, url, generate_subscripts(h, 1) AS i, trim(unnest(h)) AS href, unnest(x) AS html FROM (SELECT page_id, url, regexp_extract_all(root, '{ANCHORS}', 1) AS h, regexp_extract_all(root, '{ANCHORS}', 2) AS x FROM p)),
-l AS (SELECT page_id, i, {ABSOLUTE.format(h='href')} AS target, coalesce(substr({PLAIN}, 1, 500), '') AS label FROM a), f AS (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY i) AS rn FROM l WHERE target IS NOT NULL),
+l AS (SELECT page_id, i, {FOLDED} AS target, coalesce(substr({PLAIN}, 1, 500), '') AS label FROM (SELECT *, {WHOLE.format(h='href')} AS whole FROM a)), f AS (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY i) AS rn FROM l WHERE target IS NOT NULL),
 c AS (SELECT page_id, string_agg({PLAIN}, ' / ' ORDER BY i) AS chapters FROM (SELECT page_id, generate_subscripts(h, 1) AS i, unnest(h) AS html FROM (SELECT page_id, regexp_extract_all(root, '(?is)<h[1-4][^>]*>(.*?)</h[1-4]>', 1) AS h FROM p)) GROUP BY 1)
 SELECT p.page_id, length(root) AS root, coalesce(c.chapters, '') AS chapters, coalesce((SELECT string_agg(target || ' ' || label, ' / ' ORDER BY i) FROM f WHERE f.page_id = p.page_id AND rn = 1), '') AS links FROM p LEFT JOIN c ON c.page_id = p.page_id""")
 def txt21(t: Tables):
@@ -197,9 +215,11 @@ def txt22(t: Tables):
     return t.links.select("id", simple.alias("simple"), X.classify_url(F.col("url"), HOST).alias("kind"))
 
 
-@query("TXT23", f"{LINKS} SELECT page_id, i::INT AS i, CASE WHEN regexp_matches(href, '^(#|mailto:|tel:|javascript:)') THEN NULL WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN href[1] = '/' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || href ELSE regexp_extract(url, '^[a-z]+://[^/?#]+') || '/' || href END AS target FROM page_links")
+@query("TXT23", f"{LINKS} SELECT page_id, raw AS href, href AS target FROM a JOIN (SELECT page_id, i, raw FROM ra) USING (page_id, i)")
 def txt23(t: Tables):
-    return page_links(t).select("page_id", "i", X.absolute_url(F.col("href"), F.col("url")).alias("target"))
+    """Every anchor's address as it stands and as it is resolved."""
+    rows = noted_pages(t).select("page_id", "url", F.explode(X.anchors(F.col("html"))).alias("a"))
+    return rows.select("page_id", "a.href", X.absolute_url(F.col("a.href"), F.col("url")).alias("target"))
 
 
 @query("TXT24", r"SELECT page_id, regexp_replace(url, '^https?://(www[.])?([^/]+).*', '\2') AS host FROM pages")
@@ -277,14 +297,17 @@ DENIED = ["http", "€", "cookie", "podcast", "apple", "spotify"]
 INSIDE = "regexp_extract_all(html, '(?is)<(?:b|strong)>(.*?)</(?:b|strong)>', 1)"
 
 
-@query("TXT36", LINKS + f""", k AS (SELECT page_id, list_filter(list_transform({INSIDE}, lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '[ \\t\\n]+', ' ', 'g'))), lambda x: length(x) BETWEEN 21 AND 199 AND len(list_filter({DENIED}, lambda d: contains(lower(x), d))) = 0) AS b FROM pages),
-f AS (SELECT page_id, i, href, label, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rn FROM page_links WHERE length(label) BETWEEN 4 AND 99 AND NOT contains(href, 'example.com') AND i <= 1000000)
-SELECT p.page_id, list_filter(b, lambda x, i: list_position(b, x) = i)[1:10] AS takeaways, (SELECT string_agg(href, ' ' ORDER BY i) FROM f WHERE f.page_id = p.page_id AND rn <= 15) AS refs,
- try_cast(replace(regexp_extract(html, '([0-9]+(?:[.,][0-9]+)?)\\s*/\\s*5', 1), ',', '.') AS DOUBLE) AS rating, list_filter(['then', 'und der', 'que la'], lambda s: contains(html, s))[1] AS sponsor FROM pages p JOIN k ON k.page_id = p.page_id""")
+@query("TXT36", LINKS + f""", k AS (SELECT page_id, list_filter(list_transform({INSIDE}, lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '[ \\t\\n]+', ' ', 'g'))), lambda x: length(x) BETWEEN 21 AND 199 AND len(list_filter({DENIED}, lambda d: contains(lower(x), d))) = 0) AS b FROM np),
+f AS (SELECT page_id, i, href, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rn FROM page_links WHERE length(label) BETWEEN 4 AND 99 AND NOT contains(href, 'example.com')),
+m AS (SELECT page_id, list(n ORDER BY i) AS numbers FROM (SELECT page_id, n, min(i) AS i FROM (SELECT page_id, i, try_cast(nullif(regexp_extract(label, '#([0-9]{{1,3}})', 1), '') AS INT) AS n FROM page_links WHERE regexp_replace(href, '^https?://(www[.])?([^/]+).*', '\\2') = regexp_replace(url, '^https?://(www[.])?([^/]+).*', '\\2')) WHERE n BETWEEN 1 AND 350 GROUP BY 1, 2) GROUP BY 1)
+SELECT p.page_id, list_filter(b, lambda x, i: list_position(b, x) = i)[1:10] AS takeaways, (SELECT string_agg(href, ' ' ORDER BY i) FROM f WHERE f.page_id = p.page_id AND rn <= 15) AS refs, coalesce(m.numbers, []) AS numbers,
+ try_cast(replace(regexp_extract(html, '([0-9]+(?:[.,][0-9]+)?)\\s*/\\s*5', 1), ',', '.') AS DOUBLE) AS rating, list_filter(['then', 'und der', 'que la'], lambda s: contains(html, s))[1] AS sponsor FROM np p JOIN k ON k.page_id = p.page_id LEFT JOIN m ON m.page_id = p.page_id""")
 def txt36(t: Tables):
-    """Facts of pages: bold phrases, outside references with a label, a rating of five, the first known sponsor in the text."""
-    facts = t.pages.select("page_id", X.bold_phrases(F.col("html"), DENIED).alias("takeaways"), X.rating(F.col("html")).alias("rating"), X.first_known(F.col("html"), ["then", "und der", "que la"]).alias("sponsor"), X.outside_links(F.col("html"), ["example.com"]).alias("links"))
-    return facts.select("page_id", "takeaways", F.nullif(F.array_join(F.transform("links", lambda x: x["href"]), " "), F.lit("")).alias("refs"), "rating", "sponsor")
+    """Facts of pages: bold phrases, item numbers in own links, outside references with a label, a rating of five, the first known sponsor in the text."""
+    html, links = F.col("html"), F.col("links")
+    rows = noted_pages(t).withColumn("links", X.web_links(html, F.col("url")))
+    facts = rows.select("page_id", X.bold_phrases(html, DENIED).alias("takeaways"), X.rating(html).alias("rating"), X.first_known(html, ["then", "und der", "que la"]).alias("sponsor"), X.outside_links(links, ["example.com"]).alias("out"), X.linked_numbers(links, P.host_of(F.col("url"))).alias("numbers"))
+    return facts.select("page_id", "takeaways", F.nullif(F.array_join(F.transform("out", lambda x: x["href"]), " "), F.lit("")).alias("refs"), "numbers", "rating", "sponsor")
 
 
 @query("TXT37", "SELECT source_id, string_agg('## ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY idx) AS article FROM segments GROUP BY 1")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tesserae.functions import notes as N
 from tesserae.functions import predicates as P
 from tesserae.functions import scoring
 from tesserae.functions import text as X
@@ -50,6 +51,19 @@ def test_links_and_classes(spark):
     assert values(spark, ["/b", "#c", "mailto:d", "http://e.example/f", "g"], lambda u: X.absolute_url(u, base)) == ["https://a.example/b", None, None, "http://e.example/f", "https://a.example/g"]
 
 
+def test_addresses_are_resolved(spark):
+    """As a browser resolves them: folders, dot segments, other hosts, queries; other schemes and fragments are no links."""
+    cases = {
+        ("../b?x", "https://a.example/x/y/z?q#f"): "https://a.example/x/b?x", ("//c.example/p", "http://a.example/x"): "http://c.example/p", ("?q=2", "https://a.example/x/y?q=1#t"): "https://a.example/x/y?q=2", ("g", "https://a.example"): "https://a.example/g",
+        ("./a/../b/.", "https://a.example/x/"): "https://a.example/x/b/", ("../../../up", "https://a.example/x/y"): "https://a.example/up", ("HTTPS://A.Example", "http://b.example/"): "https://a.example/", ("http://a.example/a/./b/../c#d", "http://b.example/"): "http://a.example/a/c#d",
+        ("#c", "https://a.example/"): None, ("", "https://a.example/"): None, ("mailto:x@y.example", "https://a.example/"): None, ("javascript:void(0)", "https://a.example/"): None, ("/a//b", "https://a.example/x"): "https://a.example/a//b", ("..", "https://a.example/x/y/z"): "https://a.example/x/", (" g ", "https://a.example/x/y"): "https://a.example/x/g",
+    }
+    df = spark.createDataFrame([(i, *k) for i, k in enumerate(cases)], "i int, h string, b string")
+    assert [r[0] for r in df.orderBy("i").select(X.absolute_url(F.col("h"), F.col("b"))).collect()] == list(cases.values())
+    page = values(spark, ["<a href='x'>#12 own</a><a href='/y'>see #400</a><a href='//c.example'>#3 other</a><a href='z'>#12 again</a>"], lambda p: X.linked_numbers(X.web_links(p, F.lit("https://a.example/d/e")), F.lit("a.example")))
+    assert page == [[12]]
+
+
 def test_web_links(spark):
     page = """<a class='x' href='https://a.example/1'><b>Bold</b> &amp; more</a> <a href="/local">l</a> see https://b.example/2. <a href="http://c.example"></a> (https://A.example/1)"""
     got = values(spark, [page, "", None], X.web_links)
@@ -66,14 +80,55 @@ def test_titles(spark):
         "[EXTRAIT] Anne de la Tour - Engines - CEO": ("Anne de la Tour", "Engines", "CEO"), "Jean-Luc Le Grand et la mer": ("Jean-Luc Le Grand", None, None), "Why not?": (None, None, None), "the sea": (None, None, None), "": (None, None, None),
         "Comment vivre ?": (None, None, None), "#1 - Combien vaut un four ? - Ada Lovelace": ("Ada Lovelace", None, None), "#2 - Combien vaut un four ? - Marine et Paul": ("Marine", None, None), "[ZOOM] Les chiffres de Ada Lovelace - ingénieure": ("Ada Lovelace", None, None),
     }
-    assert {t: tuple(g) for t, g in zip(told, values(spark, list(told), X.guest_from_title), strict=True)} == told
+    assert {t: tuple(g) for t, g in zip(told, values(spark, list(told), N.guest_from_title), strict=True)} == told
 
 
 def test_chapters(spark):
-    got = values(spark, ["00:10 - Start\nwords\n01:00:05 - End", "none"], X.chapters)
+    got = values(spark, ["00:10 - Start\nwords\n01:00:05 - End", "none"], N.chapters)
     assert [[(c["seconds"], c["title"]) for c in g] for g in got] == [[(10, "Start"), (3605, "End")], []]
 
 
+def test_title_forms(spark):
+    """Names with small words and hyphens, firms and roles around their words, tags, topics."""
+    told = {
+        "#313 - Matthieu Stefani - CEO de Cosa Vostra": ("Matthieu Stefani", "Cosa Vostra", "CEO"), "#284 — Nom Prénom (Société) : titre": ("Nom Prénom", "Société", "titre"), "Sixte de Vauplane - Animaj - Refaire les dessins": ("Sixte de Vauplane", "Animaj", "Refaire les dessins"),
+        "VF - Jean-Marie Le Pen": ("Jean-Marie Le Pen", None, None), "Name Last, Role of many words chez Acme Nord - titre": ("Name Last", "Acme Nord", "Role of many words"), "[BONUS] Anne d'Arc": ("Anne d'Arc", None, None), "Les Grandes Écoles": (None, None, None),
+        "Combien gagne une pharmacie ? - Morgane et Benjamin": ("Morgane", None, None), "Pourquoi ? - Bob": (None, None, None), "L'argent d'Ada Lovelace": ("Ada Lovelace", None, None), "Tout savoir - le reste": (None, None, None), "Ada Lovelace – Engines – CTO from Nord": ("Ada Lovelace", "Nord", "Engines - CTO"),
+    }
+    assert {t: tuple(g) for t, g in zip(told, values(spark, list(told), N.guest_from_title), strict=True)} == told
+    assert tuple(values(spark, [None], N.guest_from_title)[0]) == (None, None, None)
+
+
+def test_sponsor_forms(spark):
+    """Lists with and without end, phrases, words that are no sponsor, contexts, each name once."""
+    text = {
+        "Un grand merci à nos sponsors : Acme : https://acme.example/x Beta Corp : beta.example Vous souhaitez sponsoriser Late : late.example": [("Acme", "https://acme.example/x"), ("Beta Corp", "beta.example")],
+        "<p>MERCI &agrave; tous</p> merci a mes partenaires - Un Deux Trois Quatre Cinq : a.example Merci : b.example petit : c.example Zed de Nord : http://z.example": [("Zed de Nord", "http://z.example")],
+        "Merci à notre partenaire Nordfirm. Et la suite": [("Nordfirm", None)], "Cet épisode est sponsorisé par Acme, merci. En partenariat avec ACME": [("Acme", None)], "rien": [], "": [],
+    }
+    got = values(spark, [*text, None], N.sponsors)
+    assert [[(s["name"], s["context"] if w[1] else None) for s, w in zip(g, want, strict=True)] for g, want in zip(got, [*text.values(), []], strict=True)] == [*text.values(), []]
+    around = values(spark, ["x" * 100 + " sponsorisé par Acme! " + "y" * 100], N.sponsors)[0][0]["context"]
+    assert around == "x" * 59 + " sponsorisé par Acme! " + "y" * 58
+
+
+def test_description_forms(spark):
+    """Lists in HTML, fallback of dashed items, chapters with every mark, offers, earlier episodes, blocks that end at others."""
+    html = "<p>Le sujet : Un vrai sujet ici</p><p>L&#39;invit\u00e9 du jour : Ada Love</p>Références :<ul><li>Un livre → https://b.example/1.</li><li class='x'>Un film</li></ul>Avantage : offerts chez Nord & Co pour tous avec le code promo abc12, valable.<br>https://p.example/z<br>Chapitres :<br>- 00:20 – Next<br>00:10 : Start<br>00:10 : START.<br>1:00:05 - End;<br>Vivement Lundi présente La Suite"
+    got = values(spark, [html, "Au programme : une - deux mots - trois\nTIMELINE :\n00:10", "Ainsi que d’anciens épisodes :\n#12 - Un\n# 13 : Deux.\n#12 - Encore\nHébergé par #99 - x", "voir #7 - Sept et la suite\nhttps://www.video.example/v?1.", "Bonne nouvelle ! Rien", "", None], N.description_blocks)
+    one = got[0]
+    assert (one["topic"], one["guest"]) == ("Un vrai sujet ici", "Ada Love") and one["cross_promo"] == "Vivement Lundi présente La Suite"
+    assert [tuple(r) for r in one["references"]] == [("Un livre", "https://b.example/1"), ("Un film", None)]
+    assert tuple(one["promo"]) == ("ABC12", "https://p.example/z", "Nord & Co", "offerts chez Nord & Co pour tous avec le valable")
+    assert [tuple(c) for c in one["chapters"]] == [(20, "Next"), (10, "Start"), (3605, "End")]
+    assert got[1]["items"] == ["une", "deux mots", "trois"] and got[1]["chapters"] == []
+    assert [tuple(e) for e in got[2]["episodes"]] == [(12, "Un"), (13, "Deux")]
+    assert [tuple(e) for e in got[3]["episodes"]] == [(7, "Sept et la suite")] and got[3]["video"] == "https://www.video.example/v?1"
+    assert all(g["topic"] is None and g["items"] == [] and g["promo"] is None for g in got[4:])
+    long = "Découvrez :\n- " + "a" * 200 + ". " + "b" * 200 + "\n• " + "c" * 300 + "\n- ok\nde plus\n\n- x"
+    assert values(spark, [long], N.description_blocks)[0]["items"] == ["a" * 200 + ".", "c" * 280, "ok de plus"]
+
+
 def test_trigrams(spark):
     assert values(spark, ["word"], lambda x: S.trigram_similarity(S.trigrams(x), S.trigrams(F.lit("two words")))) == [0.363636]
 

@@ -6,6 +6,8 @@ from oracle import connect, rows_of, rows_of_sql
 from tesserae.plans import registry
 
 registry.load()
+#: Reports of faults, which good data have none of, and thresholds that the smallest tables do not reach.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -18,8 +20,7 @@ def test_query(spark, data, con, name):
     columns, rows = rows_of(registry.QUERIES[name](spark, data))
     if name in registry.SQL:
         assert (columns, rows) == rows_of_sql(con, registry.SQL[name])
-    else:
-        assert columns and rows
+    assert columns and (rows or name in MAY_BE_EMPTY)
 
 
 def test_entry(spark, data):

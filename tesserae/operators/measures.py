@@ -35,16 +35,28 @@ def bucketed(df: DataFrame, value: str, bounds: Sequence[float], names: Sequence
     return frequency(df.select(step.otherwise(names[-1]).alias("bucket")), "bucket")
 
 
-def adjusted_rand(df: DataFrame, cluster: str, category: str) -> DataFrame:
-    """Adjusted Rand index of two labellings of the rows, from their contingency table; 0 for ten rows or fewer."""
+def adjusted_rand(df: DataFrame, cluster: str, category: str, noise: int | None = None) -> DataFrame:
+    """Adjusted Rand index of two labellings of the rows, from their contingency table, and its band; 0 for ten rows or fewer.
+
+    Rows whose cluster is ``noise`` don't count. Bands: strong above 0.5, moderate above 0.3, else weak.
+    """
     pairs = lambda c: F.col(c) * (F.col(c) - 1) / 2.0
-    cells = df.groupBy(cluster, category).agg(F.count(F.lit(1)).alias("n"))
-    inside = cells.agg(F.sum(pairs("n")).alias("i"), F.sum("n").alias("t"))
+    kept = df if noise is None else df.filter(F.col(cluster) != noise)
+    cells = kept.groupBy(cluster, category).agg(F.count(F.lit(1)).alias("n"))
+    inside = cells.agg(F.sum(pairs("n")).alias("i"), F.coalesce(F.sum("n"), F.lit(0)).alias("t"))
     a = cells.groupBy(cluster).agg(F.sum("n").alias("n")).agg(F.sum(pairs("n")).alias("a"))
     b = cells.groupBy(category).agg(F.sum("n").alias("n")).agg(F.sum(pairs("n")).alias("b"))
     one = inside.join(a, F.lit(True)).join(b, F.lit(True))
     expected = F.col("a") * F.col("b") / pairs("t")
-    return one.select(F.when((F.col("t") <= 10) | ((F.col("a") + F.col("b")) / 2 == expected), F.lit(0.0)).otherwise(F.round((F.col("i") - expected) / ((F.col("a") + F.col("b")) / 2 - expected), 6)).alias("ari"))
+    index = F.when((F.col("t") <= 10) | ((F.col("a") + F.col("b")) / 2 == expected), F.lit(0.0)).otherwise(F.round((F.col("i") - expected) / ((F.col("a") + F.col("b")) / 2 - expected), 6))
+    return one.select(index.alias("ari")).withColumn("band", F.when(F.col("ari") > 0.5, "strong").when(F.col("ari") > 0.3, "moderate").otherwise("weak"))
+
+
+def composition(df: DataFrame, cluster: str, category: str, most: int = 3, noise: int | None = None) -> DataFrame:
+    """The ``most`` most frequent categories of each cluster with their counts, ties to the lower category; noise is no cluster."""
+    counts = frequency(df if noise is None else df.filter(F.col(cluster) != noise), cluster, category)
+    rank = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("n"), F.asc(category)))
+    return counts.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
 
 
 def edge_degrees(edges: DataFrame, source: str, target: str) -> DataFrame:

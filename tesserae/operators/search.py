@@ -188,17 +188,14 @@ def best_part(parts: DataFrame, queries: DataFrame, group: str, order: str, titl
     return top_n_per_group(points, ["query_id", group], [F.desc("score"), F.asc(order)], 1)
 
 
-def project_and_cluster(items: DataFrame, clusters: int, seed: int = 1) -> DataFrame:
-    """Two principal components and a k-means cluster of every vector."""
-    from pyspark.ml.clustering import KMeans
+def project(items: DataFrame) -> DataFrame:
+    """``id, x, y``: two principal components of every vector."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     ready = items.select("id", array_to_vector("v").alias("features"))
-    flat = PCA(k=2, inputCol="features", outputCol="flat").fit(ready).transform(ready)
-    done = KMeans(k=clusters, seed=seed, featuresCol="features", predictionCol="cluster").fit(flat).transform(flat)
     xy = vector_to_array("flat")
-    return done.select("id", F.get(xy, F.lit(0)).alias("x"), F.get(xy, F.lit(1)).alias("y"), "cluster")
+    return PCA(k=2, inputCol="features", outputCol="flat").fit(ready).transform(ready).select("id", F.get(xy, F.lit(0)).alias("x"), F.get(xy, F.lit(1)).alias("y"))
 
 
 def map_model(df: DataFrame, fn, schema: str) -> DataFrame:

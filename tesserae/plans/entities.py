@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import functions as F
 
 from tesserae.functions import predicates as P
@@ -13,7 +11,7 @@ from tesserae.operators import people as E
 from tesserae.operators import relational as R
 from tesserae.plans.basics import GUEST, GUEST_NAME, NAME_SQL
 from tesserae.plans.registry import query
-from tesserae.plans.streams import place
+from tesserae.plans.streams import saver
 from tesserae.sources.tables import Tables
 
 TOK = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: length(w) > 2))"
@@ -94,13 +92,7 @@ def jon13(t: Tables):
     left = t.episodes.select(i.alias("a"), F.col("episode_number").alias("number"), P.slug(F.coalesce(F.nullif("guest", F.lit("")), "guest_from_title")).alias("x"))
     name = P.slug(F.col("name"))
     made = F.when(i % 5 == 0, F.concat(F.col("authority_score"), F.lit("-"), name)).when(i % 5 == 1, name).when(i % 5 == 2, F.concat(name, F.lit("-more"))).when(i % 5 == 3, F.substring(name, 1, 15)).otherwise(F.concat(F.lit("the-"), name))
-    where, k = place(t), count()
-
-    def save(df):
-        path = f"{where}/{next(k)}"
-        df.write.parquet(path)
-        return t.spark.read.schema(df.schema).parquet(path)
-
+    save = saver(t)
     return E.one_to_one(save(left), save(t.guests.select(i.alias("b"), made.alias("y"))), E.slug_rules(), save)
 
 

@@ -268,10 +268,13 @@ def agg36(t: Tables):
     return M.bucketed(t.episodes, "duration_seconds", [600, 1800], ["short", "middle", "long"])
 
 
-@query("AGG37", """WITH c AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2), i AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS i, sum(n)::DOUBLE AS t FROM c), a AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS a FROM (SELECT sum(n)::DOUBLE AS n FROM c GROUP BY quality)), b AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS b FROM (SELECT sum(n)::DOUBLE AS n FROM c GROUP BY toxic))
-SELECT round((i - a * b / (t * (t - 1) / 2)) / ((a + b) / 2 - a * b / (t * (t - 1) / 2)), 6) AS ari FROM i, a, b""")
+@query("AGG37", """WITH l AS (SELECT CASE WHEN doc_id % 10 = 0 THEN -1 ELSE quality END AS cluster, toxic FROM labels), c AS (SELECT cluster, toxic, count(*) AS n FROM l WHERE cluster <> -1 GROUP BY 1, 2), i AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS i, sum(n)::DOUBLE AS t FROM c),
+a AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS a FROM (SELECT sum(n)::DOUBLE AS n FROM c GROUP BY cluster)), b AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS b FROM (SELECT sum(n)::DOUBLE AS n FROM c GROUP BY toxic)),
+r AS (SELECT CASE WHEN t <= 10 THEN 0 ELSE round((i - a * b / (t * (t - 1) / 2)) / ((a + b) / 2 - a * b / (t * (t - 1) / 2)), 6) END AS ari FROM i, a, b) SELECT ari, CASE WHEN ari > 0.5 THEN 'strong' WHEN ari > 0.3 THEN 'moderate' ELSE 'weak' END AS band FROM r""")
 def agg37(t: Tables):
-    return M.adjusted_rand(t.raw("labels"), "quality", "toxic")
+    """Labels against a second label; a tenth of the rows is marked as noise and left out."""
+    labels = t.raw("labels").select(F.when(F.col("doc_id") % 10 == 0, -1).otherwise(F.col("quality")).alias("cluster"), "toxic")
+    return M.adjusted_rand(labels, "cluster", "toxic", noise=-1)
 
 
 @query("AGG38", "SELECT label, pillar, n FROM (SELECT label, pillar, n, row_number() OVER (PARTITION BY label ORDER BY n DESC, pillar) AS rn FROM (SELECT label, vec_id % 7 AS pillar, count(*) AS n FROM embeddings GROUP BY 1, 2)) WHERE rn <= 3")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tesserae.operators import density as D
+from tesserae.operators import measures as M
 from tesserae.operators import people as E
 from tesserae.operators import relational as R
 from tesserae.operators import search as S
 from tesserae.plans.registry import query
+from tesserae.plans.streams import saver
 from tesserae.sources.tables import Tables
 
 COS = "round(list_cosine_similarity(a.v, b.v), 6)"
@@ -77,7 +80,13 @@ def vec5(t: Tables):
 
 @query("VEC6")
 def vec6(t: Tables):
-    return S.project_and_cluster(t.vectors, 5)
+    """Each vector's place in the plane, its density cluster or noise, and the bands and compositions of the clusters against the labels."""
+    clusters = D.density_clusters(t.vectors.select("id", "v"), saver(t))
+    known = clusters.join(t.vectors.select("id", "tenant"), "id")
+    top = M.composition(known, "cluster", "tenant", noise=D.NOISE).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("least"), "tenant"))).alias("top"))
+    rated = M.adjusted_rand(known, "cluster", "tenant", noise=D.NOISE)
+    placed = S.project(t.vectors).join(clusters, "id").join(top, "cluster", "left")
+    return placed.join(F.broadcast(rated), F.lit(True)).select("id", "x", "y", "cluster", F.col("top.tenant").alias("top_labels"), "ari", "band")
 
 
 @query("VEC7", """WITH l AS (SELECT episode_id, string_agg(url, ' ' ORDER BY id, url) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY id, url) AS rn FROM links) WHERE rn <= 5 GROUP BY 1),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import functions as F
 
@@ -23,6 +24,18 @@ def place(t: Tables) -> str:
     return f"{base}/streams/{uuid.uuid4().hex}"
 
 
+def saver(t: Tables):
+    """Writes tables into a fresh shared folder and reads them back."""
+    where, number = place(t), count()
+
+    def save(df):
+        path = f"{where}/{next(number)}"
+        df.write.parquet(path)
+        return t.spark.read.schema(df.schema).parquet(path)
+
+    return save
+
+
 def landed(t: Tables):
     """The events table as a stream; a folder or a single file."""
     return J.read_events(t.spark, f"{t.folder}/events.parquet*")

@@ -12,6 +12,7 @@ from tesserae.operators import relational as R
 from tesserae.plans.registry import query
 from tesserae.sources.tables import Tables
 from tesserae.streaming import jobs as J
+from tesserae.streaming import tokens as K
 
 
 def place(t: Tables) -> str:
@@ -46,10 +47,21 @@ def st4(t: Tables):
     return J.run_once(J.volume(landed(t)), t.spark, place(t), "volume", "append")
 
 
-@query("ST3", """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 15 MINUTE THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id, min(ts) AS opened, max(ts) + INTERVAL 15 MINUTE AS expires, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 15 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+#: A token a user: issued at the user's first event, used at the events of the next half hour; ends of validity and purges count once the stream's watermark has passed them.
+@query("ST3", """WITH e AS (SELECT user_id, ts, date_trunc('millisecond', ts) AS ms FROM events), f AS (SELECT user_id, min(ts) AS issued, min(ms) AS from_ms FROM e GROUP BY 1), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events),
+u AS (SELECT user_id, ts, ms, from_ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e JOIN f USING (user_id) WHERE ts > issued),
+o AS (SELECT user_id AS token, 'issued' AS outcome, issued AS moment FROM f
+UNION ALL SELECT user_id, CASE WHEN ms >= from_ms + INTERVAL 24 HOUR THEN 'unknown' WHEN k > 1 AND min(ms) OVER (PARTITION BY user_id) < from_ms + INTERVAL 15 MINUTE THEN 'used before' WHEN ms < from_ms + INTERVAL 15 MINUTE THEN 'used' ELSE 'too late' END, ts FROM u
+UNION ALL SELECT user_id, 'expired', from_ms + INTERVAL 15 MINUTE FROM f, m WHERE (from_ms + INTERVAL 15 MINUTE <= mark OR user_id IN (SELECT user_id FROM u WHERE ms >= from_ms + INTERVAL 24 HOUR)) AND user_id NOT IN (SELECT user_id FROM u WHERE ms < from_ms + INTERVAL 15 MINUTE)
+UNION ALL SELECT user_id, 'purged', from_ms + INTERVAL 24 HOUR FROM f, m WHERE from_ms + INTERVAL 24 HOUR <= mark OR user_id IN (SELECT user_id FROM u WHERE ms >= from_ms + INTERVAL 24 HOUR))
+SELECT token, outcome, moment FROM o""")
 def st3(t: Tables):
-    return J.run_once(J.expiring_keys(landed(t)), t.spark, place(t), "keys", "append")
+    """The first event of a user issues the user's token, all later ones try to use it; all files arrive in one batch, so nothing is purged between them."""
+    first = t.raw("events").groupBy("user_id").agg(F.min("ts").alias("issued"))
+    where = place(t)
+    t.raw("events").join(first, "user_id").select(F.col("user_id").alias("token"), "ts", F.when(F.col("ts") == F.col("issued"), "issue").otherwise("use").alias("action")).write.parquet(f"{where}/landed")
+    stream = t.spark.readStream.schema("token long, ts timestamp, action string").parquet(f"{where}/landed")
+    return K.run_tokens(K.one_shot(stream), t.spark, where)[0]
 
 
 @query("ST2", """WITH RECURSIVE a AS (SELECT user_id, value > 10 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),

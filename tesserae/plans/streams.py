@@ -73,11 +73,11 @@ def st2(t: Tables):
     return R.distinct_on(states, ["user_id"], [F.desc("n")])
 
 
-@query("ST1", "SELECT user_id, max(ts) AS ts FROM events GROUP BY 1")
+@query("ST1", "SELECT event_id, user_id, ts, value FROM events")
 def st1(t: Tables):
+    """All events, upserted by batches into a bucketed table, as the table has them in the end."""
     where = place(t)
-    items = landed(t).select("user_id", "ts", "value", "event_id").withColumn("guid", F.col("event_id"))
-    q = J.ingest(items, f"{where}/items", "guid").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
+    items = landed(t).select("event_id", "user_id", "ts", "value")
+    q = J.ingest(items, f"{where}/items", "event_id").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    done = t.spark.read.parquet(f"{where}/items/v{J.last_version(t.spark, f'{where}/items')}")
-    return done.groupBy("user_id").agg(F.max("ts").alias("ts"))
+    return J.read_table(t.spark, f"{where}/items", items.schema)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -57,36 +58,63 @@ def ability(answers: DataFrame, rate: float = 0.3, idle_days: int = 30, late: st
     return keyed.applyInPandasWithState(step, "user_id long, theta double, n long", "theta double, n long, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def last_version(spark: SparkSession, path: str, before: int | None = None) -> int | None:
-    """The highest complete version of a table written by ``ingest``, or the highest below ``before``; None for none."""
+BUCKETS = 64
+_MANIFEST = "version long, bucket int"
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``version, bucket``: which buckets each committed batch has written; without rows where there is no table yet."""
     try:
-        done = spark.read.schema("version long").parquet(f"{path}/complete")
-    except Exception as e:  # nothing is complete yet
+        return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+    except Exception as e:  # nothing is committed yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return None
-    return done.filter(F.lit(True) if before is None else F.col("version") < before).agg(F.max("version")).first()[0]
+        return spark.createDataFrame([], _MANIFEST)
+
 
+def read_table(spark: SparkSession, path: str, schema, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """The rows of a table written by ``ingest``, each bucket in its last version (below ``before``); all buckets, or some of them.
 
-def upsert_batch(batch: DataFrame, number: int, path: str, key: str) -> None:
-    """Write version ``number`` from the last complete version below it and the batch, then note it as complete; a batch without rows writes none."""
+    The plan reads one folder a version that is still in use, at most one a bucket.
+    """
+    known = manifest(spark, path).filter(F.lit(True) if before is None else F.col("version") < before)
+    if buckets is not None:
+        known = known.filter(F.col("bucket").isin(*buckets))
+    last = known.groupBy("bucket").agg(F.max("version").alias("version")).groupBy("version").agg(F.collect_list("bucket").alias("buckets"))
+    rows = spark.createDataFrame([], schema)
+    for part in last.collect():  # at most one row a bucket
+        rows = rows.unionByName(spark.read.schema(StructType([*rows.schema.fields, StructField("bucket", IntegerType())])).parquet(f"{path}/v{part.version}").filter(F.col("bucket").isin(*part.buckets)).drop("bucket"))
+    return rows
+
+
+def upsert_batch(batch: DataFrame, number: int, path: str, key: str, buckets: int = BUCKETS) -> None:
+    """Write the buckets that the batch touches as version ``number``, then commit them in one file of the manifest.
+
+    Rows are dealt to ``buckets`` by a hash of the key, so a batch reads and writes its own buckets
+    only. A batch that is committed already, or has no rows, changes nothing; one that was cut off
+    before its commit is written again. The number of buckets is fixed with the table.
+    """
     from tesserae.operators.upsert import upsert
 
     spark = batch.sparkSession
-    if batch.isEmpty():
+    if not manifest(spark, path).filter(F.col("version") == number).isEmpty():
+        return
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())  # at most one row a bucket
+    if not touched:
         return
-    last = last_version(spark, path, number)
-    target = batch.limit(0) if last is None else spark.read.schema(batch.schema).parquet(f"{path}/v{last}")
-    upsert(target, batch, [key], {}, [F.desc("ts")]).write.mode("overwrite").parquet(f"{path}/v{number}")
-    spark.range(number, number + 1).toDF("version").coalesce(1).write.mode("append").parquet(f"{path}/complete")
+    old = read_table(spark, path, batch.schema, number, touched)
+    new = upsert(old, batch, [key], {}, [F.desc("ts")]).withColumn("bucket", bucket)
+    new.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{number}")
+    spark.createDataFrame([(number, b) for b in touched], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
-def ingest(items: DataFrame, path: str, key: str, late: str = "1 day"):
-    """A writer that upserts each batch of new items into a Parquet table, one row a key; replaying a batch changes nothing.
+def ingest(items: DataFrame, path: str, key: str, late: str = "1 day", buckets: int = BUCKETS):
+    """A writer that upserts each batch of new items into a bucketed Parquet table, one row a key; replaying a batch changes nothing.
 
-    Versions are numbered as batches are, whatever numbers are missing; readers take ``last_version``.
+    Versions are numbered as batches are, whatever numbers are missing; readers take ``read_table``.
     """
-    return items.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]).writeStream.outputMode("append").foreachBatch(lambda batch, number: upsert_batch(batch, number, path, key))
+    return items.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]).writeStream.outputMode("append").foreachBatch(lambda batch, number: upsert_batch(batch, number, path, key, buckets))
 
 
 def run_once(stream: DataFrame, spark: SparkSession, checkpoint: str, name: str, mode: str) -> DataFrame:
@@ -95,6 +123,6 @@ def run_once(stream: DataFrame, spark: SparkSession, checkpoint: str, name: str,
     if mode == "append":
         q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start(out)
     else:
-        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).foreachBatch(lambda b, i: b.write.mode("append").parquet(out)).start()
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)

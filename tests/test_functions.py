@@ -256,16 +256,28 @@ def test_ingest_over_batches_gaps_and_replays(spark, tmp_path):
     path = f"file://{tmp_path}/items"
     q = J.ingest(events.select("event_id", "ts", "value"), path, "event_id").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = J.last_version(spark, path)
-    assert sorted(r.event_id for r in spark.read.parquet(f"{path}/v{last}").collect()) == [1, 2, 3, 4]
-    assert J.last_version(spark, path, last) < last and J.last_version(spark, f"{path}/none") is None
+    schema = "event_id long, ts timestamp, value double"
+    ids = lambda **more: sorted(r.event_id for r in J.read_table(spark, path, schema, **more).collect())
+    versions = sorted({r.version for r in J.manifest(spark, path).collect()})
+    assert ids() == [1, 2, 3, 4] and ids(before=versions[-1]) == [1, 2, 3] and ids(before=versions[0]) == []
+    assert J.manifest(spark, f"{path}/none").count() == 0
     # a gap in the numbers loses nothing, and a replay changes nothing
-    more = landed(spark, f"{tmp_path}/again", [[(4, 1, 4, 9), (5, 2, 5, 1)]])
-    for number in (last + 5, last + 5):
-        batch = spark.read.schema(J.EVENTS).parquet(f"{tmp_path}/again/in").select("event_id", "ts", "value")
+    landed(spark, f"{tmp_path}/again", [[(4, 1, 4, 9), (5, 2, 5, 1)]])
+    batch = spark.read.schema(J.EVENTS).parquet(f"{tmp_path}/again/in").select("event_id", "ts", "value")
+    number = versions[-1] + 5
+    for _ in range(2):
         J.upsert_batch(batch, number, path, "event_id")
-        assert sorted(r.event_id for r in spark.read.parquet(f"{path}/v{J.last_version(spark, path)}").collect()) == [1, 2, 3, 4, 5]
-    assert more.isStreaming
+        assert ids() == [1, 2, 3, 4, 5] and {r.event_id: r.value for r in J.read_table(spark, path, schema).collect()}[4] == 9
+    # only the buckets of the batch are written, and a batch cut off before its commit is written again
+    assert 1 <= J.manifest(spark, path).filter(f"version = {number}").count() <= 2
+    written = {r[0] for r in spark.read.parquet(f"{path}/v{number}").select("bucket").distinct().collect()}
+    assert len(written) <= 2
+    batch.withColumn("value", F.lit(3.0)).withColumn("bucket", F.lit(0)).write.mode("overwrite").parquet(f"{path}/v{number + 1}")  # no commit
+    assert {r.event_id: r.value for r in J.read_table(spark, path, schema).collect()}[4] == 9
+    J.upsert_batch(batch.withColumn("value", F.lit(7.0)), number + 1, path, "event_id")
+    assert {r.event_id: r.value for r in J.read_table(spark, path, schema).collect()}[4] == 7 and ids() == [1, 2, 3, 4, 5]
+    J.upsert_batch(batch.limit(0), number + 2, path, "event_id")
+    assert J.manifest(spark, path).filter(f"version = {number + 2}").isEmpty()
 
 
 def test_neighbours_over_ranges(spark):

@@ -97,7 +97,8 @@ def with_next(df: DataFrame, key: str, columns: list[str], block_bytes: int, tot
     Rows are dealt to ranges of the key; the first row of a range also goes to the range before it
     as a guest, so no ordering of the whole table is needed. Null keys come last; equal keys are
     ordered by a hash of the column ``ties``, and rows that are equal in both follow each other; an
-    empty table stays empty; columns of any name are kept.
+    empty table stays empty; columns of any name are kept, and a new name that ``df`` has gets
+    underscores in front.
     """
     blocks = n_blocks(total, block_bytes)
     b, tie, guest, host, head, mine_, homes_ = (fresh(df, x) for x in ("bucket", "tie", "guest", "host", "head", "mine", "homes"))
@@ -111,7 +112,7 @@ def with_next(df: DataFrame, key: str, columns: list[str], block_bytes: int, tot
     homes = F.when(order.eqNullSafe(F.col(head)), F.array(F.struct(F.col(b).alias("home"), F.lit(False).alias("guest")), F.struct(F.col(host).alias("home"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col(b).alias("home"), F.lit(False).alias("guest"))))
     dealt = mine.select(*df.columns, tie, F.explode(homes).alias(homes_)).select(*df.columns, tie, F.col(homes_)["home"].alias(b), F.col(homes_)["guest"].alias(guest))
     near = Window.partitionBy(b).orderBy(guest, F.col(key).desc_nulls_last(), F.col(tie).desc())
-    return dealt.select(*df.columns, guest, *(F.lead(c).over(near).alias(f"next_{c}") for c in columns)).filter(~F.col(guest)).drop(guest)
+    return dealt.select(*df.columns, guest, *(F.lead(c).over(near).alias(fresh(df, f"next_{c}")) for c in columns)).filter(~F.col(guest)).drop(guest)
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,3 +114,10 @@ def test_next_keeps_columns_of_any_name(spark, nothing):
     got = fingerprint.with_next(df, "k", ["text"], 2, 20).orderBy("k")
     assert got.columns == [*names, "next_text"] and [r.next_text for r in got.collect()] == ["8", *map(str, range(8))]
     assert fingerprint.with_next(nothing, "doc_id", ["text"], 10, 0).count() == 0
+
+
+def test_next_beside_columns_of_its_name(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k long, text string, next_text string")
+    got = fingerprint.with_next(df, "k", ["text"], 100, 10)
+    assert got.columns == ["k", "text", "next_text", "_next_text"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "x", "b"), (2, "b", "y", "a")]

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import fresh, n_blocks, written
+from tesserae.llm.common import fresh, n_blocks, tidy, written
 from tesserae.llm.components import components
 from tesserae.llm.suffixes import _mixed, prefix_hashes
 
@@ -213,7 +213,7 @@ def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counted_cells(texts: DataFrame, gram: int) -> np.ndarray:
     """How many n-grams of all rows fell into each cell: a table of one size, however many rows there are."""
     parts = -(-CELLS // CELLS_PART)
-    summed = texts.mapInArrow(_cells(gram), "part int, cells binary").repartition(parts, "part").mapInArrow(_sum_cells, "part int, cells binary")
+    summed = texts.mapInArrow(tidy(_cells(gram)), "part int, cells binary").repartition(parts, "part").mapInArrow(_sum_cells, "part int, cells binary")
     out = np.zeros(CELLS, np.int64)
     for row in summed.collect():
         out[row.part * CELLS_PART :][:CELLS_PART] = np.frombuffer(zlib.decompress(row.cells), np.int64)
@@ -280,7 +280,7 @@ def similar_groups(docs: DataFrame, gram: int = GRAM, least: tuple[int, int] = L
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     counted = counted_cells(docs.select("text"), gram)
-    rows = written(keyed.mapInArrow(_describe(gram, least, counted), "doc_id long, th long, n long, a long, b long, signs array<long>, bits binary"), "sets")
+    rows = written(keyed.mapInArrow(tidy(_describe(gram, least, counted)), "doc_id long, th long, n long, a long, b long, signs array<long>, bits binary"), "sets")
     full = rows.filter("n > 0")
     sets = full.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("signs").alias("signs"), F.first("bits").alias("bits"))
     sets = written(sets.withColumn("sid", F.xxhash64("a", "b")), "distinct")
@@ -291,7 +291,7 @@ def similar_groups(docs: DataFrame, gram: int = GRAM, least: tuple[int, int] = L
     shared = written(segments.join(often.hint("merge"), "sign"), "shared")
     star = shared.filter(F.col("c") > CHUNK).filter("sid <> b").select(F.col("sid").alias("a"), "b")  # too many to compare in one task
     few = shared.filter(F.col("c") <= CHUNK).join(sets.select("sid", "n", "bits").hint("merge"), "sid").select("sign", "sid", "n", "bits")
-    pairs = few.repartition("sign").sortWithinPartitions("sign").mapInArrow(_link_sharers(least), "a long, b long")
+    pairs = few.repartition("sign").sortWithinPartitions("sign").mapInArrow(tidy(_link_sharers(least)), "a long, b long")
     blocks = components(star.union(pairs))
 
     member = written(blocks.join(sets.select(F.col("sid").alias("node"), "n", "at"), "node"), "members")
@@ -308,7 +308,7 @@ def similar_groups(docs: DataFrame, gram: int = GRAM, least: tuple[int, int] = L
     size = texts.agg(F.sum(F.octet_length("text") * F.size("pairs"))).first()[0]
     placed = texts.select("block", F.explode("pairs").alias("p"), "sid", "text").select("block", "p.i", "p.j", "sid", "text")
     tasks = n_blocks(size, TASK_BYTES)
-    links = placed.repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j", "sid").mapInArrow(_link_blocks(gram, least), "a long, b long")
+    links = placed.repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j", "sid").mapInArrow(tidy(_link_blocks(gram, least)), "a long, b long")
 
     groups = components(links)
     named = sets.select("a", "b", "sid", "least").join(groups.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))

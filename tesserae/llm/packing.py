@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import n_blocks
+from tesserae.llm.common import give_back, n_blocks
 
 WINDOW, END_ID, BLOCK_BYTES = 2048, 1, 8 << 20
 #: In tokens of padding: a cut at a document's end, at a sentence's end, and inside a sentence that is longer than a window.
@@ -196,6 +196,7 @@ def _packer(path: str, window: int, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (doc_id, text) in order to pieces; a task holds about ``most`` bytes of text at once, however long its range is."""
+        give_back()  # what an earlier stage has left in this worker
         coder, ends, number, held, size = ids_of(path), None, TaskContext.get().partitionId() << 32, [], 0
 
         def packed() -> pa.RecordBatch:
@@ -216,8 +217,11 @@ def _packer(path: str, window: int, most: int):
                 if size >= most:
                     yield packed()
                     held, size = [], 0
+                    give_back()
         if held:
             yield packed()
+            held.clear()
+        give_back()
 
     return run
 

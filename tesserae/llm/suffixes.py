@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import fresh, n_blocks, written
+from tesserae.llm.common import fresh, give_back, n_blocks, tidy, written
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
@@ -209,7 +209,7 @@ def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([anchors.take(pick), names.take(pick), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["anchor", "run", "lo", "hi"])
     # a worker waits for further tasks beside the next stage's; it gives back what it can
     del family, kept
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def united(ranges: list[dict]) -> list[list[int]]:
@@ -229,7 +229,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     ``docs`` has ``doc_id`` (long), ``text``; ``th`` is a hash of the text, so a row is found again by both.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = written(keyed.mapInArrow(_find_runs, "anchor long, run long, doc_id long, th long, low long, n int"), "all-runs")
+    found = written(keyed.mapInArrow(tidy(_find_runs), "anchor long, run long, doc_id long, th long, low long, n int"), "all-runs")
     # counted and written before the join, so that a very frequent anchor costs one row a task and the join's skew can be split
     often = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"), "anchors")
     places = written(found.join(often, "anchor", "left_semi"), "places")
@@ -296,7 +296,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and short texts have no repeats; a character that a cut splits goes; equal rows are cut alike.
     """
-    done = _with_ranges(docs, fresh(docs, "ranges")).mapInArrow(_cut, docs.schema)
+    done = _with_ranges(docs, fresh(docs, "ranges")).mapInArrow(tidy(_cut), docs.schema)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

@@ -12,16 +12,16 @@ from tesserae.functions.predicates import name_key, valid_person_name
 from tesserae.operators.relational import distinct_on, small, top_n_per_group
 
 
-def pick_profile(candidates: DataFrame, hosts: DataFrame, parasites: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """``person, id, rule`` of the one profile URL picked for each person, and of those rejected.
+def pick_profile(candidates: DataFrame, hosts: DataFrame, parasites: list[str] = (), keys: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """``person, id, rule`` of the one profile URL picked for each person, and of those rejected; all within ``keys``, which come first.
 
     ``candidates``: ``person, id, slug, label``; ``hosts``: ``host, host_slug``. Parasites are rejected,
     and a host's slug unless the person is a host. Of the rest a host's own comes first, then a label
     that names the person (whole, or a word of four letters or more), then a slug that does, then order.
     """
-    slugs = hosts.select(F.col("host_slug").alias("slug"), F.lit(True).alias("_of_host")).distinct()
-    names = hosts.select(F.col("host").alias("person"), F.lit(True).alias("_is_host")).distinct()
-    known = candidates.join(small(slugs), "slug", "left").join(small(names), "person", "left")
+    slugs = hosts.select(*keys, F.col("host_slug").alias("slug"), F.lit(True).alias("_of_host")).distinct()
+    names = hosts.select(*keys, F.col("host").alias("person"), F.lit(True).alias("_is_host")).distinct()
+    known = candidates.join(small(slugs), [*keys, "slug"], "left").join(small(names), [*keys, "person"], "left")
     of_host, is_host = (F.coalesce(c, F.lit(False)) for c in ("_of_host", "_is_host"))
     name = F.lower("person")
     words = F.filter(F.split(name, " "), lambda w: F.length(w) >= 4)
@@ -32,9 +32,9 @@ def pick_profile(candidates: DataFrame, hosts: DataFrame, parasites: list[str] =
 
     bad = F.when(F.col("slug").isin(*parasites), "parasite").when(of_host & ~is_host, "host")
     rule = F.when(is_host & of_host, "host").when(F.coalesce(named(F.col("label")), F.lit(False)), "label").when(named(F.col("slug")), "slug").otherwise("order")
-    judged = known.select("person", "id", bad.alias("_bad"), rule.alias("rule"))
+    judged = known.select(*keys, "person", "id", bad.alias("_bad"), rule.alias("rule"))
     rank = F.array_position(F.array(*(F.lit(r) for r in ("host", "label", "slug", "order"))), F.col("rule"))
-    return distinct_on(judged.filter("_bad is null"), ["person"], [rank, F.asc("id")]).select("person", "id", "rule"), judged.filter("_bad is not null").select("person", "id", F.col("_bad").alias("rule")).distinct()
+    return distinct_on(judged.filter("_bad is null"), [*keys, "person"], [rank, F.asc("id")]).select(*keys, "person", "id", "rule"), judged.filter("_bad is not null").select(*keys, "person", "id", F.col("_bad").alias("rule")).distinct()
 
 
 def merged_people(seen: DataFrame, known: DataFrame) -> DataFrame:

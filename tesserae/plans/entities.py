@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import predicates as P
 from tesserae.functions import text as X
+from tesserae.operators import loads as L
 from tesserae.operators import measures as M
 from tesserae.operators import people as E
 from tesserae.operators import relational as R
-from tesserae.plans.basics import GUEST, GUEST_NAME, NAME_SQL
+from tesserae.plans.basics import FULL, GUEST, GUEST_NAME, NAME_SQL
 from tesserae.plans.registry import query
-from tesserae.plans.streams import saver
+from tesserae.plans.streams import place, saver
 from tesserae.sources.tables import Tables
 
 TOK = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: length(w) > 2))"
@@ -33,6 +34,10 @@ def ent1(t: Tables):
     return E.merged_people(seen, known).withColumn("host", F.contains("k", F.lit("00007")))
 
 
+#: ``tidy_chunk`` of a text whose blanks are folded.
+CHUNK = "CASE WHEN length({t}) >= 60 THEN CASE WHEN length({t}) <= 500 THEN {t} WHEN length(regexp_extract(substr({t}, 1, 500), '^(.*[.!?]) ', 1)) > 201 THEN regexp_extract(substr({t}, 1, 500), '^(.*[.!?]) ', 1) ELSE substr({t}, 1, 500) END END"
+
+
 def candidates(t: Tables):
     """Profile candidates: links of a guest's items; one label in five names the guest."""
     linked = t.guest_episodes.join(t.guests.select(F.col("id").alias("guest_id"), F.regexp_replace("name", "#", " ").alias("person")), "guest_id").join(t.links.filter("link_type = 'company'"), "episode_id")
@@ -66,12 +71,53 @@ def ent4(t: Tables):
     return some.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hits") < 2).alias("bad"))
 
 
-@query("ENT5", """SELECT e.tenant_id, count(*) AS rows, count(*) FILTER (e.guest = '') AS blank, count(*) FILTER (e.guest = '' AND g.name IS NOT NULL) AS filled FROM episodes e LEFT JOIN guests g ON g.tenant_id = e.tenant_id AND g.name = e.guest_from_title GROUP BY 1""")
+LOADED = rf"""WITH hosts(tenant_id, host, host_slug) AS (VALUES ('1-URGENT', 'Customer 000000007', '7'), ('5-LOW', 'Customer 000000011', '11')),
+ep AS (SELECT e.id, e.tenant_id, replace(guest, '#', ' ') AS guest, trim(regexp_replace(replace({GUEST_NAME}, '#', ' '), '^#[0-9]+ *-? *', '')) AS name, replace(guest_from_title, '#', ' ') AS titled, {FULL} AS whole,
+  CASE doc_id % 3 WHEN 1 THEN substr(text, 1, 100) || ' ' || replace(guest_from_title, '#', ' ') || ', ' || substr(text, 101) WHEN 2 THEN substr(text, 1, 50) || ' Customer ' || substr(text, 51) END AS article, CASE WHEN doc_id % 2 = 0 THEN text END AS intro FROM episodes e LEFT JOIN documents d ON d.doc_id = e.id),
+p0 AS (SELECT id, tenant_id, replace(name, '#', ' ') AS name, bio, linkedin_url AS profile FROM guests WHERE id // 10 % 5 <> 0),
+x AS (SELECT * FROM ep WHERE whole AND {NAME_SQL.format(n='name')} AND NOT EXISTS (SELECT 1 FROM hosts h WHERE h.tenant_id = ep.tenant_id AND host = name)),
+q AS (SELECT * FROM p0 UNION ALL SELECT substr(name, 10)::BIGINT * 10 + substr(tenant_id, 1, 1)::BIGINT, tenant_id, name, NULL, NULL FROM (SELECT DISTINCT tenant_id, name FROM x) k WHERE NOT EXISTS (SELECT 1 FROM p0 WHERE p0.tenant_id = k.tenant_id AND p0.name = k.name)),
+b AS (SELECT guest_id, episode_id FROM guest_episodes WHERE episode_id % 3 <> 0 AND guest_id // 10 % 5 <> 0 UNION SELECT q.id, x.id FROM x JOIN q ON q.tenant_id = x.tenant_id AND q.name = x.name),
+c AS (SELECT q.tenant_id, q.name AS person, l.id, l.url, regexp_extract(l.url, '/p/([0-9]+)', 1) AS slug, CASE WHEN l.id % 5 = 0 THEN l.label || ' - ' || lower(ep.titled) ELSE l.label END AS label FROM q JOIN b ON b.guest_id = q.id JOIN links l ON l.episode_id = b.episode_id JOIN ep ON ep.id = l.episode_id AND ep.tenant_id = q.tenant_id WHERE q.profile IS NULL AND l.link_type = 'company'),
+r AS (SELECT c.*, slug IN ('3', '4') AS parasite, EXISTS (SELECT 1 FROM hosts h WHERE h.tenant_id = c.tenant_id AND host_slug = slug) AS of_host, EXISTS (SELECT 1 FROM hosts h WHERE h.tenant_id = c.tenant_id AND host = person) AS is_host,
+ len(list_filter({NAMED}, lambda w: contains(' ' || regexp_replace(lower(label), '[^a-z]', ' ', 'g') || ' ', ' ' || w || ' '))) > 0 OR contains(lower(label), lower(person)) AS labelled, contains(slug, lower(person)) AS slugged FROM c),
+k AS (SELECT *, CASE WHEN is_host AND of_host THEN 1 WHEN labelled THEN 2 WHEN slugged THEN 3 ELSE 4 END AS rule FROM r WHERE NOT parasite AND (NOT of_host OR is_host)),
+l1 AS (SELECT tenant_id, person AS name, url FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, person ORDER BY rule, id) AS rn FROM k) WHERE rn = 1),
+f AS (SELECT tenant_id, name, min(id) FILTER (length(article) > 300) AS a, min(id) FILTER (length(intro) > 60) AS i FROM x GROUP BY 1, 2),
+g AS (SELECT f.tenant_id, f.name, trim(regexp_replace(CASE WHEN strpos(s.article, f.name) > 0 THEN substr(f.name || ' ' || regexp_replace(substr(s.article, strpos(s.article, f.name) + length(f.name)), '^[\s",.;:!?''«»]+', ''), 1, 600)
+  WHEN strpos(s.article, string_split(f.name, ' ')[1]) > 0 THEN substr(s.article, strpos(s.article, string_split(f.name, ' ')[1]), 600) END, '\s+', ' ', 'g')) AS t1, trim(regexp_replace(o.intro, '\s+', ' ', 'g')) AS t2 FROM f LEFT JOIN ep s ON s.id = f.a LEFT JOIN ep o ON o.id = f.i),
+h AS (SELECT tenant_id, name, coalesce({CHUNK.format(t='t1')}, {CHUNK.format(t='t2')}) AS told FROM g),
+n AS (SELECT guest_id, count(DISTINCT episode_id) AS n FROM b GROUP BY 1)
+SELECT 'person' AS kind, q.tenant_id, q.id, q.name, coalesce(nullif(q.bio, ''), told) AS bio, coalesce(q.profile, l1.url) AS profile, coalesce(n.n, 0) AS n FROM q LEFT JOIN l1 ON l1.tenant_id = q.tenant_id AND l1.name = q.name LEFT JOIN h ON h.tenant_id = q.tenant_id AND h.name = q.name LEFT JOIN n ON n.guest_id = q.id
+UNION ALL SELECT 'item', ep.tenant_id, ep.id, CASE WHEN ep.guest = '' THEN coalesce(x.name, '') ELSE ep.guest END, NULL, NULL, NULL FROM ep LEFT JOIN x ON x.id = ep.id UNION ALL SELECT 'bridge', NULL, guest_id, NULL, NULL, NULL, episode_id FROM b"""
+
+
+@query("ENT5", LOADED)
 def ent5(t: Tables):
-    known = t.guests.select("tenant_id", F.col("name").alias("guest_from_title"), F.lit(True).alias("hit"))
-    joined = t.episodes.join(known, ["tenant_id", "guest_from_title"], "left")
-    blank = F.col("guest") == ""
-    return joined.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(blank).alias("blank"), F.count_if(blank & F.col("hit").isNotNull()).alias("filled"))
+    """The three tables after a load and its replay: people, items with their guests, and the bridge between them."""
+    spaced = lambda c: F.regexp_replace(c, "#", " ")
+    stored = t.episodes.select("id", "tenant_id", spaced(F.col("guest")).alias("guest"))
+    items = t.episodes.select("id", "tenant_id", spaced(F.col("guest_from_title")).alias("guest_from_title"), "episode_type")
+    people = t.guests.filter("id div 10 % 5 <> 0").select("id", "tenant_id", spaced(F.col("name")).alias("name"), "bio", F.col("linkedin_url").alias("profile"), F.lit(0).cast("long").alias("n"))
+    bridge = t.guest_episodes.filter("episode_id % 3 <> 0 and guest_id div 10 % 5 <> 0").distinct()
+    titled = items.select(F.col("id").alias("episode_id"), "tenant_id", "guest_from_title")
+    label = F.when(F.col("id") % 5 == 0, F.concat("label", F.lit(" - "), F.lower("guest_from_title"))).otherwise(F.col("label"))
+    links = t.links.filter("link_type = 'company'").join(titled, "episode_id").select("id", "tenant_id", "episode_id", "url", F.regexp_extract("url", "/p/([0-9]+)", 1).alias("slug"), label.alias("label"))
+    part = F.col("doc_id") % 3
+    told = t.documents.join(titled, F.col("doc_id") == F.col("episode_id"))
+    article = F.when(part == 1, F.concat(F.expr("substr(text, 1, 100)"), F.lit(" "), "guest_from_title", F.lit(", "), F.expr("substr(text, 101)"))).when(part == 2, F.concat(F.expr("substr(text, 1, 50)"), F.lit(" Customer "), F.expr("substr(text, 51)")))
+    texts = told.select(F.col("episode_id").alias("id"), article.alias("article"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("intro"))
+    hosts = t.spark.createDataFrame([("1-URGENT", "Customer 000000007", "7"), ("5-LOW", "Customer 000000011", "11")], "tenant_id string, host string, host_slug string")
+    identity = F.expr("cast(substr(name, 10) as bigint) * 10 + cast(substr(tenant_id, 1, 1) as bigint)")
+
+    kept = L.store(t.spark, place(t), buckets=8)
+    kept.commit("start", {"items": stored, "people": people, "bridge": bridge})
+    for batch in ("load", "load"):
+        L.load_people(kept, batch, items, links, texts, hosts, ["3", "4"], identity)
+    none = lambda kind: F.lit(None).cast(kind)
+    after = kept.read("people").select(F.lit("person").alias("kind"), "tenant_id", "id", "name", "bio", "profile", "n")
+    after = after.union(kept.read("items").select(F.lit("item"), "tenant_id", "id", "guest", none("string"), none("string"), none("long")))
+    return after.union(kept.read("bridge").select(F.lit("bridge"), none("string"), "guest_id", none("string"), none("string"), none("string"), "episode_id"))
 
 
 @query("JON12", f"""WITH a AS (SELECT DISTINCT p_name AS key, {TOK.format('p_name')} AS t FROM part), b AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS key, {TOK.format("p_name || ' ' || p_type")} AS t FROM part),

@@ -191,16 +191,6 @@ def first_known(text: Column, names: list[str]) -> Column:
     return F.coalesce(*(F.when(F.contains(text, F.lit(n)), n) for n in names))
 
 
-def article_root(html: Column) -> Column:
-    """The inside of the longest ``article``, else of the longest ``main``, else the whole page."""
-
-    def longest(tag: str) -> Column:
-        found = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
-        return F.element_at(F.array_sort(found, lambda a, b: F.length(b) - F.length(a)), F.when(F.size(found) > 0, 1))
-
-    return F.coalesce(longest("article"), longest("main"), html)
-
-
 def article_links(html: Column, base: Column, most: int = 500) -> Column:
     """``(target, label)`` of the anchors with an absolute address, the first of each; labels of ``most`` characters at most, empty for none."""
     both = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("h"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("t"))

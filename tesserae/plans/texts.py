@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import notes as N
 from tesserae.functions import predicates as P
 from tesserae.functions import text as X
+from tesserae.operators import pages as G
 from tesserae.operators import relational as R
 from tesserae.plans.registry import query
 from tesserae.sources.tables import HOST, Tables
@@ -193,19 +194,35 @@ def txt20(t: Tables):
     return src.select("source_id", F.posexplode(end).alias("i", "c")).select("source_id", "i", "c.title", "c.words")
 
 
-LONGEST = "(SELECT arg_max(z, length(z)) FROM (SELECT unnest(regexp_extract_all(html, '(?is)<{t}[^>]*>(.*?)</{t}>', 1)) AS z))"
-
-
-@query("TXT21", f"""WITH p AS (SELECT page_id, url, coalesce({LONGEST.format(t='article')}, {LONGEST.format(t='main')}, html) AS root FROM pages),
-a AS (SELECT page_id, url, generate_subscripts(h, 1) AS i, trim(unnest(h)) AS href, unnest(x) AS html FROM (SELECT page_id, url, regexp_extract_all(root, '{ANCHORS}', 1) AS h, regexp_extract_all(root, '{ANCHORS}', 2) AS x FROM p)),
+#: Pages of three forms: an article around another and an excluded part, one without an article, one as it is.
+FORMED = "CASE page_id % 3 WHEN 0 THEN replace(html, '<article>', '<article><article><p>Inner ' || page_id || '</p></article><aside class=\"box\"><div><a href=\"/aside\">Aside</a></div></aside>') WHEN 1 THEN replace(replace(html, '<article>', '<section>'), '</article>', '</section>') ELSE html END"
+MAIN_ROOTS, LEFT_OUT = ["article", "main"], ["nav", "aside", "footer", ".ad"]
+#: Tokens, start tags with their ends found by counting levels, main elements, and the texts left of them.
+MAIN = f"""WITH pg AS (SELECT page_id, url, {FORMED} AS html FROM pages), tk AS (SELECT page_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS tok FROM (SELECT page_id, regexp_extract_all(html, '{{token}}') AS w FROM pg)),
+nm AS (SELECT *, lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name, starts_with(tok, '</') AS closes, CASE WHEN tok[1] = '<' THEN 0 ELSE length(trim(regexp_replace(tok, '\\s+', ' ', 'g'))) END AS n FROM tk),
+ev AS (SELECT *, sum(CASE WHEN closes THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, name ORDER BY pos) AS run FROM nm WHERE name NOT IN ('', {{void}}) AND NOT ends_with(tok, '/>')),
+el AS (SELECT o.page_id, o.name, o.tok, o.pos AS pre, (SELECT min(c.pos) FROM ev c WHERE c.page_id = o.page_id AND c.name = o.name AND c.pos > o.pos AND (o.name IN ('a', 'p') OR c.closes AND c.run = o.run - 1)) AS post FROM ev o WHERE NOT closes),
+pa AS (SELECT p.page_id, p.pre, max(e.pre) AS parent FROM el p JOIN el e ON e.page_id = p.page_id AND e.name NOT IN ('a', 'p') AND p.pre > e.pre AND p.pre < e.post WHERE p.name = 'p' GROUP BY 1, 2),
+mp AS (SELECT pa.page_id, parent AS pre, e.post, min(pa.pre) AS first, (SELECT count(*) FROM el p WHERE p.page_id = pa.page_id AND p.name = 'p' AND p.pre > pa.parent AND p.pre < e.post) AS k FROM pa JOIN el e ON e.page_id = pa.page_id AND e.pre = pa.parent GROUP BY pa.page_id, parent, e.post),
+fr AS (SELECT page_id, name, min(pre) AS pre FROM el WHERE name IN ('article', 'main') GROUP BY 1, 2), big AS (SELECT f.page_id, f.name, f.pre, coalesce(e.post, 1000000000) AS post FROM fr f JOIN el e ON e.page_id = f.page_id AND e.pre = f.pre WHERE (SELECT sum(n) FROM nm WHERE nm.page_id = f.page_id AND nm.pos > f.pre AND nm.pos < coalesce(e.post, 1000000000)) > 400),
+ro AS (SELECT page_id, coalesce(a.pre, m.pre, b.pre) AS pre, coalesce(a.post, m.post, b.post) AS post FROM pg LEFT JOIN (SELECT * FROM big WHERE name = 'article') a USING (page_id) LEFT JOIN (SELECT * FROM big WHERE name = 'main') m USING (page_id) LEFT JOIN (SELECT page_id, arg_min(pre, (-k, first)) AS pre, arg_min(post, (-k, first)) AS post FROM mp WHERE k >= 3 GROUP BY 1) b USING (page_id)),
+ex AS (SELECT e.page_id, e.pre, coalesce(e.post, 1000000000) AS post FROM el e JOIN ro r ON r.page_id = e.page_id AND e.pre > r.pre AND e.pre < r.post WHERE e.name IN ('nav', 'aside', 'footer') OR regexp_matches(e.tok, 'class="ad"')),
+ct AS (SELECT r.page_id, coalesce(string_agg(tok, '' ORDER BY pos), '') AS html FROM ro r LEFT JOIN nm t ON t.page_id = r.page_id AND t.pos > r.pre AND t.pos < r.post AND NOT regexp_matches(tok, '^<(!--|script|style)') AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.page_id = t.page_id AND t.pos BETWEEN ex.pre AND ex.post) WHERE r.pre IS NOT NULL GROUP BY 1),
+p AS (SELECT page_id, url, c.html AS whole_html, {PLAIN.replace("(html,", "(c.html,")} AS words FROM pg LEFT JOIN ct c USING (page_id)), r AS (SELECT page_id, url, whole_html, words, CASE WHEN length(words) >= 400 THEN whole_html END AS root FROM p)""".replace("{token}", G.TOKEN.replace("'", "''")).replace("{void}", ", ".join(f"'{v}'" for v in G.VOID))
+
+
+@query("TXT21", MAIN + f""", a AS (SELECT page_id, url, generate_subscripts(h, 1) AS i, trim(unnest(h)) AS href, unnest(x) AS html FROM (SELECT page_id, url, regexp_extract_all(root, '{ANCHORS}', 1) AS h, regexp_extract_all(root, '{ANCHORS}', 2) AS x FROM r)),
 l AS (SELECT page_id, i, {FOLDED} AS target, coalesce(substr({PLAIN}, 1, 500), '') AS label FROM (SELECT *, {WHOLE.format(h='href')} AS whole FROM a)), f AS (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY i) AS rn FROM l WHERE target IS NOT NULL),
-c AS (SELECT page_id, string_agg({PLAIN}, ' / ' ORDER BY i) AS chapters FROM (SELECT page_id, generate_subscripts(h, 1) AS i, unnest(h) AS html FROM (SELECT page_id, regexp_extract_all(root, '(?is)<h[1-4][^>]*>(.*?)</h[1-4]>', 1) AS h FROM p)) GROUP BY 1)
-SELECT p.page_id, length(root) AS root, coalesce(c.chapters, '') AS chapters, coalesce((SELECT string_agg(target || ' ' || label, ' / ' ORDER BY i) FROM f WHERE f.page_id = p.page_id AND rn = 1), '') AS links FROM p LEFT JOIN c ON c.page_id = p.page_id""")
+c AS (SELECT page_id, string_agg({PLAIN}, ' / ' ORDER BY i) AS chapters FROM (SELECT page_id, generate_subscripts(h, 1) AS i, unnest(h) AS html FROM (SELECT page_id, regexp_extract_all(root, '(?is)<h[1-4][^>]*>(.*?)</h[1-4]>', 1) AS h FROM r)) WHERE {PLAIN} <> '' GROUP BY 1)
+SELECT r.page_id, words, coalesce(c.chapters, '') AS chapters, coalesce((SELECT string_agg(target || ' ' || label, ' / ' ORDER BY i) FROM f WHERE f.page_id = r.page_id AND rn = 1), '') AS links FROM r LEFT JOIN c ON c.page_id = r.page_id""")
 def txt21(t: Tables):
-    """The article of a page (the longest, else the main part, else all), its headings, and its links, each once."""
-    rooted = t.pages.select("page_id", "url", X.article_root(F.col("html")).alias("root"))
-    heads = F.transform(F.regexp_extract_all("root", F.lit("(?is)<h[1-4][^>]*>(.*?)</h[1-4]>"), F.lit(1)), X.html_to_text)
-    return rooted.select("page_id", F.length("root").cast("long").alias("root"), F.array_join(heads, " / ").alias("chapters"), F.array_join(F.transform(X.article_links(F.col("root"), F.col("url")), lambda a: F.concat_ws(" ", a["target"], a["label"])), " / ").alias("links"))
+    """The main element of a page without its excluded parts: text, headings, and links, each once; only the text where it is short."""
+    formed = t.pages.withColumn("html", F.expr(FORMED)).select("page_id", "url", "html")
+    found = G.main_parts(formed, "page_id", "html", MAIN_ROOTS, LEFT_OUT, 400).withColumn("words", X.html_to_text(F.col("content")))
+    found = found.withColumn("root", F.when(F.length("words") >= 400, F.col("content")))
+    heads = F.filter(F.transform(F.regexp_extract_all("root", F.lit("(?is)<h[1-4][^>]*>(.*?)</h[1-4]>"), F.lit(1)), X.html_to_text), lambda h: h != "")
+    links = F.transform(X.article_links(F.col("root"), F.col("url")), lambda a: F.concat_ws(" ", a["target"], a["label"]))
+    return found.select("page_id", "words", *(F.coalesce(F.array_join(c, " / "), F.lit("")).alias(n) for c, n in ((heads, "chapters"), (links, "links"))))
 
 
 @query("TXT22", f"SELECT id, CASE WHEN h = 'cat.example.com' THEN 'episode_ref' WHEN len(string_split(h, '.')) = 2 THEN 'company' ELSE 'resource' END AS simple, {KIND} AS kind FROM ({PARTS})")

@@ -32,26 +32,77 @@ def merge_chunks(df: DataFrame) -> DataFrame:
     return df.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("start_s") >= F.col("_before"))).drop("_before")
 
 
-def verbatim_matches(quotes: DataFrame, texts: DataFrame, probe: int = 8) -> DataFrame:
-    """``item_id, doc_id`` of quotes that occur in texts after folding.
+#: Bits of a filter a key, and bits of a filter at most (8 MB), past which it only lets more through.
+BITS_A_KEY, MOST_BITS = 16, 1 << 26
+
+
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+
+
+def key_filter(keys: DataFrame, column: str, bits: int) -> DataFrame:
+    """One row ``words``: a Bloom filter with two bits for each hash in ``column``, as ``bits / 64`` longs."""
+    word = lambda at: F.shiftright(at, 6).cast("int").alias("word")
+    on = keys.select(F.explode(F.array(F.pmod(column, F.lit(bits)), F.pmod(F.shiftrightunsigned(column, 32), F.lit(bits)))).alias("at")).select(word(F.col("at")), _bit(F.col("at")).alias("set"))
+    off = keys.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("set"))
+    full = on.union(off).groupBy("word").agg(F.bit_or("set").alias("set"))
+    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "set"))), lambda x: x["set"]).alias("words"))  # bounded by MOST_BITS
+
 
-    A quote's first ``probe`` words are hashed and joined with the hashes of every run of as many
-    words in the texts, so only likely pairs are compared; shorter quotes use all their words.
+def may_hold(words: Column, key: Column, bits: int) -> Column:
+    """Whether a filter may hold the hash ``key``, which is computed once."""
+
+    def hit(at: Column) -> Column:
+        return F.get(words, F.shiftright(at, 6).cast("int")).bitwiseAND(_bit(at)) != 0
+
+    return F.exists(F.array(key), lambda k: hit(F.pmod(k, F.lit(bits))) & hit(F.pmod(F.shiftrightunsigned(k, 32), F.lit(bits))))
+
+
+def verbatim_matches(quotes: DataFrame, texts: DataFrame, probe: int = 8) -> DataFrame:
+    """``item_id, doc_id`` of quotes (three characters or more) that occur in texts after folding, each pair once.
+
+    A quote may begin and end inside a word. One of three words or more is known by a hash of its
+    inner words, ``probe`` at most, with the characters next to them; a shorter one by that of its
+    first characters, ``probe`` at most. The hashes are a Bloom filter, which every text is held
+    against inside its own row; only places that pass become rows, each with a piece of the text as
+    long as the longest quote, and an exact join decides. So what is shuffled follows the matches,
+    not the words, and no text moves. Null and empty quotes and texts match nothing.
     """
-    q = quotes.select("item_id", verbatim_key(F.col("text")).alias("q")).filter(F.length("q") >= 3)
-    q = q.withColumn("w", F.split("q", " ")).withColumn("n", F.least(F.size("w"), F.lit(probe))).withColumn("h", F.xxhash64(F.slice(F.col("w"), F.lit(1), F.col("n"))))
-    lengths = [r[0] for r in q.select("n").distinct().limit(probe).collect()]  # at most ``probe`` values
-    t = texts.select("doc_id", verbatim_key(F.col("text")).alias("t"))
-    words = F.split("t", " ")
-
-    def hashed(n: int) -> Column:
-        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice(F.col("w"), i, n)))).otherwise(F.array().cast("array<bigint>"))
-
-    runs = [hashed(n) for n in lengths]
-    keyed = t.withColumn("w", words).select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*runs)) if runs else F.array().cast("array<bigint>"))).alias("h"))
-    pairs = keyed.join(q.select("h", "item_id"), "h").select("doc_id", "item_id").distinct()
-    found = pairs.join(q.select("item_id", "q"), "item_id").join(t, "doc_id")
-    return found.filter(F.contains("t", F.col("q"))).select("item_id", "doc_id")
+    q = quotes.select("item_id", verbatim_key(F.col("text")).alias("q")).filter(F.length("q") >= 3).withColumn("w", F.split("q", " "))
+    inner = F.least(F.size("w") - 2, F.lit(probe))
+    q = q.withColumn("kind", F.when(F.size("w") > 2, inner).otherwise(-F.least(F.length("q"), F.lit(probe))))
+
+    def run(w: Column, i: Column, n: Column) -> Column:
+        """Hash of ``n`` words from place ``i``, with the last character before and the first after them."""
+        return F.xxhash64(n, F.substring(F.get(w, i - 2), -1, 1), F.slice(w, i, n), F.substring(F.get(w, i + n - 1), 1, 1))
+
+    def start(chars: Column, i: Column, n: Column) -> Column:
+        return F.xxhash64(-n, F.slice(chars, i, n))
+
+    keyed = q.withColumn("h", F.when(F.col("kind") > 0, run(F.col("w"), F.lit(2), F.col("kind"))).otherwise(start(F.split("q", ""), F.lit(1), -F.col("kind")))).select("item_id", "q", "kind", "h", F.size("w").alias("n"))
+    # scalars only: at most 2 * probe kinds, the longest quotes, and how many hashes there are
+    known = keyed.agg(F.collect_set("kind").alias("kinds"), F.max("n").alias("words"), F.max(F.when(F.col("kind") < 0, F.length("q"))).alias("chars"), F.approx_count_distinct("h").alias("keys")).first()
+    bits = min(MOST_BITS, max(1 << 10, 1 << (BITS_A_KEY * known.keys).bit_length()))
+    held = key_filter(keyed.select("h"), "h", bits)
+
+    t = texts.select("doc_id", verbatim_key(F.col("text")).alias("t")).filter(F.length("t") >= 3).withColumn("w", F.split("t", " "))
+    t = t.withColumn("chars", F.split("t", "") if any(k < 0 for k in known.kinds) else F.array().cast("array<string>")).drop("t").join(F.broadcast(held), F.lit(True))
+
+    def places(kind: int) -> Column:
+        """Places of the text that pass the filter as a quote of this kind."""
+        n = F.lit(abs(kind))
+        last = F.size("w") - n if kind > 0 else F.size("chars") - n + 1
+        first = 2 if kind > 0 else 1
+        key = (lambda i: run(F.col("w"), i, n)) if kind > 0 else (lambda i: start(F.col("chars"), i, n))
+        found = F.filter(F.sequence(F.lit(first), last), lambda i: may_hold(F.col("words"), key(i), bits))
+        return F.transform(F.when(last >= first, found).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("i")))
+
+    none = F.array().cast("array<struct<kind:int,i:int>>")
+    at = t.select("doc_id", "w", "chars", F.explode(F.concat(none, *(places(k) for k in sorted(known.kinds)))).alias("at")).select("doc_id", "w", "chars", "at.kind", "at.i")
+    whole = F.col("kind") > 0
+    key = F.when(whole, run(F.col("w"), F.col("i"), F.col("kind"))).otherwise(start(F.col("chars"), F.col("i"), -F.col("kind")))
+    piece = F.when(whole, F.array_join(F.slice("w", F.when(whole, F.col("i") - 1).otherwise(1), F.lit(known.words or 1)), " ")).otherwise(F.array_join(F.slice("chars", "i", F.lit(known.chars or 1)), ""))
+    return at.select("doc_id", key.alias("h"), piece.alias("piece")).join(keyed.select("h", "item_id", "q"), "h").filter(F.contains("piece", F.col("q"))).select("item_id", "doc_id").distinct()
 
 
 def score_lenses(events: DataFrame, lenses: DataFrame, text: str = "text") -> DataFrame:

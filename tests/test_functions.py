@@ -297,3 +297,32 @@ def test_medians(spark):
     rows = [(g, float(i * i % 101)) for g, n in ((0, 1), (1, 2), (2, 501), (3, 1000)) for i in range(n)] + [(4, None)]
     got = {r.g: r.m for r in R.medians(spark.createDataFrame(rows, "g int, x double"), ["g"], "x", "m").collect()}
     assert got == {g: statistics.median([x for k, x in rows if k == g]) for g in range(4)}
+
+
+def test_verbatim_matches(spark):
+    import random
+
+    from tesserae.operators import transcripts as T
+
+    rng = random.Random(5)
+    words = ["ab", "abc", "b", "cab", "déjà", "a", "zz"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 5, 40]))) for _ in range(60)] + ["ab " * 3000, None, "", "¡Ab,  ABC! b."]
+    quotes = []
+    for _ in range(120):
+        whole = rng.choice(texts[:60])
+        lo = rng.randint(0, max(0, len(whole) - 1))
+        quotes.append(whole[lo : lo + rng.randint(1, 60)])
+    quotes += [None, "", "ab", "Déjà", "ab ab ab", "zz zz zz zz zz zz zz zz zz zz", "nowhere at all", "ab " * 2000, "..."]
+    q = spark.createDataFrame(list(enumerate(quotes)), "item_id int, text string").withColumn("doc_id", F.lit("x"))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("item_id", F.lit("x"))
+    import re
+    import unicodedata
+
+    def plain(x):
+        folded = "".join(c for c in unicodedata.normalize("NFD", (x or "").lower()) if not unicodedata.combining(c))
+        return re.sub(" +", " ", re.sub(r"[^\w]", " ", folded)).strip()
+
+    want = {(i, j) for i, x in enumerate(quotes) for j, y in enumerate(texts) if len(plain(x)) >= 3 and plain(x) in plain(y)}
+    got = [(r.item_id, r.doc_id) for r in T.verbatim_matches(q, d).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert T.verbatim_matches(q.limit(0), d).collect() == [] and T.verbatim_matches(q, d.limit(0)).collect() == []

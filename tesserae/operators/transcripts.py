@@ -85,7 +85,7 @@ def verbatim_matches(quotes: DataFrame, texts: DataFrame, probe: int = 8) -> Dat
     bits = min(MOST_BITS, max(1 << 10, 1 << (BITS_A_KEY * known.keys).bit_length()))
     held = key_filter(keyed.select("h"), "h", bits)
 
-    t = texts.select("doc_id", verbatim_key(F.col("text")).alias("t")).filter(F.length("t") >= 3).withColumn("w", F.split("t", " "))
+    t = texts.select("doc_id", verbatim_key(F.col("text")).alias("t")).withColumn("w", F.split("t", " "))
     t = t.withColumn("chars", F.split("t", "") if any(k < 0 for k in known.kinds) else F.array().cast("array<string>")).drop("t").join(F.broadcast(held), F.lit(True))
 
     def places(kind: int) -> Column:
@@ -98,7 +98,8 @@ def verbatim_matches(quotes: DataFrame, texts: DataFrame, probe: int = 8) -> Dat
         return F.transform(F.when(last >= first, found).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("i")))
 
     none = F.array().cast("array<struct<kind:int,i:int>>")
-    at = t.select("doc_id", "w", "chars", F.explode(F.concat(none, *(places(k) for k in sorted(known.kinds)))).alias("at")).select("doc_id", "w", "chars", "at.kind", "at.i")
+    # the outer form, since Spark would compute the places a second time to drop texts without one
+    at = t.select("doc_id", "w", "chars", F.explode_outer(F.concat(none, *(places(k) for k in sorted(known.kinds)))).alias("at")).filter("at is not null").select("doc_id", "w", "chars", "at.kind", "at.i")
     whole = F.col("kind") > 0
     key = F.when(whole, run(F.col("w"), F.col("i"), F.col("kind"))).otherwise(start(F.col("chars"), F.col("i"), -F.col("kind")))
     piece = F.when(whole, F.array_join(F.slice("w", F.when(whole, F.col("i") - 1).otherwise(1), F.lit(known.words or 1)), " ")).otherwise(F.array_join(F.slice("chars", "i", F.lit(known.chars or 1)), ""))

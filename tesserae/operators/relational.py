@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,27 +29,54 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return top_n_per_group(df, keys, order, 1)
 
 
-#: Rows of a range of a group, about, where neighbours are sought.
-RANGE_ROWS = 200_000
+#: Rows of a range of a group, about, where neighbours are sought, and ranges of a group at most.
+RANGE_ROWS, MOST_RANGES = 200_000, 1024
 
 
-def with_prev_next(df: DataFrame, keys: list[str], order: str, rows: int = 0) -> DataFrame:
-    """``df`` with ``prev`` and ``next``: the neighbouring values of ``order`` (number, date or time) in the group.
+def dealt_by_depth(df: DataFrame, keys: list[str], order: str, rows: int = RANGE_ROWS, ranges: int = MOST_RANGES) -> DataFrame:
+    """``df`` with ``_part``: ranges of ``order`` in the group, in its order, of about equal numbers of rows.
 
-    A group is dealt to ranges of ``order``, as many as its count asks for, and the ends of ranges
-    are looked up in a table of one row a range, so a group of any size is shared by many tasks.
+    Only groups of more than ``rows`` are cut, at ``ranges`` quantiles; a table of one row a cut group
+    is joined. A value that is several quantiles at once is shared by hash among as many ranges, so
+    neither an outlier nor a heavy value makes a large one; ranges after the first of such a value
+    hold it alone. Null is a range of its own, before the others. ``order`` is a number, date or time.
     """
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+    large = df.groupBy(*keys).agg(F.count(order).alias("_n")).filter(F.col("_n") > rows)
+    within = df.select(*keys, order).alias("d").join(large.alias("l"), same("d", "l"), "left_semi")
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = within.groupBy(*keys).agg(F.percentile_approx(order, shares, 10 * ranges).alias("_cuts"))
+    joined = df.alias("d").join(cuts.alias("c"), same("d", "c"), "left").select("d.*", "c._cuts")
+
+    def below(holds) -> Column:
+        """How many cuts ``holds``, by halving."""
+        powers = [1 << b for b in reversed(range((ranges - 1).bit_length()))]
+        return F.aggregate(F.array(*(F.lit(p) for p in powers)), F.lit(0), lambda n, p: F.when(F.coalesce(holds(F.get("_cuts", n + p - 1)), F.lit(False)), n + p).otherwise(n))
+
     x = F.col(order)
-    number = (x if df.schema[order].dataType.typeName() not in ("date", "timestamp", "timestamp_ntz") else x.cast("timestamp")).cast("double")
-    sizes = df.groupBy(*keys).agg(F.min(number).alias("_lo"), F.max(number).alias("_hi"), F.ceil(F.count(F.lit(1)) / F.lit(rows or RANGE_ROWS)).alias("_ranges"))
-    part = F.floor((number - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1.0)) * F.col("_ranges"))
-    dealt = df.join(sizes, keys).withColumn("_part", F.coalesce(part, F.lit(-1).cast("long"))).drop("_lo", "_hi", "_ranges")
+    placed = joined.withColumn("_at", F.struct(below(lambda c: c < x).alias("lo"), below(lambda c: c <= x).alias("hi")))
+    share = F.col("_at.hi") - F.col("_at.lo")
+    others = [c for c in df.columns if c not in keys and df.schema[c].dataType.typeName() not in ("map", "variant")]
+    spread = F.col("_at.lo") + F.when(share > 1, F.pmod(F.xxhash64(*others), share)).otherwise(0).cast("int")
+    part = F.when(x.isNull(), -1).when(F.col("_cuts").isNull(), 0).otherwise(spread)
+    return placed.withColumn("_part", part).drop("_cuts", "_at")
+
+
+def with_prev_next(df: DataFrame, keys: list[str], order: str, rows: int = 0, ranges: int = MOST_RANGES) -> DataFrame:
+    """``df`` with ``prev`` and ``next``: the neighbouring values of ``order`` (number, date or time) in the group.
+
+    A group is dealt to ranges of equal depth, and the ends of ranges are looked up in a table of one
+    row a range, so a group of any size is shared by many tasks. Of equal values any may be first;
+    those of a null group are neighbours, too, and null values come before the others.
+    """
+    dealt = dealt_by_depth(df, keys, order, rows or RANGE_ROWS, ranges)
     near = Window.partitionBy(*keys, "_part").orderBy(order)
     ends = dealt.groupBy(*keys, "_part").agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
     along = Window.partitionBy(*keys).orderBy("_part")
     ends = ends.select(*keys, "_part", F.lag("_last").over(along).alias("_before"), F.lead("_first").over(along).alias("_after"))
     inner = lambda f: F.when(f(F.lit(1)).over(near).isNotNull(), F.struct(f(order).over(near).alias("x")))
-    both = dealt.withColumn("prev", inner(F.lag)).withColumn("next", inner(F.lead)).join(ends, [*keys, "_part"])
+    on = reduce(lambda x, y: x & y, [F.col(f"d.{k}").eqNullSafe(F.col(f"e.{k}")) for k in [*keys, "_part"]])
+    both = dealt.withColumn("prev", inner(F.lag)).withColumn("next", inner(F.lead)).alias("d").join(ends.alias("e"), on).select("d.*", "e._before", "e._after")
     found = lambda side, end: F.when(F.col(side).isNotNull(), F.col(f"{side}.x")).otherwise(F.col(end))
     return both.withColumn("prev", found("prev", "_before")).withColumn("next", found("next", "_after")).drop("_part", "_before", "_after")
 
@@ -91,18 +120,20 @@ def claim_once(df: DataFrame, item: str, order: list[str]) -> DataFrame:
     return df.withColumn("kept", F.row_number().over(w) == 1).withColumn("claimed_by", F.first(order[0]).over(w))
 
 
-def systematic_sample(df: DataFrame, order: str, n: int, total: int) -> DataFrame:
-    """Every ``floor(total / n)``-th row by ``order``, at most ``n``.
+def systematic_sample(df: DataFrame, order: str, n: int, total: int, span: int = 4096) -> DataFrame:
+    """Every ``floor(total / n)``-th row by ``order`` (a number), at most ``n``.
 
-    A row's place is the count of keys below it: taken from counts of key ranges, so only the
-    sampled order key is ranked, never whole rows in one task.
+    A row's place is the count of keys below it, taken from counts of key ranges of two widths,
+    ``span`` and its square, so whole rows are ranked within one range, and the only window
+    without a key is over one row for each ``span ** 2`` keys.
     """
     step = max(1, total // n)
-    span = 4096
-    cell = F.floor(F.col(order) / span)
-    sizes = df.groupBy(cell.alias("_cell")).count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = df.withColumn("_cell", cell).join(sizes.select("_cell", before.alias("_before")), "_cell")
+    fine = df.groupBy(F.floor(F.col(order) / span).alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_wide", F.floor(F.col("_cell") / span))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wide = fine.groupBy("_wide").agg(F.sum("_n").alias("_n")).select("_wide", before(Window.orderBy("_wide")).alias("_base"))
+    inner = fine.select("_cell", "_wide", before(Window.partitionBy("_wide").orderBy("_cell")).alias("_in"))
+    starts = inner.alias("i").join(wide.alias("w"), F.col("i._wide").eqNullSafe(F.col("w._wide"))).select("_cell", (F.col("_in") + F.col("_base")).alias("_before"))
+    placed = df.withColumn("_cell", F.floor(F.col(order) / span)).alias("d").join(starts.alias("s"), F.col("d._cell").eqNullSafe(F.col("s._cell"))).select("d.*", "s._before")
     rn = F.row_number().over(Window.partitionBy("_cell").orderBy(order)) + F.col("_before") - 1
     return placed.withColumn("_rn", rn).filter((F.col("_rn") % step == 0) & (F.col("_rn") < step * n)).drop("_cell", "_before", "_rn")
 

@@ -106,6 +106,49 @@ def verbatim_matches(quotes: DataFrame, texts: DataFrame, probe: int = 8) -> Dat
     return at.select("doc_id", key.alias("h"), piece.alias("piece")).join(keyed.select("h", "item_id", "q"), "h").filter(F.contains("piece", F.col("q"))).select("item_id", "doc_id").distinct()
 
 
+def timestamp_audit(notes: DataFrame, segments: DataFrame, before: float = 15, after: float = 90, slack: float = 1, probe: int = 8) -> DataFrame:
+    """``notes`` (``source_id, note, start_s, end_s, text``) with ``status`` and ``actual``.
+
+    The first that applies: ``untimed`` (no start), ``bounds`` (start or end past the source's last
+    end by more than ``slack`` seconds, or a source without segments), ``order`` (an end that is not
+    after the start), ``ok`` for a note without text. Of a text, the ``probe`` words in its middle are
+    sought as whole words in a row in the source's joined segments, across their borders: ``ok`` if
+    the segments of the first and the last of them start within ``before`` and ``after`` of the note's
+    start, else ``elsewhere``, with the start of the segment where the first occurrence ends as
+    ``actual``, else ``missing``, as is a text with fewer words. Every segment takes along the next
+    words of its source; its runs are held against a filter of the probes inside its row, so only
+    likely ones are joined. One row a note; repeated notes stay.
+    """
+    words = lambda c: F.filter(F.split(F.regexp_replace(folded(F.lower(c)), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    said = F.col("_said")
+    middle = F.slice(said, F.greatest(F.lit(0), F.floor(F.size(said) / 2).cast("int") - probe // 2) + 1, probe)
+    asked = notes.withColumn("_said", words("text")).withColumn("_probe", F.when(F.size(said) >= probe, F.array_join(middle, " ")))
+    probes = asked.filter("_probe is not null and start_s is not null").select("source_id", "_probe", "start_s").distinct().withColumn("_h", F.xxhash64("_probe"))
+    bits = min(MOST_BITS, max(1 << 10, 1 << (BITS_A_KEY * probes.agg(F.approx_count_distinct("_h")).first()[0]).bit_length()))
+
+    own = segments.select("source_id", "idx", F.transform(words("text"), lambda w: F.struct(w.alias("w"), F.col("start_s").alias("s"))).alias("own")).filter(F.size("own") > 0)
+    # every segment here has a word, so the next probe - 1 of them hold all words that a run can need
+    later = Window.partitionBy("source_id").orderBy("idx").rowsBetween(1, probe - 1)
+    rest = F.slice(F.flatten(F.collect_list(F.slice("own", 1, probe - 1)).over(later)), 1, probe - 1)
+    joined = own.select("source_id", "idx", F.size("own").alias("n"), F.concat("own", rest).alias("all")).join(F.broadcast(key_filter(probes.select("_h"), "_h", bits)), F.lit(True))
+    run = lambda i: F.array_join(F.transform(F.slice("all", i, probe), lambda x: x["w"]), " ")
+    last = F.least(F.col("n"), F.size("all") - (probe - 1))
+    hits = F.when(last >= 1, F.filter(F.sequence(F.lit(1), last), lambda i: may_hold(F.col("words"), F.xxhash64(run(i)), bits)))
+    found = joined.select("source_id", "idx", "all", F.explode_outer(hits).alias("i")).filter("i is not null")
+    found = found.select("source_id", "idx", "i", run(F.col("i")).alias("_probe"), F.get("all", F.col("i") - 1)["s"].alias("_from"), F.get("all", F.col("i") + (probe - 2))["s"].alias("_to"))
+    inside = lambda c: F.col(c).between(F.col("start_s") - before, F.col("start_s") + after)
+    told = probes.join(found, ["source_id", "_probe"]).groupBy("source_id", "_probe", "start_s").agg(F.bool_or(inside("_from") & inside("_to")).alias("_near"), F.min(F.struct("idx", "i", "_to")).alias("_first"))
+
+    ends = segments.groupBy("source_id").agg(F.max("end_s").alias("_most"))
+    full = asked.join(ends, "source_id", "left").join(told, ["source_id", "_probe", "start_s"], "left")
+    past = F.coalesce(F.greatest("start_s", "end_s") > F.col("_most") + slack, F.lit(True))
+    status = (
+        F.when(F.col("start_s").isNull(), "untimed").when(past, "bounds").when(F.col("end_s") <= F.col("start_s"), "order").when(F.col("text").isNull() | F.coalesce("_near", F.lit(False)), "ok")
+        .when(F.col("_first").isNotNull(), "elsewhere").otherwise("missing")
+    )
+    return full.withColumn("status", status).select(*notes.columns, "status", F.when(F.col("status") == "elsewhere", F.col("_first._to")).alias("actual"))
+
+
 def score_lenses(events: DataFrame, lenses: DataFrame, text: str = "text") -> DataFrame:
     """Share of a lens's concepts that occur in an event's folded text; 0 for an empty list or text."""
     low = folded(F.lower(text))

@@ -356,13 +356,12 @@ x AS (SELECT id AS a, lead(id) OVER (PARTITION BY expert ORDER BY id) AS b, 'exp
  UNION ALL SELECT id, lead(id) OVER (PARTITION BY guest ORDER BY id), 'guest', 2 FROM episodes WHERE guest <> '') SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, kind, w FROM x WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b""")
 def grf2(t: Tables):
     """Edges of three kinds: items of one expert (weight 4), steps of a path both ways, items of one guest; once for a pair and kind."""
-    from pyspark.sql import Window
 
-    def chain(df, group: str, order: str, key, kind: str, weight: int):
-        after = F.lead(key).over(Window.partitionBy(group).orderBy(order))
-        return df.select(key.alias("a"), after.alias("b"), F.lit(kind).alias("kind"), F.lit(weight).alias("w"))
+    def chain(df, group: str, key, kind: str, weight: int):
+        near = R.with_prev_next(df.select(F.col(group).alias("g"), key.alias("a")), ["g"], "a")
+        return near.select("a", F.col("next").alias("b"), F.lit(kind).alias("kind"), F.lit(weight).alias("w"))
 
-    steps = chain(t.raw("conversations"), "conv_id", "turn", F.col("conv_id") * 17 + F.col("turn"), "step", 2)
+    steps = chain(t.raw("conversations"), "conv_id", F.col("conv_id") * 17 + F.col("turn"), "step", 2)
     back = steps.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind", "w")
-    rows = chain(t.raw("orders").withColumn("expert", F.col("o_custkey") % 97), "expert", "o_orderkey", F.col("o_orderkey"), "expert", 4).union(steps).union(back).union(chain(t.episodes.filter("guest <> ''"), "guest", "id", F.col("id"), "guest", 2))
+    rows = chain(t.raw("orders").withColumn("expert", F.col("o_custkey") % 97), "expert", F.col("o_orderkey"), "expert", 4).union(steps).union(back).union(chain(t.episodes.filter("guest <> ''"), "guest", F.col("id"), "guest", 2))
     return rows.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind", "w").distinct()

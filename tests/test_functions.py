@@ -284,11 +284,30 @@ def test_neighbours_over_ranges(spark):
     import random
 
     rng = random.Random(3)
-    rows = [(g, rng.choice([None, *range(50)]) if g < 2 else 5) for g in range(3) for _ in range(40)] + [(9, None)]
-    df = spark.createDataFrame(rows, "g int, x int")
-    got = sorted(map(repr, R.with_prev_next(df, ["g"], "x", rows=6).collect()))
+    rows = [(g, rng.choice([None, *range(50)]) if g < 2 else 5) for g in range(3) for _ in range(40)] + [(9, None), (None, 4), (None, 2)]
+    df = spark.createDataFrame(rows, "g int, x int").withColumn("i", F.monotonically_increasing_id())
     w = Window.partitionBy("g").orderBy("x")
-    assert got == sorted(map(repr, df.withColumn("prev", F.lag("x").over(w)).withColumn("next", F.lead("x").over(w)).collect()))
+    want = df.withColumn("prev", F.lag("x").over(w)).withColumn("next", F.lead("x").over(w)).drop("i")
+    for ranges in (2, 7, 64):
+        got = R.with_prev_next(df, ["g"], "x", rows=6, ranges=ranges)
+        assert got.columns == ["g", "x", "i", "prev", "next"]
+        assert sorted(map(repr, got.drop("i").collect())) == sorted(map(repr, want.collect()))
+
+
+def test_ranges_of_equal_depth(spark):
+    """One outlier, and one value with a third of all rows: no range is above twice the mean, and ranges follow the order."""
+    df = spark.range(30_000).select(F.when(F.col("id") == 0, 10**12).when(F.col("id") % 3 == 0, 777).otherwise(F.col("id") % 5000).alias("x"), "id", F.lit(1).alias("g"))
+    parts = R.dealt_by_depth(df, ["g"], "x", 1000, 32).groupBy("_part").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("_part").collect()
+    assert len(parts) > 24 and max(p.n for p in parts) <= 2 * 30_000 / 32 and sum(p.n for p in parts) == 30_000
+    assert all(a.hi <= b.lo for a, b in zip(parts, parts[1:]))
+    days = spark.createDataFrame([(1, f"2024-01-{d:02d}") for d in range(1, 29)], "g int, d string").select("g", F.col("d").cast("date").alias("d"))
+    assert R.dealt_by_depth(days, ["g"], "d", 5, 4).select("_part").distinct().count() == 4
+
+
+def test_systematic_sample(spark):
+    df = spark.range(0, 1000, 3).withColumn("_wide", F.lit("kept"))
+    got = sorted(r.id for r in R.systematic_sample(df, "id", 10, 334, span=7).collect())
+    assert got == [3 * 33 * i for i in range(10)]
 
 
 def test_medians(spark):
@@ -326,3 +345,22 @@ def test_verbatim_matches(spark):
     got = [(r.item_id, r.doc_id) for r in T.verbatim_matches(q, d).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
     assert T.verbatim_matches(q.limit(0), d).collect() == [] and T.verbatim_matches(q, d.limit(0)).collect() == []
+
+
+def test_timestamp_audit(spark):
+    from tesserae.operators import transcripts as T
+
+    said = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    segments = [("s", 0, 0.0, 10.0, said), ("s", 1, 10.0, 20.0, "Un, deux;  trois."), ("s", 2, 20.0, 30.0, None), ("s", 3, 30.0, 40.0, "..."), ("s", 4, 40.0, 50.0, "quatre cinq six sept huit NEUF dix"), ("s", 5, 900.0, 910.0, said), ("e", 0, 0.0, 5.0, "")]
+    notes = [
+        ("s", 1, 5.0, None, said, "ok", None), ("s", 2, 300.0, None, said, "elsewhere", 0.0), ("s", 3, 895.0, None, said, "ok", None), ("s", 4, 12.0, None, "un deux trois quatre cinq six sept huit", "ok", None), ("s", 5, 700.0, None, "Un deux trois quatre cinq six sept huit", "elsewhere", 40.0),
+        ("s", 6, 5.0, None, "alpha beta gamma", "missing", None), ("s", 7, 5.0, None, "a b c d e f g h i j k", "missing", None), ("s", 8, 911.5, None, said, "bounds", None), ("s", 9, 5.0, 4.0, None, "order", None), ("s", 10, 5.0, 9.0, None, "ok", None), ("s", 11, 5.0, 912.0, None, "bounds", None),
+        ("s", 12, None, None, said, "untimed", None), ("e", 13, 1.0, None, said, "missing", None), ("none", 14, 1.0, None, said, "bounds", None), (None, 15, 1.0, None, said, "bounds", None), ("s", 1, 5.0, None, said, "ok", None), ("s", 16, 5.0, None, "", "missing", None),
+        # half of the words beyond the window: 40 is after -60 + 90, 10 is not
+        ("s", 17, -60.0, None, "un deux trois quatre cinq six sept huit", "elsewhere", 40.0),
+    ]
+    kind = "source_id string, note int, start_s double, end_s double, text string"
+    s = spark.createDataFrame(segments, "source_id string, idx int, start_s double, end_s double, text string")
+    got = T.timestamp_audit(spark.createDataFrame([n[:5] for n in notes], kind), s)
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, notes))
+    assert T.timestamp_audit(spark.createDataFrame([], kind), s).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.predicates import name_key, valid_person_name
-from tesserae.operators.relational import distinct_on, small, top_n_per_group
+from tesserae.operators.relational import dealt_by_depth, distinct_on, small, top_n_per_group
 
 
 def pick_profile(candidates: DataFrame, hosts: DataFrame, parasites: list[str] = (), keys: list[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -86,54 +86,99 @@ def jaccard_matches(left: DataFrame, right: DataFrame, least: float, sure: float
     return left.select(F.col("key").alias("a")).join(best, "a", "left").select("a", F.when(status != "unmatched", F.col("b")).alias("b"), "score", status.alias("status"))
 
 
-def one_to_one(left: DataFrame, right: DataFrame, rules: list, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def ranked(df: DataFrame, key: str, item: str) -> DataFrame:
+    """``key, item, i``: places from 0 within equal keys, by hash. A key of many items is numbered in ranges by many tasks."""
+    dealt = dealt_by_depth(df.select(key, item, F.xxhash64(item).alias("_o")), [key], "_o")
+    sizes = dealt.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(key, "_part").orderBy("_o", item)) - 1
+    return dealt.withColumn("_at", place).join(sizes.select(key, "_part", before.alias("_before")), [key, "_part"]).select(key, item, (F.col("_at") + F.col("_before")).alias("i"))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, rules: list, save: Callable[[DataFrame], DataFrame], block: int = 65_536) -> DataFrame:
     """Greedy matching ``a, b, rule``: each rule in turn is used up on what earlier ones left.
 
-    A rule maps ``(left, right)`` to a frame of candidate ``a, b``. Candidates have a fixed order, by
-    hash; one that comes first for both its ends is a match, its ends are consumed, and so on until
-    no candidate is left, which takes few rounds. ``save`` writes a frame and reads it back.
+    A rule is ``(name, left key, right key, pairs)``: two columns, null for none, and a function of
+    the frames of distinct keys ``l`` and ``r`` to candidate pairs of keys. Items of one key are
+    alike, so keys are matched, each with as many places as it has items: the keys of one side and
+    of the other in turn ask for their first pair by hash, and a key that is asked gives its places
+    in that order until it has none. Each round uses up every asking key or the one it asked, so
+    rounds are few, whatever one key's share. Places then meet items by their rank within the key, so
+    equal keys are never all paired. ``save`` writes a frame and reads it back.
     """
-    none = left.select("a").crossJoin(right.select("b")).limit(0).withColumn("rule", F.lit(""))
-    found = [none]
-    for name, rule in rules:
-        pairs = save(rule(left, right).distinct().withColumn("h", F.xxhash64("a", "b")))
+    found = []
+    for name, left_key, right_key, rule in rules:
+        mine = left.select("a", left_key.alias("l")).filter("l is not null")
+        other = right.select("b", right_key.alias("r")).filter("r is not null")
+        sizes = mine.groupBy("l").agg(F.count(F.lit(1)).alias("n_l")), other.groupBy("r").agg(F.count(F.lit(1)).alias("n_r"))
+        none = F.lit(0).cast("long")
+        pairs = save(rule(sizes[0].select("l"), sizes[1].select("r")).distinct().join(sizes[0], "l").join(sizes[1], "r").select("l", "r", F.xxhash64("l", "r").alias("h"), "n_l", "n_r", none.alias("u_l"), none.alias("u_r")))
+        taken = []
         while not pairs.isEmpty():
-            order = F.struct("h", "a", "b")
-            best = lambda k: pairs.groupBy(k).agg(F.min(order).alias(f"best_{k}"))  # noqa: B023, E731
-            both = pairs.join(best("a"), "a").join(best("b"), "b")
-            taken = save(both.filter((F.col("best_a") == F.col("best_b")) & (F.col("best_a") == order)).select("a", "b", F.lit(name).alias("rule")))
-            found.append(taken)
-            pairs = save(pairs.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti").select("a", "b", "h"))
-            left, right = left.join(taken.select("a"), "a", "left_anti"), right.join(taken.select("b"), "b", "left_anti")
+            asks, gives = ("r", "l") if len(taken) % 2 == 0 else ("l", "r")
+            # the first pair of each key that asks; of those that ask one key, as many in order as it has places for
+            first = pairs.groupBy(asks).agg(F.min(F.struct("h", *(c for c in pairs.columns if c not in ("h", asks)))).alias("x")).select(asks, "x.*")
+            free = {k: F.col(f"n_{k}") - F.col(f"u_{k}") for k in "lr"}
+            ahead = F.coalesce(F.sum(free[asks]).over(Window.partitionBy(gives).orderBy("h", asks).rowsBetween(Window.unboundedPreceding, -1)), none)
+            given = first.withColumn("ahead", ahead).withColumn("c", F.least(free[asks], free[gives] - F.col("ahead"))).filter("c > 0")
+            taken.append(save(given.select("l", "r", *((F.col(f"u_{k}") + (F.col("ahead") if k == gives else none)).alias(f"at_{k}") for k in "lr"), "c")))
+            used = lambda k: taken[-1].groupBy(k).agg(F.sum("c").alias(f"c_{k}"))  # noqa: B023, E731
+            rest = pairs.join(used("l"), "l", "left").join(used("r"), "r", "left")
+            now = {f"u_{k}": F.col(f"u_{k}") + F.coalesce(f"c_{k}", none) for k in "lr"}
+            pairs = save(rest.withColumns(now).drop("c_l", "c_r").filter((F.col("u_l") < F.col("n_l")) & (F.col("u_r") < F.col("n_r"))))
+        if not taken:
+            continue
+        # places by blocks, so that a key of any size is no long array
+        blocks = reduce(lambda x, y: x.union(y), taken).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / block))))
+        slots = blocks.withColumn("k", F.explode(F.sequence(F.col("k") * block, F.least(F.col("c"), (F.col("k") + 1) * block) - 1))).select("l", "r", (F.col("at_l") + F.col("k")).alias("i"), (F.col("at_r") + F.col("k")).alias("j"))
+        met = slots.join(ranked(mine, "l", "a"), ["l", "i"]).join(ranked(other, "r", "b").withColumnRenamed("i", "j"), ["r", "j"])
+        found.append(save(met.select("a", "b", F.lit(name).alias("rule"))))
+        left, right = left.join(found[-1].select("a"), "a", "left_anti"), right.join(found[-1].select("b"), "b", "left_anti")
+    if not found:
+        kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((left, "a"), (right, "b"))]
+        return left.sparkSession.createDataFrame([], ", ".join([*kinds, "rule string"]))
     return reduce(lambda x, y: x.union(y), found)
 
 
+def held_inside(hay: DataFrame, needles: DataFrame, width: int = 6) -> DataFrame:
+    """``c, d`` of distinct texts ``c`` of ``hay`` that hold the text ``d`` of ``needles``, both of ``width`` characters or more.
+
+    Every needle is sought by that of its grams of ``width`` characters which fewest texts of ``hay``
+    hold; one with a gram that none holds is inside none and meets no text.
+    """
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (width - 1)), lambda n: F.substring(F.col(c), n, F.lit(width))))
+    index = hay.filter(F.length("c") >= width).select("c", F.explode(grams("c")).alias("g"))
+    asked = needles.filter(F.length("d") >= width).select("d", F.size(grams("d")).alias("all"), F.explode(grams("d")).alias("g"))
+    known = asked.join(index.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g")
+    rarest = known.groupBy("d", "all").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "g")).alias("x")).filter("met = all").select("d", "x.g")
+    return rarest.join(index, "g").filter(F.contains("c", F.col("d"))).select("c", "d")
+
+
 def slug_rules(number: str = "number") -> list:
     """Rules over ``left`` (``a, number, x``) and ``right`` (``b, y``): number before the slug, equal, prefix both ways, contained (six letters or more).
 
-    Prefixes are matched by equality with written-out prefixes, contained slugs by their first six
+    Prefixes are matched by equality with written-out prefixes, contained slugs by their rarest six
     letters, so no rule compares all with all.
     """
     heads = lambda c: F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.length(c))), lambda n: F.substring(F.col(c), F.lit(1), n))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 5)), lambda n: F.substring(F.col(c), n, F.lit(6))))
 
-    def starts(one: DataFrame, c: str, other: DataFrame, d: str) -> DataFrame:
-        """Rows of ``one`` whose ``c`` begins with the other's ``d``."""
-        known = other.filter(F.length(d) > 3)
-        return one.filter(F.length(c) > 3).withColumn("_head", F.explode(heads(c))).join(known, F.col("_head") == F.col(d)).select("a", "b")
+    def starts(longer: DataFrame, c: str, shorter: DataFrame, d: str) -> DataFrame:
+        """Keys of ``longer`` that begin with one of ``shorter``, of four characters or more."""
+        known = shorter.filter(F.length(d) > 3)
+        return longer.filter(F.length(c) > 3).withColumn("_head", F.explode(heads(c))).join(known, F.col("_head") == F.col(d)).select("l", "r")
 
-    def inside(one: DataFrame, c: str, other: DataFrame, d: str) -> DataFrame:
-        """Rows of ``one`` whose ``c`` holds the other's ``d``."""
-        known = other.filter(F.length(d) >= 6).withColumn("_first", F.substring(d, 1, 6))
-        return one.filter(F.length(c) >= 6).withColumn("_gram", F.explode(grams(c))).join(known, F.col("_gram") == F.col("_first")).filter(F.contains(c, d)).select("a", "b")
+    def holds(l: DataFrame, r: DataFrame) -> DataFrame:
+        named = lambda df, n: df.toDF(n)
+        one = held_inside(named(l, "c"), named(r, "d")).select(F.col("c").alias("l"), F.col("d").alias("r"))
+        return one.union(held_inside(named(r, "c"), named(l, "d")).select(F.col("d").alias("l"), F.col("c").alias("r")))
 
+    equal = lambda l, r: l.join(r, F.col("l") == F.col("r"))
+    x, y = F.col("x"), F.col("y")
+    ahead = F.try_to_number(F.nullif(F.regexp_extract(y, "^([0-9]{1,9})-", 1), F.lit("")), F.lit("999999999")).cast("long")
     return [
-        ("number", lambda l, r: l.join(r.withColumn("_n", F.try_to_number(F.nullif(F.regexp_extract("y", "^([0-9]{1,9})-", 1), F.lit("")), F.lit("999999999")).cast("long")), F.col(number) == F.col("_n")).select("a", "b")),
-        ("exact", lambda l, r: l.join(r, F.col("x") == F.col("y")).select("a", "b")),
-        ("begins", lambda l, r: starts(r, "y", l, "x")),
-        ("begun", lambda l, r: starts(l, "x", r, "y")),
-        ("holds", lambda l, r: inside(l, "x", r, "y").union(inside(r, "y", l, "x"))),
-    ]
+        ("number", F.col(number).cast("long"), ahead, equal), ("exact", x, y, equal), ("begins", x, y, lambda l, r: starts(r, "r", l, "l")),
+        ("begun", x, y, lambda l, r: starts(l, "l", r, "r")), ("holds", x, y, holds),
+    ]
 
 
 def ability(answers: DataFrame, keys: list[str], order: list[str], right: str, difficulty: Column, rate: float = 0.3) -> DataFrame:

@@ -202,6 +202,32 @@ def test_one_to_one_leaves_no_candidate(spark, tmp_path):
         assert not [(a, b) for a in free_a for b in free_b if fit(a, xs[a], ys[b])]
 
 
+def test_one_to_one_of_hot_slugs(spark, tmp_path):
+    """A slug that a third of all rows have: as many matches as the smaller side has, and candidates are slugs, not pairs of rows."""
+    seen = []
+    inner = saver(spark, str(tmp_path))
+
+    def save(df):
+        seen.append(inner(df))
+        return seen[-1]
+
+    left = spark.range(3000).select(F.col("id").alias("a"), F.lit(None).cast("long").alias("number"), F.when(F.col("id") % 3 == 0, "custom-guest").otherwise(F.concat(F.lit("custom-guest-"), F.col("id"))).alias("x"))
+    right = spark.range(900).select(F.col("id").alias("b"), F.when(F.col("id") < 700, "custom-guest").otherwise(F.concat(F.lit("my-custom-guest-"), F.col("id"))).alias("y"))
+    got = E.one_to_one(left, right, E.slug_rules(), save, block=64).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("a").alias("a"), F.countDistinct("b").alias("b")).collect()
+    assert {r.rule: (r.n, r.a, r.b) for r in got} == {"exact": (700, 700, 700), "holds": (200, 200, 200)}
+    assert max(df.count() for df in seen if "h" in df.columns) < 10 * 3900
+    assert E.one_to_one(left.limit(0), right, E.slug_rules(), save).count() == 0
+
+
+def test_held_inside(spark):
+    import random
+
+    rng = random.Random(9)
+    hay, needles = [{"".join(rng.choices("ab", k=rng.randint(3, n))) for _ in range(80)} for n in (30, 9)]
+    got = E.held_inside(spark.createDataFrame([(x,) for x in hay], "c string"), spark.createDataFrame([(x,) for x in needles], "d string")).collect()
+    assert sorted(map(tuple, got)) == sorted((c, d) for c in hay for d in needles if len(d) >= 6 and d in c)
+
+
 def test_unknown_strategy_fails(spark):
     with pytest.raises(KeyError):
         scoring.score("nothing", F.lit("x"))

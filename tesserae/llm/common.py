@@ -24,14 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet (with the writer's ``options``) into the shared folder and read it back.
 
     A later loss of executors costs nothing that was computed before this point.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,15 +9,18 @@ the attention model's (the product over its ids, ended by the chance that a new
 share of the training words (``SHARE``); both are proper distributions over words.
 
 Every text is split once: chunks of a bounded size become distinct words with their training counts,
-texts as places in that list of words, and windows for training. Counts of words and ids cover all
-training texts and never pass through one task. Every training text gives windows in proportion to
-its length; they are dealt to blocks, each block takes Adam steps from the same weights, and the
-blocks' weights are averaged, ``ROUNDS`` times. Windows, blocks and steps grow with the texts.
+and texts as places in that list of words. Counts of words and ids cover all training texts and never
+pass through one task. The model learns from every id of every training text, in the windows in which
+ids are scored: each chunk takes Adam steps from the same weights over its share of a round, and the
+chunks' weights are averaged, ``ROUNDS`` times; after the last round every id was to be foretold once
+(in a small chunk, several times). Chunks and steps grow with the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +30,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import n_blocks, written
+from tesserae.llm.common import written
 from tesserae.llm.packing import Ids, gathered, ids_of
 
 #: Size of the model; ``KNOWN`` ids have rows of their own, the others share rows by frequency.
 WIDTH, STEP, BACK, LATENT, KNOWN, SHARED = 16, 24, 8, 64, 3000, 64
-#: A training text gives a window for each so many words begun; a block holds about so many windows.
-EVERY, BLOCK_WINDOWS = 100, 320_000
+#: ``chosen_windows`` gives a window for each so many words begun.
+EVERY = 100
 #: Ids of its first word that a training window may leave out.
 MOST_SKIP = 3
-#: Adam steps of a block in a round, and windows in a step; a window is drawn about ``PASSES`` times at most in all.
-ROUNDS, STEPS, BATCH, RATE, PASSES = 4, 150, 200, 0.1, 12
+#: Adam steps of a chunk in a round that are aimed at, and windows in a step, at least and at most; a window is drawn
+#: once in all rounds together, or in a small chunk up to ``PASSES`` times.
+ROUNDS, STEPS, BATCH, MOST_BATCH, RATE, PASSES = 4, 150, 200, 800, 0.1, 12
 #: Weight of the words' shares of the training words in the mixture.
 SHARE = 0.25
 #: Bytes of text of a chunk; ids scored at once in a task: what fits a core's cache.
@@ -45,8 +49,8 @@ CHUNK_BYTES, AT_ONCE = 12 << 20, 1 << 13
 END = 50256
 #: An id that isn't there; ids are kept in 16 bits.
 NONE = 0xFFFF
-#: Floats of the weights in one row on their way to the average.
-PART = 1 << 16
+#: Floats of the weights in one row on their way to the average; bytes of a row group, more than the chunks of one file.
+PART, MOST_GROUP = 1 << 16, 1 << 30
 
 
 def added(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -86,53 +90,79 @@ class Model:
         return e / e.sum(0)
 
     def fit(self, windows: np.ndarray, round_: int = 0, rounds: int = 1, steps: int = STEPS, batch: int = BATCH) -> Model:
-        """Adam on the cross-entropy of windows (as of ``chosen_windows``), in one of several rounds."""
+        """Adam on the cross-entropy of windows (as of ``every_window``), in one of several rounds: the rounds share all windows, each drawn once, or up to ``PASSES`` times where they are few."""
         if not len(windows):
             return self
-        seen, goals = windows[:, :-1], windows[:, BACK + 1 :]
-        rng = np.random.default_rng((len(seen), round_))
-        steps = min(steps, -(-PASSES * len(seen) // (batch * rounds)))
+        rng = np.random.default_rng(len(windows))
+        passes = max(1, min(PASSES, steps * batch * rounds // len(windows)))
+        mine = np.concatenate([rng.permutation(len(windows)) for _ in range(passes)])[round_::rounds]
+        batch = min(MOST_BATCH, max(batch, -(-len(mine) // steps)))
+        steps = -(-len(mine) // batch)
         w, (first, second) = self.w, ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
         scale = np.float32(WIDTH**-0.5)
         turned = lambda x: x.transpose(0, 2, 1)
-        over = lambda x, y: np.tensordot(x, y, ([0, 1], [0, 1]))
+        flat = lambda x: x.reshape(-1, x.shape[-1])
+        over = lambda x, y: flat(x).T @ flat(y)
         for step in range(1, steps + 1):
-            pick = rng.integers(0, len(seen), batch)
-            ok, on = seen[pick] != NONE, goals[pick] != NONE
-            x, y = self.row[np.where(ok, seen[pick], END)], self.row[np.where(on, goals[pick], END)]
+            drawn = windows[mine[(step - 1) * batch : step * batch]]
+            seen, goals = drawn[:, :-1], drawn[:, BACK + 1 :]
+            ok, on = seen != NONE, (goals != NONE).ravel()
+            x, y = self.row[np.where(ok, seen, END)], self.row[goals.ravel()[on]]
             u = w["e"][x] + w["p"]
-            late = u[:, BACK:]
+            late = np.ascontiguousarray(u[:, BACK:])
             q, k, v = late @ w["q"], u @ w["k"], u @ w["v"]
-            s = q @ turned(k) * scale + self.causal + np.where(ok, 0, -1e9).astype(np.float32)[:, None, :]
-            a = np.exp(s - s.max(2, keepdims=True))
+            a = q @ turned(k)
+            a *= scale
+            a += self.causal
+            a += np.where(ok, np.float32(0), np.float32(-1e9))[:, None, :]
+            a -= a.max(2, keepdims=True)
+            np.exp(a, out=a)
             a /= a.sum(2, keepdims=True)
-            o = a @ v
-            z = o @ w["o"] + w["c"][x[:, BACK:]] + w["b"]
-            g = np.exp(z - z.max(2, keepdims=True))
-            g /= g.sum(2, keepdims=True)
+            # from here on only places with a goal
+            last, o = x[:, BACK:].ravel()[on], flat(a @ v)[on]
+            z = o @ w["o"]
+            z += w["c"][last]
+            z += w["b"]
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
             emit = self.emissions()
-            joint = g * emit[y]
-            each = on[..., None] / np.float32(max(1, on.sum()))
-            after = joint / np.maximum(joint.sum(2, keepdims=True), 1e-30) * each
-            gz = g * each - after
-            d = {"b": gz.sum((0, 1)), "o": over(o, gz)} | {n: np.zeros_like(w[n]) for n in "cem"}
-            added(d["m"], y, -after)
+            after = emit[y]
+            after *= z
+            each = np.float32(1 / max(1, len(y)))
+            after *= (each / np.maximum(after.sum(1, keepdims=True), np.float32(1e-30)))
+            gz = z
+            gz *= each / z.sum(1, keepdims=True)
+            gz -= after
+            d = {"b": gz.sum(0), "o": o.T @ gz} | {n: np.zeros_like(w[n]) for n in "cem"}
+            added(d["m"], y, after)
+            np.negative(d["m"], out=d["m"])
             d["m"] -= emit * d["m"].sum(0)
-            added(d["c"], x[:, BACK:], gz)
-            go = gz @ w["o"].T
+            added(d["c"], last, gz)
+            go = np.zeros((len(on), WIDTH), np.float32)
+            go[on] = gz @ w["o"].T
+            go = go.reshape(late.shape)
             ga, gv = go @ turned(v), turned(a) @ go
-            gs = a * (ga - (ga * a).sum(2, keepdims=True)) * scale
+            gs = ga - (go * (a @ v)).sum(2, keepdims=True)
+            gs *= a
+            gs *= scale
             gq, gk = gs @ k, turned(gs) @ q
             d["q"], d["k"], d["v"] = over(late, gq), over(u, gk), over(u, gv)
-            gu = gk @ w["k"].T + gv @ w["v"].T
+            gu = gk @ w["k"].T
+            gu += gv @ w["v"].T
             gu[:, BACK:] += gq @ w["q"].T
             d["p"] = gu.sum(0)
             added(d["e"], x, gu)
-            now = RATE * min(1, step / 20) * (1 - 0.9 * (round_ + step / steps) / rounds)
+            now = np.float32(RATE * min(1, step / 20) * (1 - 0.9 * (round_ + step / steps) / rounds))
             for n in w:
-                first[n] = 0.9 * first[n] + 0.1 * d[n]
-                second[n] = 0.98 * second[n] + 0.02 * d[n] ** 2
-                w[n] = (w[n] - now * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.98**step)) + 1e-7)).astype(np.float32)
+                first[n] *= np.float32(0.9)
+                first[n] += np.float32(0.1) * d[n]
+                second[n] *= np.float32(0.98)
+                d[n] *= d[n]
+                d[n] *= np.float32(0.02)
+                second[n] += d[n]
+                root = np.sqrt(second[n] * np.float32(1 / (1 - 0.98**step)), out=d[n])
+                root += np.float32(1e-7)
+                w[n] = w[n] - (now / np.float32(1 - 0.9**step)) * first[n] / root
         return self
 
     def flat(self) -> np.ndarray:
@@ -256,8 +286,21 @@ def chosen_windows(words: pa.Array, codes: np.ndarray, long: np.ndarray, train:
     return out
 
 
-GATHERED = "block long, k int, word string, n long, doc_id long, held_out boolean, codes binary, seen binary"
-_KINDS = {"block": pa.int64(), "k": pa.int32(), "word": pa.string(), "n": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "codes": pa.binary(), "seen": pa.binary()}
+def every_window(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Rows of ``BACK + 1 + STEP`` ids (``NONE``: none) from texts laid end to end, each closed by the end id, cut as they are scored: all but the last of a row are seen, the last ``STEP`` are to come, so every id is to come in one row."""
+    stops = np.cumsum(lengths)
+    per = -(-lengths // STEP)
+    doc = np.repeat(np.arange(len(lengths)), per)
+    begin, stop = (stops - lengths)[doc, None], stops[doc, None]
+    place = begin + STEP * (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))[:, None] + np.arange(-BACK - 1, STEP)
+    rows = ids.astype(np.uint16)[np.clip(place, 0, max(0, len(ids) - 1))]
+    rows[(place < begin) | (place >= stop)] = NONE
+    rows[place == begin - 1] = END
+    return rows
+
+
+GATHERED = "block long, k int, word string, n long, doc_id long, held_out boolean, codes binary"
+_KINDS = {"block": pa.int64(), "k": pa.int32(), "word": pa.string(), "n": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "codes": pa.binary()}
 
 
 def _rows(size: int, **columns) -> pa.RecordBatch:
@@ -265,10 +308,10 @@ def _rows(size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[n] if n in columns else pa.nulls(size, kind) for n, kind in _KINDS.items()], names=list(_KINDS))
 
 
-def _gatherer(path: str):
+def _gatherer():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc_id, held_out, text) to rows of three kinds: words of a chunk, its texts, and windows of the training texts."""
-        press, coder = zstandard.ZstdCompressor(level=1), ids_of(path)
+        """Rows (doc_id, held_out, text) to rows of two kinds: words of a chunk, and its texts."""
+        press = zstandard.ZstdCompressor(level=1)
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def gathered_rows() -> Iterator[pa.RecordBatch]:
@@ -277,8 +320,6 @@ def _gatherer(path: str):
             train = ~out.to_numpy(zero_copy_only=False)
             n = np.bincount(codes[np.repeat(train, long)], minlength=len(words))
             yield _rows(len(words), block=pa.array(np.full(len(words), block)), k=pa.array(np.arange(len(words), dtype=np.int32)), word=words, n=pa.array(n))
-            windows = chosen_windows(words, codes, long, train, coder)
-            yield _rows(len(windows), seen=pa.array([w.tobytes() for w in windows], pa.binary()))
             stops = np.cumsum(long)
             packed = [press.compress(codes[a:b]) for a, b in zip((stops - long).tolist(), stops.tolist(), strict=True)]
             yield _rows(len(long), block=pa.array(np.full(len(long), block)), doc_id=docs, held_out=out, codes=pa.array(packed, pa.binary()))
@@ -334,24 +375,18 @@ def _id_counts(size: int):
 
 def _trainer(model: Model, round_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (block, seen), sorted, to rows (part, weight, values): each block's weights times its windows."""
-        start, block, held = model.flat(), None, []
-
-        def trained() -> pa.RecordBatch:
-            windows = np.frombuffer(b"".join(held), np.uint16).reshape(len(held), -1)
-            flat = model.take(start).fit(windows, round_, ROUNDS).flat() * np.float32(len(held))
+        """Rows of chunks (as of ``_scorer``) to rows (part, weight, values): each chunk's weights after the round, times its windows."""
+        start, opened = model.flat(), zstandard.ZstdDecompressor()
+        for chunk, texts in chunks_of(batches):
+            held = [np.frombuffer(opened.decompress(codes), np.int32) for part in texts for codes, out in zip(part.column(6).to_pylist(), part.column(5).to_pylist(), strict=True) if not out]
+            if not held:
+                continue
+            at = np.concatenate(held)
+            lengths = np.add.reduceat(chunk.lengths[at], np.cumsum([0, *map(len, held[:-1])]))
+            windows = every_window(gathered(chunk.ids, chunk.starts, chunk.lengths, at), lengths)
+            flat = model.take(start).fit(windows, round_, ROUNDS).flat() * np.float32(len(windows))
             parts = [flat[i : i + PART].tobytes() for i in range(0, len(flat), PART)]
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), float(len(held)))), pa.array(parts, pa.binary())], names=["part", "weight", "vals"])
-
-        for batch in batches:
-            for one, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if one != block and held:
-                    yield trained()
-                    held = []
-                block = one
-                held.append(seen)
-        if held:
-            yield trained()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), float(len(windows)))), pa.array(parts, pa.binary())], names=["part", "weight", "vals"])
 
     return run
 
@@ -367,12 +402,8 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([w for w, _ in sums.values()], pa.float64()), pa.array([(v / w).astype(np.float32).tobytes() for w, v in sums.values()], pa.binary())], names=["part", "weight", "vals"])
 
 
-def trained(model: Model, windows: DataFrame) -> Model:
-    """The model fitted on all windows: in each round every block starts from the average of the last."""
-    blocks = n_blocks(windows.count(), BLOCK_WINDOWS)
-    # written by block, so that a round moves no window; a block that is read in two parts is two blocks
-    dealt = windows.select(F.pmod(F.xxhash64("seen"), F.lit(blocks)).alias("block"), "seen").repartition(blocks, "block").sortWithinPartitions("block", "seen")
-    dealt = written(dealt, "windows")
+def trained(model: Model, dealt: DataFrame) -> Model:
+    """The model fitted on all training texts of the chunks: in each round every chunk starts from the average of the last."""
     parts = -(-len(model.flat()) // PART)
     for round_ in range(ROUNDS):
         new = dealt.mapInArrow(_trainer(model, round_), "part int, weight double, vals binary")
@@ -385,10 +416,11 @@ def trained(model: Model, windows: DataFrame) -> Model:
 class Chunk:
     """Words of one chunk: their training counts and ids."""
 
-    def __init__(self, counts: np.ndarray, codes: list[bytes]):
-        self.counts = counts
-        self.ids = np.frombuffer(b"".join(codes), "<u2").astype(np.int64)
-        self.lengths = np.array([len(c) // 2 for c in codes], np.int64)
+    def __init__(self, rows: list[pa.RecordBatch]):
+        self.counts = np.concatenate([part.column(2).to_numpy() for part in rows])
+        codes = pa.concat_arrays([part.column(3) for part in rows])
+        self.ids = np.frombuffer(b"".join(codes.to_pylist()), "<u2").astype(np.int64)
+        self.lengths = pc.binary_length(codes).to_numpy().astype(np.int64) // 2
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def score(self, model: Model, tables: dict, at: np.ndarray, tokens: np.ndarray, total: int, distinct: int) -> list[np.ndarray]:
@@ -407,13 +439,29 @@ class Chunk:
         return [np.add.reduceat((c > 0).astype(np.int64), bounds), np.add.reduceat(base, bounds), np.add.reduceat(mixed, bounds)]
 
 
+def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, Iterator[pa.RecordBatch]]]:
+    """Rows (block, k, c, ids, doc_id, held_out, codes), words first and in order in each block, to each block's chunk and its rows of texts, which are to be read before the next."""
+
+    def runs() -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+        for batch in batches:
+            owner, is_text = batch.column(0).to_numpy(), batch.column(6).is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(owner) != 0) | (np.diff(is_text.astype(np.int8)) != 0)) + 1
+            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(owner)], strict=True):
+                if low < high:
+                    yield int(owner[low]), bool(is_text[low]), batch.slice(low, high - low)
+
+    for _, mine in groupby(runs(), key=itemgetter(0)):
+        kinds = groupby(mine, key=itemgetter(1))
+        chunk = Chunk([part for _, _, part in next(kinds)[1]])
+        yield chunk, (part for _, texts in kinds for _, _, part in texts)
+
+
 def _scorer(model: Model, total: int, distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (block, k, c, ids, doc_id, held_out, codes), words first and in order in each block, to the scores of its texts."""
+        """Rows of chunks to the scores of their texts."""
         tables, opened = model.tables(), zstandard.ZstdDecompressor()
-        block, counts, ids, chunk, held, size = None, [], [], None, [], 0
 
-        def scored() -> pa.RecordBatch:
+        def scored(chunk: Chunk, held: list) -> pa.RecordBatch:
             at = [np.frombuffer(x[2], np.int32) for x in held]
             tokens = np.array([len(x) for x in at], np.int64)
             known, base, score = chunk.score(model, tables, np.concatenate(at), tokens, total, distinct)
@@ -422,33 +470,18 @@ def _scorer(model: Model, total: int, distinct: int):
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-        for batch in batches:
-            owner, is_text = batch.column(0).to_numpy(), batch.column(6).is_valid().to_numpy(zero_copy_only=False)
-            # runs of rows of one block and kind
-            edges = np.flatnonzero((np.diff(owner) != 0) | (np.diff(is_text.astype(np.int8)) != 0)) + 1
-            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(owner)], strict=True):
-                if low == high:
-                    continue
-                if owner[low] != block:
-                    if held:
-                        yield scored()
-                    block, counts, ids, chunk, held, size = owner[low], [], [], None, [], 0
-                part = batch.slice(low, high - low)
-                if not is_text[low]:
-                    counts.append(part.column(2).to_numpy())
-                    ids += part.column(3).to_pylist()
-                    continue
-                if chunk is None:
-                    chunk, counts, ids = Chunk(np.concatenate(counts), ids), [], []
+        for chunk, texts in chunks_of(batches):
+            held, size = [], 0
+            for part in texts:
                 for doc, out, codes in zip(*(part.column(i).to_pylist() for i in (4, 5, 6)), strict=True):
                     raw = opened.decompress(codes)
                     held.append((doc, out, raw))
                     size += len(raw)
                     if size >= AT_ONCE * 8:
-                        yield scored()
+                        yield scored(chunk, held)
                         held, size = [], 0
-        if held:
-            yield scored()
+            if held:
+                yield scored(chunk, held)
 
     return run
 
@@ -467,12 +500,17 @@ def score_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    all_ = written(docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(_gatherer(path), GATHERED), "gathered")
+    all_ = written(docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(_gatherer(), GATHERED), "gathered", {"compression": "zstd"})
     words = all_.filter("k is not null").select("block", "k", "word", "n")
     # a very frequent word has one row a chunk
     summed = words.withColumn("c", F.sum("n").over(Window.partitionBy("word"))).select("block", "k", "word", "c")
-    book = written(summed.mapInArrow(_encoder(path), "block long, k int, c long, ids binary, first boolean"), "words")
-    totals = book.filter("first")
+    none = lambda kind: F.lit(None).cast(kind)
+    book = summed.mapInArrow(_encoder(path), "block long, k int, c long, ids binary, first boolean").select("block", "k", "c", "ids", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("binary").alias("codes"), "first")
+    texts = all_.filter("codes is not null").select("block", none("int").alias("k"), none("long").alias("c"), none("binary").alias("ids"), "doc_id", "held_out", "codes", none("boolean").alias("first"))
+    blocks = all_.filter("codes is not null").agg(F.count_distinct("block")).first()[0]
+    # a chunk is trained and scored where it lies, so it must lie in one row group of one file
+    dealt = written(book.union(texts).repartition(max(1, blocks), "block").sortWithinPartitions("block", F.col("codes").isNotNull(), "k"), "chunks", {"parquet.block.size": str(MOST_GROUP), "compression": "zstd"})
+    totals = dealt.filter("first")
 
     coder = Ids(path)
     ids = coder.tokenizer.get_vocab_size()
@@ -484,13 +522,8 @@ def score_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
         counts[row.id] = row.n
     starts = coder.leads.copy()
     starts[END] = True
-    model = trained(Model(counts, starts), all_.filter("seen is not null").select("seen"))
-
-    none = lambda kind: F.lit(None).cast(kind)
-    book = book.select("block", "k", "c", "ids", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("binary").alias("codes"))
-    texts = all_.filter("codes is not null").select("block", none("int").alias("k"), none("long").alias("c"), none("binary").alias("ids"), "doc_id", "held_out", "codes")
-    blocks = all_.filter("codes is not null").agg(F.count_distinct("block")).first()[0]
-    dealt = book.union(texts).repartition(max(1, blocks), "block").sortWithinPartitions("block", F.col("codes").isNotNull(), "k")
+    dealt = dealt.drop("first")
+    model = trained(Model(counts, starts), dealt)
     return dealt.mapInArrow(_scorer(model, total, known), SCORES)
 
 

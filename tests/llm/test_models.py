@@ -241,3 +241,36 @@ def test_lm_words_that_touch_odd_spaces(spark):
     rows = lm.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.n_tokens for r in rows] == [len(t.encode().split()) + 1 for t in texts]
     assert all(np.isfinite(r.score) for r in rows if not r.held_out)
+
+
+def test_every_training_id_is_learned_from(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [np.r_[rng.integers(0, 50, n), lm.END] for n in (0, 1, 23, 24, 25, 700)]
+    rows = lm.every_window(np.concatenate(texts), np.array([len(t) for t in texts]))
+    goals = rows[:, lm.BACK + 1 :]
+    assert goals[goals != lm.NONE].tolist() == np.concatenate(texts).tolist()
+    assert (rows[:, lm.BACK] != lm.NONE).all() and rows[0, lm.BACK] == lm.END
+
+    class Drawn:
+        """Windows that note which of them are drawn."""
+
+        def __init__(self):
+            self.seen = []
+
+        def __len__(self):
+            return 5000
+
+        def __getitem__(self, pick):
+            self.seen += pick.tolist()
+            return rows[pick % len(rows)]
+
+    model, drawn = model_and_texts()[0], Drawn()
+    for round_ in range(4):
+        model.fit(drawn, round_, 4, steps=2, batch=8)
+    assert sorted(drawn.seen) == list(range(5000))
+    # all chunks with all their training texts, each round
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 300)
+    fitted = []
+    monkeypatch.setattr(lm, "trained", lambda model, dealt: fitted.append(dealt.filter("not held_out").count()) or model)
+    docs = spark.createDataFrame([(i, "un deux trois " * 20) for i in range(50)], "doc_id long, text string")
+    assert lm.score_texts(docs).count() == 50 and fitted == [sum(zlib.crc32(str(i).encode()) % 10 > 0 for i in range(50))]

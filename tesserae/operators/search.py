@@ -135,18 +135,36 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.round(F.when(every > 0, shared / every).otherwise(0.0), 6)
 
 
-def trigram_search(queries: DataFrame, items: DataFrame, columns: list[str], k: int, least: float = 0.1) -> DataFrame:
+#: Queries that every item is held against inside its own row, at most.
+CROSSED = 64
+
+
+def trigram_search(queries: DataFrame, items: DataFrame, columns: list[str], k: int, least: float = 0.1, crossed: int = CROSSED) -> DataFrame:
     """Items by the best trigram similarity of any column to the query text, above ``least``: top ``k`` a query.
 
-    Trigrams of items are joined with those of queries and shared ones are counted for each query,
-    item and column, so only items that share one are touched. A null column has none.
+    Up to ``crossed`` queries are broadcast and held against each item inside its row, so nothing is
+    grouped. Of more, trigrams are joined with those of items and shared ones are counted for each
+    query, item and column, so only items that share one are touched. A null column has none.
     """
     grams = lambda c: trigrams(F.coalesce(F.col(c), F.lit("")))
-    q = queries.select("query_id", grams("query").alias("q")).select("query_id", F.size("q").alias("nq"), F.explode("q").alias("gram"))
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), grams(c).alias("g")) for i, c in enumerate(columns))))
-    indexed = items.select("id", each.alias("x")).select("id", "x.c", F.size("x.g").alias("ng"), F.explode("x.g").alias("gram"))
-    shared = indexed.join(small(q), "gram").groupBy("query_id", "id", "c").agg(F.count(F.lit(1)).alias("n"), F.first("nq").alias("nq"), F.first("ng").alias("ng"))
-    scored = shared.withColumn("score", F.round(F.col("n") / (F.col("nq") + F.col("ng") - F.col("n")), 6)).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    q = queries.select("query_id", grams("query").alias("q"))
+    score = lambda n, nq, ng: F.round(n / (nq + ng - n), 6)
+    if q.limit(crossed + 1).count() <= crossed:
+        every = F.broadcast(q.agg(F.collect_list(F.struct("query_id", "q")).alias("_q")))
+        met = items.select("id", *(grams(c).alias(f"_g{i}") for i, c in enumerate(columns))).join(every, F.lit(True))
+
+        def held(x: Column) -> Column:
+            """The query with its best score; shared trigrams are counted once."""
+            of = lambda g: F.transform(F.array(F.size(F.array_intersect(g, x["q"]))), lambda n: F.when(n > 0, score(n, F.size(x["q"]), F.size(g))))
+            return F.struct(x["query_id"].alias("query_id"), F.array_max(F.concat(*(of(F.col(f"_g{i}")) for i in range(len(columns))))).alias("score"))
+
+        scored = met.select("id", F.explode(F.filter(F.transform("_q", held), lambda s: s["score"] > least)).alias("s")).select("s.query_id", "id", "s.score")
+    else:
+        asked = q.select("query_id", F.size("q").alias("nq"), F.explode("q").alias("gram"))
+        each = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), grams(c).alias("g")) for i, c in enumerate(columns))))
+        indexed = items.select("id", each.alias("x")).select("id", "x.c", F.size("x.g").alias("ng"), F.explode("x.g").alias("gram"))
+        shared = indexed.join(small(asked), "gram").groupBy("query_id", "id", "c").agg(F.count(F.lit(1)).alias("n"), F.first("nq").alias("nq"), F.first("ng").alias("ng"))
+        scored = shared.withColumn("score", score(F.col("n"), F.col("nq"), F.col("ng"))).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     best = top_n_per_group(scored.filter(F.col("score") > least), ["query_id"], [F.desc("score"), F.asc("id")], k)
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))))
 

@@ -33,6 +33,18 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, same_tenant: bool
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))))
 
 
+def least_k(far: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` least finite values of each row, ties to the lower of ``others``; only values up to the k-th are ordered."""
+    near = np.isfinite(far)
+    if 0 < k < far.shape[1]:
+        near &= far <= np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+    row, at = np.nonzero(near)
+    order = np.lexsort((others[at], far[row, at], row))
+    row, at = row[order], at[order]
+    mine = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[mine], at[mine]
+
+
 def block_products(queries: DataFrame, items: DataFrame, k: int, tenants: str, penalty: float = 1.0, most: float | None = None, rows: int = 4096) -> DataFrame:
     """``query_id, id, distance``: partial lists of the ``k`` nearest items of each query, from products of blocks of vectors.
 
@@ -68,9 +80,8 @@ def block_products(queries: DataFrame, items: DataFrame, k: int, tenants: str, p
                 far[(ids[part, None] == others[None, :]) | (same if tenants == "other" else False)] = np.inf
                 beyond = np.isfinite(far) & (far > most) if most is not None else np.zeros(far.shape, bool)
                 far[beyond] = np.inf
-                order = np.lexsort((np.broadcast_to(others, far.shape), far))[:, :k]
-                got = pd.DataFrame({"query_id": np.repeat(ids[part], order.shape[1]), "id": others[order].ravel(), "distance": np.take_along_axis(far, order, 1).ravel()})
-                out.append(got[np.isfinite(got["distance"])])
+                row, col = least_k(far, others, k)
+                out.append(pd.DataFrame({"query_id": ids[part][row], "id": others[col], "distance": far[row, col]}))
                 if most is not None:
                     out.append(pd.DataFrame({"query_id": ids[part], "id": pd.array([None] * len(ids[part]), "Int64"), "distance": beyond.sum(1).astype(float)}))
         got = pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "distance": []})
@@ -111,8 +122,8 @@ def all_pairs_top_k(items: DataFrame, k: int, blocks: int | None = None, rows: i
             for at in range(0, len(ids), 512):
                 score = np.round(unit[0][at : at + 512] @ unit[1].T, 6)
                 score[ids[at : at + 512, None] == others[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(others, score.shape), -score))[:, :k]
-                out.append(pd.DataFrame({"id": np.repeat(ids[at : at + 512], order.shape[1]), "other": others[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()}))
+                row, col = least_k(-score, others, k)
+                out.append(pd.DataFrame({"id": ids[at : at + 512][row], "other": others[col], "score": score[row, col]}))
         got = pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "score": []})
         return got[np.isfinite(got["score"].astype(float))].astype({"id": "int64", "other": "int64", "score": "float64"})
 

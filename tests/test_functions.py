@@ -1,5 +1,6 @@
 """Boundary cases of column functions and operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -390,3 +391,33 @@ def test_timestamp_audit(spark):
     got = T.timestamp_audit(spark.createDataFrame([n[:5] for n in notes], kind), s)
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, notes))
     assert T.timestamp_audit(spark.createDataFrame([], kind), s).count() == 0
+
+
+def test_trigram_search_inside_rows_and_by_index(spark):
+    items = spark.createDataFrame([(1, "red lamp", None), (2, "red lamps", "lamp"), (3, None, None), (4, "zzz", ""), (5, "red lamp", "x")], "id long, a string, b string")
+    queries = spark.createDataFrame([(1, "red lamp"), (2, "lamp"), (3, ""), (4, None)], "query_id int, query string")
+    inside = S.trigram_search(queries, items, ["a", "b"], 3)
+    index = S.trigram_search(queries, items, ["a", "b"], 3, crossed=2)
+    assert sorted(map(tuple, inside.collect())) == sorted(map(tuple, index.collect())) and inside.count() == 6
+    # nothing is grouped by item, so no task holds a row for each query, item and column
+    assert "count(1)" not in inside._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_least_k_orders_ties_by_id():
+    rng = np.random.default_rng(2)
+    for width, k in ((1, 4), (4, 4), (60, 4), (60, 1), (60, 100)):
+        far, others = rng.integers(0, 4, (20, width)).astype(float), rng.permutation(width)
+        far[rng.random(far.shape) < 0.3] = np.inf
+        far[0] = np.inf
+        row, col = S.least_k(far, others, k)
+        want = [(i, others[j]) for i in range(20) for j in np.lexsort((others, far[i]))[:k] if np.isfinite(far[i, j])]
+        assert list(zip(row.tolist(), others[col].tolist(), strict=True)) == want
+
+
+def test_ranges_follow_the_rows(spark):
+    df = spark.range(5000).withColumn("g", F.lit(1))
+    cut = R.dealt_by_depth(df, ["g"], "id", 1000)
+    # two ranges for each thousand rows, not as many as may be
+    assert cut.select("_part").distinct().count() == 10 and cut.groupBy("_part").count().agg(F.max("count")).first()[0] < 1000
+    whole = R.dealt_by_depth(df, ["g"], "id", 5000)
+    assert whole.select("_part").distinct().count() == 1 and "percentile" not in whole._jdf.queryExecution().optimizedPlan().toString()

@@ -54,9 +54,10 @@ PART, MOST_GROUP = 1 << 16, 1 << 30
 
 
 def added(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Add each value to its row of ``table``."""
-    order = np.argsort(rows, axis=None, kind="stable")
-    rows = rows.ravel()[order]
+    """Add each value to its row of ``table`` of less than 2**16 rows."""
+    rows = rows.ravel().astype(np.uint16)  # numpy sorts 16 bits by radix
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     table[rows[first]] += np.add.reduceat(values.reshape(len(order), -1)[order], first)
 
@@ -375,8 +376,9 @@ def _id_counts(size: int):
 
 def _trainer(model: Model, round_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of chunks (as of ``_scorer``) to rows (part, weight, values): each chunk's weights after the round, times its windows."""
+        """Rows of chunks (as of ``_scorer``) to rows (part, weight, values): the sum over this task's chunks of each one's weights after the round, times its windows."""
         start, opened = model.flat(), zstandard.ZstdDecompressor()
+        total, weight = np.zeros(len(start)), 0.0
         for chunk, texts in chunks_of(batches):
             held = [np.frombuffer(opened.decompress(codes), np.int32) for part in texts for codes, out in zip(part.column(6).to_pylist(), part.column(5).to_pylist(), strict=True) if not out]
             if not held:
@@ -384,9 +386,11 @@ def _trainer(model: Model, round_: int):
             at = np.concatenate(held)
             lengths = np.add.reduceat(chunk.lengths[at], np.cumsum([0, *map(len, held[:-1])]))
             windows = every_window(gathered(chunk.ids, chunk.starts, chunk.lengths, at), lengths)
-            flat = model.take(start).fit(windows, round_, ROUNDS).flat() * np.float32(len(windows))
-            parts = [flat[i : i + PART].tobytes() for i in range(0, len(flat), PART)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), float(len(windows)))), pa.array(parts, pa.binary())], names=["part", "weight", "vals"])
+            total += model.take(start).fit(windows, round_, ROUNDS).flat() * np.float32(len(windows))
+            weight += len(windows)
+        if weight:
+            parts = [total[i : i + PART].astype(np.float32).tobytes() for i in range(0, len(total), PART)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), weight)), pa.array(parts, pa.binary())], names=["part", "weight", "vals"])
 
     return run
 
@@ -407,9 +411,9 @@ def trained(model: Model, dealt: DataFrame) -> Model:
     parts = -(-len(model.flat()) // PART)
     for round_ in range(ROUNDS):
         new = dealt.mapInArrow(_trainer(model, round_), "part int, weight double, vals binary")
-        rows = new.repartition(parts, "part").sortWithinPartitions("part", "vals").mapInArrow(_added, "part int, weight double, vals binary").orderBy("part").collect()  # the size of the model
+        rows = new.repartition(parts, "part").sortWithinPartitions("part", "vals").mapInArrow(_added, "part int, weight double, vals binary").collect()  # the size of the model
         if rows:
-            model.take(np.concatenate([np.frombuffer(r.vals, np.float32) for r in rows]))
+            model.take(np.concatenate([np.frombuffer(r.vals, np.float32) for r in sorted(rows, key=itemgetter(0))]))
     return model
 
 

@@ -12,6 +12,8 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from tesserae.llm import html, lm, urls
 from tesserae.llm.packing import ids_of
 
@@ -274,3 +276,21 @@ def test_every_training_id_is_learned_from(spark, monkeypatch):
     monkeypatch.setattr(lm, "trained", lambda model, dealt: fitted.append(dealt.filter("not held_out").count()) or model)
     docs = spark.createDataFrame([(i, "un deux trois " * 20) for i in range(50)], "doc_id long, text string")
     assert lm.score_texts(docs).count() == 50 and fitted == [sum(zlib.crc32(str(i).encode()) % 10 > 0 for i in range(50))]
+
+
+def test_lm_sums_a_tasks_chunks(spark, monkeypatch):
+    """A task hands on one set of weights for all its chunks: their mean by windows, as if each had handed on its own."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 300)
+    kept = []
+    monkeypatch.setattr(lm, "trained", lambda model, dealt: kept.append((model, dealt)) or model)
+    docs = spark.createDataFrame([(i, "un deux trois quatre " * (10 + i)) for i in range(12)], "doc_id long, text string").coalesce(1)
+    assert lm.score_texts(docs).count() == 12
+    model, dealt = kept[0]
+    blocks = [r.block for r in dealt.filter("not held_out").select("block").distinct().collect()]
+    kinds = "part int, weight double, vals binary"
+    weights = lambda df: [(r.part, r.weight, np.frombuffer(r.vals, np.float32).astype(float)) for r in df.mapInArrow(lm._trainer(model, 0), kinds).orderBy("part").collect()]
+    together = weights(dealt.repartition(1).sortWithinPartitions("block", F.col("codes").isNotNull(), "k"))
+    alone = [weights(dealt.filter(F.col("block") == b).repartition(1).sortWithinPartitions(F.col("codes").isNotNull(), "k")) for b in blocks]
+    assert len(blocks) > 2 and len(together) == -(-len(model.flat()) // lm.PART)
+    for k, (part, weight, vals) in enumerate(together):
+        assert part == k and weight == sum(a[k][1] for a in alone) and np.allclose(vals, sum(a[k][2] for a in alone), rtol=1e-3, atol=1e-2)

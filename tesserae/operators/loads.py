@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,27 +58,28 @@ def biographies(named: DataFrame, texts: DataFrame, people: DataFrame) -> DataFr
     return told.select(*who, F.coalesce(mention_chunk(F.col("article"), F.col("name")), tidy_chunk(F.col("intro"))).alias("_bio")).filter("_bio is not null")
 
 
-def people_changes(items: DataFrame, guests: DataFrame, people: DataFrame, bridge: DataFrame, links: DataFrame, texts: DataFrame, hosts: DataFrame, parasites: list[str], identity: Column) -> dict[str, DataFrame]:
+def people_changes(items: DataFrame, guests: DataFrame, people: DataFrame, bridge: DataFrame, links: DataFrame, texts: DataFrame, hosts: DataFrame, parasites: list[str], identity: Column, save: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """The rows that a load adds or changes in each table; without rows where a load has been made already.
 
     ``items``: ``id, tenant_id, guest_from_title, episode_type``; ``guests``: ``id, tenant_id, guest``
     as stored; ``links``: ``id, tenant_id, episode_id, url, slug, label`` of profile links; ``hosts``:
     ``tenant_id, host, host_slug``. ``identity`` gives a new person's id from tenant and name. Blank
     guests, null profiles and blank biographies are filled; nothing that is there is replaced.
+    ``save`` writes a frame that is used several times, and reads it back.
     """
     who = ["tenant_id", "name"]
-    named = named_items(guests.join(items.select("id", "guest_from_title", "episode_type"), "id"), hosts)
+    named = save(named_items(guests.join(items.select("id", "guest_from_title", "episode_type"), "id"), hosts))
     fresh = named.select(*who).distinct().join(people, who, "left_anti").select(identity.alias("id"), *who, *(F.lit(None).cast("string").alias(c) for c in ("bio", "profile")), F.lit(0).cast("long").alias("n"), F.lit(True).alias("_new"))
-    every = people.withColumn("_new", F.lit(False)).unionByName(fresh)
+    every = save(people.withColumn("_new", F.lit(False)).unionByName(fresh))
     linked = named.select(*who, F.col("id").alias("episode_id")).join(every.select(F.col("id").alias("guest_id"), *who), who)
-    added = linked.select("guest_id", "episode_id").distinct().join(bridge, ["guest_id", "episode_id"], "left_anti")
+    added = save(linked.select("guest_id", "episode_id").distinct().join(bridge, ["guest_id", "episode_id"], "left_anti"))
     met = bridge.unionByName(added)
     filled = guests.filter(F.coalesce("guest", F.lit("")) == "").drop("guest").join(named.select("id", F.col("name").alias("guest")), "id")
 
     seeking = every.filter("profile is null").select(F.col("id").alias("guest_id"), *who)
     found = met.join(seeking, "guest_id").join(links, ["tenant_id", "episode_id"]).select("tenant_id", F.col("name").alias("person"), "id", "url", "slug", "label")
-    picked, _ = pick_profile(found, hosts, parasites, ["tenant_id"])
-    profile = picked.join(links.select("id", F.col("url").alias("_profile")), "id").select("tenant_id", F.col("person").alias("name"), "_profile")
+    picked, _ = pick_profile(found, hosts, parasites, ["tenant_id"], ["url"])
+    profile = picked.select("tenant_id", F.col("person").alias("name"), F.col("url").alias("_profile"))
 
     counts = met.groupBy(F.col("guest_id").alias("id")).agg(F.count_distinct("episode_id").alias("_n"))
     after = every.join(profile, who, "left").join(biographies(named, texts, every), who, "left").join(counts, "id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
@@ -89,4 +92,4 @@ def load_people(kept: Store, batch: str, items: DataFrame, links: DataFrame, tex
     """One load, committed in all tables at once; false where the batch is committed already."""
     if kept.holds(batch):
         return False
-    return kept.commit(batch, people_changes(items, kept.read("items"), kept.read("people"), kept.read("bridge"), links, texts, hosts, parasites, identity))
+    return kept.commit(batch, people_changes(items, kept.read("items"), kept.read("people"), kept.read("bridge"), links, texts, hosts, parasites, identity, kept.aside))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+#: Tasks, and thus files, of one bucket in one version, at most.
+SHARES = 16
 _MANIFEST = "version long, batch string, name string, bucket int"
 
 
@@ -53,6 +57,12 @@ class Store:
             rows = rows.unionByName(files.filter(F.col("bucket").isin(*part.buckets)).drop("bucket"))
         return rows
 
+    def aside(self, df: DataFrame) -> DataFrame:
+        """``df`` written beside the tables, where no reader of theirs looks, and read back."""
+        path = f"{self.path}/aside/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def stage(self, version: int, changes: dict[str, DataFrame]) -> list[tuple[str, int]]:
         """Write the touched buckets of each table as they will be, seen by nobody yet; ``changes`` hold whole rows that replace those of their key."""
         touched = []
@@ -64,7 +74,9 @@ class Store:
             mine = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # at most one row a bucket
             if mine:
                 old = self.read(name, mine).join(fresh.select(*self.keys[name]), self.keys[name], "left_anti").withColumn("bucket", self.bucket(name))
-                old.unionByName(fresh).repartition(len(mine), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{version}/{name}")
+                # a bucket is shared by several tasks where it is large; Spark joins small ones
+                share = F.pmod(F.xxhash64(*self.keys[name], F.lit(1)), F.lit(SHARES))
+                old.unionByName(fresh).repartition("bucket", share).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{version}/{name}")
                 touched += [(name, b) for b in mine]
         return touched
 

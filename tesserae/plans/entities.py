@@ -97,7 +97,7 @@ def ent5(t: Tables):
     """The three tables after a load and its replay: people, items with their guests, and the bridge between them."""
     spaced = lambda c: F.regexp_replace(c, "#", " ")
     stored = t.episodes.select("id", "tenant_id", spaced(F.col("guest")).alias("guest"))
-    items = t.episodes.select("id", "tenant_id", spaced(F.col("guest_from_title")).alias("guest_from_title"), "episode_type")
+    items = saver(t)(t.episodes.select("id", "tenant_id", spaced(F.col("guest_from_title")).alias("guest_from_title"), "episode_type"))
     people = t.guests.filter("id div 10 % 5 <> 0").select("id", "tenant_id", spaced(F.col("name")).alias("name"), "bio", F.col("linkedin_url").alias("profile"), F.lit(0).cast("long").alias("n"))
     bridge = t.guest_episodes.filter("episode_id % 3 <> 0 and guest_id div 10 % 5 <> 0").distinct()
     titled = items.select(F.col("id").alias("episode_id"), "tenant_id", "guest_from_title")

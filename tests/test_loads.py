@@ -70,3 +70,28 @@ def test_empty_tables(spark, tables, tmp_path):
     kept = L.store(spark, f"file://{tmp_path}/s", 4)
     assert load(kept, tables, "a")
     assert not any(kept.read(name).count() for name in ("items", "people", "bridge"))
+
+
+def test_a_persons_profile_is_of_the_picked_row(spark, tables, tmp_path):
+    """Links of two items may share an id: each person gets the URL of the own link, once."""
+    tables["links"] = spark.createDataFrame([(4, "t", 2, "p/ada", "ada", "by ada byron"), (4, "u", 5, "p/other", "other", "ada byron")], LINKS)
+    kept = L.store(spark, f"file://{tmp_path}/s", 4)
+    kept.commit("start", {"items": tables["stored"], "people": tables["people"]})
+    assert load(kept, tables, "a")
+    assert [(r.tenant_id, r.profile) for r in kept.read("people").filter("name = 'Ada Byron'").orderBy("tenant_id").collect()] == [("t", "p/ada"), ("u", "p/other")]
+
+
+def test_a_load_reads_names_once(spark, tables):
+    """What several changes need is saved: none of their plans holds the test of names."""
+    saved, made = [], []
+
+    def save(df):
+        saved.append(df)
+        made.append(spark.createDataFrame(df.collect(), df.schema))
+        return made[-1]
+
+    bridge = spark.createDataFrame([], L.BRIDGE)
+    changes = L.people_changes(tables["items"], tables["stored"], tables["people"], bridge, tables["links"], tables["texts"], tables["hosts"], ["bad"], F.lit(5).cast("long"), save)
+    assert sorted(changes) == ["bridge", "items", "people"]
+    named = [("episode_type" in df._jdf.queryExecution().optimizedPlan().toString()) for df in (*saved, *changes.values())]
+    assert named == [True] + [False] * (len(named) - 1)

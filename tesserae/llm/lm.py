@@ -49,6 +49,8 @@ CHUNK_BYTES, AT_ONCE = 12 << 20, 1 << 13
 END = 50256
 #: An id that isn't there; ids are kept in 16 bits.
 NONE = 0xFFFF
+#: Words that a task reads before it hands on a row for each chunk among them.
+PACK = 1 << 18
 #: Floats of the weights in one row on their way to the average; bytes of a row group, more than the chunks of one file.
 PART, MOST_GROUP = 1 << 16, 1 << 30
 
@@ -342,34 +344,72 @@ def _gatherer():
     return run
 
 
+def pack(places: np.ndarray, counts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, first: np.ndarray) -> bytes:
+    """Words of one chunk in one value: steps between their ascending places there, counts, whether a row is its word's first, how many ids each has, and the ids in 16 bits."""
+    steps = np.diff(places, prepend=0)
+    return b"".join(x.tobytes() for x in (steps.astype("<i4"), counts.astype("<i8"), first.astype("?"), lengths.astype("<i4"), ids.astype("<u2")))
+
+
+def unpack(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``pack`` was given, of ``n`` words: places, counts, lengths, ids, first."""
+    part = lambda kind, at: np.frombuffer(raw, kind, n, at * n)
+    return np.cumsum(part("<i4", 0)), part("<i8", 4), part("<i4", 13).astype(np.int64), np.frombuffer(raw, "<u2", offset=17 * n), part("?", 12)
+
+
 def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (block, k, word, c), sorted by word, to (block, k, c, ids, first): ids in 16 bits, and whether a row is its word's first; the empty word is the end."""
-        coder, last = ids_of(path), None
-        end = np.array([END], "<u2").tobytes()
+        """Rows (block, k, word, c), sorted by word, to (block, k, c, ids): of each block one row for ``PACK`` words read, with its least place, how many words it holds, and these packed; the empty word is the end."""
+        coder, press, last = ids_of(path), zstandard.ZstdCompressor(level=1), None
+        held, size = [], 0
+
+        def packs() -> pa.RecordBatch:
+            block, k, c, first, lengths = (np.concatenate([h[i] for h in held]) for i in range(5))
+            starts, base = [], 0
+            for h in held:
+                starts.append(h[5] + base)
+                base += len(h[6])
+            starts, ids = np.concatenate(starts), np.concatenate([h[6] for h in held])
+            order = np.lexsort((k, block))
+            edges = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
+            mine = [order[low:high] for low, high in zip(edges[:-1], edges[1:], strict=True)]
+            packed = [press.compress(pack(k[at], c[at], lengths[at], gathered(ids, starts, lengths, at), first[at])) for at in mine]
+            heads = np.array([at[0] for at in mine])
+            return pa.RecordBatch.from_arrays([pa.array(block[heads]), pa.array(k[heads]), pa.array([len(at) for at in mine], pa.int64()), pa.array(packed, pa.binary())], names=["block", "k", "c", "ids"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             words = batch.column(2).dictionary_encode()
             ids, lengths = coder.words(words.dictionary)
-            stops, raw, at = np.cumsum(lengths), ids.astype("<u2").tobytes(), words.indices.to_numpy()
-            codes = [raw[2 * a : 2 * b] if w else end for w, a, b in zip(pc.binary_length(words.dictionary).to_pylist(), (stops - lengths).tolist(), stops.tolist(), strict=True)]
+            # the empty word is the end
+            empty, starts = pc.equal(pc.binary_length(words.dictionary), 0).to_numpy(zero_copy_only=False), np.cumsum(lengths) - lengths
+            starts[empty], lengths[empty] = len(ids), 1
+            at = words.indices.to_numpy()
             first = np.r_[batch.column(2)[0].as_py() != last, at[1:] != at[:-1]]
             last = batch.column(2)[-1].as_py()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(codes, pa.binary()).take(words.indices), pa.array(first)], names=["block", "k", "c", "ids", "first"])
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy(), first, lengths[at], starts[at], np.append(ids, END).astype(np.uint16)))
+            size += batch.num_rows
+            if size >= PACK:
+                yield packs()
+                held, size = [], 0
+        if held:
+            yield packs()
 
     return run
 
 
 def _id_counts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (c, ids) of distinct words to (id, n): occurrences of ids in training texts."""
-        total = np.zeros(size)
+        """Rows (c, ids) of packed words to (id, n), occurrences of ids in training texts; with the ids -1 and -2: training tokens, and how many distinct ones occur there."""
+        total, tokens, known, opened = np.zeros(size), 0, 0, zstandard.ZstdDecompressor()
         for batch in batches:
-            lengths = pc.binary_length(batch.column(1)).to_numpy() // 2
-            total += np.bincount(np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2"), np.repeat(batch.column(0).to_numpy(), lengths), size)
+            for n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _, counts, lengths, ids, first = unpack(opened.decompress(packed), n)
+                once = np.where(first, counts, 0)
+                total += np.bincount(ids, np.repeat(once, lengths), size)
+                tokens, known = tokens + int(once.sum()), known + int((once > 0).sum())
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some].astype(np.int64))], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, -2, some], pa.int32()), pa.array(np.r_[tokens, known, total[some].astype(np.int64)], pa.int64())], names=["id", "n"])
 
     return run
 
@@ -418,14 +458,17 @@ def trained(model: Model, dealt: DataFrame) -> Model:
 
 
 class Chunk:
-    """Words of one chunk: their training counts and ids."""
+    """Words of one chunk, by their places: their training counts and ids."""
 
     def __init__(self, rows: list[pa.RecordBatch]):
-        self.counts = np.concatenate([part.column(2).to_numpy() for part in rows])
-        codes = pa.concat_arrays([part.column(3) for part in rows])
-        self.ids = np.frombuffer(b"".join(codes.to_pylist()), "<u2").astype(np.int64)
-        self.lengths = pc.binary_length(codes).to_numpy().astype(np.int64) // 2
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        opened = zstandard.ZstdDecompressor()
+        packs = [unpack(opened.decompress(raw), n) for part in rows for n, raw in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+        places, counts, lengths, ids = (np.concatenate([p[i] for p in packs]) for i in range(4))
+        # each place has one word; words lie as their packs have them
+        order = np.empty(len(places), np.int64)
+        order[places] = np.arange(len(places))
+        self.ids = ids.astype(np.int64)
+        self.counts, self.lengths, self.starts = counts[order], lengths[order], (np.cumsum(lengths) - lengths)[order]
 
     def score(self, model: Model, tables: dict, at: np.ndarray, tokens: np.ndarray, total: int, distinct: int) -> list[np.ndarray]:
         """Known tokens, base and model scores (log10) of texts given as places ``at`` of their words, ``tokens`` each; every id is scored in context."""
@@ -444,7 +487,7 @@ class Chunk:
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, Iterator[pa.RecordBatch]]]:
-    """Rows (block, k, c, ids, doc_id, held_out, codes), words first and in order in each block, to each block's chunk and its rows of texts, which are to be read before the next."""
+    """Rows (block, k, c, ids, doc_id, held_out, codes), packs of words first in each block, to each block's chunk and its rows of texts, which are to be read before the next."""
 
     def runs() -> Iterator[tuple[int, bool, pa.RecordBatch]]:
         for batch in batches:
@@ -509,24 +552,26 @@ def score_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
     # a very frequent word has one row a chunk
     summed = words.withColumn("c", F.sum("n").over(Window.partitionBy("word"))).select("block", "k", "word", "c")
     none = lambda kind: F.lit(None).cast(kind)
-    book = summed.mapInArrow(_encoder(path), "block long, k int, c long, ids binary, first boolean").select("block", "k", "c", "ids", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("binary").alias("codes"), "first")
-    texts = all_.filter("codes is not null").select("block", none("int").alias("k"), none("long").alias("c"), none("binary").alias("ids"), "doc_id", "held_out", "codes", none("boolean").alias("first"))
+    book = summed.mapInArrow(_encoder(path), "block long, k int, c long, ids binary").select("block", "k", "c", "ids", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("binary").alias("codes"))
+    texts = all_.filter("codes is not null").select("block", none("int").alias("k"), none("long").alias("c"), none("binary").alias("ids"), "doc_id", "held_out", "codes")
     blocks = all_.filter("codes is not null").agg(F.count_distinct("block")).first()[0]
     # a chunk is trained and scored where it lies, so it must lie in one row group of one file
     dealt = written(book.union(texts).repartition(max(1, blocks), "block").sortWithinPartitions("block", F.col("codes").isNotNull(), "k"), "chunks", {"parquet.block.size": str(MOST_GROUP), "compression": "zstd"})
-    totals = dealt.filter("first")
 
     coder = Ids(path)
     ids = coder.tokenizer.get_vocab_size()
     if ids > NONE:
         raise ValueError(f"{path}: more ids than 16 bits hold")
-    total, known = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    counts = np.zeros(ids)
-    for row in totals.select("c", "ids").mapInArrow(_id_counts(ids), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # an id each at most
-        counts[row.id] = row.n
+    counts, total, known = np.zeros(ids), 0, 0
+    for row in dealt.filter("ids is not null").select("c", "ids").mapInArrow(_id_counts(ids), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # an id each at most
+        if row.id == -1:
+            total = row.n
+        elif row.id == -2:
+            known = row.n
+        else:
+            counts[row.id] = row.n
     starts = coder.leads.copy()
     starts[END] = True
-    dealt = dealt.drop("first")
     model = trained(Model(counts, starts), dealt)
     return dealt.mapInArrow(_scorer(model, total, known), SCORES)
 

@@ -294,3 +294,20 @@ def test_lm_sums_a_tasks_chunks(spark, monkeypatch):
     assert len(blocks) > 2 and len(together) == -(-len(model.flat()) // lm.PART)
     for k, (part, weight, vals) in enumerate(together):
         assert part == k and weight == sum(a[k][1] for a in alone) and np.allclose(vals, sum(a[k][2] for a in alone), rtol=1e-3, atol=1e-2)
+
+
+def test_lm_words_go_back_to_their_chunk_in_packs(spark, monkeypatch):
+    """A chunk gets its words in few rows, not one a word, whatever the order of places in which tasks meet them."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 4000)
+    kept = []
+    monkeypatch.setattr(lm, "trained", lambda model, dealt: kept.append(dealt) or model)
+    texts = [" ".join(f"w{j * 7 % 301} Ω{j}" for j in range(i, i + 150)) for i in range(12)] + ["", None, "x" * 70_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = brute_lm(list(enumerate(texts)))
+    monkeypatch.setattr(lm, "PACK", 40)
+    for r in lm.score_texts(docs).collect():
+        assert tuple(r)[1:5] == want[r.doc_id][:4] and math.isclose(r.base_score, want[r.doc_id][4], rel_tol=1e-9)
+    monkeypatch.setattr(lm, "PACK", 1 << 18)
+    assert {(r.doc_id, *tuple(r)[1:5]) for r in lm.score_texts(docs).collect()} == {(k, *v[:4]) for k, v in want.items()}
+    packs = kept[1].filter("codes is null").groupBy("block").agg(F.count("*").alias("rows"), F.sum("c").alias("words")).collect()
+    assert len(packs) > 2 and all(r.rows <= 4 for r in packs) and max(r.words for r in packs) > 150

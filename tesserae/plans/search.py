@@ -159,8 +159,8 @@ def rec1(t: Tables):
     users = events.groupBy("user_id").agg(F.array(F.min("event_type"), F.max("event_type")).alias("goals")).select("user_id", F.array(F.concat(F.lit("P"), u % 10), F.concat(F.lit("P"), u % 7)).alias("interests"), "goals", (u % 3).cast("int").alias("level"))
     level = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(x) for x in LEVELS)), F.col("difficulty")), F.lit(0).cast("long")) - 1, F.lit(1).cast("long"))
     items = t.episodes.select("id", "pillar", level.cast("int").alias("level"), (F.col("id") % 4 == 0).alias("path"), (F.col("id") >= 280).alias("recent"))
-    done = events.select("user_id", F.col("event_id").alias("id")).distinct()
-    return E.recommend(users, items, done, GOALS, 5)
+    done = events.select("user_id", F.col("event_id").alias("id"))
+    return E.recommend(users, items, done, GOALS, 5, saver(t))
 
 
 @query("UDF2", "SELECT source_id, idx, length(text)::VARCHAR AS reply FROM segments")

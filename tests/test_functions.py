@@ -436,3 +436,48 @@ def test_ranges_follow_the_rows(spark):
     assert cut.select("_part").distinct().count() == 10 and cut.groupBy("_part").count().agg(F.max("count")).first()[0] < 1000
     whole = R.dealt_by_depth(df, ["g"], "id", 5000)
     assert whole.select("_part").distinct().count() == 1 and "percentile" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("classes", [1024, 3])
+def test_recommend_by_brute_force(spark, classes):
+    """Users with many done items, equal scores over classes, nulls, repeated done rows and users without any score above 0."""
+    import random
+
+    rng = random.Random(4)
+    goals = {"a": ["P1", "P2"], "b": ["P3"]}
+    items = [(i, rng.choice(["P1", "P2", "P3", None]), rng.choice([0, 1, 2]), rng.random() < 0.3, i > 30) for i in range(40)]
+    users = [(u, [rng.choice(["P1", "P2", "P9"])], rng.choice([["a"], ["b", "a"], ["c"], []]), rng.choice([0, 1, 2])) for u in range(12)] + [(99, [], [], -5)]
+    done = [(u, rng.randrange(60)) for u in range(8) for _ in range(u * 9)] + [(3, i) for i in range(40)]
+
+    def points(user, item):
+        (_, interests, wishes, mine), (_, pillar, level, path, recent) = user, item
+        wanted = any(pillar in goals.get(g, []) for g in wishes)
+        parts = [(30, "interest", pillar in interests), (20, "level", level == mine), (10, "next level", level == mine + 1), (-10, None, level > mine + 1), (25, "goal", wanted), (10, "path", path), (5, "recent", recent)]
+        return sum(p for p, _, on in parts if on), ",".join(name for _, name, on in parts if on and name)
+
+    want = set()
+    for user in users:
+        open_ = [(-points(user, i)[0], i[0], points(user, i)[1]) for i in items if (user[0], i[0]) not in done and points(user, i)[0] > 0]
+        want |= {(user[0], i, -score, why) for score, i, why in sorted(open_)[:4]}
+    frames = [spark.createDataFrame(users, "user_id int, interests array<string>, goals array<string>, level int"), spark.createDataFrame(items, "id int, pillar string, level int, path boolean, recent boolean"), spark.createDataFrame(done, "user_id int, id int")]
+    found = E.recommend(*frames, goals, 4, classes=classes)
+    assert sorted((r.user_id, r.id, r.score, r.reasons) for r in found.collect()) == sorted(want) and any(w[0] == 7 for w in want)
+
+
+def test_recommend_moves_few_rows_a_user(spark):
+    """Users leave their rows with the classes that they need, not with all that score above 0."""
+    items = spark.range(4000).selectExpr("cast(id as int) as id", "concat('P', id % 10) as pillar", "cast(id % 3 as int) as level", "id % 4 = 0 as path", "id >= 280 as recent")
+    users = spark.range(500).selectExpr("cast(id as int) as user_id", "array(concat('P', id % 10)) as interests", "array('x') as goals", "cast(id % 3 as int) as level")
+    done = spark.range(500).selectExpr("cast(id as int) as user_id", "cast(id as int) as id")
+    found = E.recommend(users, items, done, {"x": ["P1"]}, 5)
+    assert found.count() == 2500
+    # rows of users and items that meet, before those done are left out
+    met = []
+    plan = found._jdf.queryExecution().optimizedPlan()
+    joins = [plan]
+    while joins:
+        node = joins.pop()
+        if node.nodeName() == "Join" and node.joinType().toString() == "LeftAnti":
+            met.append(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, node.left()).count())
+        joins += [node.children().apply(i) for i in range(node.children().size())]
+    assert len(met) == 1 and met[0] <= 500 * 2 * 7

@@ -13,7 +13,9 @@ and texts as places in that list of words. Counts of words and ids cover all tra
 pass through one task. The model learns from every id of every training text, in the windows in which
 ids are scored: each chunk takes Adam steps from the same weights over its share of a round, and the
 chunks' weights are averaged, ``ROUNDS`` times; after the last round every id was to be foretold once
-(in a small chunk, several times). Chunks and steps grow with the texts.
+(in a small chunk, several times). Chunks and steps grow with the texts. A round puts together only
+its own windows, and both training and scoring work out ``ABREAST`` windows at a time in arrays that
+stay where they are.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ MOST_SKIP = 3
 ROUNDS, STEPS, BATCH, MOST_BATCH, RATE, PASSES = 4, 150, 200, 800, 0.1, 12
 #: Weight of the words' shares of the training words in the mixture.
 SHARE = 0.25
-#: Bytes of text of a chunk; ids scored at once in a task: what fits a core's cache.
-CHUNK_BYTES, AT_ONCE = 12 << 20, 1 << 13
+#: Bytes of text of a chunk; ids scored at once in a task; windows worked out side by side: what fits a core's cache.
+CHUNK_BYTES, AT_ONCE, ABREAST = 12 << 20, 1 << 13, 96
 END = 50256
 #: An id that isn't there; ids are kept in 16 bits.
 NONE = 0xFFFF
@@ -55,13 +57,21 @@ PACK = 1 << 18
 PART, MOST_GROUP = 1 << 16, 1 << 30
 
 
-def added(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Add each value to its row of ``table`` of less than 2**16 rows."""
-    rows = rows.ravel().astype(np.uint16)  # numpy sorts 16 bits by radix
-    order = np.argsort(rows, kind="stable")
+def summed(rows: np.ndarray, values: np.ndarray, out: np.ndarray, room: np.ndarray) -> None:
+    """Set each row of ``out`` (of less than 2**16) to the sum of the values dealt to it; ``room`` holds as many floats as ``values``."""
+    order = np.argsort(rows, kind="stable")  # numpy sorts 16 bits by radix
     rows = rows[order]
     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    table[rows[first]] += np.add.reduceat(values.reshape(len(order), -1)[order], first)
+    dealt = np.take(values, order, axis=0, out=room[: values.size].reshape(values.shape), mode="clip")
+    out[:] = 0
+    # pairs of floats as one number: half as many sums
+    out[rows[first]] = np.add.reduceat(dealt.view(np.complex64), first).view(np.float32)
+
+
+def bounded(x: np.ndarray) -> None:
+    """Keep the exponentials of ``x`` finite."""
+    if not x.max(initial=0) <= 60:
+        np.minimum(x, 60, out=x)
 
 
 class Model:
@@ -85,14 +95,46 @@ class Model:
         small = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
         share = np.log(np.maximum(mass, 1e-9) / mass.sum())[:, None]
         self.w = {"e": small(rows, d), "p": small(BACK + STEP, d), "q": small(d, d) * 3, "k": small(d, d) * 3, "v": small(d, d) * 3, "o": small(d, LATENT), "c": small(rows, LATENT) * 3, "b": small(LATENT) * 0, "m": (share + 5 * small(rows, LATENT)).astype(np.float32)}
-        self.causal = np.where(np.arange(BACK + STEP)[None, :] <= BACK + np.arange(STEP)[:, None], 0, -1e9).astype(np.float32)
+        self.causal = (np.arange(BACK + STEP)[None, :] <= BACK + np.arange(STEP)[:, None]).astype(np.float32)
 
     def emissions(self) -> np.ndarray:
         """The latent distributions over rows, one a column."""
-        e = np.exp(self.w["m"] - self.w["m"].max(0))
-        return e / e.sum(0)
-
-    def fit(self, windows: np.ndarray, round_: int = 0, rounds: int = 1, steps: int = STEPS, batch: int = BATCH) -> Model:
+        e = self.w["m"] - self.w["m"].max(0)
+        np.exp(e, out=e)
+        e /= np.ones(len(e), np.float32) @ e
+        return e
+
+    def projected(self) -> dict[str, np.ndarray]:
+        """Queries, keys and values of each row and place, side by side: with one layer, attention needs no products of embeddings; and what the last id gives."""
+        w = self.w
+        every = np.concatenate([w["q"] * np.float32(WIDTH**-0.5), w["k"], w["v"]], 1)
+        return {"every": every, "rows": w["e"] @ every, "places": w["p"] @ every, "c": w["c"] + w["b"]}
+
+    def mixed(self, x: np.ndarray, ok: np.ndarray, t: dict[str, np.ndarray], room: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Of windows of rows ``x`` (``ok``: those that are there), into the arrays of ``room``: queries, keys and values, attention, the inverse of its sums, its outputs, and how latent distributions weigh; neither weights sum to one."""
+        n, d = len(x), WIDTH
+        many, a, o = room["many"][:n], room["a"][:n], room["o"][:n]
+        z, other = room["z"][: n * STEP], room["other"][: n * STEP]
+        np.take(t["rows"], x, axis=0, out=many, mode="clip")
+        many += t["places"]
+        np.matmul(many[:, BACK:, :d], many[:, :, d : 2 * d].transpose(0, 2, 1), out=a)
+        bounded(a)
+        np.exp(a, out=a)
+        a *= self.causal
+        lacking = np.flatnonzero(~ok.all(1))
+        a[lacking] *= ok[lacking, None, :]
+        inverse = 1 / np.maximum(a.reshape(-1, BACK + STEP) @ np.ones(BACK + STEP, np.float32), np.float32(1e-30))
+        np.matmul(a, many[:, :, 2 * d :], out=o)
+        o = o.reshape(-1, d)
+        o *= inverse[:, None]
+        np.matmul(o, self.w["o"], out=z)
+        np.take(t["c"], x[:, BACK:].ravel(), axis=0, out=other, mode="clip")
+        z += other
+        bounded(z)
+        np.exp(z, out=z)
+        return many, a, inverse, o, z
+
+    def fit(self, windows: np.ndarray | Windows, round_: int = 0, rounds: int = 1, steps: int = STEPS, batch: int = BATCH) -> Model:
         """Adam on the cross-entropy of windows (as of ``every_window``), in one of several rounds: the rounds share all windows, each drawn once, or up to ``PASSES`` times where they are few."""
         if not len(windows):
             return self
@@ -101,71 +143,60 @@ class Model:
         mine = np.concatenate([rng.permutation(len(windows)) for _ in range(passes)])[round_::rounds]
         batch = min(MOST_BATCH, max(batch, -(-len(mine) // steps)))
         steps = -(-len(mine) // batch)
-        w, (first, second) = self.w, ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
-        scale = np.float32(WIDTH**-0.5)
+        room, row, d = rooms(ABREAST), self.row_of(), WIDTH
+        # weights, gradients and moments lie end to end each
+        weights = self.flat()
+        grads, first, second = (np.zeros_like(weights) for _ in range(3))
+        self.w, g = self.cut(weights), self.cut(grads)
+        w, latent = self.w, np.ones(LATENT, np.float32)
+        rows = np.empty((len(w["e"]), 3 * d), np.float32)
+        # of all windows of a step: gradients of queries, keys and values, of weights of latent distributions, and of these
+        gmany, gz, gm = (np.zeros((batch, *size), np.float32) for size in ((BACK + STEP, 3 * d), (STEP, LATENT), (STEP, LATENT)))
+        order = np.empty(max(gmany.size, gz.size), np.float32)
         turned = lambda x: x.transpose(0, 2, 1)
-        flat = lambda x: x.reshape(-1, x.shape[-1])
-        over = lambda x, y: flat(x).T @ flat(y)
         for step in range(1, steps + 1):
             drawn = windows[mine[(step - 1) * batch : step * batch]]
-            seen, goals = drawn[:, :-1], drawn[:, BACK + 1 :]
-            ok, on = seen != NONE, (goals != NONE).ravel()
-            x, y = self.row[np.where(ok, seen, END)], self.row[goals.ravel()[on]]
-            u = w["e"][x] + w["p"]
-            late = np.ascontiguousarray(u[:, BACK:])
-            q, k, v = late @ w["q"], u @ w["k"], u @ w["v"]
-            a = q @ turned(k)
-            a *= scale
-            a += self.causal
-            a += np.where(ok, np.float32(0), np.float32(-1e9))[:, None, :]
-            a -= a.max(2, keepdims=True)
-            np.exp(a, out=a)
-            a /= a.sum(2, keepdims=True)
-            # from here on only places with a goal
-            last, o = x[:, BACK:].ravel()[on], flat(a @ v)[on]
-            z = o @ w["o"]
-            z += w["c"][last]
-            z += w["b"]
-            z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            emit = self.emissions()
-            after = emit[y]
-            after *= z
-            each = np.float32(1 / max(1, len(y)))
-            after *= (each / np.maximum(after.sum(1, keepdims=True), np.float32(1e-30)))
-            gz = z
-            gz *= each / z.sum(1, keepdims=True)
-            gz -= after
-            d = {"b": gz.sum(0), "o": o.T @ gz} | {n: np.zeros_like(w[n]) for n in "cem"}
-            added(d["m"], y, after)
-            np.negative(d["m"], out=d["m"])
-            d["m"] -= emit * d["m"].sum(0)
-            added(d["c"], last, gz)
-            go = np.zeros((len(on), WIDTH), np.float32)
-            go[on] = gz @ w["o"].T
-            go = go.reshape(late.shape)
-            ga, gv = go @ turned(v), turned(a) @ go
-            gs = ga - (go * (a @ v)).sum(2, keepdims=True)
-            gs *= a
-            gs *= scale
-            gq, gk = gs @ k, turned(gs) @ q
-            d["q"], d["k"], d["v"] = over(late, gq), over(u, gk), over(u, gv)
-            gu = gk @ w["k"].T
-            gu += gv @ w["v"].T
-            gu[:, BACK:] += gq @ w["q"].T
-            d["p"] = gu.sum(0)
-            added(d["e"], x, gu)
-            now = np.float32(RATE * min(1, step / 20) * (1 - 0.9 * (round_ + step / steps) / rounds))
-            for n in w:
-                first[n] *= np.float32(0.9)
-                first[n] += np.float32(0.1) * d[n]
-                second[n] *= np.float32(0.98)
-                d[n] *= d[n]
-                d[n] *= np.float32(0.02)
-                second[n] += d[n]
-                root = np.sqrt(second[n] * np.float32(1 / (1 - 0.98**step)), out=d[n])
-                root += np.float32(1e-7)
-                w[n] = w[n] - (now / np.float32(1 - 0.9**step)) * first[n] / root
+            n, of = len(drawn), row[drawn]
+            x, y, ok, on = of[:, :-1], of[:, BACK + 1 :], drawn[:, :-1] != NONE, drawn[:, BACK + 1 :] != NONE
+            t, emit = self.projected(), self.emissions()
+            g["o"][:] = 0
+            for low in range(0, n, ABREAST):
+                part = slice(low, min(n, low + ABREAST))
+                z, after, gmine, real = gz[part].reshape(-1, LATENT), gm[part].reshape(-1, LATENT), gmany[part], on[part].ravel()
+                many, a, inverse, o, z = self.mixed(x[part], ok[part], t, room | {"z": z, "other": after})
+                q, k, v = many[:, BACK:, :d], many[:, :, d : 2 * d], many[:, :, 2 * d :]
+                # gradients of the summed loss of places with a goal; Adam takes no heed of their scale
+                np.take(emit, y[part].ravel(), axis=0, out=after, mode="clip")
+                after *= z
+                after *= (real / np.maximum(after @ latent, np.float32(1e-30)))[:, None]
+                z *= (real / np.maximum(z @ latent, np.float32(1e-30)))[:, None]
+                z -= after
+                g["o"] += o.T @ z
+                go = z @ w["o"].T
+                go *= inverse[:, None]
+                inner = np.einsum("nk,nk->n", go, o).reshape(-1, STEP, 1)
+                go, gs = go.reshape(-1, STEP, d), room["gs"][: len(many)]
+                np.matmul(go, turned(v), out=gs)
+                gs -= inner
+                gs *= a
+                np.matmul(gs, k, out=gmine[:, BACK:, :d])
+                np.matmul(turned(gs), q, out=gmine[:, :, d : 2 * d])
+                np.matmul(turned(a), go, out=gmine[:, :, 2 * d :])
+            z, after, each = gz[:n].reshape(-1, LATENT), gm[:n].reshape(-1, LATENT), np.ones(n * STEP, np.float32)
+            summed(y.ravel(), after, g["m"], order)
+            emit *= each @ after
+            np.subtract(emit, g["m"], out=g["m"])
+            summed(x[:, BACK:].ravel(), z, g["c"], order)
+            np.matmul(each, z, out=g["b"])
+            # to the tables of rows and places first, and from there to their factors
+            summed(x.ravel(), gmany[:n].reshape(-1, 3 * d), rows, order)
+            places = (np.ones(n, np.float32) @ gmany[:n].reshape(n, -1)).reshape(-1, 3 * d)
+            np.matmul(rows, t["every"].T, out=g["e"])
+            np.matmul(places, t["every"].T, out=g["p"])
+            g["q"][:], g["k"][:], g["v"][:] = np.split(w["e"].T @ rows + w["p"].T @ places, 3, axis=1)
+            g["q"] *= np.float32(d**-0.5)
+            now = RATE * min(1, step / 20) * (1 - 0.9 * (round_ + step / steps) / rounds)
+            moved(weights, grads, first, second, step, now, 1e-7 * max(1, np.count_nonzero(on)))
         return self
 
     def flat(self) -> np.ndarray:
@@ -174,22 +205,24 @@ class Model:
 
     def take(self, flat: np.ndarray) -> Model:
         """Set all weights from one row."""
-        at = 0
-        for n, x in self.w.items():
-            self.w[n] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
-            at += x.size
+        self.w = {n: x.astype(np.float32) for n, x in self.cut(flat).items()}
         return self
 
-    def tables(self) -> dict[str, np.ndarray]:
-        """Queries, keys and values of each row and place: with one layer, attention needs no products of embeddings.
+    def cut(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parts of one row as all weights."""
+        at = np.cumsum([0, *(x.size for x in self.w.values())])
+        return {n: flat[low : low + x.size].reshape(x.shape) for low, (n, x) in zip(at.tolist(), self.w.items(), strict=False)}
 
-        A further column carries the mask of keys into the products (1 in queries, a penalty in keys)
-        and the sum of the weights out of them (1 in values).
-        """
-        w, scale = self.w, np.float32(WIDTH**-0.5)
-        more = lambda x, v: np.c_[x, np.full(len(x), v, np.float32)].astype(np.float32)
+    def row_of(self) -> np.ndarray:
+        """Rows of all numbers of 16 bits; those that are no ids have the end's."""
+        out = np.full(1 << 16, self.row[END], np.uint16)
+        out[: len(self.row)] = self.row
+        return out
+
+    def tables(self) -> dict[str, np.ndarray]:
+        """What scoring needs beside the weights: as ``projected``, the latent distributions, and what sums them and those of starts of words."""
         emit = self.emissions()
-        return {"q": more(w["e"] @ w["q"] * scale, 1), "pq": more(w["p"][BACK:] @ w["q"] * scale, 0), "k": more(w["e"] @ w["k"], 0), "pk": more(w["p"] @ w["k"], 0), "v": more(w["e"] @ w["v"], 1), "pv": more(w["p"] @ w["v"], 0), "c": w["c"] + w["b"], "m": emit, "new": self.starts @ emit}
+        return self.projected() | {"m": emit, "sums": np.stack([np.ones(LATENT, np.float32), self.starts @ emit], 1)}
 
     def score(self, ids: np.ndarray, lengths: np.ndarray, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each id after its text so far, and of the start of a word at its place.
@@ -198,42 +231,37 @@ class Model:
         """
         ends = np.cumsum(lengths)
         begins = ends - lengths
-        goal = self.row[ids]
-        seen = np.r_[self.row[END], goal[:-1]]
+        goal = self.row[ids].astype(np.uint16)
+        seen = np.r_[goal[:1], goal[:-1]]
         seen[begins] = self.row[END]
         per = -(-lengths // STEP)
         doc = np.repeat(np.arange(len(lengths)), per)
         at = begins[doc] + STEP * (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))
         got, new = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
-        for low in range(0, len(at), AT_ONCE // STEP):
-            mine = slice(low, low + AT_ONCE // STEP)
+        room = rooms(min(len(at), ABREAST))
+        for low in range(0, len(at), ABREAST):
+            mine = slice(low, low + ABREAST)
             place = at[mine, None] + np.arange(-BACK, STEP)
             inside = (place >= begins[doc[mine], None]) & (place < ends[doc[mine], None])
-            rows = seen[np.clip(place, 0, len(ids) - 1)]
-            last, real, place = rows[:, BACK:], inside[:, BACK:], place[:, BACK:]
-            keys = t["k"][rows]
-            keys += t["pk"]
-            keys[~inside, -1] = -1e4
-            queries = t["q"][last]
-            queries += t["pq"]
-            s = queries @ keys.transpose(0, 2, 1)
-            s += self.causal
-            np.minimum(s, 60, out=s)  # keeps the exponentials finite
-            np.exp(s, out=s)
-            values = t["v"][rows]
-            values += t["pv"]
-            o = (s @ values)[real]
-            place, last = place[real], last[real]
-            z = (o[:, :-1] / o[:, -1:]) @ self.w["o"]
-            z += t["c"][last]
-            np.minimum(z, 60, out=z)
-            np.exp(z, out=z)
-            total = np.maximum(z.sum(1), 1e-30)
-            got[place] = np.log(np.maximum(np.einsum("nk,nk->n", z, t["m"][goal[place]]) / total, 1e-30))
-            new[place] = np.log(np.maximum(z @ t["new"] / total, 1e-30))
+            rows = np.take(seen, place, mode="clip")
+            z = self.mixed(rows, inside, t, room)[-1]
+            place, real = place[:, BACK:].ravel(), inside[:, BACK:].ravel()
+            likely = room["other"][: len(z)]
+            np.take(t["m"], np.take(goal, place, mode="clip"), axis=0, out=likely, mode="clip")
+            total, starts = (z @ t["sums"]).T
+            total = np.maximum(total, np.float32(1e-30))
+            place = place[real]
+            got[place] = np.log(np.maximum(np.einsum("nk,nk->n", z, likely) / total, 1e-30))[real]
+            new[place] = np.log(np.maximum(starts / total, 1e-30))[real]
         return got + self.inside[ids], new
 
 
+def rooms(n: int) -> dict[str, np.ndarray]:
+    """Arrays that batches of ``n`` windows are worked out in: fresh memory for each would cost more than the sums."""
+    new = lambda *s: np.empty((n, *s), np.float32)
+    return {"many": new(BACK + STEP, 3 * WIDTH), "a": new(STEP, BACK + STEP), "gs": new(STEP, BACK + STEP), "o": new(STEP, WIDTH), "z": new(STEP, LATENT).reshape(-1, LATENT), "other": new(STEP, LATENT).reshape(-1, LATENT)}
+
+
 def split_chunk(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Of some texts: the distinct words (the empty one, last, is the end), all words as places among them with an end after each text, and how many each text has."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
@@ -289,17 +317,52 @@ def chosen_windows(words: pa.Array, codes: np.ndarray, long: np.ndarray, train:
     return out
 
 
+def moved(weights: np.ndarray, grads: np.ndarray, first: np.ndarray, second: np.ndarray, step: int, rate: float, tiny: float) -> None:
+    """One step of Adam on ``weights``, in pieces that stay in a core's cache; ``grads`` are used up, and the moments are kept as plain sums that fade."""
+    spread = (0.02 / (1 - 0.98**step)) ** 0.5
+    rate, tiny = np.float32(rate * 0.1 / (1 - 0.9**step) / spread), np.float32(tiny / spread)
+    room = np.empty(1 << 14, np.float32)
+    for low in range(0, len(weights), len(room)):
+        w, g, m, v = (x[low : low + len(room)] for x in (weights, grads, first, second))
+        r = room[: len(w)]
+        m *= np.float32(0.9)
+        m += g
+        g *= g
+        v *= np.float32(0.98)
+        v += g
+        np.sqrt(v, out=r)
+        r += tiny
+        np.divide(m, r, out=r)
+        r *= rate
+        w -= r
+
+
+class Windows:
+    """Windows of texts laid end to end, each closed by the end id, cut as they are scored; those asked for are put together then."""
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray):
+        self.ids, self.stops = ids.astype(np.uint16), np.cumsum(lengths)
+        per = -(-lengths // STEP)
+        self.doc = np.repeat(np.arange(len(lengths)), per)
+        self.begins = self.stops - lengths
+        self.at = self.begins[self.doc] + STEP * (np.arange(len(self.doc)) - np.repeat(np.cumsum(per) - per, per))
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, pick: np.ndarray) -> np.ndarray:
+        """Rows of ``BACK + 1 + STEP`` ids (``NONE``: none): all but the last are seen, the last ``STEP`` are to come."""
+        doc = self.doc[pick]
+        begin, stop, place = self.begins[doc, None], self.stops[doc, None], self.at[pick, None] + np.arange(-BACK - 1, STEP)
+        rows = np.take(self.ids, place, mode="clip")
+        rows[(place < begin) | (place >= stop)] = NONE
+        rows[place == begin - 1] = END
+        return rows
+
+
 def every_window(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Rows of ``BACK + 1 + STEP`` ids (``NONE``: none) from texts laid end to end, each closed by the end id, cut as they are scored: all but the last of a row are seen, the last ``STEP`` are to come, so every id is to come in one row."""
-    stops = np.cumsum(lengths)
-    per = -(-lengths // STEP)
-    doc = np.repeat(np.arange(len(lengths)), per)
-    begin, stop = (stops - lengths)[doc, None], stops[doc, None]
-    place = begin + STEP * (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))[:, None] + np.arange(-BACK - 1, STEP)
-    rows = ids.astype(np.uint16)[np.clip(place, 0, max(0, len(ids) - 1))]
-    rows[(place < begin) | (place >= stop)] = NONE
-    rows[place == begin - 1] = END
-    return rows
+    """All windows of the texts: every id is to come in one row."""
+    return Windows(ids, lengths)[np.arange(int((-(-lengths // STEP)).sum()))]
 
 
 GATHERED = "block long, k int, word string, n long, doc_id long, held_out boolean, codes binary"
@@ -425,7 +488,7 @@ def _trainer(model: Model, round_: int):
                 continue
             at = np.concatenate(held)
             lengths = np.add.reduceat(chunk.lengths[at], np.cumsum([0, *map(len, held[:-1])]))
-            windows = every_window(gathered(chunk.ids, chunk.starts, chunk.lengths, at), lengths)
+            windows = Windows(chunk.of(at), lengths)
             total += model.take(start).fit(windows, round_, ROUNDS).flat() * np.float32(len(windows))
             weight += len(windows)
         if weight:
@@ -467,8 +530,12 @@ class Chunk:
         # each place has one word; words lie as their packs have them
         order = np.empty(len(places), np.int64)
         order[places] = np.arange(len(places))
-        self.ids = ids.astype(np.int64)
-        self.counts, self.lengths, self.starts = counts[order], lengths[order], (np.cumsum(lengths) - lengths)[order]
+        self.counts, self.lengths = counts[order], lengths[order]
+        self.lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(ids)).take(pa.array(order))
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the words at places ``at``, laid end to end."""
+        return self.lists.take(pa.array(at)).flatten().to_numpy()
 
     def score(self, model: Model, tables: dict, at: np.ndarray, tokens: np.ndarray, total: int, distinct: int) -> list[np.ndarray]:
         """Known tokens, base and model scores (log10) of texts given as places ``at`` of their words, ``tokens`` each; every id is scored in context."""
@@ -476,7 +543,7 @@ class Chunk:
         stop = np.cumsum(length)
         begin = stop - length
         bounds = np.cumsum(tokens) - tokens
-        got, new = model.score(gathered(self.ids, self.starts, self.lengths, at), np.add.reduceat(length, bounds), tables)
+        got, new = model.score(self.of(at), np.add.reduceat(length, bounds), tables)
         logs = np.add.reduceat(got.astype(np.float64), begin) - new[begin]
         # the chance that a new word starts after this one; nothing follows an end
         after = np.append(new, np.float32(0))[stop]

@@ -311,3 +311,38 @@ def test_lm_words_go_back_to_their_chunk_in_packs(spark, monkeypatch):
     assert {(r.doc_id, *tuple(r)[1:5]) for r in lm.score_texts(docs).collect()} == {(k, *v[:4]) for k, v in want.items()}
     packs = kept[1].filter("codes is null").groupBy("block").agg(F.count("*").alias("rows"), F.sum("c").alias("words")).collect()
     assert len(packs) > 2 and all(r.rows <= 4 for r in packs) and max(r.words for r in packs) > 150
+
+
+def test_lm_rounds_put_each_window_together_once(spark, monkeypatch):
+    """Each round cuts only the windows it draws, not all of the chunk's."""
+    monkeypatch.setattr(lm, "PASSES", 1)
+    built = []
+    cut = lm.Windows.__getitem__
+    monkeypatch.setattr(lm.Windows, "__getitem__", lambda self, pick: built.extend(pick.tolist()) or cut(self, pick))
+    model = model_and_texts()[0]
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 90, 60)
+    windows = lm.Windows(rng.integers(0, 200, lengths.sum()), lengths)
+    for round_ in range(lm.ROUNDS):
+        model.fit(windows, round_, lm.ROUNDS)
+    assert len(windows) > 60 and sorted(built) == list(range(len(windows)))
+
+
+def test_lm_steps_follow_the_gradient():
+    """Where Adam's first step goes, and how far, is the sign of the loss's gradient, here by differences; windows lack ids at both ends and pass the size of a block."""
+    model, _, _ = model_and_texts()
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([np.r_[rng.integers(0, 40, n), lm.END] for n in (0, 1, 5, 23, 24, 30, 80)] * (lm.ABREAST // 8))
+    lengths = np.diff(np.flatnonzero(ids == lm.END), prepend=-1)
+    windows, start = lm.every_window(ids, lengths), model.flat().copy()
+    assert len(windows) > lm.ABREAST
+    model.fit(windows, steps=1, batch=len(windows) * 12)
+    moved = model.flat() - start
+    loss = lambda flat: -model.take(flat).score(ids, lengths, model.tables())[0].sum(dtype=float)
+    sizes = np.cumsum([0, *(x.size for x in model.w.values())])
+    for name, low, high in zip(model.w, sizes[:-1], sizes[1:], strict=True):
+        step = np.zeros_like(start)
+        step[low:high] = moved[low:high]
+        step /= np.abs(step).max()
+        slope = (loss(start + step * np.float32(0.002)) - loss(start - step * np.float32(0.002))) / 0.004
+        assert slope < 0, name

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_functions import saver
 
 from tesserae.operators import density as D
@@ -52,6 +53,39 @@ def test_clusters(spark, tmp_path, rows, eps):
     assert len({c for c, _ in want.values()}) > 2 and D.NOISE in {c for c, _ in want.values()}
 
 
+def test_clusters_of_copies(spark, tmp_path):
+    """Copies of one vector in all blocks, vectors in single precision, and vectors without length, which are near none."""
+    rng = random.Random(6)
+    points = {i: [1.0, 2.0, 0.5] if i % 2 else [float(rng.randint(-1, 1)) or 2.0 for _ in range(3)] for i in range(120)}
+    df = spark.createDataFrame([(i, v) for i, v in points.items()] + [(500, [0.0] * 3), (501, [0.0] * 3)], "id long, v array<double>")
+    got = {r.id: (r.cluster, r.core) for r in D.density_clusters(df, saver(spark, str(tmp_path)), 4, 0.004, 9).collect()}
+    want = brute(points, 4, 0.004)
+    assert {got.pop(500), got.pop(501)} == {(D.NOISE, None)}
+    assert {i: c for i, (c, _) in got.items()} == {i: c for i, (c, _) in want.items()} and len({c for c, _ in want.values()}) > 2
+    assert all(abs(got[i][1] - want[i][1]) < 1e-6 for i in want)
+
+
+def test_vectors_are_stored_once(spark, tmp_path):
+    """Blocks meet where they are saved: no vector is written out for each pair of blocks, and items are grouped without vectors."""
+    plans, seen, inner = [], [], saver(spark, str(tmp_path))
+
+    def save(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        seen.append(inner(df))
+        return seen[-1]
+
+    df = spark.range(600).selectExpr("id", "array(cos(id * 0.37), sin(id * 0.37), 0.1 * (id % 7)) as v")
+    assert D.density_clusters(df, save, 5, None, 10).count() == 600
+    assert not [p for p in plans if "explode" in p] and sum("CartesianProduct" in p for p in plans) == 2
+    assert sum(x.agg(F.sum("n")).first()[0] for x in seen if "v" in x.columns) == 600
+
+
+def test_vectors_of_two_lengths_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.5, 1.0])], "id long, v array<double>").coalesce(1)
+    with pytest.raises(Exception, match="one length"):
+        D.density_clusters(df, saver(spark, str(tmp_path)))
+
+
 def test_few_points(spark, tmp_path):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "id long, v array<double>")
     assert {tuple(r) for r in D.density_clusters(df, saver(spark, str(tmp_path / "a"))).collect()} == {(1, D.NOISE, None), (2, D.NOISE, None)}
